@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, line_dedup, mixing, topk
+from . import chat, exact_dedup, line_dedup, mixing, quality, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,7 +38,22 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(turns))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = toxicity.score_toxicity(docs, _table(spark, sf_dir, "labels"))
+    return rows.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = quality.score_quality(docs, _table(spark, sf_dir, "labels"))
+    return rows.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
+    "op9_quality": op9_quality,
+
     "op5_exact_topk": op5_exact_topk,
     "op8_chat_formatting": op8_chat_formatting,
 } | {"op3_line_dedup": op3_line_dedup, "op6_exact_dedup": op6_exact_dedup, "op10_mixing": op10_mixing}
