@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, line_dedup, mixing, quality, topk, toxicity
+from . import chat, exact_dedup, line_dedup, mixing, packing, quality, substring_dedup, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,7 +50,19 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substring_dedup.substring_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"), digest=True)
+    return rows.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 QUERIES = {
+    "op4_packing": op4_packing,
+    "op7_substring_dedup": op7_substring_dedup,
+
     "op2_toxicity": op2_toxicity,
     "op9_quality": op9_quality,
 
