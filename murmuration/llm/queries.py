@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, line_dedup, mixing, packing, quality, substring_dedup, topk, toxicity
+from . import chat, exact_dedup, jaccard, line_dedup, mixing, packing, quality, substring_dedup, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,7 +59,13 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"), size=3, num=90)
+
+
 QUERIES = {
+    "op1_ngram_jaccard": op1_ngram_jaccard,
+
     "op4_packing": op4_packing,
     "op7_substring_dedup": op7_substring_dedup,
 
