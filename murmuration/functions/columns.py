@@ -45,5 +45,6 @@ def bin_index(value: Column, edges: Sequence[float], closed: bool) -> Column:
 
     Out of range: -1 below, len(edges) - 1 at or above the last edge unless it is closed.
     """
-    at = F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e <= value)) - 1
+    # comparisons stay in generated code, a lambda over an array of edges doesn't
+    at = reduce(lambda x, y: x + y, ((value >= F.lit(float(e))).cast("int") for e in edges)) - 1
     return F.when(value == F.lit(float(edges[-1])), len(edges) - 2).otherwise(at) if closed else at

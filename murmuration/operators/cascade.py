@@ -52,7 +52,7 @@ def lag_points(flux: DataFrame, lags: DataFrame, probes: int) -> DataFrame:
     place = (F.col("i") * (2 * probes - F.col("i") - 1)) / 2 + F.col("j") - F.col("i") - 1
     rows = flux.join(lags, ["i", "j"]).withColumn("__p", place.cast("long"))
     cols = [f"{n}{k}" for n in ("l", "yp", "ym") for k in (1, 2, 3)]
-    side = lambda s: F.struct((F.col("__p") * 2 + (s < 0)).alias("pid"), *[(F.col(c) * s).alias(c) for c in cols])
+    side = lambda s: F.struct((F.col("__p") * 2 + int(s < 0)).alias("pid"), *[(F.col(c) * s).alias(c) for c in cols])
     return rows.select(F.explode(F.array(side(1), side(-1))).alias("s")).select("s.*")
 
 

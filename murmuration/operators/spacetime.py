@@ -59,7 +59,8 @@ def lagged_pairs(series: DataFrame, lags: int) -> DataFrame:
 
 def correlation_map(samples: DataFrame, edges: Sequence[float], min_fraction: float = 0.01) -> DataFrame:
     """Per (lag, r bin): n, correlation and validity. The last r edge is open: the largest distance is left out."""
-    binned = samples.withColumn("r_bin", bin_index(F.col("r"), edges, False)).where((F.col("r_bin") >= 0) & (F.col("r_bin") < len(edges) - 1))
+    inside = samples.where((F.col("r") >= edges[0]) & (F.col("r") < edges[-1]))
+    binned = inside.withColumn("r_bin", bin_index(F.col("r"), edges, False))
     m = binned.groupBy("lag", "r_bin").agg(F.count(F.lit(1)).alias("n"), F.avg("product").alias("corr"))
     return m.withColumn("valid", F.col("n") >= F.ceil(F.lit(min_fraction) * F.max("n").over(Window.partitionBy())))
 

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import bin_index, dot, finite, minus, norm, vector
+from ..functions.columns import bin_index, cross, finite, minus, norm, vector
 
 
 def log_edges(low: float, high: float, bins: int) -> list[float]:
@@ -50,9 +50,8 @@ def with_lag(pairs: DataFrame) -> DataFrame:
     """Adds |r|, |B| and the length of the part of r that is perpendicular to the mid field (null without a field)."""
     r, m = vector("r1", "r2", "r3"), vector("m1", "m2", "m3")
     pairs = pairs.withColumn("r", norm(r)).withColumn("b_local", norm(m))
-    along = dot(r, m) / F.col("b_local")
-    across = [c - along * b / F.col("b_local") for c, b in zip(r, m, strict=True)]
-    return pairs.withColumn("lam", F.when(F.col("b_local") > 0, norm(across)))
+    # |r - (r.b)b| for the unit vector b along m is |r x m| / |m|
+    return pairs.withColumn("lam", F.when(F.col("b_local") > 0, norm(cross(r, m)) / F.col("b_local")))
 
 
 def valid_pairs(pairs: DataFrame, edges: Sequence[float]) -> DataFrame:
