@@ -20,18 +20,18 @@ without doc_id has no component. Rows that repeat a doc_id are separate sets und
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import stage
-from .substring_dedup import _planes, _unplanes, decode, encode, settle
+from .scratch import new_path, stage
+from .substring_dedup import decode, encode, settle
 from .words import BASE, Words, chunks, mix64
 
 RATIO = 1.25
@@ -127,25 +127,52 @@ def _sketches(owner: np.ndarray, tokens: np.ndarray, band: np.ndarray, bands: Ba
     return result
 
 
-SKETCH = "doc_id long, n long, f1 long, f2 long, g1 int, s1 binary, t1 binary, g2 int, s2 binary, t2 binary"
+SETS = "doc_id long, n long, f1 long, f2 long"
+SKETCH = "rep long, f1 long, n long, g1 int, s1 binary, t1 binary, g2 int, s2 binary, t2 binary"
+
+
+def _sets(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Tokens of some texts, the size of each set and two fingerprints of it."""
+    owner, tokens, count = token_sets(column, size)
+    n = np.bincount(owner, minlength=count)
+    ends = np.concatenate([[0], np.cumsum(n)])
+    return owner, tokens, n, [np.diff(np.concatenate([[U(0)], np.add.accumulate(mix64(tokens ^ U(k)))])[ends]).view(np.int64) for k in (1, 2)]
+
+
+def _set_rows(docs: DataFrame, size: int) -> DataFrame:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in chunks(whole):
+                _, _, n, prints = _sets(batch.column("text"), size)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), *map(pa.array, prints)], [c.split()[0] for c in SETS.split(", ")])
+
+    return docs.where("doc_id IS NOT NULL").mapInArrow(rows, SETS)
 
 
 def _sketch_rows(docs: DataFrame, size: int, bands: Bands) -> DataFrame:
+    """Sketches of the documents whose sets aren't too small to differ from a linked one."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in chunks(whole):
-                owner, tokens, count = token_sets(batch.column("text"), size)
-                n = np.bincount(owner, minlength=count)
-                ends = np.concatenate([[0], np.cumsum(n)])
-                sums = [np.diff(np.concatenate([[U(0)], np.add.accumulate(mix64(tokens ^ U(k)))])[ends]).view(np.int64) for k in (1, 2)]
+                owner, tokens, n, prints = _sets(batch.column("text"), size)
                 first, second = bands.of(n)
-                columns = [batch.column("doc_id"), pa.array(n), pa.array(sums[0]), pa.array(sums[1])]
+                columns = [batch.column("doc_id"), pa.array(prints[0]), pa.array(n)]
                 for g in (first, second):
                     got = _sketches(owner, tokens, g, bands)
                     columns += [pa.array(g.astype(np.int32), mask=g < 0), pa.array([x[0] for x in got], pa.binary()), pa.array([x[1] for x in got], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in SKETCH.split(", ")])
+                yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in SKETCH.split(", ")]).filter(pa.array((first >= 0) | (second >= 0)))
+
+    return docs.where("doc_id IS NOT NULL").mapInArrow(rows, SKETCH)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id IS NOT NULL").mapInArrow(rows, SKETCH)
+
+def _by_rep(reps: DataFrame, buckets: int) -> DataFrame:
+    """The sketches as a table bucketed by document: three joins read it, none shuffles it."""
+    spark = reps.sparkSession
+    name = f"jaccard_{uuid.uuid4().hex}"
+    dealt = reps.repartition(buckets, "rep").write.bucketBy(buckets, "rep").option("compression", "zstd")
+    dealt.option("path", new_path(spark, "jaccard-reps")).saveAsTable(name)
+    return spark.table(name)
 
 
 def _keys(batch: pa.RecordBatch, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
@@ -266,7 +293,7 @@ def _verified(pairs: DataFrame, reps: DataFrame, bands: Bands) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(check, "a long, b long, state int")
 
 
-def _from_texts(docs: DataFrame, pairs: DataFrame, reps: DataFrame, size: int, bands: Bands) -> DataFrame:
+def _from_texts(docs: DataFrame, pairs: DataFrame, size: int, bands: Bands) -> DataFrame:
     """The linked ones of a few pairs, by their shingles as text."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id")
@@ -293,38 +320,6 @@ def _from_texts(docs: DataFrame, pairs: DataFrame, reps: DataFrame, size: int, b
     return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long").distinct()
 
 
-def _families(reps: DataFrame, bands: Bands, bits: int) -> DataFrame:
-    """(a, b): components that share a key with another one, each with the smallest of the key."""
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, rows = _keys(batch, bands)
-            comp = batch.column("comp").to_numpy()[rows]
-            order = np.lexsort((comp, keys))
-            keys, comp = keys[order], comp[order]
-            once = np.concatenate([[True], (keys[1:] != keys[:-1]) | (comp[1:] != comp[:-1])]) if len(keys) else np.zeros(0, bool)
-            keys, comp = keys[once], comp[once]
-            cuts = np.searchsorted(_bucket(keys, bits), np.arange((1 << bits) + 1))
-            for k in np.flatnonzero(np.diff(cuts)):
-                s = slice(cuts[k], cuts[k + 1])
-                blob = zstandard.compress(_planes(keys[s]) + _planes(comp[s]), 1)
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([s.stop - s.start], pa.int64()), pa.array([blob])], ["bucket", "n", "blob"])
-
-    def join(table: pa.Table) -> pa.Table:
-        held = []
-        for n, blob in zip(table["n"].to_pylist(), table["blob"].to_pylist(), strict=True):
-            raw = zstandard.decompress(blob)
-            held.append((_unplanes(raw[: 8 * n], n, U), _unplanes(raw[8 * n :], n, np.int64)))
-        keys, comp = (np.concatenate(x) for x in zip(*held, strict=True))
-        order, later, lead = settle(keys, comp, False)
-        comp = comp[order]
-        hub = comp[np.flatnonzero(lead)][np.cumsum(lead) - 1]
-        pairs = np.unique(np.stack([comp[later], hub[later]], 1), axis=0) if later.any() else np.zeros((0, 2), np.int64)
-        return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-    return reps.mapInArrow(pack, "bucket int, n long, blob binary").groupBy("bucket").applyInArrow(join, "a long, b long").distinct()
-
-
 def _compare_blocks(bands: Bands):
     """All pairs of different components in one block, or between two, of a family and band: spanning links only."""
 
@@ -369,9 +364,8 @@ def _compare_blocks(bands: Bands):
     return compare
 
 
-def _within_families(reps: DataFrame, families: DataFrame, bands: Bands) -> DataFrame:
+def _within_families(member: DataFrame, bands: Bands) -> DataFrame:
     """(a, b, state): links between different components of a family."""
-    member = reps.join(families.select(F.col("node").alias("comp"), F.col("comp").alias("family")), "comp")
     each = lambda k: member.select("family", "comp", "rep", "n", F.col(f"g{k}").alias("band"), F.col(f"s{k}").alias("sketch")).where("band IS NOT NULL")
     rows = stage(each(1).unionByName(each(2)), "jaccard-members")
     sizes = rows.groupBy("family", "band").agg(F.count(F.lit(1)).alias("m"), F.countDistinct("comp").alias("comps")).where("comps > 1")
@@ -385,40 +379,55 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     """doc_id, n_shingles, component_id of each row: components of links with Jaccard >= num / den."""
     bands = Bands(num, den)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketched = stage(_sketch_rows(slim, size, bands), "jaccard-sketches")
-    rest = ["g1", "s1", "t1", "g2", "s2", "t2"]
-    classes = sketched.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in rest])
-    classes = stage(classes, "jaccard-classes")
-    reps = classes.where("g1 IS NOT NULL OR g2 IS NOT NULL").select("rep", "n", *rest)
-    places = reps.agg(F.sum(F.coalesce(F.length("t1"), F.lit(0)) + F.coalesce(F.length("t2"), F.lit(0)))).first()[0] or 0
-    bits = max(3, math.ceil(math.log2(max(1, places * 8 / 1_000_000))))
-
-    checked = stage(_verified(stage(_candidates(reps, bands, bits), "jaccard-pairs"), reps, bands), "jaccard-checked")
-    unsure = checked.where("state = 2")
-    links = checked.where("state = 1").select("a", "b")
-    if unsure.limit(1).count():
-        links = stage(links.unionByName(_from_texts(slim, unsure, reps, size, bands)), "jaccard-links")
+    sets = stage(_set_rows(slim, size), "jaccard-sets")
+    classes = stage(sets.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep")), "jaccard-classes")
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    # a sketch takes about four bytes for each shingle; a key of eight bytes comes from about six shingles
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total * 4 / 16e6))
+    bits = max(3, math.ceil(math.log2(max(1, total / 6 / 1_000_000))))
+    reps = _by_rep(_sketch_rows(slim, size, bands).join(classes.select("rep", "f1"), ["rep", "f1"]).drop("f1"), buckets)
+
+    pairs = stage(_candidates(reps, bands, bits), "jaccard-pairs")
+    # first each document with one hub; then the pairs that this has left in different components
+    hubs = stage(pairs.groupBy("a").agg(F.min("b").alias("b")), "jaccard-hubs")
+    links = _settled(slim, hubs, reps, size, bands)
+    apart = _apart(pairs, components(links))
+    links = stage(links.unionByName(_settled(slim, apart, reps, size, bands)), "jaccard-links")
     labels = components(links)
-
-    placed = reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    placed = stage(placed, "jaccard-placed")
-    families = components(_families(placed, bands, bits))
-    more = stage(_within_families(placed, families, bands), "jaccard-more")
+    apart = _apart(pairs, labels)
+    families = components(apart.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+
+    label = labels.select(F.col("node").alias("rep"), "comp")
+    member = families.select(F.col("node").alias("comp"), F.col("comp").alias("family"))
+    alone = member.join(label, "comp", "left_anti").select(F.col("comp").alias("rep"), "comp", "family")
+    placed = stage(label.join(member, "comp").select("rep", "comp", "family").unionByName(alone), "jaccard-placed")
+    more = stage(_within_families(reps.join(placed, "rep"), bands), "jaccard-more")
+    links = links.unionByName(more.where("state = 1").select("a", "b"))
     unsure = more.where("state = 2")
-    links2 = more.where("state = 1").select("a", "b")
     if unsure.limit(1).count():
-        links2 = links2.unionByName(_from_texts(slim, unsure, reps, size, bands))
-    at = placed.select(F.col("rep"), "comp")
-    joined = links2.join(at.withColumnRenamed("rep", "a").withColumnRenamed("comp", "ca"), "a").join(at.withColumnRenamed("rep", "b").withColumnRenamed("comp", "cb"), "b")
-    merged = components(stage(joined.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "jaccard-merged"))
-    final = at.join(merged.select(F.col("node").alias("comp"), F.col("comp").alias("top")), "comp", "left").select("rep", F.coalesce("top", "comp").alias("component"))
-    found = stage(classes.select("n", "f1", "f2", "rep").join(final, "rep", "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("component")), "jaccard-found")
-    rows = sketched.select("doc_id", "n", "f1", "f2").join(found, ["n", "f1", "f2"], "left")
+        links = links.unionByName(_from_texts(slim, unsure, size, bands))
+    final = components(stage(links, "jaccard-all")).select(F.col("node").alias("rep"), F.col("comp").alias("component"))
+    found = stage(classes.join(final, "rep", "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("component")), "jaccard-found")
+    rows = sets.join(found, ["n", "f1", "f2"], "left")
     out = rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
     none = slim.where("doc_id IS NULL").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return out.unionByName(none)
 
 
+def _settled(docs: DataFrame, pairs: DataFrame, reps: DataFrame, size: int, bands: Bands) -> DataFrame:
+    """The linked ones among candidate pairs."""
+    checked = stage(_verified(pairs.select("a", "b"), reps, bands), "jaccard-checked")
+    links, unsure = checked.where("state = 1").select("a", "b"), checked.where("state = 2")
+    return links.unionByName(_from_texts(docs, unsure, size, bands)) if unsure.limit(1).count() else links
+
+
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs whose documents are in different components ca and cb."""
+    at = lambda x: labels.select(F.col("node").alias(x), F.col("comp").alias(f"c{x}"))
+    rows = pairs.join(at("a"), "a", "left").join(at("b"), "b", "left").select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
+    return stage(rows.where("ca <> cb"), "jaccard-apart")
+
+
 def drop_near_duplicates(docs: DataFrame, **settings) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of its component, and rows without doc_id."""
     found = near_duplicates(docs, **settings)
