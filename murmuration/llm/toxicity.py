@@ -37,7 +37,8 @@ LEET = {
     "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "<": "c",
 }
 SEPARATORS = "._-*~/\\'`,:;"
-LEET_COST, FOLD_COST, KEEP_RUN_COST = 0.7, 0.2, 1.0
+LEET_COST, FOLD_COST, KEEP_RUN_COST, BREAK_COST = 0.7, 0.2, 1.0, 1.0
+GAP = "\x1f"  # between letters set apart: nothing, or a break between words
 _letters = np.zeros(256, bool)
 _letters[65:91] = _letters[97:123] = _letters[128:] = True
 _leet = np.zeros(256, bool)
@@ -93,7 +94,9 @@ class Restorer:
                 counts[2] = 0.0 if run == 2 else FOLD_COST
             if run > 2 and not c.isalpha():
                 counts[run] = KEEP_RUN_COST * run
-            if c.isalpha():
+            if c == GAP:
+                out.append([("", 0.0), (" ", BREAK_COST)])
+            elif c.isalpha():
                 out.append([(c * k, cost) for k, cost in counts.items()])
             elif c in LEET:
                 out.append([(r * k, cost + LEET_COST * k) for r in LEET[c] for k, cost in counts.items()])
@@ -115,7 +118,7 @@ class Restorer:
                 for reading, cost in readings:
                     p, q, s = a, b, score - cost
                     for ch in reading:
-                        c = ord(ch) - 96 if "a" <= ch <= "z" else 27
+                        c = ord(ch) - 96 if "a" <= ch <= "z" else 0 if ch == " " else 27
                         s += self.model[p, q, c]
                         p, q = q, c
                     if (p, q) not in then or then[p, q][0] < s:
@@ -223,7 +226,7 @@ def document_features(column: pa.Array, restorer: Restorer) -> tuple[np.ndarray,
     doc, raw = w.docs(), w.data.tobytes()
     for a, b in _groups(w, kind):
         text = raw[w.starts[a] : w.ends[b - 1]].decode("utf-8", "replace")
-        word = restorer.read(_core("".join(text.split())))
+        word = restorer.read(GAP.join(_core(x) for x in text.split()))
         drop[a:b] = True
         docs.append(doc[a])
         read.append(word)
@@ -244,8 +247,9 @@ def restore(text: str, restorer: Restorer) -> str:
     raw, out, at = w.data.tobytes(), [], 0
     for a, b in _groups(w, suspects(w)):
         piece = raw[w.starts[a] : w.ends[b - 1]].decode()
-        word = _core("".join(piece.split()))
-        out.append(raw[at : w.starts[a]].decode() + piece.replace(word, restorer.read(word)) if word in piece else raw[at : w.starts[a]].decode() + restorer.read(word))
+        word = GAP.join(_core(x) for x in piece.split())
+        read = restorer.read(word)
+        out.append(raw[at : w.starts[a]].decode() + (piece.replace(word, read) if word and word in piece else read))
         at = w.ends[b - 1]
     return "".join(out) + raw[at:].decode()
 
