@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from .words import Words, chunks, mix64
 
-PACKED = "bucket int, doc_id long, pos array<int>, blob binary"
-MARKED = "doc_id long, pos array<int>"
+PACKED = "bucket int, marks binary, blob binary"
+MARKED = "part int, marks binary"
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -60,12 +60,17 @@ def decode(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return _unplanes(part[0], n, np.uint64), ids[_unplanes(part[2], n, np.uint32)], _unplanes(part[3], n, np.uint32).astype(np.int32)
 
 
-def _marked_rows(doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, pa.Array]:
-    """One row per document with its marked positions."""
-    order = np.argsort(doc, kind="stable")
-    doc, pos = doc[order], pos[order]
-    edge = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
-    return doc[edge], pa.ListArray.from_arrays(pa.array(np.concatenate([edge, [len(doc)]]).astype(np.int32)), pa.array(pos.astype(np.int32)))
+def encode_marks(doc: np.ndarray, pos: np.ndarray) -> bytes:
+    ids, back = np.unique(doc, return_inverse=True)
+    head = np.array([len(doc), len(ids)], np.int64).tobytes()
+    return zstandard.compress(head + _planes(np.diff(ids, prepend=0)) + _planes(back.astype(np.uint32)) + _planes(pos.astype(np.uint32)), 1)
+
+
+def decode_marks(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = zstandard.decompress(blob)
+    n, m = np.frombuffer(raw[:16], np.int64)
+    ids = np.cumsum(_unplanes(raw[16 : 16 + 8 * m], m, np.int64))
+    return ids[_unplanes(raw[16 + 8 * m : 16 + 8 * m + 4 * n], n, np.uint32)], _unplanes(raw[16 + 8 * m + 4 * n :], n, np.uint32).astype(np.int32)
 
 
 def settle(h: np.ndarray, doc: np.ndarray, shared: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -90,33 +95,52 @@ def _packed(h: np.ndarray, doc: np.ndarray, pos: np.ndarray, bits: int, shared:
     order, marked, lead = settle(h, doc, shared)
     h, doc, pos = h[order], doc[order], pos[order]
     # a marked entry needs no answer; each hash is sent once, or for all runs of the one document that holds it
-    ids, lists = _marked_rows(doc[marked], pos[marked])
-    if len(ids):
-        bucket = (mix64(ids.view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(ids), np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(ids), lists, pa.nulls(len(ids), pa.binary())], ["bucket", "doc_id", "pos", "blob"])
+    if marked.any():
+        bucket = int(mix64(doc[:1].view(np.uint64))[0] >> np.uint64(64 - bits))
+        yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([encode_marks(doc[marked], pos[marked])]), pa.nulls(1, pa.binary())], ["bucket", "marks", "blob"])
     send = ~marked | lead
     h, doc, pos = h[send], doc[send], pos[send]
     if not len(h):
         return
-    key = (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
+    key = (h >> np.uint64(64 - bits)).astype(np.int64)
     cuts = np.searchsorted(key, np.arange((1 << bits) + 1))
     for b in np.flatnonzero(np.diff(cuts)):
         s = slice(cuts[b], cuts[b + 1])
-        yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([None], pa.int64()), pa.array([None], pa.list_(pa.int32())), pa.array([encode(h[s], doc[s], pos[s])])], ["bucket", "doc_id", "pos", "blob"])
+        yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.nulls(1, pa.binary()), pa.array([encode(h[s], doc[s], pos[s])])], ["bucket", "marks", "blob"])
+
 
+def _counted(shared: bool, parts: int) -> Callable[[pa.Table], pa.Table]:
+    """Marks of one key range, a blob for each part of the documents."""
 
-def _counted(shared: bool) -> Callable[[pa.Table], pa.Table]:
     def count(table: pa.Table) -> pa.Table:
         held = [decode(b) for b in table["blob"].to_pylist() if b is not None]
-        local = table.filter(table["blob"].is_null()).select(["doc_id", "pos"])
-        h, doc, pos = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32))
-        order, marked, _ = settle(h, doc, shared)
-        ids, lists = _marked_rows(doc[order][marked], pos[order][marked])
-        return pa.concat_tables([local, pa.table([pa.array(ids, pa.int64()), lists], names=["doc_id", "pos"]).cast(local.schema)])
+        found = [decode_marks(b) for b in table["marks"].to_pylist() if b is not None]
+        if held:
+            h, doc, pos = (np.concatenate(x) for x in zip(*held, strict=True))
+            order, marked, _ = settle(h, doc, shared)
+            found.append((doc[order][marked], pos[order][marked]))
+        doc, pos = (np.concatenate(x) for x in zip(*found, strict=True))
+        part = (mix64(doc.view(np.uint64)) >> np.uint64(32)).astype(np.int64) % parts
+        order = np.argsort(part, kind="stable")
+        doc, pos, part = doc[order], pos[order], part[order]
+        cuts = np.searchsorted(part, np.arange(parts + 1))
+        filled = np.flatnonzero(np.diff(cuts))
+        blobs = [encode_marks(doc[cuts[p] : cuts[p + 1]], pos[cuts[p] : cuts[p + 1]]) for p in filled]
+        return pa.table([pa.array(filled.astype(np.int32)), pa.array(blobs, pa.binary())], names=["part", "marks"])
 
     return count
 
 
+def _collected(table: pa.Table) -> pa.Table:
+    """One row per document of a part with its marks."""
+    doc, pos = (np.concatenate(x) for x in zip(*map(decode_marks, table["marks"].to_pylist()), strict=True))
+    order = np.argsort(doc, kind="stable")
+    doc, pos = doc[order], pos[order]
+    edge = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([edge, [len(doc)]]).astype(np.int32)), pa.array(pos))
+    return pa.table([pa.array(doc[edge]), lists], names=["__id", "marks"])
+
+
 def windows_of(column: pa.Array, size: int, short: int) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
     """Words, the hash and first word of each window, and the minimiser of each window."""
     w = Words(column)
@@ -159,7 +183,8 @@ def kept_words(column: pa.Array, marks: list[np.ndarray | None], size: int) -> I
 def substring_dedup(docs: DataFrame, size: int = 13, short: int = 7, per_task: int = 2_000_000, digest: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, removed (intervals of words) and kept_text, or its sha256 with ``digest``."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    total, rows = texts.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
+    total, parts = total or 0, max(16, math.ceil(rows / 4096))
     wide = math.ceil(math.log2(max(1, total / 6 / per_task)))
     bits = max(3, wide - 2)  # minimisers are about a quarter of the windows
 
@@ -175,8 +200,8 @@ def substring_dedup(docs: DataFrame, size: int = 13, short: int = 7, per_task: i
                 yield from _packed(*(np.concatenate(x) for x in zip(*held, strict=True)), bits, True)
 
     def by_document(packed: DataFrame, shared: bool) -> DataFrame:
-        marks = packed.groupBy("bucket").applyInArrow(_counted(shared), MARKED)
-        return marks.groupBy("doc_id").agg(F.flatten(F.collect_list("pos")).alias("marks")).withColumnRenamed("doc_id", "__id")
+        marks = packed.groupBy("bucket").applyInArrow(_counted(shared, parts), MARKED)
+        return marks.groupBy("part").applyInArrow(_collected, "__id long, marks array<int>")
 
     shared = by_document(texts.where("doc_id IS NOT NULL").mapInArrow(first_round, PACKED), True)
     near = texts.join(shared, F.col("doc_id") == F.col("__id"), "left").select("doc_id", "text", "marks")
