@@ -1,11 +1,14 @@
 """N-gram Jaccard join by parity sketches.
 
 * A document's tokens are its distinct shingles. Documents with equal sets collapse to the one with the smallest id.
-* Within a size band of ratio ``RATIO``, linked sets differ in at most D tokens. A token flips one bit of a sketch of T > D
-  words, so the Hamming distance of two sketches is a lower bound of the symmetric difference, and at least T - D words
-  see none of the differing tokens and are equal: pigeonhole. Documents near a band's lower edge are also sketched for it.
-* Documents are joined on equal (band, place, word). Words of few tokens are left out while a document has at most
-  T - D - 1 of them, since another equal word is then certain. Each key links its documents to the smallest one, the hub.
+* Within a size band of ratio ``RATIO``, linked sets differ in at most D tokens. A token flips one bit in the lower half of
+  one of T > D words, so the Hamming distance of two sketches' lower halves is a lower bound of the symmetric difference.
+  At least T - D words see none of the differing tokens and are equal: pigeonhole. The upper half of a word is the XOR of
+  32 hashed bits of its tokens, so that words of different tokens are hardly ever equal. Documents near a band's lower
+  edge are also sketched for it.
+* Documents are joined on equal (band, place, word). Each leaves out its words of at most L tokens, L being the largest
+  number for which these are at most T - D - 1: of the T - D equal words of a linked pair, which hold equal tokens, one has
+  more than either document's L. Each key links its documents to the smallest one, the hub.
 * Candidates must pass the Hamming bound, then verification: three tables of cells XOR the tokens themselves, and the XOR of
   two documents' tables peels into exactly the differing tokens. What doesn't peel is settled from the texts.
 * Keys whose documents are in several components after that make families of components; inside a family, documents of
@@ -35,8 +38,8 @@ from .substring_dedup import decode, encode, settle
 from .words import BASE, Words, chunks, mix64
 
 RATIO = 1.25
-THIN = 2
 U = np.uint64
+LOW = U(0xFFFFFFFF)
 BLOCK = 1024
 
 
@@ -53,7 +56,8 @@ class Bands:
         self.lows = np.array(self.lows)
         differ = np.array([self.bound(2 * (int(hi) - 1)) for hi in self.lows[1:]])
         self.differ = differ
-        self.places = differ + 3 + differ // 16
+        # the lower the threshold, the fewer tokens a word has and the more words of few tokens there are to leave out
+        self.places = differ + 3 + differ * 5 * (den - num) // (4 * den)
         self.cells = (differ + 1) // 2 + 8
 
     def bound(self, sizes: int | np.ndarray):
@@ -101,7 +105,7 @@ def _cell(r: np.ndarray, table: int, cells: np.ndarray) -> np.ndarray:
 
 
 def _sketches(owner: np.ndarray, tokens: np.ndarray, band: np.ndarray, bands: Bands) -> list[tuple[bytes | None, bytes | None]]:
-    """For each text its sketch for ``band`` (-1: none) and which of its places hold few tokens."""
+    """For each text its sketch for ``band`` (-1: none) and which of its places hold too few tokens to be joined on."""
     use = band[owner] >= 0
     owner, value = owner[use], tokens[use]
     b = np.maximum(band, 0)
@@ -112,7 +116,7 @@ def _sketches(owner: np.ndarray, tokens: np.ndarray, band: np.ndarray, bands: Ba
     kept, r = _token(value)
     places, cells = bands.places[b][owner], bands.cells[b][owner]
     slot = ((r >> U(32)) * places.astype(U) >> U(32)).astype(np.int64)
-    np.bitwise_xor.at(out, off[owner] + slot, U(1) << (r & U(63)))
+    np.bitwise_xor.at(out, off[owner] + slot, (mix64(r) & ~LOW) | U(1) << (r & U(31)))
     held += np.bincount(off[owner] + slot, minlength=len(held))
     for t in range(3):
         np.bitwise_xor.at(out, off[owner] + places + _cell(r, t, cells), kept)
@@ -122,7 +126,8 @@ def _sketches(owner: np.ndarray, tokens: np.ndarray, band: np.ndarray, bands: Ba
             result.append((None, None))
         else:
             s = slice(off[i], off[i] + width[i])
-            thin = held[off[i] : off[i] + bands.places[g]] <= THIN
+            count = held[off[i] : off[i] + bands.places[g]]
+            thin = count < np.sort(count)[bands.places[g] - bands.differ[g] - 1]
             result.append((out[s].tobytes(), np.packbits(thin).tobytes()))
     return result
 
@@ -182,10 +187,10 @@ def _keys(batch: pa.RecordBatch, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
         for i, (band, sketch, thin) in enumerate(zip(*(batch.column(c).to_pylist() for c in (g, s, t)), strict=True)):
             if band is None:
                 continue
-            places, spare = int(bands.places[band]), int(bands.places[band] - bands.differ[band])
+            places = int(bands.places[band])
             words = np.frombuffer(sketch, U, places)
             few = np.unpackbits(np.frombuffer(thin, np.uint8), count=places).astype(bool)
-            at = np.flatnonzero(~few) if few.sum() < spare else np.arange(places)
+            at = np.flatnonzero(~few)
             keys.append(mix64(words[at] ^ mix64(at.astype(U) + U(band << 32))))
             rows.append(np.full(len(at), i))
     return (np.concatenate(keys), np.concatenate(rows)) if keys else (np.zeros(0, U), np.zeros(0, np.int64))
@@ -261,7 +266,7 @@ def judge(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, band: int, bands: Ban
     """1: linked, 0: not, 2: can't tell; for rows of sketches of one band and the sizes of the two sets together."""
     x, t, bound = a ^ b, int(bands.places[band]), bands.bound(sizes)
     out = np.zeros(len(x), np.int8)
-    near = np.flatnonzero(np.bitwise_count(x[:, :t]).sum(1) <= bound)
+    near = np.flatnonzero(np.bitwise_count(x[:, :t] & LOW).sum(1) <= bound)
     if len(near):
         count, whole = peel(x[near][:, t:], int(bands.cells[band]))
         out[near] = np.where(whole, count <= bound[near], 2)
@@ -334,12 +339,13 @@ def _compare_blocks(bands: Bands):
         t = int(bands.places[band])
         n, rep, comp, block = (table[c].to_numpy() for c in ("n", "rep", "comp", "block"))
         s = np.frombuffer(b"".join(table["sketch"].to_pylist()), U).reshape(len(n), bands.width(band))
+        low = (s[:, :t] & LOW).astype(np.uint32)
         left, right = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
         parent: dict[int, int] = {}
         out = []
         for at in range(0, len(left), 32):
             i = left[at : at + 32]
-            apart = np.bitwise_count(s[i][:, None, :t] ^ s[right][None, :, :t]).sum(2)
+            apart = np.bitwise_count(low[i][:, None] ^ low[right][None]).sum(2)
             p, q = np.nonzero((apart <= bands.bound(n[i][:, None] + n[right][None, :])) & (comp[i][:, None] != comp[right][None, :]))
             p, q = i[p], right[q]
             while len(p):
