@@ -10,7 +10,8 @@
   number for which these are at most T - D - 1: of the T - D equal words of a linked pair, which hold equal tokens, one has
   more than either document's L. Each key links its documents to the smallest one, the hub.
 * Candidates must pass the Hamming bound, then verification: three tables of cells XOR the tokens themselves, and the XOR of
-  two documents' tables peels into exactly the differing tokens. What doesn't peel is settled from the texts.
+  two documents' tables peels into exactly the differing tokens. The cells hold about 0.6 D of them; what doesn't peel is
+  settled from the texts.
 * Keys whose documents are in several components after that make families of components; inside a family, documents of
   different components are compared by Hamming distance in blocks, so no link is lost where a hub links to neither side.
 
@@ -37,7 +38,7 @@ from .scratch import new_path, stage
 from .substring_dedup import decode, encode, settle
 from .words import BASE, Words, chunks, mix64
 
-RATIO = 1.25
+RATIO = 1.5
 U = np.uint64
 LOW = U(0xFFFFFFFF)
 BLOCK = 1024
@@ -58,7 +59,7 @@ class Bands:
         self.differ = differ
         # the lower the threshold, the fewer tokens a word has and the more words of few tokens there are to leave out
         self.places = differ + 3 + differ * 5 * (den - num) // (4 * den)
-        self.cells = (differ + 1) // 2 + 8
+        self.cells = differ // 4 + 8
 
     def bound(self, sizes: int | np.ndarray):
         return (self.den - self.num) * sizes // (self.den + self.num)
@@ -155,7 +156,7 @@ def _set_rows(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _sketch_rows(docs: DataFrame, size: int, bands: Bands) -> DataFrame:
-    """Sketches of the documents whose sets aren't too small to differ from a linked one."""
+    """Sketches of the representatives (doc_id, text, f1) whose sets aren't too small to differ from a linked one."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -166,16 +167,22 @@ def _sketch_rows(docs: DataFrame, size: int, bands: Bands) -> DataFrame:
                 for g in (first, second):
                     got = _sketches(owner, tokens, g, bands)
                     columns += [pa.array(g.astype(np.int32), mask=g < 0), pa.array([x[0] for x in got], pa.binary()), pa.array([x[1] for x in got], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in SKETCH.split(", ")]).filter(pa.array((first >= 0) | (second >= 0)))
+                # of rows that repeat a doc_id, the one with the set that the id stands for
+                take = ((first >= 0) | (second >= 0)) & (prints[0] == batch.column("f1").to_numpy())
+                yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in SKETCH.split(", ")]).filter(pa.array(take))
 
-    return docs.where("doc_id IS NOT NULL").mapInArrow(rows, SKETCH)
+    return docs.mapInArrow(rows, SKETCH)
 
 
-def _by_rep(reps: DataFrame, buckets: int) -> DataFrame:
-    """The sketches as a table bucketed by document: three joins read it, none shuffles it."""
-    spark = reps.sparkSession
+def _by_rep(docs: DataFrame, classes: DataFrame, size: int, bands: Bands, buckets: int) -> DataFrame:
+    """The sketches as a table bucketed by document: three joins read it, none shuffles it.
+
+    The texts are dealt to the buckets, and sketched there: the sketches take more bytes.
+    """
+    spark = docs.sparkSession
     name = f"jaccard_{uuid.uuid4().hex}"
-    dealt = reps.repartition(buckets, "rep").write.bucketBy(buckets, "rep").option("compression", "zstd")
+    texts = docs.repartition(buckets, "doc_id").join(classes.select(F.col("rep").alias("doc_id"), "f1"), "doc_id")
+    dealt = _sketch_rows(texts, size, bands).write.bucketBy(buckets, "rep").option("compression", "zstd")
     dealt.option("path", new_path(spark, "jaccard-reps")).saveAsTable(name)
     return spark.table(name)
 
@@ -388,10 +395,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     sets = stage(_set_rows(slim, size), "jaccard-sets")
     classes = stage(sets.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep")), "jaccard-classes")
     total = classes.agg(F.sum("n")).first()[0] or 0
-    # a sketch takes about four bytes for each shingle; a key of eight bytes comes from about six shingles
+    # a sketch takes about four bytes for each shingle; a key of eight bytes comes from two shingles at least
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total * 4 / 16e6))
-    bits = max(3, math.ceil(math.log2(max(1, total / 6 / 1_000_000))))
-    reps = _by_rep(_sketch_rows(slim, size, bands).join(classes.select("rep", "f1"), ["rep", "f1"]).drop("f1"), buckets)
+    bits = max(3, math.ceil(math.log2(max(1, total / 2 / 1_000_000))))
+    reps = _by_rep(slim, classes, size, bands, buckets)
 
     pairs = stage(_candidates(reps, bands, bits), "jaccard-pairs")
     # first each document with one hub; then the pairs that this has left in different components
