@@ -8,14 +8,16 @@
   edge are also sketched for it.
 * Documents are joined on equal (band, place, word). Each leaves out its words of at most L tokens, L being the largest
   number for which these are at most T - D - 1: of the T - D equal words of a linked pair, which hold equal tokens, one has
-  more than either document's L. Each key links its documents to the smallest one, the hub.
+  more than either document's L. A key of at most SMALL documents makes each a candidate for the others. A key of more is
+  open: it links its documents to the smallest one, the hub.
 * Candidates must pass the Hamming bound, then verification: three tables of cells XOR the tokens themselves, and the XOR of
   two documents' tables peels into exactly the differing tokens. The cells hold about 0.6 D of them; what doesn't peel is
   settled from the texts.
-* Keys whose documents are in several components after that make families of components; inside a family, documents of
-  different components are compared by Hamming distance in blocks, so no link is lost where a hub links to neither side.
+* Open keys whose documents are in several components after that make families of components; inside a family, documents
+  of open keys and of different components are compared by Hamming distance in blocks, so no link is lost where a hub links
+  to neither side.
 
-Keys travel as sorted compressed blobs; a batch sends each key once, with its own hub, so hot keys stay small.
+Keys travel as sorted compressed blobs; a batch sends a key that is open in it once, with its own hub, so hot keys stay small.
 
 Defined results: text without words has no set (0 shingles) and is in a component of its own; null text is empty. A row
 without doc_id has no component. Rows that repeat a doc_id are separate sets under one id. Empty table: empty result.
@@ -35,13 +37,15 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .scratch import new_path, stage
-from .substring_dedup import decode, encode, settle
+from .substring_dedup import decode, encode
 from .words import BASE, Words, chunks, mix64
 
 RATIO = 1.5
 U = np.uint64
 LOW = U(0xFFFFFFFF)
-BLOCK = 1024
+SMALL = 8
+BLOCK_BYTES = 8_000_000
+COMPARED = 8_000_000
 
 
 class Bands:
@@ -207,39 +211,64 @@ def _bucket(keys: np.ndarray, bits: int) -> np.ndarray:
     return (keys >> U(64 - bits)).astype(np.int64)
 
 
+def _groups(keys: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by key and document, where each key begins in that order, and each entry's key number."""
+    order = np.lexsort((doc, keys))
+    keys = keys[order]
+    new = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool)
+    return order, np.flatnonzero(new), np.cumsum(new) - 1
+
+
+def _pairs(a: np.ndarray, b: np.ndarray, opened: np.ndarray) -> list[pa.Array]:
+    rows = np.unique(np.stack([a, b, opened.astype(np.int64)], 1), axis=0)
+    return [pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(rows[:, 2] > 0)]
+
+
 def _candidates(reps: DataFrame, bands: Bands, bits: int) -> DataFrame:
-    """(a, b): each document and the hub of a key that they share."""
+    """(a, b, open): pairs of documents that share a key, and whether an open key gave the pair; b is then its hub."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["bucket", "a", "b", "blob"]
+        names = ["bucket", "a", "b", "open", "blob"]
         for batch in batches:
             keys, rows = _keys(batch, bands)
             doc = batch.column("rep").to_numpy()[rows]
-            order, later, lead = settle(keys, doc, False)
+            order, begin, group = _groups(keys, doc)
             keys, doc = keys[order], doc[order]
-            hub = doc[np.flatnonzero(lead)][np.cumsum(lead) - 1] if len(doc) else doc
-            pairs = np.unique(np.stack([doc[later], hub[later]], 1), axis=0)
-            if len(pairs):
-                b = _bucket(mix64(pairs[:, 0].copy().view(U)), bits)
-                yield pa.RecordBatch.from_arrays([pa.array(b.astype(np.int32)), pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.nulls(len(pairs), pa.binary())], names)
-            keys, doc = keys[lead], doc[lead]
+            big = np.bincount(group, minlength=len(begin))[group] > SMALL
+            lead = np.zeros(len(doc), bool)
+            lead[begin] = True
+            at = np.flatnonzero(big & ~lead)
+            if len(at):
+                found = _pairs(doc[at], doc[begin][group[at]], np.ones(len(at)))
+                b = _bucket(mix64(found[0].to_numpy().view(U)), bits)
+                yield pa.RecordBatch.from_arrays([pa.array(b.astype(np.int32)), *found, pa.nulls(len(b), pa.binary())], names)
+            sent = ~big | lead
+            keys, doc, weight = keys[sent], doc[sent], np.where(big[sent], SMALL + 1, 1).astype(np.int32)
             cuts = np.searchsorted(_bucket(keys, bits), np.arange((1 << bits) + 1))
             for k in np.flatnonzero(np.diff(cuts)):
                 s = slice(cuts[k], cuts[k + 1])
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([encode(keys[s], doc[s], np.zeros(s.stop - s.start, np.int32))])], names)
+                none = [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.bool_())]
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *none, pa.array([encode(keys[s], doc[s], weight[s])])], names)
 
     def join(table: pa.Table) -> pa.Table:
-        held = [decode(x)[:2] for x in table["blob"].to_pylist() if x is not None]
-        local = table.filter(pc.is_null(table["blob"])).select(["a", "b"])
-        keys, doc = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.zeros(0, U), np.zeros(0, np.int64))
-        order, later, lead = settle(keys, doc, False)
-        doc = doc[order]
-        hub = doc[np.flatnonzero(lead)][np.cumsum(lead) - 1] if len(doc) else doc
-        pairs = np.unique(np.stack([doc[later], hub[later]], 1), axis=0) if later.any() else np.zeros((0, 2), np.int64)
-        return pa.concat_tables([local, pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])])
-
-    packed = reps.mapInArrow(pack, "bucket int, a long, b long, blob binary")
-    return packed.groupBy("bucket").applyInArrow(join, "a long, b long").distinct()
+        names = ["a", "b", "open"]
+        held = [decode(x) for x in table["blob"].to_pylist() if x is not None]
+        out = [table.filter(pc.is_null(table["blob"])).select(names)]
+        if held:
+            keys, doc, weight = (np.concatenate(x) for x in zip(*held, strict=True))
+            order, begin, group = _groups(keys, doc)
+            doc = doc[order]
+            opened = (np.add.reduceat(weight[order], begin) > SMALL)[group]
+            at = np.flatnonzero(opened & (doc > doc[begin][group]))
+            pairs = [(doc[at], doc[begin][group[at]], np.ones(len(at)))]
+            for k in range(1, SMALL):
+                at = np.flatnonzero((group[k:] == group[:-k]) & ~opened[k:]) + k
+                pairs.append((doc[at], doc[at - k], np.zeros(len(at))))
+            out.append(pa.table(_pairs(*(np.concatenate(x) for x in zip(*pairs, strict=True))), names=names))
+        return pa.concat_tables(out)
+
+    packed = reps.mapInArrow(pack, "bucket int, a long, b long, open boolean, blob binary")
+    return packed.groupBy("bucket").applyInArrow(join, "a long, b long, open boolean").groupBy("a", "b").agg(F.max("open").alias("open"))
 
 
 def peel(x: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
@@ -350,8 +379,9 @@ def _compare_blocks(bands: Bands):
         left, right = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
         parent: dict[int, int] = {}
         out = []
-        for at in range(0, len(left), 32):
-            i = left[at : at + 32]
+        step = max(1, COMPARED // (t * len(right)))
+        for at in range(0, len(left), step):
+            i = left[at : at + step]
             apart = np.bitwise_count(low[i][:, None] ^ low[right][None]).sum(2)
             p, q = np.nonzero((apart <= bands.bound(n[i][:, None] + n[right][None, :])) & (comp[i][:, None] != comp[right][None, :]))
             p, q = i[p], right[q]
@@ -382,7 +412,9 @@ def _within_families(member: DataFrame, bands: Bands) -> DataFrame:
     each = lambda k: member.select("family", "comp", "rep", "n", F.col(f"g{k}").alias("band"), F.col(f"s{k}").alias("sketch")).where("band IS NOT NULL")
     rows = stage(each(1).unionByName(each(2)), "jaccard-members")
     sizes = rows.groupBy("family", "band").agg(F.count(F.lit(1)).alias("m"), F.countDistinct("comp").alias("comps")).where("comps > 1")
-    rows = rows.join(stage(sizes.select("family", "band", F.ceil(F.col("m") / BLOCK).alias("blocks")), "jaccard-sizes"), ["family", "band"])
+    wide = np.maximum(8 * (bands.places + 3 * bands.cells), 1)
+    held = F.element_at(F.array(*[F.lit(max(64, BLOCK_BYTES // int(w))) for w in wide]), F.col("band") + 1)
+    rows = rows.join(stage(sizes.select("family", "band", F.ceil(F.col("m") / held).alias("blocks")), "jaccard-sizes"), ["family", "band"])
     rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     rows = rows.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
     return rows.drop("other", "blocks").groupBy("family", "band", "lo", "hi").applyInArrow(_compare_blocks(bands), "a long, b long, state int")
@@ -401,19 +433,23 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     reps = _by_rep(slim, classes, size, bands, buckets)
 
     pairs = stage(_candidates(reps, bands, bits), "jaccard-pairs")
-    # first each document with one hub; then the pairs that this has left in different components
+    # first each document with one other; then the pairs that this has left in different components
     hubs = stage(pairs.groupBy("a").agg(F.min("b").alias("b")), "jaccard-hubs")
     links = _settled(slim, hubs, reps, size, bands)
     apart = _apart(pairs, components(links))
     links = stage(links.unionByName(_settled(slim, apart, reps, size, bands)), "jaccard-links")
     labels = components(links)
-    apart = _apart(pairs, labels)
+    opened = pairs.where("open")
+    apart = _apart(opened, labels)
     families = components(apart.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
 
     label = labels.select(F.col("node").alias("rep"), "comp")
     member = families.select(F.col("node").alias("comp"), F.col("comp").alias("family"))
     alone = member.join(label, "comp", "left_anti").select(F.col("comp").alias("rep"), "comp", "family")
-    placed = stage(label.join(member, "comp").select("rep", "comp", "family").unionByName(alone), "jaccard-placed")
+    # all pairs of documents without an open key are settled
+    touched = opened.select(F.col("a").alias("rep")).union(opened.select("b")).distinct()
+    placed = label.join(member, "comp").select("rep", "comp", "family").unionByName(alone).join(touched, "rep", "left_semi")
+    placed = stage(placed, "jaccard-placed")
     more = stage(_within_families(reps.join(placed, "rep"), bands), "jaccard-more")
     links = links.unionByName(more.where("state = 1").select("a", "b"))
     unsure = more.where("state = 2")
