@@ -309,6 +309,40 @@ def judge(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, band: int, bands: Ban
     return out
 
 
+def _near(pairs: DataFrame, reps: DataFrame, bands: Bands) -> DataFrame:
+    """The pairs within the Hamming bound. Only lower halves are shuffled; the other side is read where it lies."""
+    cols = ["n", "g1", "s1", "g2", "s2"]
+    side = lambda x: reps.select(F.col("rep").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in cols])
+
+    def low(band: int, sketch: bytes) -> np.ndarray:
+        return (np.frombuffer(sketch, U, int(bands.places[band])) & LOW).astype(np.uint32)
+
+    def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for g, s in (("a_g1", "a_s1"), ("a_g2", "a_s2")):
+                at = [batch.schema.get_field_index(c) for c in (g, s)]
+                halves = [None if k is None else low(k, x).tobytes() for k, x in zip(*(batch.column(i).to_pylist() for i in at), strict=True)]
+                batch = batch.set_column(at[1], s, pa.array(halves, pa.binary()))
+            yield batch
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = {c: batch.column(c).to_pylist() for c in batch.schema.names}
+            hit = []
+            for i in range(len(batch)):
+                common = next(((p, q) for p in (1, 2) for q in (1, 2) if v[f"a_g{p}"][i] is not None and v[f"a_g{p}"][i] == v[f"b_g{q}"][i]), None)
+                if common:
+                    x = np.frombuffer(v[f"a_s{common[0]}"][i], np.uint32)
+                    y = low(v[f"b_g{common[1]}"][i], v[f"b_s{common[1]}"][i])
+                    if np.bitwise_count(x ^ y).sum(dtype=np.int64) <= bands.bound(v["a_n"][i] + v["b_n"][i]):
+                        hit.append(i)
+            take = pa.array(hit, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("a").take(take), batch.column("b").take(take)], ["a", "b"])
+
+    first = pairs.select("a", "b").join(side("a"), "a").select("a", "b", *[f"a_{c}" for c in cols])
+    return first.mapInArrow(strip, first.schema).join(side("b"), "b").mapInArrow(check, "a long, b long")
+
+
 def _verified(pairs: DataFrame, reps: DataFrame, bands: Bands) -> DataFrame:
     """(a, b, state) of the candidates that are linked (1) or can't be told (2)."""
     cols = ["n", "g1", "s1", "g2", "s2"]
@@ -436,7 +470,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     # first each document with one other; then the pairs that this has left in different components
     hubs = stage(pairs.groupBy("a").agg(F.min("b").alias("b")), "jaccard-hubs")
     links = _settled(slim, hubs, reps, size, bands)
-    apart = _apart(pairs, components(links))
+    apart = stage(_near(_apart(pairs, components(links)), reps, bands), "jaccard-near")
     links = stage(links.unionByName(_settled(slim, apart, reps, size, bands)), "jaccard-links")
     labels = components(links)
     opened = pairs.where("open")
