@@ -109,8 +109,10 @@ def test_jaccard(docs, rows, empty, size, num):
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in got.itertuples()} == {(i, len(s), comp[i]) for i, s in sets.items()}
 
 
-def test_a_chain_without_a_common_hub(spark):
+@pytest.mark.parametrize("small", [1, 8])  # with 1, every shared key is open
+def test_a_chain_without_a_common_hub(spark, monkeypatch, small):
     """Each text is near the next one only: the component is found whole."""
+    monkeypatch.setattr(jaccard, "SMALL", small)
     w = ["t%d" % i for i in range(200)]
     chain = []
     for k in range(12):
