@@ -2,15 +2,16 @@
 
 * A character language model (trigrams over 28 classes: a-z, other letters, boundary) is counted in Spark over the words of
   all texts; its table has a fixed size, its counts grow with the corpus.
-* Words that may be obfuscated (letters mixed with leetspeak, runs of one letter, letters set apart by spaces or
-  separators) become character lattices: every character has its readings with a channel cost, a run of a letter may be
-  one, two or all of its letters. Viterbi search under the model picks the reading.
+* Words that may be obfuscated (any sign of leetspeak, runs of one letter, letters set apart by spaces or separators)
+  become character lattices: every character has its readings with a channel cost, a run of a letter may be one, two or
+  all of its letters. Viterbi search under the model picks the reading. Signs at the end of a word may be marks or
+  letters: both are read, and a word with signs of leetspeak also counts as it is written.
 * Restored texts are scored: a log-odds table over words and word beginnings, learnt from labelled rows, summed over a
   document's distinct features and calibrated by logistic regression.
 
 Learning uses at most ``max_rows`` labelled rows outside the held-out fold and at most ``max_features`` features.
 Defined results: null text is empty; without both classes among the labels every score is the labels' mean (0 without
-labels). Repeated rows are scored each. Words over 64 bytes are taken as they are: they aren't spelt-out insults.
+labels). Repeated rows are scored each.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ LEET = {
 }
 SEPARATORS = "._-*~/\\'`,:;"
 LEET_COST, FOLD_COST, KEEP_RUN_COST, BREAK_COST = 0.7, 0.2, 1.0, 1.0
+MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in LEET)
+OUTER = "(<!|+"  # signs of leetspeak that are marks too
 GAP = "\x1f"  # between letters set apart: nothing, or a break between words
 _letters = np.zeros(256, bool)
 _letters[65:91] = _letters[97:123] = _letters[128:] = True
@@ -47,7 +50,8 @@ _separator = np.zeros(256, bool)
 _separator[[ord(c) for c in SEPARATORS]] = True
 _plain = _letters.copy()
 _plain[48:58] = True
-LONGEST, PREFIXES = 64, (4, 5, 6)
+PREFIXES = (4, 5, 6)
+REMEMBERED = 64  # characters: readings of longer words are searched each time
 
 
 def gather_model(docs: DataFrame) -> np.ndarray:
@@ -92,7 +96,7 @@ class Restorer:
             counts = {1: 0.0 if run == 1 else FOLD_COST * (run == 2) + (run > 2) * 0.0}
             if run >= 2:
                 counts[2] = 0.0 if run == 2 else FOLD_COST
-            if run > 2 and not c.isalpha():
+            if run > 2:
                 counts[run] = KEEP_RUN_COST * run
             if c == GAP:
                 out.append([("", 0.0), (" ", BREAK_COST)])
@@ -111,10 +115,11 @@ class Restorer:
         word = word.lower()
         if word in self.seen:
             return self.seen[word]
-        best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        # what was read is a chain of (before, reading): words of any length take time in proportion to it
+        best: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
         for readings in self.lattice(word):
-            then: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (score, text) in best.items():
+            then: dict[tuple[int, int], tuple[float, tuple]] = {}
+            for (a, b), (score, chain) in best.items():
                 for reading, cost in readings:
                     p, q, s = a, b, score - cost
                     for ch in reading:
@@ -122,10 +127,17 @@ class Restorer:
                         s += self.model[p, q, c]
                         p, q = q, c
                     if (p, q) not in then or then[p, q][0] < s:
-                        then[p, q] = (s, text + reading)
+                        then[p, q] = (s, (chain, reading))
             best = then
-        text = max((score + self.model[a, b, 0], text) for (a, b), (score, text) in best.items())[1]
-        if len(self.seen) < self.known:
+        ends = []
+        for (a, b), (score, chain) in best.items():
+            parts = []
+            while chain:
+                chain, reading = chain
+                parts.append(reading)
+            ends.append((score + self.model[a, b, 0], "".join(reversed(parts))))
+        text = max(ends)[1]
+        if len(word) <= REMEMBERED and len(self.seen) < self.known:
             self.seen[word] = text
         return text
 
@@ -138,11 +150,7 @@ def suspects(w: Words) -> np.ndarray:
     d, size = w.data, w.ends - w.starts
     letter, leet = _letters[d], _leet[d] & w.inside
     count = lambda x: np.add.reduceat(x & w.inside, w.starts)
-    letters = count(letter)
-    # a sign with a letter right after it, in the same word; at the end of words signs are mostly punctuation or digits
-    ahead = np.zeros(len(d), bool)
-    ahead[:-1] = letter[1:]
-    mixed = count(leet & ahead) > 0
+    mixed = count(leet) > 0
     triple = np.zeros(len(d), bool)
     if len(d) > 2:
         low = LOWER[d]
@@ -153,7 +161,7 @@ def suspects(w: Words) -> np.ndarray:
         s, ll = _separator[d], letter | leet
         apart[:-4] = ll[:-4] & s[1:-3] & ll[2:-2] & s[3:-1] & ll[4:]
     spelt = count(apart) > 0
-    own = (size <= LONGEST) & (size > 2) & (letters > 0) & (mixed | runs | spelt)
+    own = (size > 2) & (mixed | runs | spelt)
     # letters set apart by spaces: words of one character, the last perhaps with a mark behind it
     one = (size == 1) & (letter | leet)[w.starts]
     tail = (size == 2) & letter[w.starts] & ~_plain[d[w.ends - 1]]
@@ -197,6 +205,17 @@ def _core(word: str) -> str:
     return word
 
 
+def _readings(text: str, restorer: Restorer) -> list[str]:
+    """What a suspect may say: the signs around it taken as marks, or as letters too."""
+    word, whole = GAP.join(_core(x) for x in text.split()), _signed(text)
+    return [restorer.read(x) for x in {word: 0, whole: 0, whole.strip(OUTER): 0} if x]
+
+
+def _signed(text: str) -> str:
+    """One word without marks around it that aren't signs of leetspeak."""
+    return "" if len(text.split()) > 1 else text.strip(MARKS)
+
+
 def _feature_hashes(w: Words) -> list[np.ndarray]:
     """Hash of each word without the marks around it, and of its beginnings (0 where the word isn't longer)."""
     d = w.data
@@ -224,12 +243,13 @@ def document_features(column: pa.Array, restorer: Restorer) -> tuple[np.ndarray,
     kind = suspects(w)
     drop, docs, read = np.zeros(len(w.starts), bool), [], []
     doc, raw = w.docs(), w.data.tobytes()
+    signs = np.add.reduceat(_leet[w.data] & w.inside, w.starts) > 0 if len(w.starts) else drop
     for a, b in _groups(w, kind):
         text = raw[w.starts[a] : w.ends[b - 1]].decode("utf-8", "replace")
-        word = restorer.read(GAP.join(_core(x) for x in text.split()))
-        drop[a:b] = True
-        docs.append(doc[a])
-        read.append(word)
+        drop[a:b] = not signs[a:b].any() or b - a > 1
+        for word in _readings(text, restorer):
+            docs.append(doc[a])
+            read.append(word)
     hashes = [h[~drop] for h in _feature_hashes(w)]
     owner = [np.tile(doc[~drop], len(hashes))]
     if read:
@@ -248,6 +268,8 @@ def restore(text: str, restorer: Restorer) -> str:
     for a, b in _groups(w, suspects(w)):
         piece = raw[w.starts[a] : w.ends[b - 1]].decode()
         word = GAP.join(_core(x) for x in piece.split())
+        if not any(c.isalpha() for c in piece):
+            continue  # numbers stay in the text; scoring reads them too
         read = restorer.read(word)
         out.append(raw[at : w.starts[a]].decode() + (piece.replace(word, read) if word and word in piece else read))
         at = w.ends[b - 1]

@@ -219,6 +219,24 @@ def test_toxicity(judged, empty):
     assert toxicity.score_toxicity(empty, labels).count() == 0
 
 
+def test_every_obfuscated_word_is_read(spark):
+    import pyarrow as pa
+
+    said = ["hate", "ass", "idiot", "stupid", "worthless", "plain", "words", "here"]
+    model = toxicity.gather_model(spark.createDataFrame([(" ".join(said * 50),)], "text string"))
+    restorer = toxicity.Restorer(model)
+    found = lambda text: set(toxicity.document_features(pa.array([text]), restorer)[1].tolist())
+    one = lambda word: int(toxicity._feature_hashes(toxicity.Words(pa.array([word])))[0][0])
+    hidden = {
+        "hat3": "hate", "a$$": "ass", "@$$": "ass", "(@$$)": "ass", "h4t3!": "hate", "stu" + "u" * 90 + "pid": "stupid", "1d10t": "idiot",
+        ".".join("worthless" * 4): "worthless" * 4, "plain": "plain", "hat3,": "hate", "(words": "words", "words!": "words", "2024": "2024",
+    }
+    for text, word in hidden.items():
+        assert one(word) in found(f"here {text} here"), text
+    assert {"a", "aa", "aaaa"} == {r for r, _ in restorer.lattice("aaaa")[0]}
+    assert len(restorer.read("a1" * 100_000)) >= 200_000
+
+
 def test_quality(judged, empty):
     docs, labels = judged
     got = {r.doc_id: r for r in quality.score_quality(docs, labels).collect()}
