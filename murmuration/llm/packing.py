@@ -2,7 +2,7 @@
 
 Tokens: the texts of a batch are cut into pre-tokens by array operations on code points; every distinct pre-token is
 encoded once by the ``tokenizers`` library and the ids are gathered, so the result is what the library returns for the
-whole text. A document is its ids and a closing 0. It is cut at every ``width`` tokens; the rest is one shorter piece.
+whole text. Texts that contain an added token of the vocabulary are encoded whole by the library. A document is its ids and a closing 0. It is cut at every ``width`` tokens; the rest is one shorter piece.
 
 Placing: the histogram of piece lengths (``width`` numbers) goes to the driver. Lengths are placed longest first, each
 into the shortest pack that has room, many packs of one pattern at a time, by counts alone. Pieces get a rank within
@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,6 +51,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), known
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         kinds = {"L": LETTER, "N": NUMBER}
         self.classes = np.fromiter((kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x110000)), np.uint8, 0x110000)
         self.classes[list(BLANKS)] = BLANK
@@ -89,6 +91,20 @@ class Encoder:
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of some texts, and the n + 1 offsets of the texts among them."""
+        odd = np.zeros(len(column), bool)
+        for content in self.added:
+            odd |= pc.fill_null(pc.match_substring(column, content), False).to_numpy(zero_copy_only=False)
+        if not odd.any():
+            return self.encode_plain(column)
+        ids, offsets = self.encode_plain(pc.if_else(pa.array(odd), pa.scalar("", column.type), column))
+        parts = np.split(ids, offsets[1:-1])
+        at = np.flatnonzero(odd)
+        for i, e in zip(at.tolist(), self.tokenizer.encode_batch(column.take(pa.array(at)).to_pylist(), add_special_tokens=False), strict=True):
+            parts[i] = np.asarray(e.ids, np.uint32)
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+
+    def encode_plain(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same for texts without added tokens."""
         raw, offsets = bytes_of(column)
         if not len(raw):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)

@@ -135,6 +135,24 @@ def test_packing(docs, rows, empty):
         assert g.offset.tolist() == [0, *g.length.cumsum().tolist()[:-1]] and g.length.sum() <= 1024
 
 
+def test_packing_reads_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    path = packing.default_vocabulary()
+    tokenizer = Tokenizer.from_file(path)
+    texts = ["plain text", "a <|endoftext|> b", "", None, "<|endoftext|>", "x<|endoftext|><|endoftext|>\n y", "<|endof", "text|> <|endoftext |>", "long " * 1500 + "<|endoftext|> tail"]
+    want = [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert want[1] == [64, 220, 50256, 275]
+    import pyarrow as pa
+
+    ids, offsets = packing.Encoder(path).encode(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == want
+    got = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), keep_ids=True).orderBy("doc_id", "start").collect()
+    for i, w in enumerate(want):
+        assert [x for r in got if r.doc_id == i for x in r.ids] == [*w, 0]
+        assert {r.doc_tokens for r in got if r.doc_id == i} == {len(w) + 1}
+
+
 def test_shortest_pack_first():
     packs = packing.shortest_pack_first({700: 3, 300: 5, 24: 40, 1024: 2})
     held = {}
