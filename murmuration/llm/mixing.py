@@ -7,7 +7,8 @@
 * A source's quota is a number of block slots (epochs of its permuted blocks, the last slot cut to the exact word).
   The tree halves the output shards level by level and draws each left half's slots of every source from the
   multivariate hypergeometric distribution, so shards get disjoint ranges of each source's permuted blocks.
-* Inside a shard, pieces are ordered by a hash: the local shuffle.
+* Inside a shard, pieces are ordered by a hash: the local shuffle. A piece's place in its shard comes from two-level
+  counts (hashed buckets, then rows in a bucket); ``mixed_documents`` writes its rows by shard and place.
 
 Every draw is a hash of (seed, node, source), so reruns agree. Defined results: null text has size 0; null source is a
 source of its own; documents of size 0 take 0; repeated rows are separate documents; an empty table gives an empty
@@ -27,6 +28,8 @@ from .scratch import stage
 #: Primes above every block count: multiplying by one permutes the blocks.
 PRIMES = (15485863, 32452843, 49979687, 67867967, 86028121, 104395301)
 MAX_BLOCKS = 1 << 20
+#: Words of a shard that are written as one partition.
+PART_WORDS = 2_000_000
 
 
 def count_words(text: Column) -> Column:
@@ -126,22 +129,33 @@ def _plan(sums: DataFrame, cap: int, shards: int, block_words: int, seed: int) -
     return t.join(ends, "rank", "left").withColumn("ends", F.coalesce("ends", F.array().cast("array<bigint>")))
 
 
-def mix(docs: DataFrame, cap: int = 3, shards: int = 16, block_words: int = 2048, seed: int = 42, payload: tuple[str, ...] = ()) -> DataFrame:
-    """Per document: doc_id, size, source_size, target, taken, pieces, and the ``payload`` columns as a struct.
+def mix(docs: DataFrame, cap: int = 3, shards: int = 16, block_words: int = 2048, seed: int = 42) -> DataFrame:
+    """Per document: doc_id, size, source_size, target, taken and pieces.
 
     ``pieces`` holds (epoch, block, shard, start, length): the words from ``start`` that this slot takes, in order.
     """
+    return _cut(docs, (), cap, shards, block_words, seed)[0]
+
+
+def _cut(docs: DataFrame, payload: tuple[str, ...], cap: int, shards: int, block_words: int, seed: int) -> tuple[DataFrame, DataFrame, int]:
+    """The documents with their pieces and the ``payload`` columns as a struct, the same without payload, and how many buckets were used."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), count_words(F.col("text")).alias("size"), *([F.struct(*payload).alias("payload")] if payload else []))
     slim = stage(rows.select("doc_id", "source", "size"), "mix-sizes")
     buckets = 1 << min(16, max(4, math.ceil(math.log2(max(1, slim.count() / 2048)))))
-    rows = (rows if payload else slim).withColumn("order", F.xxhash64(F.lit(seed), "doc_id", "size"))
-    rows = rows.withColumn("bucket", F.pmod("order", F.lit(buckets)))
     held = slim.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size"), F.lit(buckets)))
     held = stage(held.groupBy("source", "bucket").agg(F.sum("size").alias("words_held")), "mix-buckets")
     upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = stage(held.select("source", "bucket", F.coalesce(F.sum("words_held").over(upto), F.lit(0)).alias("base")), "mix-offsets")
     plan = stage(_plan(held.groupBy("source").agg(F.sum("words_held").alias("source_size")), cap, shards, block_words, seed), "mix-plan")
 
+    light = _with_pieces(slim, base, plan, buckets, seed)
+    return (_with_pieces(rows, base, plan, buckets, seed) if payload else light), light, buckets
+
+
+def _with_pieces(rows: DataFrame, base: DataFrame, plan: DataFrame, buckets: int, seed: int) -> DataFrame:
+    payload = ["payload"] if "payload" in rows.columns else []
+    rows = rows.withColumn("order", F.xxhash64(F.lit(seed), "doc_id", "size"))
+    rows = rows.withColumn("bucket", F.pmod("order", F.lit(buckets)))
     within = Window.partitionBy("source", "bucket").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0)))
     rows = _joined(rows, base, plan)
@@ -164,7 +178,7 @@ def mix(docs: DataFrame, cap: int = 3, shards: int = 16, block_words: int = 2048
     pieces = F.when(F.col("size") > 0, F.filter(pieces, lambda x: x["length"] > 0)).otherwise(F.array().cast("array<struct<epoch:bigint,block:bigint,shard:int,start:bigint,length:bigint>>"))
     rows = rows.withColumn("pieces", pieces)
     taken = F.aggregate("pieces", F.lit(0).cast("long"), lambda a, x: a + x["length"])
-    return rows.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "pieces", *(["payload"] if payload else []))
+    return rows.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "pieces", *payload)
 
 
 def _joined(rows: DataFrame, base: DataFrame, plan: DataFrame) -> DataFrame:
@@ -175,18 +189,45 @@ def _joined(rows: DataFrame, base: DataFrame, plan: DataFrame) -> DataFrame:
     return rows.join(p, F.col("source").eqNullSafe(F.col("__p"))).drop("__p")
 
 
+def deal(docs: DataFrame, cap: int = 3, shards: int = 16, block_words: int = 2048, seed: int = 42) -> DataFrame:
+    """A row for each piece: shard, place (0, 1, 2, ... in the shard), epoch, block, start, length, text and the columns of ``docs`` as ``payload``.
+
+    A document taken whole in one piece keeps its text; otherwise the words of the piece are joined by single spaces.
+    """
+    rows, light, buckets = _cut(docs, tuple(docs.columns), cap, shards, block_words, seed)
+    share = max(16, buckets // max(1, shards))
+    order = F.xxhash64(F.lit(seed + 2), "doc_id", "size", "p.epoch", "p.block")
+    slim = light.select("doc_id", "size", F.explode("pieces").alias("p"))
+    counts = slim.groupBy("p.shard", F.pmod(order, F.lit(share)).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.sum("p.length").alias("words"))
+    counts = stage(counts, "mix-dealt")
+    before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    table = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"), F.coalesce(F.sum("words").over(before), F.lit(0)).alias("words"))
+    # one row per shard and bucket: runs of buckets become partitions
+    run = F.floor(F.col("words") / PART_WORDS)
+    table = stage(table.withColumn("part", (F.dense_rank().over(Window.orderBy("shard", run)) - 1).cast("int")).drop("words"), "mix-places")
+    parts = (table.agg(F.max("part")).first()[0] or 0) + 1
+
+    text = F.col("payload.text")
+    whole = lambda x: (x["start"] == 0) & (x["length"] == F.col("size"))
+    words = F.split(F.btrim(text, F.lit(SPACE)), "[\\x20\\x09-\\x0D]+")
+    part = lambda w, x: F.array_join(F.slice(w, (x["start"] + 1).cast("int"), x["length"].cast("int")), " ")
+    # the words are used for every piece: a one-element array binds them once
+    cut = F.flatten(F.transform(F.array(words), lambda w: F.transform("pieces", lambda x: F.struct(x.alias("p"), F.when(whole(x), text).otherwise(part(w, x)).alias("text")))))
+    cut = F.when(F.forall("pieces", whole), F.transform("pieces", lambda x: F.struct(x.alias("p"), text.alias("text")))).otherwise(cut)
+    rest = [c for c in docs.columns if c != "text"]
+    payload = F.struct(*[F.col("payload").getField(c).alias(c) for c in rest]).alias("payload")
+    rows = rows.select("doc_id", "size", "payload", F.explode(cut).alias("c")).select("doc_id", "size", payload, "c.p", "c.text")
+    rows = rows.withColumn("order", order).withColumn("shard", F.col("p.shard")).withColumn("bucket", F.pmod("order", F.lit(share)))
+    rows = rows.join(table, ["shard", "bucket"]).repartitionById(parts, F.col("part"))
+    within = Window.partitionBy("part", "shard", "bucket").orderBy("order", "doc_id", "size", "p.epoch", "p.block", "p.start", "text")
+    place = F.col("base") + F.row_number().over(within) - 1
+    return rows.select("shard", place.alias("place"), "p.epoch", "p.block", "p.start", "p.length", "text", "payload")
+
+
 def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
-    """The mix as documents: a row for each document and epoch that takes words of it, with the columns of ``docs``.
+    """The mix as documents: a row for each piece, with the columns of ``docs``, dealt to the shards.
 
-    A document taken whole keeps its text; otherwise its taken words are joined by single spaces.
+    A partition holds a run of places of one shard, in order; partitions follow the order of shards and places.
     """
-    rows = mix(docs, payload=tuple(docs.columns), **settings)
-    epochs = F.array_distinct(F.transform("pieces", lambda x: x["epoch"]))
-    rows = rows.withColumn("__epoch", F.explode(epochs))
-    mine = F.filter("pieces", lambda x: x["epoch"] == F.col("__epoch"))
-    rows = rows.withColumn("__mine", mine)
-    words = F.split(F.btrim(F.col("payload.text"), F.lit(SPACE)), "[\\x20\\x09-\\x0D]+")
-    part = F.array_join(F.flatten(F.transform("__mine", lambda x: F.slice(words, (x["start"] + 1).cast("int"), x["length"].cast("int")))), " ")
-    whole = F.aggregate("__mine", F.lit(0).cast("long"), lambda a, x: a + x["length"]) == F.col("size")
-    text = F.when(whole, F.col("payload.text")).otherwise(part)
-    return rows.select(*[text.alias(c) if c == "text" else F.col("payload").getField(c).alias(c) for c in docs.columns])
+    rows = deal(docs, **settings).sortWithinPartitions("shard", "place")
+    return rows.select(*[F.col("text") if c == "text" else F.col("payload").getField(c).alias(c) for c in docs.columns])
