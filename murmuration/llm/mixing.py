@@ -3,16 +3,20 @@
 * Each source is a line of words: its documents in hashed order, cut into blocks of ``block_words`` words. Offsets come
   from two-level prefix sums (hashed buckets, then rows in a bucket), so no task ever holds a source.
 * Targets: sources by code point, null last, weigh 1, 2, 3, repeating; a target stops at ``cap`` times the source and
-  the excess is shared again by weight. That is water filling with one level, found by windows over the source table.
-* A source's quota is a number of block slots (epochs of its permuted blocks, the last slot cut to the exact word).
-  The tree halves the output shards level by level and draws each left half's slots of every source from the
-  multivariate hypergeometric distribution, so shards get disjoint ranges of each source's permuted blocks.
+  the excess is shared again by weight, round by round, until none is above.
+* A source's quota is a number of slots: whole epochs of its blocks, then as many blocks of one more epoch as its target
+  needs, the last one cut to the exact word. In every epoch the blocks lie in the order of a keyed hash.
+* The tree splits the slots of all sources among the output shards. A node covers a range of shards and holds a number of
+  slots of each source; the slots of its left half are drawn from the multivariate hypergeometric distribution. The draw
+  goes down groups of ``FAN`` sources, groups of groups, and so on, so no row or task holds all sources.
+* A leaf's slots of a source are a range of that source's slots, disjoint from the other shards' ranges: a row for each
+  (shard, slot) meets the block that the permutation has there. What documents give is what lies in these blocks.
 * Inside a shard, pieces are ordered by a hash: the local shuffle. A piece's place in its shard comes from two-level
-  counts (hashed buckets, then rows in a bucket); ``mixed_documents`` writes its rows by shard and place.
+  counts; ``mixed_documents`` writes its rows by shard and place.
 
 Every draw is a hash of (seed, node, source), so reruns agree. Defined results: null text has size 0; null source is a
 source of its own; documents of size 0 take 0; repeated rows are separate documents; an empty table gives an empty
-result. Extra columns pass through ``mix`` untouched.
+result. Other columns take no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,11 +29,14 @@ from pyspark.sql import functions as F
 from .line_dedup import SPACE
 from .scratch import stage
 
-#: Primes above every block count: multiplying by one permutes the blocks.
-PRIMES = (15485863, 32452843, 49979687, 67867967, 86028121, 104395301)
-MAX_BLOCKS = 1 << 20
+#: Children of a node in the tree of sources: the longest array that a draw walks along.
+FAN = 64
+#: Numbers that one row of a range becomes in one task.
+RUN = 4096
 #: Words of a shard that are written as one partition.
 PART_WORDS = 2_000_000
+DOC = ("doc_id", "source", "mark", "size")
+PIECE = "array<struct<epoch:bigint,block:bigint,shard:bigint,start:bigint,length:bigint>>"
 
 
 def count_words(text: Column) -> Column:
@@ -42,151 +49,232 @@ def _uniform(*parts: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*parts), 11) / F.lit(float(1 << 53))
 
 
-def _hypergeometric(good: Column, total: Column, draws: Column, u: Column) -> Column:
-    """Inverse-CDF draw: how many of ``good`` among ``total`` are in ``draws``, over 12 deviations around the mean."""
-    least, most = F.greatest(F.lit(0).cast("long"), draws - (total - good)), F.least(good, draws)
-    share = good / F.greatest(total, F.lit(1))
-    mean = draws * share
-    dev = F.sqrt(mean * (1 - share) * (total - draws) / F.greatest(total - 1, F.lit(1)))
-    low = F.greatest(least, F.floor(mean - 12 * dev - 12).cast("long"))
-    high = F.least(most, F.ceil(mean + 12 * dev + 12).cast("long"))
+def _bind(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
-    def step(k: Column, w: Column) -> Column:
-        return w * (good - k) * (draws - k) / ((k + 1) * (total - good - draws + k + 1))
 
-    def fold(start: Column, what) -> Column:
-        return F.aggregate(F.sequence(low, high), start, what)
+def hypergeometric(good: Column, total: Column, draws: Column, u: Column) -> Column:
+    """Inverse-CDF draw: how many of ``good`` among ``total`` are in ``draws``.
 
-    one = F.lit(1.0)
-    mass = fold(F.struct(one.alias("w"), F.lit(0.0).alias("sum")), lambda a, k: F.struct(F.when(k < high, step(k, a["w"])).otherwise(F.lit(0.0)).alias("w"), (a["sum"] + a["w"]).alias("sum")))["sum"]
-    goal = u * mass
-    found = fold(
-        F.struct(one.alias("w"), F.lit(0.0).alias("sum"), high.alias("at")),
-        lambda a, k: F.struct(
-            F.when(k < high, step(k, a["w"])).otherwise(F.lit(0.0)).alias("w"),
-            (a["sum"] + a["w"]).alias("sum"),
-            F.when((a["sum"] < goal) & (a["sum"] + a["w"] >= goal), k).otherwise(a["at"]).alias("at"),
-        ),
-    )["at"]
-    return F.when(low >= high, low).when(goal <= 0, low).otherwise(found)
+    Two walks over the range of nine deviations around the mean (what lies outside is below the resolution of ``u``).
+    """
+
+    def span(r: Column) -> Column:
+        least, most = F.greatest(F.lit(0).cast("long"), r["draws"] - (r["total"] - r["good"])), F.least(r["good"], r["draws"])
+        share = r["good"] / F.greatest(r["total"], F.lit(1))
+        mean = r["draws"] * share
+        dev = F.sqrt(mean * (1 - share) * (r["total"] - r["draws"]) / F.greatest(r["total"] - 1, F.lit(1)))
+        low = F.greatest(least, F.floor(mean - 9 * dev - 9).cast("long"))
+        high = F.least(most, F.ceil(mean + 9 * dev + 9).cast("long"))
+        return F.struct(*[r[c].alias(c) for c in ("good", "total", "draws", "u")], low.alias("low"), high.alias("high"))
+
+    def walk(r: Column, found, last) -> Column:
+        start = F.struct(F.lit(1.0).alias("w"), F.lit(0.0).alias("sum"), F.lit(None).cast("long").alias("at"))
+
+        def step(a: Column, k: Column) -> Column:
+            ratio = ((r["good"] - k) / (k + 1)) * ((r["draws"] - k) / (r["total"] - r["good"] - r["draws"] + k + 1))
+            w = F.when(k < r["high"], a["w"] * ratio).otherwise(F.lit(0.0))
+            return F.struct(w.alias("w"), (a["sum"] + a["w"]).alias("sum"), found(a, k).alias("at"))
+
+        return F.aggregate(F.sequence(r["low"], r["high"]), start, step, last)
+
+    def draw(r: Column) -> Column:
+        mass = walk(r, lambda a, k: a["at"], lambda a: a["sum"])
+        return _bind(r["u"] * mass, lambda goal: F.coalesce(walk(r, lambda a, k: F.coalesce(a["at"], F.when(a["sum"] + a["w"] >= goal, k)), lambda a: a["at"]), r["high"]))
+
+    whole = F.struct(good.alias("good"), total.alias("total"), draws.alias("draws"), u.alias("u"))
+    return _bind(whole, lambda r: _bind(span(r), lambda s: F.when(s["low"] >= s["high"], s["low"]).otherwise(draw(s))))
+
+
+def _source_key(source: Column) -> Column:
+    """A source as a key that is never null."""
+    return F.coalesce(F.concat(F.lit("s"), source), F.lit(""))
 
 
 def targets(sums: DataFrame, cap: int = 3) -> DataFrame:
-    """(source, source_size) with rank, weight and target added; one row per source."""
-    everything = Window.partitionBy()
-    t = sums.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
-    t = t.withColumn("weight", (F.pmod(F.col("rank") - 1, F.lit(3)) + 1).cast("double"))
-    t = t.withColumn("most", (F.lit(cap) * F.col("source_size")).cast("double"))
-    before = Window.orderBy(F.col("most") / F.col("weight"), "rank").rowsBetween(Window.unboundedPreceding, -1)
-    left = F.sum("source_size").over(everything) - F.coalesce(F.sum("most").over(before), F.lit(0.0))
-    weights = F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
-    t = t.withColumn("level", left / weights)
-    return t.withColumn("target", F.least("most", F.max("level").over(everything) * F.col("weight"))).drop("most", "level")
-
-
-def _plan(sums: DataFrame, cap: int, shards: int, block_words: int, seed: int) -> DataFrame:
-    """Per source: the geometry of its blocks, its slots, and the end of each shard's range of slots."""
-    t = targets(sums, cap)
-    t = t.withColumn("words", F.greatest(F.lit(block_words), F.ceil(F.col("source_size") / MAX_BLOCKS)).cast("long"))
-    t = t.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("source_size") / F.col("words"))).cast("long"))
-    t = t.withColumn("quota", F.round("target").cast("long"))
+    """(source, source_size) with rank (from 1), weight and target added; one row per source.
+
+    Ranks come from ranges of sources and the counts before them; the rounds of sharing are sums over all sources.
+    """
+    dealt = sums.repartitionByRange(F.col("source").isNull(), F.col("source")).withColumn("range", F.spark_partition_id())
+    dealt = stage(dealt, "mix-sums")
+    counts = dealt.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
+    before = counts.select("range", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("range").orderBy(F.col("source").asc_nulls_last()))
+    t = dealt.join(F.broadcast(before), "range").withColumn("rank", F.col("before") + place).drop("range", "before")
+    t = t.withColumn("weight", F.pmod(F.col("rank") - 1, F.lit(3)) + 1).withColumn("most", F.lit(cap) * F.col("source_size"))
+    t = stage(t, "mix-ranks")
+    total, level, left = t.agg(F.sum("source_size")).first()[0] or 0, 0.0, None
+    while True:
+        # whole numbers only, so every order of adding gives the same level
+        stopped = (F.lit(level) * F.col("weight") > F.col("most")) if left is not None else F.lit(False)
+        held, weights, n = t.agg(F.sum(F.when(stopped, F.col("most"))), F.sum(F.when(~stopped, F.col("weight"))), F.count_if(~stopped)).first()
+        if not n or n == left:
+            break
+        left, level = n, (total - (held or 0)) / weights
+    return t.withColumn("target", F.least(F.col("most").cast("double"), F.lit(level) * F.col("weight"))).drop("most")
+
+
+def _numbers(rows: DataFrame, first: str, end: str, name: str) -> DataFrame:
+    """Each row once for every whole number from column ``first`` to before column ``end``; long ranges are dealt in runs."""
+    begin, stop = F.col(first), F.col(end)
+    rows = rows.where(begin < stop).withColumn("__run", F.explode(F.sequence(begin, stop - 1, F.lit(RUN).cast("long"))))
+    rows = rows.repartition(F.xxhash64("__run", "key", *([] if "shard" not in rows.columns else ["shard"])))
+    return rows.withColumn(name, F.explode(F.sequence(F.col("__run"), F.least(F.col("__run") + RUN, stop) - 1))).drop("__run")
+
+
+def permuted(plan: DataFrame, seed: int) -> DataFrame:
+    """(key, epoch, block, place): the blocks of every needed epoch in the order of a keyed hash."""
+    wide = plan.select("key", "blocks", "epochs", F.lit(0).cast("long").alias("zero"), F.ceil(F.sqrt("blocks")).cast("long").alias("parts"))
+    rows = _numbers(wide, "zero", "blocks", "block")
+    rows = rows.select("key", "block", "parts", F.explode(F.sequence(F.lit(0).cast("long"), F.col("epochs") - 1)).alias("epoch"))
+    rows = rows.withColumn("order", F.xxhash64(F.lit(seed + 1), "key", "epoch", "block"))
+    rows = stage(rows.withColumn("part", F.pmod("order", "parts")).drop("parts"), "mix-orders")
+    counts = rows.groupBy("key", "epoch", "part").agg(F.count(F.lit(1)).alias("n"))
+    upto = Window.partitionBy("key", "epoch").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.select("key", "epoch", "part", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("base"))
+    inner = F.row_number().over(Window.partitionBy("key", "epoch", "part").orderBy("order", "block")) - 1
+    return rows.withColumn("inner", inner).join(base, ["key", "epoch", "part"]).select("key", "epoch", "block", (F.col("base") + F.col("inner")).alias("place"))
+
+
+def split(nodes: DataFrame, levels: int, seed: int) -> DataFrame:
+    """One level of the tree: rows (lo, hi, item, n) of shard ranges become those of their halves.
+
+    ``item`` numbers the sources from 0; ``levels`` groupings by FAN lead to one group of all.
+    """
+    whole, open_ = nodes.where("hi - lo < 2"), nodes.where("hi - lo > 1")
+    counts = [open_]
+    for _ in range(levels):
+        counts.append(counts[-1].groupBy("lo", "hi", F.expr(f"item div {FAN}").alias("item")).agg(F.sum("n").alias("n")))
+    drawn = counts[-1].select("lo", "hi", "item", F.expr("n * ((lo + hi) div 2 - lo) div (hi - lo)").alias("take"))
+    for level in reversed(range(levels)):
+        kids = counts[level].groupBy("lo", "hi", F.expr(f"item div {FAN}").alias("parent"))
+        kids = kids.agg(F.sort_array(F.collect_list(F.struct("item", "n"))).alias("kids"), F.sum("n").alias("all"))
+        kids = kids.join(drawn.withColumnRenamed("item", "parent"), ["lo", "hi", "parent"]).withColumn("salt", F.xxhash64(F.lit(seed), F.lit(level), "lo", "hi"))
+        begin = F.struct(F.array().cast("array<struct<item:bigint,take:bigint>>").alias("out"), F.col("all").alias("n"), F.col("take").alias("take"))
+
+
+        def one(a: Column, kid: Column) -> Column:
+            u = _uniform(F.col("salt"), kid["item"])
+            more = lambda d: F.struct(
+                F.concat(a["out"], F.array(F.struct(kid["item"].alias("item"), d.alias("take")))).alias("out"), (a["n"] - kid["n"]).alias("n"), (a["take"] - d).alias("take")
+            )
+            return _bind(hypergeometric(kid["n"], a["n"], a["take"], u), more)
+
+        drawn = kids.select("lo", "hi", F.explode(F.aggregate("kids", begin, one, lambda a: a["out"])).alias("d")).select("lo", "hi", "d.item", "d.take")
+    both = open_.join(drawn, ["lo", "hi", "item"])
+    mid = F.expr("(lo + hi) div 2")
+    halves = F.array(
+        F.struct(F.col("lo").alias("lo"), mid.alias("hi"), F.col("item").alias("item"), F.col("take").alias("n")),
+        F.struct(mid.alias("lo"), F.col("hi").alias("hi"), F.col("item").alias("item"), (F.col("n") - F.col("take")).alias("n")),
+    )
+    return both.select(F.explode(halves).alias("h")).select("h.*").unionByName(whole)
+
+
+def quotas(slots: DataFrame, shards: int, seed: int) -> DataFrame:
+    """(item, shard, n) from (item, slots): how many slots of each source each shard takes."""
+    top = slots.agg(F.max("item")).first()[0] or 0
+    levels = 1
+    while FAN**levels <= top:
+        levels += 1
+    nodes = slots.select(F.lit(0).cast("long").alias("lo"), F.lit(shards).cast("long").alias("hi"), F.col("item").cast("long"), F.col("slots").cast("long").alias("n"))
+    for _ in range(math.ceil(math.log2(max(1, shards)))):
+        nodes = stage(split(nodes, levels, seed), "mix-tree")
+    return nodes.select("item", F.col("lo").alias("shard"), "n")
+
+
+def _plan(sums: DataFrame, cap: int, block_words: int) -> DataFrame:
+    """Per source: its target, its blocks, whole epochs and the words of one more."""
+    t = targets(sums, cap).withColumn("key", _source_key(F.col("source")))
+    t = t.withColumn("blocks", F.ceil(F.col("source_size") / F.lit(block_words)).cast("long"))
+    t = t.withColumn("short", F.col("source_size") - (F.col("blocks") - 1) * block_words).withColumn("quota", F.round("target").cast("long"))
     t = t.withColumn("full", F.when(F.col("source_size") > 0, F.expr("quota div source_size")).otherwise(F.lit(0)).cast("long"))
     t = t.withColumn("rest", F.col("quota") - F.col("full") * F.col("source_size"))
-    t = t.withColumn("prime", F.element_at(F.array(*map(F.lit, PRIMES)), F.pmod(F.xxhash64(F.lit(seed), "source"), F.lit(len(PRIMES))).cast("int") + 1).cast("long"))
-    t = t.withColumn("turn", F.pmod(F.xxhash64(F.lit(seed + 1), "source"), F.col("blocks")))
-    # the last block is short; beyond its place in the last epoch, slots hold (words - short) words less
-    place = F.pmod(F.col("prime") * (F.col("blocks") - 1) + F.col("turn") + F.col("full"), F.col("blocks"))
-    short = F.col("source_size") - (F.col("blocks") - 1) * F.col("words")
-    rest = F.when(F.col("rest") < place * F.col("words") + short, F.col("rest")).otherwise(F.col("rest") + F.col("words") - short)
-    t = t.withColumn("__rest", rest).withColumn("part", F.expr("__rest div words")).withColumn("tail", F.expr("__rest % words")).drop("__rest")
-    t = t.withColumn("slots", F.col("full") * F.col("blocks") + F.col("part") + (F.col("tail") > 0).cast("long"))
-    t = stage(t, "mix-sources")
-
-    depth = max(0, math.ceil(math.log2(max(1, shards))))
-    nodes = t.groupBy().agg(F.array_sort(F.collect_list(F.struct("rank", "slots"))).alias("v"))
-    nodes = nodes.select(F.lit(0).cast("long").alias("node"), F.transform("v", lambda s: s["slots"]).alias("v"))
-    whole = F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x)
-    for level in range(depth):
-        half = nodes.withColumn("n", whole).withColumn("take", F.expr("n div 2"))
-        state = F.struct(F.array().cast("array<bigint>").alias("out"), F.col("n").alias("n"), F.col("take").alias("take"))
-
-        def split(a: Column, i: Column) -> Column:
-            good = F.get(F.col("v"), i.cast("int"))
-            x = _hypergeometric(good, a["n"], a["take"], _uniform(F.lit(seed), F.lit(level), F.col("node"), i))
-            # the drawn count is used twice: a one-element array binds it once
-            return F.get(F.transform(F.array(x), lambda d: F.struct(F.concat(a["out"], F.array(d)).alias("out"), (a["n"] - good).alias("n"), (a["take"] - d).alias("take"))), F.lit(0))
-
-        left = F.aggregate(F.sequence(F.lit(0), F.size("v") - 1), state, split)["out"]
-        half = stage(half.where(F.size("v") > 0).select("node", "v", left.alias("l")), "mix-tree")
-        pair = F.array(
-            F.struct((F.col("node") * 2).alias("node"), F.col("l").alias("v")),
-            F.struct((F.col("node") * 2 + 1).alias("node"), F.zip_with("v", "l", lambda a, b: a - b).alias("v")),
-        )
-        nodes = half.select(F.explode(pair).alias("c")).select("c.*")
-    leaves = nodes.select("node", F.posexplode("v").alias("at", "n"))
-    upto = Window.partitionBy("at").orderBy("node").rowsBetween(Window.unboundedPreceding, 0)
-    ends = leaves.withColumn("end", F.sum("n").over(upto)).groupBy((F.col("at") + 1).alias("rank")).agg(F.array_sort(F.collect_list("end")).alias("ends"))
-    return t.join(ends, "rank", "left").withColumn("ends", F.coalesce("ends", F.array().cast("array<bigint>")))
+    return t.withColumn("epochs", F.col("full") + (F.col("rest") > 0).cast("long"))
+
+
+def drawn_blocks(plan: DataFrame, shards: int, block_words: int, seed: int) -> DataFrame:
+    """(key, block, epoch, shard, words): the blocks that the shards draw, and how many of their words."""
+    blocks = stage(permuted(plan.where("source_size > 0 AND epochs > 0"), seed), "mix-blocks")
+    # in the last epoch the short block's place tells how many slots the rest needs
+    last = blocks.join(plan.select("key", (F.col("blocks") - 1).alias("block"), F.col("full").alias("epoch")), ["key", "block", "epoch"]).select("key", F.col("place").alias("turn"))
+    plan = plan.join(last, "key", "left").withColumn("turn", F.coalesce("turn", F.lit(0)))
+    w = F.lit(block_words).cast("long")
+    after = F.col("rest") - F.col("turn") * w - F.col("short")
+    tail = F.when(after <= -F.col("short"), F.ceil(F.col("rest") / w)).when(after <= 0, F.col("turn") + 1).otherwise(F.col("turn") + 1 + F.ceil(after / w)).cast("long")
+    plan = plan.withColumn("slots", F.col("full") * F.col("blocks") + F.when(F.col("rest") > 0, tail).otherwise(F.lit(0)))
+    plan = stage(plan.withColumn("item", F.col("rank") - 1), "mix-slots")
+    leaves = quotas(plan.where("slots > 0").select("item", "slots"), shards, seed)
+    upto = Window.partitionBy("item").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
+    ranges = leaves.withColumn("end", F.sum("n").over(upto)).withColumn("begin", F.col("end") - F.col("n"))
+    ranges = ranges.join(plan.select("item", "key"), "item").select("key", "shard", "begin", "end")
+    slots = _numbers(ranges, "begin", "end", "slot").select("key", "shard", "slot")
+    shape = plan.where("slots > 0").select("key", "blocks", "full", "rest", "short", "turn")
+    rows = blocks.join(shape, "key").withColumn("slot", F.col("epoch") * F.col("blocks") + F.col("place"))
+    rows = slots.join(rows, ["key", "slot"])
+    size = F.when(F.col("block") == F.col("blocks") - 1, F.col("short")).otherwise(w)
+    before = F.col("place") * w - F.when(F.col("place") > F.col("turn"), w - F.col("short")).otherwise(F.lit(0))
+    words = F.when(F.col("epoch") < F.col("full"), size).otherwise(F.least(size, F.col("rest") - before))
+    return rows.select("key", "block", "epoch", "shard", words.alias("words"))
+
+
+def _rows_of(docs: DataFrame) -> DataFrame:
+    """The columns that tell documents apart, as used by every table here."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.xxhash64(text).alias("mark"), count_words(text).alias("size"))
+
+
+def _lines(docs: DataFrame, cap: int, block_words: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct rows with their number, the target of their source and where they start in its line; and the plan."""
+    slim = stage(_rows_of(docs).groupBy(*DOC).agg(F.count(F.lit(1)).alias("copies")), "mix-sizes")
+    buckets = max(16, math.isqrt(slim.count()))
+    order = F.xxhash64(F.lit(seed), "doc_id", "mark", "size")
+    slim = slim.withColumn("key", _source_key(F.col("source"))).withColumn("order", order).withColumn("bucket", F.pmod("order", F.lit(buckets)))
+    slim = slim.withColumn("span", F.col("size") * F.col("copies"))
+    held = stage(slim.groupBy("key", "source", "bucket").agg(F.sum("span").alias("held")), "mix-buckets")
+    plan = stage(_plan(held.groupBy("source").agg(F.sum("held").alias("source_size")), cap, block_words), "mix-plan")
+    upto = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    base = held.select("key", "bucket", F.coalesce(F.sum("held").over(upto), F.lit(0)).alias("base")).join(plan.select("key", "source_size", "target"), "key")
+    within = Window.partitionBy("key", "bucket").orderBy("order", "doc_id", "mark", "size").rowsBetween(Window.unboundedPreceding, -1)
+    rows = slim.withColumn("inner", F.coalesce(F.sum("span").over(within), F.lit(0))).join(base, ["key", "bucket"])
+    rows = rows.select(*DOC, "key", "copies", "source_size", "target", (F.col("base") + F.col("inner")).alias("at"))
+    return stage(rows, "mix-lines"), plan
 
 
 def mix(docs: DataFrame, cap: int = 3, shards: int = 16, block_words: int = 2048, seed: int = 42) -> DataFrame:
-    """Per document: doc_id, size, source_size, target, taken and pieces.
+    """Per document: doc_id, source, mark (of its text), size, copy, source_size, target, taken and pieces.
 
-    ``pieces`` holds (epoch, block, shard, start, length): the words from ``start`` that this slot takes, in order.
+    ``pieces`` holds (epoch, block, shard, start, length): the words from ``start`` that this shard's slot takes, in order.
+    ``copy`` numbers rows that are the same.
     """
-    return _cut(docs, (), cap, shards, block_words, seed)[0]
-
-
-def _cut(docs: DataFrame, payload: tuple[str, ...], cap: int, shards: int, block_words: int, seed: int) -> tuple[DataFrame, DataFrame, int]:
-    """The documents with their pieces and the ``payload`` columns as a struct, the same without payload, and how many buckets were used."""
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), count_words(F.col("text")).alias("size"), *([F.struct(*payload).alias("payload")] if payload else []))
-    slim = stage(rows.select("doc_id", "source", "size"), "mix-sizes")
-    buckets = 1 << min(16, max(4, math.ceil(math.log2(max(1, slim.count() / 2048)))))
-    held = slim.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size"), F.lit(buckets)))
-    held = stage(held.groupBy("source", "bucket").agg(F.sum("size").alias("words_held")), "mix-buckets")
-    upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    base = stage(held.select("source", "bucket", F.coalesce(F.sum("words_held").over(upto), F.lit(0)).alias("base")), "mix-offsets")
-    plan = stage(_plan(held.groupBy("source").agg(F.sum("words_held").alias("source_size")), cap, shards, block_words, seed), "mix-plan")
-
-    light = _with_pieces(slim, base, plan, buckets, seed)
-    return (_with_pieces(rows, base, plan, buckets, seed) if payload else light), light, buckets
-
-
-def _with_pieces(rows: DataFrame, base: DataFrame, plan: DataFrame, buckets: int, seed: int) -> DataFrame:
-    payload = ["payload"] if "payload" in rows.columns else []
-    rows = rows.withColumn("order", F.xxhash64(F.lit(seed), "doc_id", "size"))
-    rows = rows.withColumn("bucket", F.pmod("order", F.lit(buckets)))
-    within = Window.partitionBy("source", "bucket").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    rows = _joined(rows, base, plan)
-
-    first, last = F.expr("start div words"), F.expr("(start + size - 1) div words")
-    rows = rows.withColumn("start", F.col("base") + F.col("inner"))
-
-    def piece(epoch: Column, block: Column) -> Column:
-        place = F.pmod(F.col("prime") * block + F.col("turn") + epoch, F.col("blocks"))
-        slot = epoch * F.col("blocks") + place
-        edge = F.when((epoch == F.col("full")) & (place == F.col("part")), F.col("tail")).otherwise(F.col("words"))
-        begin = F.greatest(block * F.col("words"), F.col("start"))
-        end = F.least(block * F.col("words") + edge, F.col("start") + F.col("size"))
-        shard = F.size(F.filter("ends", lambda e: e <= slot))
-        length = F.when(slot < F.col("slots"), F.greatest(end - begin, F.lit(0))).otherwise(F.lit(0))
-        return F.struct(epoch.alias("epoch"), block.alias("block"), shard.alias("shard"), (begin - F.col("start")).alias("start"), length.cast("long").alias("length"))
-
-    epochs = F.sequence(F.lit(0).cast("long"), F.col("full"))
-    pieces = F.flatten(F.transform(epochs, lambda e: F.transform(F.sequence(first, last), lambda b: piece(e, b))))
-    pieces = F.when(F.col("size") > 0, F.filter(pieces, lambda x: x["length"] > 0)).otherwise(F.array().cast("array<struct<epoch:bigint,block:bigint,shard:int,start:bigint,length:bigint>>"))
-    rows = rows.withColumn("pieces", pieces)
-    taken = F.aggregate("pieces", F.lit(0).cast("long"), lambda a, x: a + x["length"])
-    return rows.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "pieces", *payload)
-
-
-def _joined(rows: DataFrame, base: DataFrame, plan: DataFrame) -> DataFrame:
-    """Both tables are small and staged, so the planner knows whether they may be broadcast."""
-    b = base.select(F.col("source").alias("__s"), F.col("bucket").alias("__b"), "base")
-    p = plan.withColumnRenamed("source", "__p").drop("rank", "weight", "quota", "rest")
-    rows = rows.join(b, F.col("source").eqNullSafe(F.col("__s")) & (F.col("bucket") == F.col("__b"))).drop("__s", "__b")
-    return rows.join(p, F.col("source").eqNullSafe(F.col("__p"))).drop("__p")
+    rows, plan = _lines(docs, cap, block_words, seed)
+    draws = drawn_blocks(plan, shards, block_words, seed)
+    # a block is in a few epochs at most
+    draws = stage(draws.groupBy("key", "block").agg(F.collect_list(F.struct("epoch", "shard", "words")).alias("draws")), "mix-draws")
+    info = ("source_size", "target")
+    copies = rows.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    some = copies.where("size > 0").withColumn("begin", F.col("at") + F.col("copy") * F.col("size")).withColumn("end", F.col("begin") + F.col("size"))
+    some = some.withColumn("block", F.explode(F.sequence(F.expr(f"begin div {block_words}"), F.expr(f"(end - 1) div {block_words}"))))
+    some = some.join(draws, ["key", "block"], "left")
+    first = F.col("block") * F.lit(block_words).cast("long")
+
+    def piece(d: Column) -> Column:
+        start = F.greatest(first, F.col("begin"))
+        length = F.least(first + d["words"], F.col("end")) - start
+        return F.struct(d["epoch"].alias("epoch"), F.col("block").alias("block"), d["shard"].alias("shard"), (start - F.col("begin")).alias("start"), length.alias("length"))
+
+    some = some.withColumn("p", F.filter(F.transform("draws", piece), lambda p: p["length"] > 0))
+    some = some.groupBy(*DOC, "copy", "begin", *info).agg(F.sort_array(F.flatten(F.collect_list("p"))).alias("pieces")).drop("begin")
+    none = copies.where("size = 0").select(*DOC, "copy", *info, F.array().cast(PIECE).alias("pieces"))
+    both = some.withColumn("pieces", F.col("pieces").cast(PIECE)).unionByName(none)
+    taken = F.aggregate("pieces", F.lit(0).cast("long"), lambda a, p: a + p["length"])
+    return both.select(*DOC, "copy", *info, taken.alias("taken"), "pieces")
+
+
+def _same() -> list[Column]:
+    """The columns of DOC as keys that are never null."""
+    return [F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull(), _source_key(F.col("source")), F.col("mark"), F.col("size")]
 
 
 def deal(docs: DataFrame, cap: int = 3, shards: int = 16, block_words: int = 2048, seed: int = 42) -> DataFrame:
@@ -194,34 +282,50 @@ def deal(docs: DataFrame, cap: int = 3, shards: int = 16, block_words: int = 204
 
     A document taken whole in one piece keeps its text; otherwise the words of the piece are joined by single spaces.
     """
-    rows, light, buckets = _cut(docs, tuple(docs.columns), cap, shards, block_words, seed)
-    share = max(16, buckets // max(1, shards))
-    order = F.xxhash64(F.lit(seed + 2), "doc_id", "size", "p.epoch", "p.block")
-    slim = light.select("doc_id", "size", F.explode("pieces").alias("p"))
-    counts = slim.groupBy("p.shard", F.pmod(order, F.lit(share)).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.sum("p.length").alias("words"))
-    counts = stage(counts, "mix-dealt")
+    found = stage(mix(docs, cap, shards, block_words, seed), "mix-pieces")
+    slim = found.select(*DOC, "copy", F.explode("pieces").alias("p")).select(*DOC, "copy", "p.*")
+    order = F.xxhash64(F.lit(seed + 2), *DOC, "copy", "epoch", "block")
+    slim = slim.withColumn("order", order)
+    share = max(16, math.isqrt(math.ceil(slim.count() / max(1, shards))))
+    slim = slim.withColumn("bucket", F.pmod("order", F.lit(share)))
+    counts = stage(slim.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("words")), "mix-dealt")
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     table = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"), F.coalesce(F.sum("words").over(before), F.lit(0)).alias("words"))
-    # one row per shard and bucket: runs of buckets become partitions
-    run = F.floor(F.col("words") / PART_WORDS)
-    table = stage(table.withColumn("part", (F.dense_rank().over(Window.orderBy("shard", run)) - 1).cast("int")).drop("words"), "mix-places")
+    # runs of a shard's buckets become partitions; the window without a key runs over one row per shard
+    table = table.withColumn("run", F.expr(f"words div {PART_WORDS}"))
+    runs = table.groupBy("shard").agg((F.max("run") + 1).alias("runs"))
+    runs = runs.select("shard", F.sum("runs").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), "runs")
+    table = table.join(runs, "shard").select("shard", "bucket", "base", (F.col("upto") - F.col("runs") + F.col("run")).cast("int").alias("part"))
+    table = stage(table, "mix-places")
     parts = (table.agg(F.max("part")).first()[0] or 0) + 1
 
-    text = F.col("payload.text")
-    whole = lambda x: (x["start"] == 0) & (x["length"] == F.col("size"))
-    words = F.split(F.btrim(text, F.lit(SPACE)), "[\\x20\\x09-\\x0D]+")
-    part = lambda w, x: F.array_join(F.slice(w, (x["start"] + 1).cast("int"), x["length"].cast("int")), " ")
-    # the words are used for every piece: a one-element array binds them once
-    cut = F.flatten(F.transform(F.array(words), lambda w: F.transform("pieces", lambda x: F.struct(x.alias("p"), F.when(whole(x), text).otherwise(part(w, x)).alias("text")))))
-    cut = F.when(F.forall("pieces", whole), F.transform("pieces", lambda x: F.struct(x.alias("p"), text.alias("text")))).otherwise(cut)
+    names = [f"k{i}" for i in range(5)]
     rest = [c for c in docs.columns if c != "text"]
-    payload = F.struct(*[F.col("payload").getField(c).alias(c) for c in rest]).alias("payload")
-    rows = rows.select("doc_id", "size", "payload", F.explode(cut).alias("c")).select("doc_id", "size", payload, "c.p", "c.text")
-    rows = rows.withColumn("order", order).withColumn("shard", F.col("p.shard")).withColumn("bucket", F.pmod("order", F.lit(share)))
+    payload = F.struct(*[F.col(c) for c in rest]).alias("payload") if rest else F.struct(F.lit(0).alias("none")).alias("payload")
+    text = F.col("text").cast("string")
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64(text).alias("mark"), count_words(text).alias("size"), text.alias("text"), payload)
+    whole = whole.select(*[c.alias(n) for c, n in zip(_same(), names, strict=True)], "size", "text", "payload")
+    # rows that are the same in these columns get the pieces of one copy each
+    repeats = found.where("copy > 0").limit(1).count() > 0
+    number = F.row_number().over(Window.partitionBy(*names).orderBy(F.to_json("payload"))) - 1 if repeats else F.lit(0)
+    whole = whole.withColumn("copy", number.cast("long"))
+    taken = found.where("taken > 0").select(*[c.alias(n) for c, n in zip(_same(), names, strict=True)], "copy", "pieces")
+    rows = whole.join(taken, [*names, "copy"])
+
+    is_whole = lambda p: (p["start"] == 0) & (p["length"] == F.col("size"))
+    cut = lambda w, p: F.array_join(F.slice(w, (p["start"] + 1).cast("int"), p["length"].cast("int")), " ")
+    each = lambda p, t: F.struct(p.alias("p"), t.alias("text"))
+    words = F.split(F.btrim("text", F.lit(SPACE)), "[\\x20\\x09-\\x0D]+")
+    parted = _bind(words, lambda w: F.transform("pieces", lambda p: each(p, F.when(is_whole(p), F.col("text")).otherwise(cut(w, p)))))
+    rows = rows.withColumn("c", F.explode(F.when(F.forall("pieces", is_whole), F.transform("pieces", lambda p: each(p, F.col("text")))).otherwise(parted)))
+    key = [F.when(F.col("k1"), F.lit(None).cast("long")).otherwise(F.col("k0")).alias("doc_id"), F.when(F.col("k2") != "", F.expr("substring(k2, 2)")).alias("source"), F.col("k3").alias("mark")]
+    rows = rows.select(*key, "size", "copy", "payload", "c.p.*", "c.text")
+    # a null text has no pieces, so a mark is never null here
+    rows = rows.withColumn("order", order).withColumn("bucket", F.pmod("order", F.lit(share)))
     rows = rows.join(table, ["shard", "bucket"]).repartitionById(parts, F.col("part"))
-    within = Window.partitionBy("part", "shard", "bucket").orderBy("order", "doc_id", "size", "p.epoch", "p.block", "p.start", "text")
+    within = Window.partitionBy("part", "shard", "bucket").orderBy("order", *DOC, "copy", "epoch", "block")
     place = F.col("base") + F.row_number().over(within) - 1
-    return rows.select("shard", place.alias("place"), "p.epoch", "p.block", "p.start", "p.length", "text", "payload")
+    return rows.select("shard", place.alias("place"), "epoch", "block", "start", "length", "text", "payload")
 
 
 def mixed_documents(docs: DataFrame, **settings) -> DataFrame:

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from murmuration.llm import chat, exact_dedup, jaccard, line_dedup, mixing, packing, quality, substring_dedup, topk, toxicity
+from murmuration.llm import chat, exact_dedup, jaccard, line_dedup, packing, quality, substring_dedup, topk, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, bucket int, key string, size long, a string"
@@ -190,57 +190,6 @@ def test_chat(spark):
     assert chat.format_conversations(table.limit(0)).count() == 0
 
 
-def test_mixing(docs, rows, empty):
-    got = mixing.mix(docs, block_words=16).toPandas()
-    again = mixing.mix(docs.repartition(5), block_words=16).toPandas()
-    assert len(got) == len(rows) and mixing.mix(empty).count() == 0
-    assert got["size"].sum() == sum(len(WORD.findall(r[1] or "")) for r in rows)
-    assert (got.taken <= 3 * got["size"]).all() and sorted(got.taken) == sorted(again.taken)
-    shares = got.groupby(["target", "source_size"]).taken.sum()
-    assert all(abs(taken - target) <= 1 for (target, _), taken in shares.items())
-    # by code point: a, b, é, null weigh 1, 2, 3, 1
-    assert len(shares) == 4 and abs(sum(t for t, _ in shares.index) - got["size"].sum()) <= 1
-
-
-def test_splitting_tree_is_disjoint(docs):
-    got = mixing.mix(docs, block_words=16, shards=4).select("doc_id", F.explode("pieces").alias("p")).select("doc_id", "p.*")
-    assert got.groupBy("doc_id", "epoch", "block", "start").count().where("count > 2").count() == 0
-    assert got.select("shard").distinct().count() == 4
-
-
-def test_pieces_are_dealt_to_shards_and_shuffled(docs, rows):
-    whole = mixing.mix(docs, block_words=16, shards=4).toPandas()
-    got = mixing.deal(docs, block_words=16, shards=4).select("*", "payload.doc_id", "payload.source").toPandas()
-    for _, g in got.groupby("shard"):
-        assert sorted(g.place) == list(range(len(g)))
-    # a block of a source in an epoch is one slot, and a slot has one shard
-    assert (got.groupby(["source", "epoch", "block"], dropna=False).shard.nunique() == 1).all()
-    # words are disjoint, and a source's quotas in the shards are its whole quota
-    words = [(s, d, e, x) for s, d, e, a, n in zip(got.source.fillna("-"), got.doc_id.fillna(-1), got.epoch, got.start, got.length, strict=True) for x in range(a, a + n)]
-    copies = {}
-    for r in rows:
-        copies[r[0]] = copies.get(r[0], 0) + 1
-    seen = {}
-    for w in words:
-        seen[w] = seen.get(w, 0) + 1
-    assert all(n <= copies[None if w[1] == -1 else w[1]] for w, n in seen.items())
-    assert got.length.sum() == whole.taken.sum()
-    of = whole.merge(got[["doc_id", "source"]].drop_duplicates(), on="doc_id").groupby("source", dropna=False).target.first()
-    for source, g in got.groupby("source", dropna=False):
-        assert g.groupby("shard").length.sum().sum() == int(of[source] + 0.5)
-    assert (got.text.map(lambda t: len(WORD.findall(t))) == got.length).all()
-    # shuffled: neighbours in a shard aren't neighbours in the sources' lines
-    lines = got.sort_values(["shard", "place"])
-    assert lines.source.fillna("-").ne(lines.source.fillna("-").shift()).mean() > 0.3
-
-    out = mixing.mixed_documents(docs, block_words=16, shards=4)
-    assert out.columns == docs.columns
-    assert [r.text for r in out.collect()] == lines.text.tolist()
-    other = mixing.deal(docs, block_words=16, shards=4, seed=7).select("shard", "place", "text").toPandas().sort_values(["shard", "place"])
-    assert other.text.tolist() != lines.text.tolist()
-    assert mixing.mixed_documents(docs.limit(0)).count() == 0
-
-
 @pytest.fixture(scope="module")
 def judged(spark):
     rng = random.Random(2)
