@@ -53,18 +53,45 @@ def _ids(rows):
     return {r[0]: r[1] or "" for r in rows if r[0] is not None}
 
 
-def test_exact_dedup(docs, rows, empty):
-    got = exact_dedup.exact_dedup(docs, capacity=2).toPandas()
+@pytest.mark.parametrize(("capacity", "bits"), [(256, 64), (2, 64), (1, 3)])  # with 3 bits, different texts share keys
+def test_exact_dedup(docs, rows, empty, capacity, bits):
+    got = exact_dedup.exact_dedup(docs, capacity, bits).toPandas()
     assert len(got) == len(rows)
     for sha, g in got.groupby("text_sha256"):
         same = [r for r in rows if hashlib.sha256((r[1] or "").encode()).hexdigest() == sha]
         assert len(same) == len(g) == g.group_size.iloc[0] and g.kept.sum() == 1
         assert g.keep_id.iloc[0] == max(r[0] for r in same if r[0] is not None)
-    kept = exact_dedup.drop_exact_copies(docs)
-    assert kept.columns == docs.columns and kept.count() == got.kept.sum()
+    if bits == 3:
+        assert got.key.nunique() <= 8 and got.link.max() > 1
     assert exact_dedup.exact_dedup(empty).count() == 0
 
 
+def test_the_index_decides(docs, rows):
+    index, members = exact_dedup.build_index(docs, 2)
+    # buckets are ranges of keys by their first bits, and none is overfull
+    for r in index.groupBy("bucket", "local_depth").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi")).collect():
+        assert r.n <= 2 and len({(k & (1 << 64) - 1) >> (64 - r.local_depth) if r.local_depth else 0 for k in (r.lo, r.hi, r.bucket)}) == 1
+    assert index.select("local_depth").distinct().count() > 1
+    # a key that is taken out of the index isn't found, and texts chained together are told apart by it alone
+    gone = index.orderBy("key").limit(1)
+    found = exact_dedup.look_up(members, index.join(gone, ["bucket", "key"], "left_anti"))
+    lost = members.join(gone.select("bucket", "key"), ["bucket", "key"]).count()
+    assert lost > 0 and found.count() == members.count() - lost
+    chained, members = exact_dedup.build_index(docs, 1, 3)
+    short = chained.withColumn("chain", F.slice("chain", 1, 1))
+    assert exact_dedup.look_up(members, short).select("sha").distinct().count() < exact_dedup.look_up(members, chained).select("sha").distinct().count()
+
+
+def test_drop_exact_copies(spark, docs, rows):
+    wide = docs.withColumn("i", F.lit(1)).withColumn("row", F.lit("r")).withColumn("kept", F.lit(False))
+    out = exact_dedup.drop_exact_copies(wide)
+    assert out.columns == wide.columns
+    want = {}
+    for r in rows:
+        want[r[1] or ""] = max(want.get(r[1] or "", -1), -1 if r[0] is None else r[0])
+    assert sorted((r.text or "", r.doc_id) for r in out.collect()) == sorted(want.items())
+
+
 def test_line_dedup(docs, rows, empty):
     got = line_dedup.line_dedup(docs)
     assert line_dedup.line_dedup(empty).count() == 0
