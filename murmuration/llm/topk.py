@@ -3,11 +3,12 @@
 A score is a sum of ``lists`` partial scores, each over a block of the dimensions. Queries go in chunks of at most
 ``chunk`` vectors, so what is broadcast has a fixed bound; the candidates are scanned where they lie.
 
-1. Each task keeps, for every query and list, its k best entries by partial score; the k-th best full score among the
-   gathered entries is a lower bound of the true k-th score.
+1. Each task keeps, for every query and list, its k best entries by partial score; the k best of all tasks are gathered.
+   Only these entries get their full scores; the k-th best of them is a lower bound of the true k-th score.
 2. That bound divided by ``lists`` is the uniform cutoff that goes out: an entry below it in every list can't reach the
-   bound. Each task collects the entries that are at or above it in some list.
-3. Their scores are resolved exactly where the vectors are, those below the bound go, and each task sends its k best.
+   bound. Each task collects the entries that are at or above the cutoff in some list.
+3. Only these get their missing partial scores, list by list; an entry that can't reach the bound even with the cutoff in
+   each list still missing goes. Each task sends its k best of what is left, with their exact scores.
 
 Defined results: vectors that are null, or hold null or non-finite components, take no part, nor do rows without
 vec_id. Rows that repeat a vec_id count once (the least quantised vector). Shorter vectors are padded with zeros. Ties
@@ -63,48 +64,104 @@ def _best(query: np.ndarray, vec: np.ndarray, score: np.ndarray, k: int) -> tupl
     return query[keep], vec[keep], score[keep]
 
 
-def _scan(batches: Iterator[pa.RecordBatch], ids: np.ndarray, queries: np.ndarray, lists: int, k: int, bound: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """One pass of a task over its candidates: phase 1 without ``bound``, phases 2 and 3 with it."""
-    dim = queries.shape[1]
-    cuts = np.linspace(0, dim, min(lists, max(dim, 1)) + 1).astype(int)
-    held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+def _cuts(dim: int, lists: int) -> list[tuple[int, int]]:
+    """The blocks of dimensions that the lists hold."""
+    at = np.linspace(0, dim, min(lists, max(dim, 1)) + 1).astype(int).tolist()
+    return list(zip(at[:-1], at[1:], strict=True))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for whole in batches:
         for at in range(0, len(whole), BLOCK):
             batch = whole.slice(at, BLOCK)
-            vec, x = batch.column("vec_id").to_numpy(zero_copy_only=False), _matrix(batch.column("q"), dim)
-            own = ids[:, None] == vec[None, :]
-            parts = [_product(queries[:, a:b], x[:, a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            full = sum(parts[1:], parts[0])
-            if bound is None:
-                picked = np.zeros(full.shape, bool)
-                for p in parts:
-                    if p.shape[1] > k:
-                        np.put_along_axis(picked, np.argpartition(-p, k, axis=1)[:, :k], True, axis=1)
-                    else:
-                        picked[:] = True
-            else:
-                picked = np.zeros(full.shape, bool)
-                for p in parts:
-                    picked |= p * len(parts) >= bound[:, None]
-                picked &= full >= bound[:, None]
-            q, c = np.nonzero(picked & ~own)
-            held = tuple(np.concatenate([h, n]) for h, n in zip(held, (q, vec[c], full[q, c]), strict=True))
-            held = _best(*held, k)
-    q, vec, score = held
-    for at in range(0, len(q), 10_000):
-        s = slice(at, at + 10_000)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[q[s]]), pa.array(vec[s]), pa.array([int(v) for v in score[s]], pa.int64())], ["query_id", "vec_id", "score"])
-
-
-def exact_topk(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024, lists: int = 4, chunk: int = 2048) -> DataFrame:
-    """query_id, rank, vec_id, score: the k best other vectors of each vector whose vec_id is divisible by ``every``."""
+            yield batch.column("vec_id").to_numpy(zero_copy_only=False), _matrix(batch.column("q"), dim)
+
+
+def _sent(columns: list[np.ndarray], names: list[str]) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(columns[0]), 10_000):
+        yield pa.RecordBatch.from_arrays([pa.array([int(v) for v in c[at : at + 10_000]], pa.int64()) for c in columns], names)
+
+
+def local_lists(batches: Iterator[pa.RecordBatch], ids: np.ndarray, queries: np.ndarray, lists: int, k: int) -> Iterator[pa.RecordBatch]:
+    """Phase 1: (list, query_id, vec_id, part), the k best of a task in each list by partial score alone."""
+    cuts = _cuts(queries.shape[1], lists)
+    held = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))] * len(cuts)
+    for vec, x in _blocks(batches, queries.shape[1]):
+        own = ids[:, None] == vec[None, :]
+        for n, (a, b) in enumerate(cuts):
+            p = _product(queries[:, a:b], x[:, a:b])
+            picked = ~own
+            if p.shape[1] > k + 1:  # one more for the query itself
+                picked = np.zeros(p.shape, bool)
+                np.put_along_axis(picked, np.argpartition(-p, k + 1, axis=1)[:, : k + 1], True, axis=1)
+                picked &= ~own
+            q, c = np.nonzero(picked)
+            held[n] = _best(*(np.concatenate([h, v]) for h, v in zip(held[n], (q, vec[c], p[q, c]), strict=True)), k)
+    for n, (q, vec, part) in enumerate(held):
+        yield from _sent([np.full(len(q), n), ids[q], vec, part], ["list", "query_id", "vec_id", "part"])
+
+
+def full_scores(batches: Iterator[pa.RecordBatch], ids: np.ndarray, queries: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(query_id, vec_id, score) of gathered entries (query_id, vec_id, q)."""
+    order = np.argsort(ids)
+    for batch in batches:
+        query, x = batch.column("query_id").to_numpy(), _matrix(batch.column("q"), queries.shape[1])
+        y = queries[order[np.searchsorted(ids[order], query)]]
+        if y.size and np.abs(x).max() * np.abs(y).max() * x.shape[1] >= 2**53:
+            x, y = x.astype(object), y.astype(object)
+        yield from _sent([query, batch.column("vec_id").to_numpy(), (x * y).sum(1)], ["query_id", "vec_id", "score"])
+
+
+def sufficient_entries(batches: Iterator[pa.RecordBatch], ids: np.ndarray, queries: np.ndarray, lists: int, k: int, bound: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Phases 2 and 3: the k best entries of a task that reach ``bound``; rows without query_id tell how many pairs there
+    were (vec_id 0), how many were collected at the cutoff (1) and how many were resolved to the end (2)."""
+    dim = queries.shape[1]
+    cuts = _cuts(dim, lists)
+    cutoff = bound / len(cuts)
+    held, tally = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)), np.zeros(3, np.int64)
+    for vec, x in _blocks(batches, dim):
+        # what an entry has at or above the cutoff, list after list, and which lists these are
+        above, seen = np.zeros((len(ids), len(vec))), np.zeros((len(ids), len(vec)), np.int64)
+        for n, (a, b) in enumerate(cuts):
+            p = _product(queries[:, a:b], x[:, a:b])
+            hit = p >= cutoff[:, None]
+            above = above + np.where(hit, p, 0)
+            seen |= hit.astype(np.int64) << n
+        apart = ids[:, None] != vec[None, :]
+        q, c = np.nonzero((seen > 0) & apart)
+        tally[:2] += [apart.sum(), len(q)]
+        # a list that is missing holds less than the cutoff: list by list, entries that can't reach the bound any more go
+        score, known = above[q, c], seen[q, c]
+        for n, (a, b) in enumerate(cuts):
+            todo = np.flatnonzero(known >> n & 1 == 0)
+            left, right = queries[q[todo], a:b], x[c[todo], a:b]
+            if len(todo) and np.abs(left).max() * np.abs(right).max() * dim >= 2**53:
+                left, right, score = left.astype(object), right.astype(object), score.astype(object)
+            score[todo] += (left * right).sum(1)
+            known = known | 1 << n
+            missing = len(cuts) - np.bitwise_count(known).astype(np.int64)
+            alive = score + np.where(missing > 0, missing * np.maximum(cutoff[q], -1e300), 0) >= bound[q]
+            q, c, score, known = q[alive], c[alive], score[alive], known[alive]
+        tally[2] += len(q)
+        held = _best(*(np.concatenate([h, v]) for h, v in zip(held, (q, vec[c], score), strict=True)), k)
+    yield from _sent([ids[held[0]], *held[1:]], ["query_id", "vec_id", "score"])
+    yield pa.RecordBatch.from_arrays([pa.nulls(3, pa.int64()), pa.array([0, 1, 2], pa.int64()), pa.array(tally)], ["query_id", "vec_id", "score"])
+
+
+def _below(x: float) -> float:
+    """The largest double that isn't above ``x``."""
+    return float(x) if float(x) <= x else math.nextafter(float(x), -math.inf)
+
+
+def _phases(vectors: DataFrame, k: int, every: int, scale: int, lists: int, chunk: int) -> tuple[DataFrame, list[DataFrame]]:
+    """The quantised vectors, and for each chunk of queries its staged results and tallies."""
     spark = vectors.sparkSession
-    schema = "query_id long, vec_id long, score long"
     rows = stage(quantised(vectors, scale), "topk-vectors")
     asks = rows.where(F.col("vec_id") % every == 0)
     count, dim = asks.count(), rows.agg(F.max(F.size("q"))).first()[0] or 0
     parts = max(1, math.ceil(count / chunk))
-    results = []
+    scores, results = "query_id long, vec_id long, score long", []
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     for part in range(parts):
         mine = asks if parts == 1 else asks.where(F.pmod(F.xxhash64("vec_id"), F.lit(parts)) == part)
         table = mine.toArrow().combine_chunks()
@@ -112,26 +169,47 @@ def exact_topk(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1
         for at in range(0, table.num_rows, chunk):
             piece = table.slice(at, chunk).combine_chunks()
             ids = piece.column("vec_id").to_numpy()
-            queries = _matrix(piece.column("q").chunk(0), dim)
-            sent = spark.sparkContext.broadcast((ids, queries))
+            sent = spark.sparkContext.broadcast((ids, _matrix(piece.column("q").chunk(0), dim)))
 
             def lists_of(batches, sent=sent):
-                yield from _scan(batches, *sent.value, lists, k, None)
+                yield from local_lists(batches, *sent.value, lists, k)
 
-            first = rows.mapInArrow(lists_of, schema).dropDuplicates(["query_id", "vec_id"])
-            order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+            def scores_of(batches, sent=sent):
+                yield from full_scores(batches, *sent.value)
+
+            local = rows.mapInArrow(lists_of, "list long, query_id long, vec_id long, part long")
+            best = F.row_number().over(Window.partitionBy("query_id", "list").orderBy(F.desc("part"), "vec_id"))
+            gathered = local.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "vec_id").distinct()
+            first = gathered.join(rows, "vec_id").select("query_id", "vec_id", "q").mapInArrow(scores_of, scores)
             bounds = {r[0]: r[1] for r in first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select("query_id", "score").collect()}
-            cutoff = spark.sparkContext.broadcast(np.array([bounds.get(int(i), -np.inf) for i in ids], float))
+            bound = spark.sparkContext.broadcast(np.array([_below(bounds.get(int(i), -np.inf)) for i in ids]))
+
+            def entries_of(batches, sent=sent, bound=bound):
+                yield from sufficient_entries(batches, *sent.value, lists, k, bound.value)
 
-            def entries_of(batches, sent=sent, cutoff=cutoff):
-                yield from _scan(batches, *sent.value, lists, k, cutoff.value)
+            found = rows.mapInArrow(entries_of, scores)
+            # one pass over the candidates for both: a written table
+            found = stage(found, "topk-entries")
+            ranked = found.where("query_id IS NOT NULL").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+            results.append((stage(ranked.select("query_id", "rank", "vec_id", "score"), "topk-found"), found.where("query_id IS NULL")))
+    return rows, results
 
-            found = rows.mapInArrow(entries_of, schema)
-            found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-            results.append(stage(found.select("query_id", "rank", "vec_id", "score"), "topk-found"))
+
+def exact_topk(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024, lists: int = 4, chunk: int = 2048) -> DataFrame:
+    """query_id, rank, vec_id, score: the k best other vectors of each vector whose vec_id is divisible by ``every``."""
+    rows, results = _phases(vectors, k, every, scale, lists, chunk)
     if not results:
         return rows.limit(0).select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0).cast("long").alias("score"))
-    out = results[0]
-    for more in results[1:]:
+    out = results[0][0]
+    for more, _ in results[1:]:
         out = out.unionByName(more)
     return out
+
+
+def work_done(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024, lists: int = 4, chunk: int = 2048) -> dict[str, int]:
+    """How many (query, candidate) pairs there were, how many were collected at the cutoff, and how many were resolved to the end."""
+    total = [0, 0, 0]
+    for _, tally in _phases(vectors, k, every, scale, lists, chunk)[1]:
+        for r in tally.groupBy("vec_id").agg(F.sum("score")).collect():
+            total[r[0]] += r[1]
+    return dict(zip(("pairs", "collected", "resolved"), total, strict=True))

@@ -1,6 +1,7 @@
 """The ten operators and the pipeline on small tables with nulls, ties, repeats, empty and long texts and clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -203,6 +204,24 @@ def test_topk(spark):
         best = sorted((-sum(a * b for a, b in zip(q[i], p, strict=True)), j) for j, p in q.items() if j != i)[:10]
         assert [(r.vec_id, r.score) for r in got.where(F.col("query_id") == i).orderBy("rank").collect()] == [(j, -s) for s, j in best]
     assert topk.exact_topk(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+    few = topk.exact_topk(spark.createDataFrame(rows[100:105], "vec_id long, embedding array<float>"))
+    assert few.count() == 4  # fewer candidates than k: all of them
+
+
+def test_topk_resolves_few_entries(spark):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(3000, 32)).round(2)
+    v[1500:1540] = v[100] + rng.normal(scale=0.05, size=(40, 32))
+    rows = [(i, [float(x) for x in p]) for i, p in enumerate(v)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    work = topk.work_done(table, every=100)
+    assert work["pairs"] == 30 * 2999 and 0 < work["resolved"] < work["collected"] < 0.6 * work["pairs"]
+    # very large components: sums beyond 2**53 are exact
+    big = [(i, [float(x) * 3e5 for x in p]) for i, p in rows[:150]]
+    got = topk.exact_topk(spark.createDataFrame(big, "vec_id long, embedding array<double>"), k=3).where("query_id = 100").orderBy("rank").collect()
+    q = {i: [math.floor(1024 * x) for x in p] for i, p in big}
+    best = sorted((-sum(a * b for a, b in zip(q[100], p, strict=True)), j) for j, p in q.items() if j != 100)[:3]
+    assert all(abs(s) > 2**53 for s, _ in best) and [(r.vec_id, r.score) for r in got] == [(j, -s) for s, j in best]
 
 
 def test_chat(spark):
