@@ -7,15 +7,18 @@
   32 hashed bits of its tokens, so that words of different tokens are hardly ever equal. Documents near a band's lower
   edge are also sketched for it.
 * Documents are joined on equal (band, place, word). Each leaves out its words of at most L tokens, L being the largest
-  number for which these are at most T - D - 1: of the T - D equal words of a linked pair, which hold equal tokens, one has
-  more than either document's L. A key of at most SMALL documents makes each a candidate for the others. A key of more is
-  open: it links its documents to the smallest one, the hub.
+  number for which these are at most ``thin``: of the T - D equal words of a linked pair, which hold equal tokens, at least
+  ``need`` = T - D - thin have more than either document's L, so a linked pair shares ``need`` keys.
+* A key of at most SMALL documents makes each a candidate for the others. A key of more is open: it links its documents to
+  the smallest one, the hub. A document with fewer than ``need`` open keys shares a key that isn't open with each document
+  that it is linked with: it is settled. The keys of the others are joined again without the settled ones, until they hardly
+  get fewer; documents that share a passage are settled so, near copies of one text stay.
 * Candidates must pass the Hamming bound, then verification: three tables of cells XOR the tokens themselves, and the XOR of
   two documents' tables peels into exactly the differing tokens. The cells hold about 0.6 D of them; what doesn't peel is
-  settled from the texts.
-* Open keys whose documents are in several components after that make families of components; inside a family, documents
-  of open keys and of different components are compared by Hamming distance in blocks, so no link is lost where a hub links
-  to neither side.
+  settled from the texts. A hub's sketch is copied for every PARTNERS of its candidates, so none of them waits in one task.
+* The last open keys whose documents are in several components after that make families of components; inside a family,
+  documents that aren't settled and are in different components are compared by Hamming distance in blocks, so no link is
+  lost where a hub links to neither side. This step alone costs the square of such a rest of near copies.
 
 Keys travel as sorted compressed blobs; a batch sends a key that is open in it once, with its own hub, so hot keys stay small.
 
@@ -44,7 +47,8 @@ RATIO = 1.5
 U = np.uint64
 LOW = U(0xFFFFFFFF)
 SMALL = 8
-BLOCK_BYTES = 8_000_000
+PARTNERS = 512
+BLOCK_ROWS, BLOCK_BYTES = 512, 8_000_000
 COMPARED = 8_000_000
 
 
@@ -62,7 +66,9 @@ class Bands:
         differ = np.array([self.bound(2 * (int(hi) - 1)) for hi in self.lows[1:]])
         self.differ = differ
         # the lower the threshold, the fewer tokens a word has and the more words of few tokens there are to leave out
-        self.places = differ + 3 + differ * 5 * (den - num) // (4 * den)
+        self.places = differ + 5 + differ * 5 * (den - num) // (4 * den)
+        self.thin = (self.places - differ - 1) // 2
+        self.need = self.places - differ - self.thin
         self.cells = differ // 4 + 8
 
     def bound(self, sizes: int | np.ndarray):
@@ -132,7 +138,7 @@ def _sketches(owner: np.ndarray, tokens: np.ndarray, band: np.ndarray, bands: Ba
         else:
             s = slice(off[i], off[i] + width[i])
             count = held[off[i] : off[i] + bands.places[g]]
-            thin = count < np.sort(count)[bands.places[g] - bands.differ[g] - 1]
+            thin = count < np.sort(count)[bands.thin[g]]
             result.append((out[s].tobytes(), np.packbits(thin).tobytes()))
     return result
 
@@ -178,7 +184,7 @@ def _sketch_rows(docs: DataFrame, size: int, bands: Bands) -> DataFrame:
     return docs.mapInArrow(rows, SKETCH)
 
 
-def _by_rep(docs: DataFrame, classes: DataFrame, size: int, bands: Bands, buckets: int) -> DataFrame:
+def _by_rep(docs: DataFrame, classes: DataFrame, size: int, bands: Bands, buckets: int) -> tuple[DataFrame, str]:
     """The sketches as a table bucketed by document: three joins read it, none shuffles it.
 
     The texts are dealt to the buckets, and sketched there: the sketches take more bytes.
@@ -188,7 +194,7 @@ def _by_rep(docs: DataFrame, classes: DataFrame, size: int, bands: Bands, bucket
     texts = docs.repartition(buckets, "doc_id").join(classes.select(F.col("rep").alias("doc_id"), "f1"), "doc_id")
     dealt = _sketch_rows(texts, size, bands).write.bucketBy(buckets, "rep").option("compression", "zstd")
     dealt.option("path", new_path(spark, "jaccard-reps")).saveAsTable(name)
-    return spark.table(name)
+    return spark.table(name), name
 
 
 def _keys(batch: pa.RecordBatch, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
@@ -220,15 +226,19 @@ def _groups(keys: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def _pairs(a: np.ndarray, b: np.ndarray, opened: np.ndarray) -> list[pa.Array]:
-    rows = np.unique(np.stack([a, b, opened.astype(np.int64)], 1), axis=0)
-    return [pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(rows[:, 2] > 0)]
+    """Distinct rows, and for the open ones how many keys gave each."""
+    rows, n = np.unique(np.stack([a, b, opened.astype(np.int64)], 1), axis=0, return_counts=True)
+    return [pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(rows[:, 2] > 0), pa.array(n * rows[:, 2])]
+
+
+PAIRS = "a long, b long, open boolean, n long"
 
 
 def _candidates(reps: DataFrame, bands: Bands, bits: int) -> DataFrame:
-    """(a, b, open): pairs of documents that share a key, and whether an open key gave the pair; b is then its hub."""
+    """(a, b, open, n): documents that share a key, and from how many open keys, for which b is the hub; a hub is its own partner."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["bucket", "a", "b", "open", "blob"]
+        names = ["bucket", "a", "b", "open", "n", "blob"]
         for batch in batches:
             keys, rows = _keys(batch, bands)
             doc = batch.column("rep").to_numpy()[rows]
@@ -247,11 +257,11 @@ def _candidates(reps: DataFrame, bands: Bands, bits: int) -> DataFrame:
             cuts = np.searchsorted(_bucket(keys, bits), np.arange((1 << bits) + 1))
             for k in np.flatnonzero(np.diff(cuts)):
                 s = slice(cuts[k], cuts[k + 1])
-                none = [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.bool_())]
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *none, pa.array([encode(keys[s], doc[s], weight[s])])], names)
+                none = [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.bool_(), pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *none, pa.array([encode([keys[s]], doc[s], weight[s])])], names)
 
     def join(table: pa.Table) -> pa.Table:
-        names = ["a", "b", "open"]
+        names = ["a", "b", "open", "n"]
         held = [decode(x) for x in table["blob"].to_pylist() if x is not None]
         out = [table.filter(pc.is_null(table["blob"])).select(names)]
         if held:
@@ -259,7 +269,7 @@ def _candidates(reps: DataFrame, bands: Bands, bits: int) -> DataFrame:
             order, begin, group = _groups(keys, doc)
             doc = doc[order]
             opened = (np.add.reduceat(weight[order], begin) > SMALL)[group]
-            at = np.flatnonzero(opened & (doc > doc[begin][group]))
+            at = np.flatnonzero(opened)
             pairs = [(doc[at], doc[begin][group[at]], np.ones(len(at)))]
             for k in range(1, SMALL):
                 at = np.flatnonzero((group[k:] == group[:-k]) & ~opened[k:]) + k
@@ -267,8 +277,28 @@ def _candidates(reps: DataFrame, bands: Bands, bits: int) -> DataFrame:
             out.append(pa.table(_pairs(*(np.concatenate(x) for x in zip(*pairs, strict=True))), names=names))
         return pa.concat_tables(out)
 
-    packed = reps.mapInArrow(pack, "bucket int, a long, b long, open boolean, blob binary")
-    return packed.groupBy("bucket").applyInArrow(join, "a long, b long, open boolean").groupBy("a", "b").agg(F.max("open").alias("open"))
+    packed = reps.mapInArrow(pack, "bucket int, a long, b long, open boolean, n long, blob binary")
+    return packed.groupBy("bucket").applyInArrow(join, PAIRS).groupBy("a", "b").agg(F.max("open").alias("open"), F.sum("n").alias("n"))
+
+
+def _unsettled(reps: DataFrame, classes: int, bands: Bands, bits: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All candidates (a, b, open); those of the last join; and (rep) of the documents that it doesn't settle."""
+    need = F.array(*[F.lit(int(n)) for n in bands.need])
+    core, held, found = reps, classes, []
+    while True:
+        keyed = stage(_candidates(core, bands, bits), "jaccard-pairs")
+        found.append(keyed.where("a <> b").select("a", "b", "open"))
+        opens = keyed.where("open").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("opens"))
+        of = lambda g: F.coalesce(F.get(need, F.when(F.col(g).isNotNull(), F.col(g))), F.lit(1 << 30))
+        left = stage(core.select("rep", "g1", "g2").join(opens, "rep").where(F.col("opens") >= F.least(of("g1"), of("g2"))).select("rep"), "jaccard-core")
+        count = left.count()
+        if not count or count > 0.8 * held:
+            break
+        core, held = reps.join(left, "rep", "left_semi"), count
+    pairs = found[0]
+    for more in found[1:]:
+        pairs = pairs.unionByName(more)
+    return pairs, found[-1], left
 
 
 def peel(x: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
@@ -309,10 +339,24 @@ def judge(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, band: int, bands: Ban
     return out
 
 
-def _near(pairs: DataFrame, reps: DataFrame, bands: Bands) -> DataFrame:
-    """The pairs within the Hamming bound. Only lower halves are shuffled; the other side is read where it lies."""
+def _sides(pairs: DataFrame, reps: DataFrame, strip=None) -> DataFrame:
+    """The pairs (a, b) with the sketches of both; ``strip`` shortens those of a before they move.
+
+    b may be the hub of very many: its sketch is copied, one copy for every PARTNERS of them.
+    """
     cols = ["n", "g1", "s1", "g2", "s2"]
     side = lambda x: reps.select(F.col("rep").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in cols])
+    many = stage(pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("copies")), "jaccard-hubs")
+    salted = pairs.select("a", "b").join(many, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("copies")).cast("int").alias("copy"))
+    left = salted.join(side("a"), "a").select("a", "b", "copy", *[f"a_{c}" for c in cols])
+    if strip:
+        left = left.mapInArrow(strip, left.schema)
+    right = side("b").join(many, "b").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
+    return left.join(right, ["b", "copy"])
+
+
+def _near(pairs: DataFrame, reps: DataFrame, bands: Bands) -> DataFrame:
+    """The pairs within the Hamming bound. Of one side only lower halves move."""
 
     def low(band: int, sketch: bytes) -> np.ndarray:
         return (np.frombuffer(sketch, U, int(bands.places[band])) & LOW).astype(np.uint32)
@@ -339,14 +383,11 @@ def _near(pairs: DataFrame, reps: DataFrame, bands: Bands) -> DataFrame:
             take = pa.array(hit, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("a").take(take), batch.column("b").take(take)], ["a", "b"])
 
-    first = pairs.select("a", "b").join(side("a"), "a").select("a", "b", *[f"a_{c}" for c in cols])
-    return first.mapInArrow(strip, first.schema).join(side("b"), "b").mapInArrow(check, "a long, b long")
+    return _sides(pairs, reps, strip).mapInArrow(check, "a long, b long")
 
 
 def _verified(pairs: DataFrame, reps: DataFrame, bands: Bands) -> DataFrame:
     """(a, b, state) of the candidates that are linked (1) or can't be told (2)."""
-    cols = ["n", "g1", "s1", "g2", "s2"]
-    side = lambda x: reps.select(F.col("rep").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in cols])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -365,7 +406,7 @@ def _verified(pairs: DataFrame, reps: DataFrame, bands: Bands) -> DataFrame:
                 take = pa.array(i[hit])
                 yield pa.RecordBatch.from_arrays([batch.column("a").take(take), batch.column("b").take(take), pa.array(state[hit].astype(np.int32))], ["a", "b", "state"])
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(check, "a long, b long, state int")
+    return _sides(pairs, reps).mapInArrow(check, "a long, b long, state int")
 
 
 def _from_texts(docs: DataFrame, pairs: DataFrame, size: int, bands: Bands) -> DataFrame:
@@ -447,7 +488,9 @@ def _within_families(member: DataFrame, bands: Bands) -> DataFrame:
     rows = stage(each(1).unionByName(each(2)), "jaccard-members")
     sizes = rows.groupBy("family", "band").agg(F.count(F.lit(1)).alias("m"), F.countDistinct("comp").alias("comps")).where("comps > 1")
     wide = np.maximum(8 * (bands.places + 3 * bands.cells), 1)
-    held = F.element_at(F.array(*[F.lit(max(64, BLOCK_BYTES // int(w))) for w in wide]), F.col("band") + 1)
+    most = F.element_at(F.array(*[F.lit(max(1, BLOCK_BYTES // int(w))) for w in wide]), F.col("band") + 1)
+    # small enough to be dealt evenly, large enough that no row is copied more than some 16 times
+    held = F.least(most, F.greatest(F.lit(BLOCK_ROWS), F.ceil(F.col("m") / 16)))
     rows = rows.join(stage(sizes.select("family", "band", F.ceil(F.col("m") / held).alias("blocks")), "jaccard-sizes"), ["family", "band"])
     rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     rows = rows.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
@@ -464,24 +507,21 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     # a sketch takes about four bytes for each shingle; a key of eight bytes comes from two shingles at least
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total * 4 / 16e6))
     bits = max(3, math.ceil(math.log2(max(1, total / 2 / 1_000_000))))
-    reps = _by_rep(slim, classes, size, bands, buckets)
+    reps, name = _by_rep(slim, classes, size, bands, buckets)
 
-    pairs = stage(_candidates(reps, bands, bits), "jaccard-pairs")
+    pairs, last, touched = _unsettled(reps, classes.count(), bands, bits)
     # first each document with one other; then the pairs that this has left in different components
     hubs = stage(pairs.groupBy("a").agg(F.min("b").alias("b")), "jaccard-hubs")
     links = _settled(slim, hubs, reps, size, bands)
     apart = stage(_near(_apart(pairs, components(links)), reps, bands), "jaccard-near")
     links = stage(links.unionByName(_settled(slim, apart, reps, size, bands)), "jaccard-links")
     labels = components(links)
-    opened = pairs.where("open")
-    apart = _apart(opened, labels)
+    apart = _apart(last.where("open"), labels)
     families = components(apart.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
 
     label = labels.select(F.col("node").alias("rep"), "comp")
     member = families.select(F.col("node").alias("comp"), F.col("comp").alias("family"))
     alone = member.join(label, "comp", "left_anti").select(F.col("comp").alias("rep"), "comp", "family")
-    # all pairs of documents without an open key are settled
-    touched = opened.select(F.col("a").alias("rep")).union(opened.select("b")).distinct()
     placed = label.join(member, "comp").select("rep", "comp", "family").unionByName(alone).join(touched, "rep", "left_semi")
     placed = stage(placed, "jaccard-placed")
     more = stage(_within_families(reps.join(placed, "rep"), bands), "jaccard-more")
@@ -489,7 +529,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     unsure = more.where("state = 2")
     if unsure.limit(1).count():
         links = links.unionByName(_from_texts(slim, unsure, size, bands))
-    final = components(stage(links, "jaccard-all")).select(F.col("node").alias("rep"), F.col("comp").alias("component"))
+    links = stage(links, "jaccard-all")
+    docs.sparkSession.sql(f"DROP TABLE {name}")  # its files go with the other intermediate tables
+    final = components(links).select(F.col("node").alias("rep"), F.col("comp").alias("component"))
     found = stage(classes.join(final, "rep", "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("component")), "jaccard-found")
     rows = sets.join(found, ["n", "f1", "f2"], "left")
     out = rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
@@ -508,7 +550,7 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """The pairs whose documents are in different components ca and cb."""
     at = lambda x: labels.select(F.col("node").alias(x), F.col("comp").alias(f"c{x}"))
     rows = pairs.join(at("a"), "a", "left").join(at("b"), "b", "left").select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
-    return stage(rows.where("ca <> cb"), "jaccard-apart")
+    return stage(rows.where("ca <> cb").distinct(), "jaccard-apart")
 
 
 def drop_near_duplicates(docs: DataFrame, **settings) -> DataFrame:

@@ -8,20 +8,23 @@ Counting every window of a corpus moves eight bytes and more for each word, so i
 2. The other windows are counted by their own hash: one that also starts in a document with a smaller id is marked, and
    the marked windows of a document merge into maximal intervals of words to remove.
 
+The first round's hashes have 64 bits: one met by chance in two documents lets a window through that the second round then
+rules out. The second round compares 128 bits, from two hashes of every word that share nothing.
+
 Hashes travel sorted, in blobs per map batch and key range, with byte planes compressed; a batch sends each hash once,
 with its smallest document, and settles the others itself, so a passage in a third of all documents is no hot key. The
 texts are dealt by document once; both joins read the same exchange.
 
 Defined results: null or short text has no windows and loses nothing. A row without doc_id holds no windows and loses
-nothing. Rows that repeat a doc_id are one document: what is marked for one is marked for each. 64-bit fingerprints stand
-for words: among N windows about N*N/2**65 pairs of different ones would be taken as equal.
+nothing. Rows that repeat a doc_id are one document: what is marked for one is marked for each. 128-bit fingerprints stand
+for words: among N windows about N*N/2**129 pairs of different ones would be taken as equal.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import Words, chunks, mix64
+from .words import OTHER, Words, chunks, mix64
 
 PACKED = "bucket int, marks binary, blob binary"
 MARKED = "part int, marks binary"
@@ -44,20 +47,21 @@ def _unplanes(data: bytes, n: int, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, n).T).view(kind).ravel()
 
 
-def encode(h: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> bytes:
+def encode(hashes: Sequence[np.ndarray], doc: np.ndarray, pos: np.ndarray) -> bytes:
     ids, back = np.unique(doc, return_inverse=True)
-    head = np.array([len(h), len(ids)], np.int64).tobytes()
+    head = np.array([len(doc), len(ids), len(hashes)], np.int64).tobytes()
     steps = np.diff(ids, prepend=0)
-    return zstandard.compress(head + _planes(h) + _planes(steps) + _planes(back.astype(np.uint32)) + _planes(pos.astype(np.uint32)), 1)
+    return zstandard.compress(head + b"".join(map(_planes, hashes)) + _planes(steps) + _planes(back.astype(np.uint32)) + _planes(pos.astype(np.uint32)), 1)
 
 
-def decode(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def decode(blob: bytes) -> tuple[np.ndarray, ...]:
+    """The hashes, the documents and the positions."""
     raw = zstandard.decompress(blob)
-    n, m = np.frombuffer(raw[:16], np.int64)
-    at = np.cumsum([16, 8 * n, 8 * m, 4 * n, 4 * n])
+    n, m, k = np.frombuffer(raw[:24], np.int64)
+    at = np.cumsum([24, *[8 * n] * int(k), 8 * m, 4 * n, 4 * n])
     part = [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
-    ids = np.cumsum(_unplanes(part[1], m, np.int64))
-    return _unplanes(part[0], n, np.uint64), ids[_unplanes(part[2], n, np.uint32)], _unplanes(part[3], n, np.uint32).astype(np.int32)
+    ids = np.cumsum(_unplanes(part[-3], m, np.int64))
+    return *(_unplanes(x, n, np.uint64) for x in part[:-3]), ids[_unplanes(part[-2], n, np.uint32)], _unplanes(part[-1], n, np.uint32).astype(np.int32)
 
 
 def encode_marks(doc: np.ndarray, pos: np.ndarray) -> bytes:
@@ -73,40 +77,41 @@ def decode_marks(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return ids[_unplanes(raw[16 + 8 * m : 16 + 8 * m + 4 * n], n, np.uint32)], _unplanes(raw[16 + 8 * m + 4 * n :], n, np.uint32).astype(np.int32)
 
 
-def settle(h: np.ndarray, doc: np.ndarray, shared: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def settle(hashes: Sequence[np.ndarray], doc: np.ndarray, shared: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Order by hash, which entries are marked, and which is the first of its hash in that order.
 
-    An entry is marked if its hash is also in a smaller document, or with ``shared`` if it is in another one.
+    Entries are equal if all their hashes are. An entry is marked if it is also in a smaller document, or with ``shared``
+    if it is in another one.
     """
-    order = np.lexsort((doc, h))
-    h, doc = h[order], doc[order]
-    edge = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-    run = np.diff(np.concatenate([edge, [len(h)]]))
+    order = np.lexsort((doc, *reversed(hashes)))
+    hashes, doc = [h[order] for h in hashes], doc[order]
+    lead = np.ones(len(doc), bool)
+    lead[1:] = np.any([h[1:] != h[:-1] for h in hashes], axis=0)
+    edge = np.flatnonzero(lead)
+    run = np.diff(np.concatenate([edge, [len(doc)]]))
     marked = doc > np.repeat(doc[edge], run)
-    if shared and len(h):
+    if shared and len(doc):
         marked = np.repeat(np.maximum.reduceat(marked, edge), run)
-    lead = np.zeros(len(h), bool)
-    lead[edge] = True
     return order, marked, lead
 
 
-def _packed(h: np.ndarray, doc: np.ndarray, pos: np.ndarray, bits: int, shared: bool) -> Iterator[pa.RecordBatch]:
+def _packed(hashes: Sequence[np.ndarray], doc: np.ndarray, pos: np.ndarray, bits: int, shared: bool) -> Iterator[pa.RecordBatch]:
     """Blobs of a batch per key range, and what the batch could mark by itself."""
-    order, marked, lead = settle(h, doc, shared)
-    h, doc, pos = h[order], doc[order], pos[order]
+    order, marked, lead = settle(hashes, doc, shared)
+    hashes, doc, pos = [h[order] for h in hashes], doc[order], pos[order]
     # a marked entry needs no answer; each hash is sent once, or for all runs of the one document that holds it
     if marked.any():
         bucket = int(mix64(doc[:1].view(np.uint64))[0] >> np.uint64(64 - bits))
         yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([encode_marks(doc[marked], pos[marked])]), pa.nulls(1, pa.binary())], ["bucket", "marks", "blob"])
     send = ~marked | lead
-    h, doc, pos = h[send], doc[send], pos[send]
-    if not len(h):
+    hashes, doc, pos = [h[send] for h in hashes], doc[send], pos[send]
+    if not len(doc):
         return
-    key = (h >> np.uint64(64 - bits)).astype(np.int64)
+    key = (hashes[0] >> np.uint64(64 - bits)).astype(np.int64)
     cuts = np.searchsorted(key, np.arange((1 << bits) + 1))
     for b in np.flatnonzero(np.diff(cuts)):
         s = slice(cuts[b], cuts[b + 1])
-        yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.nulls(1, pa.binary()), pa.array([encode(h[s], doc[s], pos[s])])], ["bucket", "marks", "blob"])
+        yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.nulls(1, pa.binary()), pa.array([encode([h[s] for h in hashes], doc[s], pos[s])])], ["bucket", "marks", "blob"])
 
 
 def _counted(shared: bool, parts: int) -> Callable[[pa.Table], pa.Table]:
@@ -116,8 +121,8 @@ def _counted(shared: bool, parts: int) -> Callable[[pa.Table], pa.Table]:
         held = [decode(b) for b in table["blob"].to_pylist() if b is not None]
         found = [decode_marks(b) for b in table["marks"].to_pylist() if b is not None]
         if held:
-            h, doc, pos = (np.concatenate(x) for x in zip(*held, strict=True))
-            order, marked, _ = settle(h, doc, shared)
+            *hashes, doc, pos = (np.concatenate(x) for x in zip(*held, strict=True))
+            order, marked, _ = settle(hashes, doc, shared)
             found.append((doc[order][marked], pos[order][marked]))
         doc, pos = (np.concatenate(x) for x in zip(*found, strict=True))
         part = (mix64(doc.view(np.uint64)) >> np.uint64(32)).astype(np.int64) % parts
@@ -197,14 +202,18 @@ def substring_dedup(docs: DataFrame, size: int = 13, short: int = 7, per_task: i
                 ids = batch.column("doc_id").to_numpy(zero_copy_only=False)[doc]
                 held.append((least[begin], ids[begin], (at - w.bounds[doc])[begin]))
             if held:
-                yield from _packed(*(np.concatenate(x) for x in zip(*held, strict=True)), bits, True)
+                h, doc, pos = (np.concatenate(x) for x in zip(*held, strict=True))
+                yield from _packed([h], doc, pos, bits, True)
 
     def by_document(packed: DataFrame, shared: bool) -> DataFrame:
         marks = packed.groupBy("bucket").applyInArrow(_counted(shared, parts), MARKED)
         return marks.groupBy("part").applyInArrow(_collected, "__id long, marks array<int>")
 
     shared = by_document(texts.where("doc_id IS NOT NULL").mapInArrow(first_round, PACKED), True)
-    near = texts.join(shared, F.col("doc_id") == F.col("__id"), "left").select("doc_id", "text", "marks")
+    # rows without doc_id meet no marks: a second key spreads them
+    texts = texts.withColumn("spread", F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.lit(1 << 20)) + 1).otherwise(F.lit(0)).cast("long"))
+    same = (F.col("doc_id") == F.col("__id")) & (F.col("spread") == F.col("zero"))
+    near = texts.join(shared.withColumn("zero", F.expr("pmod(__id, 1L)")), same, "left").select("doc_id", "text", "marks")
 
     def second_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -219,12 +228,14 @@ def substring_dedup(docs: DataFrame, size: int = 13, short: int = 7, per_task: i
                 first = np.zeros(len(w.starts) + 1, bool)
                 first[np.repeat(w.bounds[:-1], ends) + flat] = True
                 take = (first[at] & begin)[np.flatnonzero(begin)][np.cumsum(begin) - 1]
-                held.append((hashes[take], ids[doc][take], (at - w.bounds[doc])[take]))
+                again, _ = w.windows(w.hashes(OTHER), size, OTHER)
+                held.append((hashes[take], again[take], ids[doc][take], (at - w.bounds[doc])[take]))
             if held:
-                yield from _packed(*(np.concatenate(x) for x in zip(*held, strict=True)), max(3, wide), False)
+                h, more, doc, pos = (np.concatenate(x) for x in zip(*held, strict=True))
+                yield from _packed([h, more], doc, pos, max(3, wide), False)
 
     found = by_document(near.mapInArrow(second_round, PACKED), False)
-    joined = texts.join(found, F.col("doc_id") == F.col("__id"), "left").select("doc_id", "text", "marks")
+    joined = texts.join(found.withColumn("zero", F.expr("pmod(__id, 1L)")), same, "left").select("doc_id", "text", "marks")
 
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

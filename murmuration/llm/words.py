@@ -16,6 +16,7 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 BASE = np.uint64(0x9E3779B97F4A7C15)
+OTHER = np.uint64(0xD1B54A32D192ED03)  # of a second, independent hash
 CHUNK = 2 << 20  # bytes of text looked at together; one longer text is a chunk of its own
 
 
@@ -30,8 +31,8 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(n: int) -> np.ndarray:
-    p = np.full(max(n, 1), BASE, np.uint64)
+def powers(n: int, base: np.uint64 = BASE) -> np.ndarray:
+    p = np.full(max(n, 1), base, np.uint64)
     p[0] = 1
     return np.multiply.accumulate(p)
 
@@ -87,7 +88,7 @@ class Words:
         """The text of each word."""
         return np.repeat(np.arange(len(self.counts)), self.counts)
 
-    def hashes(self) -> np.ndarray:
+    def hashes(self, base: np.uint64 = BASE) -> np.ndarray:
         """64 bits for each word: a polynomial over its bytes, mixed."""
         if not len(self.starts):
             return np.zeros(0, np.uint64)
@@ -95,18 +96,18 @@ class Words:
         place = np.arange(len(self.data)) - np.repeat(
             np.concatenate([[0], self.starts]), np.diff(np.concatenate([[0], self.starts, [len(self.data)]]))
         )
-        terms = (self.data.astype(np.uint64) + np.uint64(1)) * powers(int(max(lengths.max(), place.max() + 1 if len(place) else 1)))[place]
+        terms = (self.data.astype(np.uint64) + np.uint64(1)) * powers(int(max(lengths.max(), place.max() + 1 if len(place) else 1)), base)[place]
         terms[~self.inside] = 0
         return mix64(np.add.reduceat(terms, self.starts))
 
-    def windows(self, hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    def windows(self, hashes: np.ndarray, size: int, base: np.uint64 = BASE) -> tuple[np.ndarray, np.ndarray]:
         """Rolling polynomial hash of every ``size`` consecutive words of one text, and the first word of each."""
         total = len(hashes) - size + 1
         if total <= 0:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
         rolled = np.zeros(total, np.uint64)
         for j in range(size):
-            rolled *= BASE
+            rolled *= base
             rolled += hashes[j : j + total]
         room = np.repeat(self.bounds[1:], self.counts)[:total] - np.arange(total)
         at = np.flatnonzero(room >= size)

@@ -149,6 +149,30 @@ def test_a_chain_without_a_common_hub(spark, monkeypatch, small):
         chain.append((100 - k, " ".join(w)))
     got = jaccard.near_duplicates(spark.createDataFrame(chain, "doc_id long, text string"), 3, 90)
     assert [r[0] for r in got.select("component_id").distinct().collect()] == [89]
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("jaccard")]
+
+
+def test_many_near_copies_and_a_shared_passage(spark):
+    """Copies that differ from one text in one to four places, and texts of their own around one passage."""
+    rng = random.Random(11)
+    word = lambda: "v%d" % rng.randrange(100_000)
+    base, passage, rows = [word() for _ in range(120)], [word() for _ in range(60)], []
+    for i in range(700):
+        w = list(base)
+        for _ in range(1 + i % 4):
+            w[rng.randrange(len(w))] = word()
+        rows.append((i, " ".join(w)))
+    rows += [(1000 + i, " ".join([word() for _ in range(30)] + passage + [word() for _ in range(30 + i % 5)])) for i in range(300)]
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()}
+    sets = {i: {tuple(w[k : k + 3]) for k in range(len(w) - 2)} for i, w in ((i, t.split()) for i, t in rows)}
+    comp = {i: i for i in sets}
+    root = lambda x: x if comp[x] == x else root(comp[x])
+    for i in sets:
+        for j in sets:
+            if i < j and 100 * len(sets[i] & sets[j]) >= 90 * len(sets[i] | sets[j]) and root(i) != root(j):
+                a, b = sorted((root(i), root(j)))
+                comp[b] = a
+    assert got == {i: root(i) for i in sets} and len(set(got.values())) > 301
 
 
 def test_packing(docs, rows, empty):
