@@ -2,16 +2,17 @@
 
 * A character language model (trigrams over 28 classes: a-z, other letters, boundary) is counted in Spark over the words of
   all texts; its table has a fixed size, its counts grow with the corpus.
-* Words that may be obfuscated (any sign of leetspeak, runs of one letter, letters set apart by spaces or separators)
-  become character lattices: every character has its readings with a channel cost, a run of a letter may be one, two or
-  all of its letters. Viterbi search under the model picks the reading. Signs at the end of a word may be marks or
-  letters: both are read, and a word with signs of leetspeak also counts as it is written.
+* Words that may be obfuscated (any sign of leetspeak, a letter twice or more in a row, letters set apart by spaces or
+  separators) become character lattices: every character has its readings with a channel cost, a run of a letter may be
+  one, two or all of its letters. Viterbi search under the model picks the reading. Signs at the end of a word may be marks
+  or letters: both are read. A word with signs of leetspeak or with doubled letters only also counts as it is written.
 * Restored texts are scored: a log-odds table over words and word beginnings, learnt from labelled rows, summed over a
   document's distinct features and calibrated by logistic regression.
 
-Learning uses at most ``max_rows`` labelled rows outside the held-out fold and at most ``max_features`` features.
-Defined results: null text is empty; without both classes among the labels every score is the labels' mean (0 without
-labels). Repeated rows are scored each.
+Learning uses at most ``max_rows`` labelled rows outside the held-out fold; all their features that pass the weight rule are
+kept. Defined results: null text is empty; without both classes among the labels every score is the labels' mean (0 without
+labels). Repeated rows are scored each; of rows that repeat a doc_id, the least text is learnt from. Other columns pass through;
+those named held_out or score are left out.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .quality import labelled, remainder
 from .scratch import stage
-from .words import BASE, LOWER, Words, chunks, mix64
+from .words import BASE, LOWER, Words, chunks, mix64, powers
 
 SYMBOLS = 28
 CLASS = np.zeros(256, np.int64)
@@ -143,7 +144,7 @@ class Restorer:
 
 
 def suspects(w: Words) -> np.ndarray:
-    """For each word: 1 if its own characters hide something, 2 if it is one of several single characters in a row."""
+    """For each word: 1 if its own characters may hide something, 3 if it has no more than doubled letters, 2 if it is one of several single characters in a row."""
     n = len(w.starts)
     if not n:
         return np.zeros(0, np.int8)
@@ -151,17 +152,18 @@ def suspects(w: Words) -> np.ndarray:
     letter, leet = _letters[d], _leet[d] & w.inside
     count = lambda x: np.add.reduceat(x & w.inside, w.starts)
     mixed = count(leet) > 0
-    triple = np.zeros(len(d), bool)
+    triple, double, low = np.zeros(len(d), bool), np.zeros(len(d), bool), LOWER[d]
+    double[:-1] = (low[:-1] == low[1:]) & letter[:-1] & (low[:-1] < 128) & w.inside[1:]
     if len(d) > 2:
-        low = LOWER[d]
         triple[:-2] = (low[:-2] == low[1:-1]) & (low[1:-1] == low[2:]) & (letter | leet)[:-2] & w.inside[1:-1] & w.inside[2:]
     runs = count(triple & (letter | leet)) > 0
+    doubled = count(double) > 0
     apart = np.zeros(len(d), bool)
     if len(d) > 4:
         s, ll = _separator[d], letter | leet
         apart[:-4] = ll[:-4] & s[1:-3] & ll[2:-2] & s[3:-1] & ll[4:]
     spelt = count(apart) > 0
-    own = (size > 2) & (mixed | runs | spelt)
+    own = (size > 2) & (mixed | runs | spelt | doubled)
     # letters set apart by spaces: words of one character, the last perhaps with a mark behind it
     one = (size == 1) & (letter | leet)[w.starts]
     tail = (size == 2) & letter[w.starts] & ~_plain[d[w.ends - 1]]
@@ -170,7 +172,7 @@ def suspects(w: Words) -> np.ndarray:
     same[1:] = (doc[1:] == doc[:-1]) & one[:-1] & (one | tail)[1:]
     linked = same.copy()
     linked[:-1] |= same[1:]
-    out = np.where(own, 1, 0).astype(np.int8)
+    out = np.where(own, np.where(mixed | runs | spelt, 1, 3), 0).astype(np.int8)
     out[linked] = 2
     return out
 
@@ -184,7 +186,7 @@ def _groups(w: Words, kind: np.ndarray) -> Iterator[tuple[int, int]]:
     i = 0
     while i < len(at):
         a = at[i]
-        if kind[a] == 1:
+        if kind[a] != 2:
             yield a, a + 1
             i += 1
             continue
@@ -226,14 +228,18 @@ def _feature_hashes(w: Words) -> list[np.ndarray]:
     first = np.minimum.reduceat(np.where(plain, at, len(d)), w.starts)
     last = np.maximum.reduceat(np.where(plain, at, -1), w.starts)
     length = np.maximum(last - first + 1, 0)
-    first = np.minimum(first, len(d) - 1)
-    h, out, whole = np.zeros(len(first), np.uint64), [], np.zeros(len(first), np.uint64)
-    for j in range(24):
+    first = np.where(length > 0, first, w.starts)
+    h, out = np.zeros(len(first), np.uint64), []
+    for j in range(max(PREFIXES)):
         inside = length > j
         h = h * BASE + np.where(inside, d[np.minimum(first + j, len(d) - 1)].astype(np.uint64) + np.uint64(1), np.uint64(0))
         if j + 1 in PREFIXES:
             out.append(np.where(length > j + 1, mix64(h ^ np.uint64(0xA5A5 + j)), np.uint64(0)))
-    whole = np.where(length > 0, mix64(h + length.astype(np.uint64)), np.uint64(0))
+    # every byte from the first plain one to the last, by its place
+    ends = np.stack([first, np.minimum(first + np.maximum(length, 1), len(d))], 1).ravel()
+    place = np.maximum(at - np.repeat(np.concatenate([[0], first]), np.diff(np.concatenate([[0], first, [len(d)]]))), 0)
+    terms = np.concatenate([(d.astype(np.uint64) + np.uint64(1)) * powers(int(place.max()) + 1)[place], np.zeros(1, np.uint64)])
+    whole = np.where(length > 0, mix64(np.add.reduceat(terms, ends)[::2] * BASE + length.astype(np.uint64)), np.uint64(0))
     return [whole, *out]
 
 
@@ -246,7 +252,7 @@ def document_features(column: pa.Array, restorer: Restorer) -> tuple[np.ndarray,
     signs = np.add.reduceat(_leet[w.data] & w.inside, w.starts) > 0 if len(w.starts) else drop
     for a, b in _groups(w, kind):
         text = raw[w.starts[a] : w.ends[b - 1]].decode("utf-8", "replace")
-        drop[a:b] = not signs[a:b].any() or b - a > 1
+        drop[a:b] = b - a > 1 or not (signs[a] or kind[a] == 3)
         for word in _readings(text, restorer):
             docs.append(doc[a])
             read.append(word)
@@ -303,13 +309,13 @@ class Scorer:
 
     @staticmethod
     def _design(s: np.ndarray) -> np.ndarray:
-        return np.column_stack([np.ones(len(s)), np.minimum(s[:, 0], 20), s[:, 1]])
+        return np.column_stack([np.ones(len(s)), np.sign(s[:, 0]) * np.log1p(np.abs(s[:, 0])), s[:, 1]])
 
     def calibrate(self, s: np.ndarray, y: np.ndarray) -> None:
         x = self._design(s)
         beta = np.array([np.log(self.prior / (1 - self.prior)), 0.0, 0.0])
         for _ in range(25):
-            p = 1 / (1 + np.exp(-x @ beta))
+            p = 1 / (1 + np.exp(np.clip(-x @ beta, -700, 700)))
             hess = (x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(3)
             beta += np.clip(np.linalg.solve(hess, x.T @ (y - p) - 0.1 * beta * [0, 1, 1]), -2, 2)
         self.line = beta
@@ -317,17 +323,17 @@ class Scorer:
     def score(self, s: np.ndarray) -> np.ndarray:
         if self.line is None:
             return np.full(len(s), self.prior)
-        return 1 / (1 + np.exp(-self._design(s) @ self.line))
+        return 1 / (1 + np.exp(np.clip(-self._design(s) @ self.line, -700, 700)))
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int = 4, held: int = 2, max_rows: int = 20_000, max_features: int = 4096, min_docs: int = 5) -> DataFrame:
-    """doc_id, held_out, score and the columns of ``docs`` for every row of ``docs``."""
+def _scored(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int = 4, held: int = 2, max_rows: int = 20_000, min_docs: int = 5) -> DataFrame:
+    """row (the columns of ``docs`` as a struct), held_out and score."""
     spark = docs.sparkSession
     sc = spark.sparkContext
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     model = sc.broadcast(gather_model(texts))
     sample = F.broadcast(stage(labelled(docs, labels, label, parts, held, max_rows), "toxic-labels"))
-    train = stage(texts.join(sample, "doc_id").dropDuplicates(["doc_id"]), "toxic-train")
+    train = stage(texts.join(sample, "doc_id").groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.max("label").alias("label")), "toxic-train")
 
     def feature_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(model.value)
@@ -352,7 +358,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", par
     # evidence shrinks by one standard error of the log-odds, so chance finds in few documents weigh little
     error = F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("n") - F.col("t") + 0.5))
     weighed = counts.where(F.col("t") >= min_docs).withColumn("weight", odds - error).where(F.col("weight") > 1.0)
-    learnt = weighed.orderBy(F.desc(F.col("weight") * F.sqrt("t")), "feature").limit(max_features if 0 < toxic < rows else 0).select("feature", "weight").toArrow().combine_chunks()
+    # bounded by the labelled rows, since each feature is in some of them
+    learnt = weighed.where(F.lit(0 < toxic < rows)).orderBy("feature").select("feature", "weight").toArrow().combine_chunks()
     scorer = Scorer(learnt["feature"].to_numpy().view(np.uint64) if learnt.num_rows else np.zeros(0, np.uint64), learnt["weight"].to_numpy() if learnt.num_rows else np.zeros(0), prior)
     if 0 < toxic < rows:
         first = sc.broadcast(scorer)
@@ -373,14 +380,21 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", par
         for whole in batches:
             for batch in chunks(whole):
                 s = final.value.score(final.value.sums(batch.column("text"), restorer))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s)], [*batch.schema.names, "__score"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s)], [*batch.schema.names, "score"])
 
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    full = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *rest)
-    found = full.mapInArrow(scored, full.withColumn("__score", F.lit(0.0)).schema)
-    return found.withColumn("held_out", F.coalesce(remainder(F.col("doc_id"), parts) == held, F.lit(False))).withColumnRenamed("__score", "score")
+    # the other columns go as one, so that none of their names can clash
+    full = docs.select(F.col("text").cast("string").alias("text"), F.struct(*docs.columns).alias("row"))
+    found = full.mapInArrow(scored, full.withColumn("score", F.lit(0.0)).schema)
+    held_out = F.coalesce(remainder(F.col("row.doc_id").cast("long"), parts) == held, F.lit(False))
+    return found.select("row", held_out.alias("held_out"), "score")
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
+    """The columns of ``docs`` with held_out and score, for every row."""
+    names = [c for c in docs.columns if c.lower() not in ("held_out", "score")]
+    return _scored(docs, labels, **settings).select(*[F.col("row").getField(c).alias(c) for c in names], "held_out", "score")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **settings) -> DataFrame:
     """The rows of ``docs`` that score below ``threshold``, with their columns."""
-    return score_toxicity(docs, labels, **settings).where(F.col("score") < threshold).select(*docs.columns)
+    return _scored(docs, labels, **settings).where(F.col("score") < threshold).select("row.*")
