@@ -6,7 +6,8 @@ a shared table. Counting has map-side combine; only hashes with enough rows go o
 the positions to drop come back to each document as one sorted array from which whole slices of lines are kept.
 
 Defined results: null or empty text is one empty line. A row without doc_id holds no key and loses nothing. Rows that
-repeat a doc_id count as one document; each loses its own lines. An empty table gives an empty result.
+repeat a doc_id count as one document; each loses its own lines. An empty table gives an empty result. Other columns pass
+through; those that have the name of a result are left out.
 """
 
 from __future__ import annotations
@@ -45,7 +46,11 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataF
     drops = hits.join(common, ["h1", "h2"]).where("doc_id <> last").groupBy("doc_id", "mark").agg(F.array_sort(F.collect_set("pos")).alias("__drop"))
     text = F.coalesce(F.col("text"), F.lit(""))
     drops = drops.withColumnRenamed("doc_id", "__id").withColumnRenamed("mark", "__mark")
-    rows = docs.withColumn("__key", F.xxhash64(text))
+    # the other columns go as one, so that none of their names can clash
+    mine = {"kept_text", "n_lines", "n_dropped"}
+    names = [c for c in docs.columns if c.lower() not in mine]
+    rows = docs.select("doc_id", F.struct(*names).alias("row"), text.alias("__text"), F.xxhash64(text).alias("__key"))
+    text = F.col("__text")
     rows = rows.join(drops, (F.col("doc_id") == F.col("__id")) & (F.col("__key") == F.col("__mark")), "left")
     rows = rows.withColumn("__lines", F.split(text, "\n"))
     kept = F.flatten(
@@ -56,7 +61,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataF
         )
     )
     return rows.select(
-        *docs.columns,
+        *[F.col("row").getField(c).alias(c) for c in names],
         F.when(F.col("__drop").isNull(), text).otherwise(F.array_join(kept, "\n")).alias("kept_text"),
         F.size("__lines").cast("long").alias("n_lines"),
         F.coalesce(F.size("__drop"), F.lit(0)).cast("long").alias("n_dropped"),
