@@ -15,6 +15,7 @@ table gives an empty result.
 
 from __future__ import annotations
 
+import itertools
 import math
 import os
 import unicodedata
@@ -207,15 +208,20 @@ def shortest_pack_first(histogram: dict[int, int], width: int = WIDTH) -> list[t
     return sorted((p, n) for group in open_.values() for p, n in group.items())
 
 
-def slots(patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int, int, int]]:
-    """(length, first rank, end rank, first sequence, offset) of each place in each pattern."""
+def slots(patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int, int, int, int]]:
+    """(length, first rank, end rank, first sequence, first offset, packs) of each run of one length in each pattern.
+
+    A step of ``shortest_pack_first`` adds at most three patterns for a length, and a pattern has at most some sqrt(2 * width)
+    different lengths: the table has a bound that the corpus doesn't move.
+    """
     out, rank, sequence = [], defaultdict(int), 0
     for pattern, n in patterns:
         offset = 0
-        for length in pattern:
-            out.append((length, rank[length], rank[length] + n, sequence, offset))
-            rank[length] += n
-            offset += length
+        for length, run in itertools.groupby(pattern):
+            m = len(list(run))
+            out.append((length, rank[length], rank[length] + n * m, sequence, offset, n))
+            rank[length] += n * m
+            offset += length * m
         sequence += n
     return out
 
@@ -230,16 +236,19 @@ def pack(docs: DataFrame, path: str | None = None, width: int = WIDTH, keep_ids:
     # at most ``width`` rows come to the driver
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     places = slots(shortest_pack_first(histogram, width))
-    schema = "length long, first long, end long, sequence long, offset long"
-    table = stage(spark.createDataFrame(pa.table(dict(zip(("length", "first", "end", "sequence", "offset"), map(list, zip(*places, strict=True)), strict=True))) if places else [], schema), "pack-patterns")
+    names = ("length", "first", "end", "sequence", "offset", "packs")
+    schema = ", ".join(f"{n} long" for n in names)
+    table = stage(spark.createDataFrame(pa.table(dict(zip(names, map(list, zip(*places, strict=True)), strict=True))) if places else [], schema), "pack-patterns")
 
     upto = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = stage(counts.select("length", "bucket", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("base")), "pack-ranks")
     within = Window.partitionBy("length", "bucket").orderBy("doc_id", "start", "ids_crc32")
     ranked = rows.withColumn("bucket", bucket).withColumn("inner", F.row_number().over(within) - 1)
-    ranked = ranked.join(base, ["length", "bucket"]).withColumn("rank", F.col("base") + F.col("inner"))
-    placed = ranked.join(table, "length").where((F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("end")))
+    ranked = ranked.join(base.hint("merge"), ["length", "bucket"]).withColumn("rank", F.col("base") + F.col("inner"))
+    # the pieces lie by length and bucket for their ranks: the merge join moves them no further. The patterns are bounded
+    placed = ranked.join(F.broadcast(table), "length").where((F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("end")))
     return placed.select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens",
-        (F.col("sequence") + F.col("rank") - F.col("first")).alias("sequence_id"), "offset", *(["ids"] if keep_ids else []),
+        (F.col("sequence") + (F.col("rank") - F.col("first")) % F.col("packs")).alias("sequence_id"),
+        (F.col("offset") + F.expr("(rank - first) div packs") * F.col("length")).alias("offset"), *(["ids"] if keep_ids else []),
     )
