@@ -8,7 +8,8 @@ A turn is ``<|im_start|>role\\ncontent<|im_end|>\\n``. Inside roles and contents
 role becomes ``\\n`` after doubling its backslashes. The loss mask covers the contents of assistant turns.
 
 Defined results: null role or text is empty. Turns go by turn (null first), role, text; repeated rows are repeated turns.
-Rows without conv_id form one conversation without id. An empty table gives an empty result.
+Rows without conv_id form one conversation without id. An empty table gives an empty result. A formatted conversation is one
+Spark string, so it has less than 2 GiB, and the task that writes it holds it.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from .words import bytes_of
 
 START, END, BREAK = b"<|im_start|>", b"<|im_end|>\n", b"\n"
 TRAINED = "assistant"
-NO_ID = -(1 << 63)
-SCHEMA = "conv_id long, formatted string, loss array<struct<start:int,end:int>>"
+CHUNK = 16 << 20  # bytes of roles and texts assembled together; one longer conversation is a chunk of its own
+SCHEMA = "conv_id long, formatted string, loss array<struct<start:long,end:long>>"
 
 
 def escape(texts: pa.Array) -> pa.Array:
@@ -52,11 +53,19 @@ def _copy(out: np.ndarray, to: np.ndarray, data: np.ndarray, offsets: np.ndarray
     out[np.repeat(to - offsets[:-1], lengths) + np.arange(len(data))] = data
 
 
-def assemble(ids: np.ndarray, roles: pa.Array, texts: pa.Array) -> pa.RecordBatch:
+def _begins(conv: pa.Array) -> np.ndarray:
+    """Which rows begin a conversation; null is an id of its own."""
+    ids, none = pc.fill_null(conv, 0).to_numpy(), pc.is_null(conv).to_numpy(zero_copy_only=False)
+    out = np.ones(len(ids), bool)
+    out[1:] = (ids[1:] != ids[:-1]) | (none[1:] != none[:-1])
+    return out
+
+
+def assemble(conv: pa.Array, roles: pa.Array, texts: pa.Array) -> pa.RecordBatch:
     """Whole conversations, rows in order, to one row each."""
     role, role_at = bytes_of(escape_role(roles))
     text, text_at = bytes_of(escape(texts))
-    n = len(ids)
+    n = len(conv)
     lengths = np.empty((n, 5), np.int64)
     lengths[:, 0], lengths[:, 1], lengths[:, 2], lengths[:, 3], lengths[:, 4] = len(START), np.diff(role_at), 1, np.diff(text_at), len(END)
     ends = np.cumsum(lengths.ravel()).reshape(n, 5)
@@ -67,38 +76,45 @@ def assemble(ids: np.ndarray, roles: pa.Array, texts: pa.Array) -> pa.RecordBatc
     _copy(out, begins[:, 1], role, role_at)
     _copy(out, begins[:, 3], text, text_at)
 
-    first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+    first = np.flatnonzero(_begins(conv))
     offsets = np.concatenate([begins[first, 0], [len(out)]])
     formatted = pa.Array.from_buffers(pa.large_string(), len(first), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(out)])
     base = np.repeat(offsets[:-1], np.diff(np.concatenate([first, [n]])))
     trained = pc.equal(roles, TRAINED).to_numpy(zero_copy_only=False)
-    spans = pa.StructArray.from_arrays([pa.array((x - base)[trained].astype(np.int32)) for x in (begins[:, 3], ends[:, 3])], ["start", "end"])
+    spans = pa.StructArray.from_arrays([pa.array((x - base)[trained]) for x in (begins[:, 3], ends[:, 3])], ["start", "end"])
     upto = np.concatenate([[0], np.cumsum(trained)])[np.concatenate([first, [n]])]
     loss = pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), spans)
-    conv = pa.array(ids[first], mask=ids[first] == NO_ID)
-    return pa.RecordBatch.from_arrays([conv, formatted.cast(pa.string()), loss], ["conv_id", "formatted", "loss"])
+    return pa.RecordBatch.from_arrays([conv.take(pa.array(first)), formatted.cast(pa.string()), loss], ["conv_id", "formatted", "loss"])
 
 
 def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     open_: list[pa.RecordBatch] = []  # the rows of the conversation that the batches so far end in
 
-    def done(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    def done(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(parts).combine_chunks()
-        return assemble(pc.fill_null(t["conv_id"], NO_ID).to_numpy(), *(pc.fill_null(t[c], "").combine_chunks() for c in ("role", "text")))
+        conv, role, text = (pa.concat_arrays(t[c].chunks) for c in ("conv_id", "role", "text"))
+        role, text = pc.fill_null(role, ""), pc.fill_null(text, "")
+        first = np.concatenate([np.flatnonzero(_begins(conv)), [len(conv)]])
+        size = np.concatenate([[0], np.cumsum(pc.binary_length(role).to_numpy() + pc.binary_length(text).to_numpy().astype(np.int64))])[first]
+        at = 0
+        while at < len(first) - 1:
+            to = max(at + 1, int(np.searchsorted(size, size[at] + CHUNK, "right")) - 1)
+            n = int(first[to] - first[at])
+            yield assemble(*(x.slice(int(first[at]), n) for x in (conv, role, text)))
+            at = to
 
     for batch in batches:
         if not len(batch):
             continue
-        ids = pc.fill_null(batch.column("conv_id"), NO_ID).to_numpy()
-        cut = int(np.flatnonzero(ids != ids[-1])[-1]) + 1 if (ids != ids[-1]).any() else 0
+        cut = int(np.flatnonzero(_begins(batch.column("conv_id")))[-1])
         if open_ and (cut or open_[-1].column("conv_id")[-1].as_py() != batch.column("conv_id")[-1].as_py()):
-            yield done([*open_, batch.slice(0, cut)] if cut else open_)
+            yield from done([*open_, batch.slice(0, cut)] if cut else open_)
             open_ = []
         elif cut:
-            yield done([batch.slice(0, cut)])
+            yield from done([batch.slice(0, cut)])
         open_.append(batch.slice(cut))
     if open_:
-        yield done(open_)
+        yield from done(open_)
 
 
 def format_conversations(turns: DataFrame) -> DataFrame:
