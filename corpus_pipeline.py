@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from murmuration.llm import exact_dedup, jaccard, mixing, packing, toxicity
-from murmuration.llm.scratch import stage
+from murmuration.llm.scratch import clear, mark, stage
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: The toxicity model and the packing can't be said in SQL; tests hold run() against a brute-force version.
+#: The toxicity model and the packing can't be said in SQL; tests/llm/test_pipeline.py holds every stage against plain Python.
 ORACLE_SQL = None
 
 
@@ -53,5 +53,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to ``documents``, one after another."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, apply in STAGES[:-1]:
+        began = mark()
         docs = stage(apply(spark, docs, sf_dir), f"pipeline-{name}")
+        clear(spark, began, keep=1)  # the stage's own intermediate tables
     return STAGES[-1][1](spark, docs, sf_dir)
