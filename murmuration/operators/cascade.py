@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import cross, dot, finite, minus, vector
+from ..functions.columns import dot, finite, minus, vector
 
 SIGN = {"p": 1, "m": -1}
 
@@ -62,6 +62,8 @@ def combinations(points: DataFrame) -> DataFrame:
     rows = ids.select(F.col("pid").alias("a"))
     for last, name in (("a", "b"), ("b", "c"), ("c", "d")):
         rows = rows.join(F.broadcast(ids.select(F.col("pid").alias(name))), F.col(last) < F.col(name))
+        if name == "b":  # the pairs are few rows: dealt, so that their combinations are made in many tasks
+            rows = rows.repartition("a", "b")
     return rows
 
 
@@ -88,41 +90,86 @@ def off_centre(rows: DataFrame, atol: float = 1e-12) -> DataFrame:
     return rows.where(F.sqrt(dot(c, c)) > atol)
 
 
-def rates(rows: DataFrame, least: float = 1e-6) -> DataFrame:
-    """epsilon+- = -1/4 trace of the affine gradient, through reciprocal vectors; null where the lags are coplanar."""
-    at = lambda v, n: vector(*[f"{v}_{n}{k}" for k in (1, 2, 3)])
-    l1, l2, l3 = (minus(at(v, "l"), at("a", "l")) for v in "bcd")
-    det = dot(l1, cross(l2, l3))
-    rows = rows.withColumn("det", det)
-    for n, y in (("eps_plus", "yp"), ("eps_minus", "ym")):
-        y1, y2, y3 = (minus(at(v, y), at("a", y)) for v in "bcd")
-        trace = (dot(y1, cross(l2, l3)) + dot(y2, cross(l3, l1)) + dot(y3, cross(l1, l2))) / F.col("det")
-        rows = rows.withColumn(n, F.when(F.abs("det") > least, trace * -0.25))
-    return rows
-
+MOST_CONDITION, MOST_D_EP = 1e12, 0.85
+RATES = "a long, b long, c long, d long, elongation double, planarity double, d_ep double, det double, condition double, eps_plus double, eps_minus double, reason string"
 
-SHAPE = "a long, b long, c long, d long, elongation double, planarity double, d_ep double, condition double"
 
+def rates(rows: DataFrame, most: float = MOST_CONDITION, tiny: float = 1e-12) -> DataFrame:
+    """Shape and cascade rates of each tetrahedron, in batches of 3 x 3 algebra.
 
-def shapes(rows: DataFrame) -> DataFrame:
-    """Elongation, planarity, their norm, and the condition number of the lag differences: batched 3 x 3 algebra."""
-    names = [f"{v}_l{k}" for v in "abcd" for k in (1, 2, 3)]
+    Eigenvalues of the tensor of the centred vertices (those below ``tiny`` of the largest count as 0) give elongation,
+    planarity and their norm d_ep. epsilon+- = -1/4 trace of the affine gradient, through the adjugate of the lag
+    differences; null, with a reason, where their condition number (Frobenius norm) is above ``most`` or a value isn't finite.
+    """
+    names = [f"{v}_{n}{k}" for n in ("l", "yp", "ym") for v in "abcd" for k in (1, 2, 3)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
-            v = np.stack([t.column(n).to_numpy() for n in names], 1).reshape(len(t), 4, 3)
-            c = v - v.mean(1, keepdims=True)
-            lam = np.maximum(np.linalg.eigvalsh(c.transpose(0, 2, 1) @ c / 4)[:, ::-1], 0)
+            v = np.stack([t.column(n).to_numpy(zero_copy_only=False) for n in names], 1).reshape(len(t), 3, 4, 3)
+            at = v[:, 0] - v[:, 0].mean(1, keepdims=True)
+            lam = np.linalg.eigvalsh(at.transpose(0, 2, 1) @ at / 4)[:, ::-1]
+            lam = np.where(lam > tiny * lam[:, :1], lam, 0)
+            diff = v[:, :, 1:] - v[:, :, :1]  # of lags and of both fluxes, from the first vertex
+            b, c, d = (diff[:, 0, k] for k in range(3))
+            adj = [np.stack([p[:, i] * q[:, j] - p[:, j] * q[:, i] for i, j in ((1, 2), (2, 0), (0, 1))], 1) for p, q in ((c, d), (d, b), (b, c))]
+            trace = lambda y: sum((y[:, k, 0] * adj[k][:, 0] + y[:, k, 1] * adj[k][:, 1] + y[:, k, 2] * adj[k][:, 2] for k in (1, 2)), y[:, 0, 0] * adj[0][:, 0] + y[:, 0, 1] * adj[0][:, 1] + y[:, 0, 2] * adj[0][:, 2])  # noqa: E731, B023
+            det = b[:, 0] * adj[0][:, 0] + b[:, 1] * adj[0][:, 1] + b[:, 2] * adj[0][:, 2]
             with np.errstate(all="ignore"):
                 e = 1 - np.sqrt(np.where(lam[:, 0] > 0, lam[:, 1] / lam[:, 0], 0))
                 p = 1 - np.sqrt(np.where(lam[:, 1] > 0, lam[:, 2] / lam[:, 1], 0))
-                s = np.linalg.svd(v[:, 1:] - v[:, :1], compute_uv=False)
-                cond = np.where(s[:, 2] > 0, s[:, 0] / s[:, 2], np.inf)
-            yield pa.RecordBatch.from_arrays([*[t.column(x) for x in "abcd"], *map(pa.array, (e, p, np.hypot(e, p), cond))], [x.split()[0] for x in SHAPE.split(", ")])
-
-    return rows.select(*"abcd", *names).mapInArrow(run, SHAPE)
-
-
-def summary(rows: DataFrame, column: str) -> DataFrame:
-    v = F.when(finite(F.col(column)), F.col(column))
-    return rows.agg(F.count(v).alias("n"), F.min(v).alias("least"), F.max(v).alias("most"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"))
+                size = lambda x: np.sqrt(sum((y * y).sum(1) for y in x))
+                cond = size((b, c, d)) * size(adj) / np.abs(det)
+                eps = [trace(diff[:, n]) / det * -0.25 for n in (1, 2)]
+            ill = (det == 0) | ~(cond <= most)
+            odd = ~ill & ~(np.isfinite(eps[0]) & np.isfinite(eps[1]))
+            reason = pa.array(np.where(ill, "ill-conditioned", "not finite"), mask=~(ill | odd))
+            cols = [pa.array(e), pa.array(p), pa.array(np.sqrt(e * e + p * p)), pa.array(det), pa.array(cond, mask=det == 0), *[pa.array(x, mask=ill) for x in eps], reason]
+            yield pa.RecordBatch.from_arrays([*[t.column(x) for x in "abcd"], *cols], [x.split()[0] for x in RATES.split(", ")])
+
+    return rows.select(*"abcd", *names).mapInArrow(run, RATES)
+
+
+def flagged(rows: DataFrame, most: float = MOST_D_EP) -> DataFrame:
+    """Adds ``passes``: d_ep below ``most``. A flag, not a filter."""
+    return rows.withColumn("passes", F.col("d_ep") < most)
+
+
+def summaries(rows: DataFrame) -> DataFrame:
+    """A row per metric: n, least, most, mean and population deviation of the finite values; rates only of tetrahedra that pass and are valid."""
+    fine = F.col("passes") & F.col("reason").isNull()
+    metrics = {"elongation": F.col("elongation"), "planarity": F.col("planarity"), "d_ep": F.col("d_ep"), "eps_plus": F.when(fine, F.col("eps_plus")), "eps_minus": F.when(fine, F.col("eps_minus"))}
+    long = rows.select(F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), c.alias("v")) for k, c in metrics.items()])).alias("s")).select("s.*")
+    v = F.when(finite(F.col("v")), F.col("v"))
+    return long.groupBy("metric").agg(F.count(v).alias("n"), F.min(v).alias("least"), F.max(v).alias("most"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"))
+
+
+def histogram(rows: DataFrame, column: str, bins: int | None = None, symmetric: bool = False, digits: int = 6) -> DataFrame:
+    """(bin, lo, hi, n) of the finite values: min(20, max(5, root of their number)) bins over their range, or over +- the greatest
+    with ``symmetric``; the last bin is closed. Values are rounded first, so that bins don't hang on last bits."""
+    v = rows.select(F.round(column, digits).alias("v")).where(finite(F.col("v")))
+    n, lo, hi = v.agg(F.count("v"), F.min("v"), F.max("v")).first()
+    if not n:
+        lo = hi = 0.0
+    if symmetric:
+        hi = max(abs(lo), abs(hi))
+        lo = -hi
+    if lo == hi:
+        lo, hi = lo - 0.5, hi + 0.5
+    bins = bins or min(20, max(5, int(n**0.5)))
+    wide = (hi - lo) / bins
+    at = F.least(F.floor((F.col("v") - F.lit(lo)) / F.lit(wide)), F.lit(bins - 1)).cast("int")
+    every = rows.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"), (F.lit(lo) + F.col("id") * F.lit(wide)).alias("lo"), (F.lit(lo) + (F.col("id") + 1) * F.lit(wide)).alias("hi"))
+    counts = v.groupBy(at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return every.join(counts, "bin", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+def cumulative(rows: DataFrame, column: str, digits: int = 5) -> DataFrame:
+    """(value, n, fraction): for every value, rounded, the share of all that is at most that. The window runs over distinct values."""
+    per = rows.select(F.round(column, digits).alias("value")).where(finite(F.col("value"))).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    upto = Window.orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return per.withColumn("fraction", F.sum("n").over(upto) / F.sum("n").over(Window.partitionBy()))
+
+
+def preview(rows: DataFrame, limit: int = 64) -> DataFrame:
+    """The first tetrahedra in the order of their points."""
+    return rows.orderBy(*"abcd").limit(limit)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import wrap
@@ -60,12 +60,59 @@ def wrapped(rows: DataFrame, box: Sequence[float]) -> DataFrame:
 
 
 def path_breaks(rows: DataFrame, box: Sequence[float]) -> DataFrame:
-    """Steps where a wrapped path jumps by more than half the box on some axis."""
-    w = Window.partitionBy("label").orderBy("step")
+    """Steps where a wrapped path is more than half the box away, on some axis, from where it was a step before."""
+    before = rows.select("label", (F.col("step") + 1).alias("step"), *[F.col(f"w{p}").alias(f"__{p}") for p in "xyz"])
     jump = F.lit(False)
     for p, b in zip("xyz", box, strict=True):
-        jump = jump | (F.abs(F.col(f"w{p}") - F.lag(f"w{p}").over(w)) > b / 2)
-    return rows.select("step", "label", F.coalesce(jump, F.lit(False)).alias("breaks")).where("breaks").select("step", "label")
+        jump = jump | (F.abs(F.col(f"w{p}") - F.col(f"__{p}")) > b / 2)
+    return rows.join(before, ["label", "step"]).where(jump).select("step", "label")
+
+
+def selected(rows: DataFrame, labels: Sequence[str] | None, hub: str = "H", need_hub: bool = True) -> DataFrame:
+    """The rows of some craft; repeated labels, labels that no row has, and a choice without the hub are errors."""
+    if labels is None:
+        return rows
+    if len(set(labels)) != len(labels):
+        raise ValueError("labels repeat")
+    if need_hub and hub not in labels:
+        raise ValueError(f"the subset must include {hub}")
+    known = {r[0] for r in rows.where(F.col("label").isin(list(labels))).select("label").distinct().collect()}
+    if known != set(labels):
+        raise ValueError(f"unknown labels {sorted(set(labels) - known)}")
+    return rows.where(F.col("label").isin(list(labels)))
+
+
+def completeness(rows: DataFrame, value: Sequence[str]) -> DataFrame:
+    """One row: rows, steps, labels, missing (step, label) pairs, repeated ones, values that are null or NaN, and whether all is well."""
+    bad = F.lit(False)
+    for v in value:
+        bad = bad | F.col(v).isNull() | F.isnan(F.col(v).cast("double"))
+    per = rows.groupBy("step", "label").agg(F.count(F.lit(1)).alias("n"), F.max(bad).alias("bad"))
+    sizes = rows.select("step").distinct().agg(F.count(F.lit(1)).alias("steps")).crossJoin(rows.select("label").distinct().agg(F.count(F.lit(1)).alias("labels")))  # a row each
+    sums = per.agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("pairs"), F.count_if("bad").alias("bad_values")).crossJoin(sizes)
+    missing, repeated = F.col("steps") * F.col("labels") - F.col("pairs"), F.col("rows") - F.col("pairs")
+    whole = (missing == 0) & (repeated == 0) & (F.col("bad_values") == 0)
+    return sums.select("rows", "steps", "labels", missing.alias("missing"), repeated.alias("repeated"), "bad_values", F.coalesce(whole, F.lit(False)).alias("complete"))
+
+
+def position_check(rows: DataFrame, origin: DataFrame, velocity: Sequence[float], dt: float, atol: float = 1e-9) -> DataFrame:
+    """Per label: steps, steps whose time isn't step * dt, and steps whose position isn't that of ``origin`` moved on."""
+    o = F.broadcast(origin.select("label", *[F.col(p).alias(f"o_{p}") for p in "xyz"]))  # one row per craft
+    off = F.lit(False)
+    for p, v in zip("xyz", velocity, strict=True):
+        off = off | (F.abs(F.col(f"u{p}") - (F.col(f"o_{p}") + F.lit(v) * F.col("time_seconds"))) > atol)
+    late = F.abs(F.col("time_seconds") - F.col("step") * F.lit(dt)) > atol
+    return rows.join(o, "label").groupBy("label").agg(F.count(F.lit(1)).alias("steps"), F.count_if(late).alias("off_time"), F.count_if(off).alias("off_path"))
+
+
+#: Formats of requested times, with a blank or a T between date and time (fixed values).
+TIME_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd HH")
+
+
+def parse_time(text: Column) -> Column:
+    """A requested time from its text: the hour, with minutes and seconds if given; null if it is none of TIME_FORMATS."""
+    plain = F.regexp_replace(F.trim(text), "T", " ")
+    return F.coalesce(*[F.try_to_timestamp(plain, F.lit(f)) for f in TIME_FORMATS])
 
 
 def nearest_time(rows: DataFrame, time: str, requested) -> DataFrame:
@@ -73,7 +120,7 @@ def nearest_time(rows: DataFrame, time: str, requested) -> DataFrame:
     return rows.withColumn("apart", F.abs(F.unix_micros(time) - F.unix_micros(F.lit(requested).cast("timestamp")))).orderBy("apart", time).limit(1)
 
 
-def asof_nearest(left: DataFrame, right: DataFrame, left_time: str, right_time: str, bucket: str = "month") -> DataFrame:
+def asof_nearest(left: DataFrame, right: DataFrame, left_time: str, right_time: str, bucket: str = "day") -> DataFrame:
     """The nearest right time of each left time, the earlier on a tie.
 
     Last time before and first time after, by windows within a bucket of time; what lies beyond a bucket's ends comes

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -61,9 +62,10 @@ def gradient(grid: DataFrame, value: str, steps: Sequence[float]) -> DataFrame:
     return grid.select(*AXES, *[difference(value, a, h).alias(f"d{a[1]}") for a, h in zip(AXES, steps, strict=True)])
 
 
-def divergence(grid: DataFrame, steps: Sequence[float]) -> DataFrame:
-    parts = [difference(v, a, h) for v, a, h in zip(VALUES, AXES, steps, strict=True)]
-    return grid.select(*AXES, (parts[0] + parts[1] + parts[2]).alias("div"))
+def divergence(grid: DataFrame, steps: Sequence[float], axes: int = 3) -> DataFrame:
+    """Divergence over the first ``axes`` axes: with 2, of each plane by itself."""
+    parts = [difference(v, a, h) for v, a, h in zip(VALUES, AXES, steps, strict=True)][:axes]
+    return grid.select(*AXES, reduce(lambda a, b: a + b, parts).alias("div"))
 
 
 def curl(grid: DataFrame, steps: Sequence[float]) -> DataFrame:

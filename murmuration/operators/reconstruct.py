@@ -1,33 +1,129 @@
 """Reconstruction from scattered samples, and its scores.
 
-The samples of an experiment are few and checked against ``MAX_SAMPLES`` before they are broadcast; query points stay
-distributed. Nearest and linear are joins or batches over the query points; radial basis functions solve one small dense
-system on the driver and predict by matrix products in Arrow batches.
+Nearest samples come from equi-joins on cells, whatever the number of samples. Radial basis functions solve a small system
+for each point over its nearest samples, in Arrow groups of points; without ``neighbors`` they solve one dense system, and
+piecewise-linear interpolation triangulates: both for sample sets checked against ``MAX_SAMPLES``.
 """
 
 from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import finite
+from ..functions.tables import stage as written
 
 MAX_SAMPLES = 20_000
+PER_CELL = 2
+
+
+def _cell(position: Sequence[str], low: Sequence[float], wide: Sequence[float], count: Sequence[int]) -> list[Column]:
+    """The cell of a position on each axis; positions outside belong to the cells at the faces."""
+    return [F.greatest(F.lit(0), F.least(F.lit(m - 1), F.floor((F.col(p) - F.lit(lo)) / F.lit(h)))).cast("int") for p, lo, h, m in zip(position, low, wide, count, strict=True)]
+
+
+def nearest_samples(points: DataFrame, samples: DataFrame, key: str, k: int = 1, position: Sequence[str] = ("x", "y", "z"), value: Sequence[str] = ("v",)) -> DataFrame:
+    """The k nearest samples of each point: key, rank, sample_id, d2 and the values; ties to the smallest sample_id.
+
+    Samples lie in cells of some ``PER_CELL`` each. A point meets the cells around its own by an equi-join; it is done
+    when its k-th distance is no more than what the searched cube surely covers, and else goes on with a cube of twice the
+    reach. Points with a position that isn't finite have no nearest sample.
+    """
+    good = lambda df: df.where(reduce(lambda a, b: a & b, [finite(F.col(p)) for p in position]))
+    s = good(samples).select("sample_id", *[F.col(p).cast("double").alias(f"s_{p}") for p in position], *value)
+    names = [f"s_{p}" for p in position]
+    stats = s.agg(F.count(F.lit(1)), *[f(n) for n in names for f in (F.min, F.max)]).first()
+    n, low, high = stats[0], stats[1::2], stats[2::2]
+    if not n:
+        return good(points).limit(0).select(key, F.lit(1).alias("rank")).crossJoin(s.select("sample_id", F.lit(0.0).alias("d2"), *value).limit(0))
+    axes = max(1, sum(h > lo for lo, h in zip(low, high, strict=True)))
+    side = max(1, int((n / (PER_CELL * k)) ** (1 / axes)))
+    count = [side if h > lo else 1 for lo, h in zip(low, high, strict=True)]
+    wide = [(h - lo) / m if h > lo else 1.0 for lo, h, m in zip(low, high, count, strict=True)]
+    least = min((w for w, m in zip(wide, count, strict=True) if m > 1), default=float("inf"))
+    cells = [f"c{i}" for i in range(len(position))]
+    s = s.select("*", *[c.alias(n) for c, n in zip(_cell(names, low, wide, count), cells, strict=True)])
+    left = written(good(points).select(key, *[F.col(p).cast("double").alias(p) for p in position]), "nearest-points")
+    out, reach = None, 1
+    while True:
+        whole = reach >= max(count)
+        own = _cell(position, low, wide, count)
+        spans = [F.explode(F.sequence(F.greatest(F.lit(0), c - reach), F.least(F.lit(m - 1), c + reach))) for c, m in zip(own, count, strict=True)]
+        rows = left
+        for c, span in zip(cells, spans, strict=True):
+            rows = rows.withColumn(c, span)
+        d2 = sum(((F.col(p) - F.col(f"s_{p}")) * (F.col(p) - F.col(f"s_{p}")) for p in position), F.lit(0.0))
+        found = rows.join(s, cells).select(key, d2.alias("d2"), "sample_id", *value)
+        best = F.struct("d2", "sample_id", *value)
+        if k == 1:
+            # the least by numbers alone stays in a hash aggregate: first the distance, then the sample
+            near = found.groupBy(key).agg(F.min_by(best, F.struct("d2", "sample_id")).alias("b")).select(key, F.array("b").alias("best"))
+        else:
+            near = found.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("d2", "sample_id"))).where(F.col("rank") <= k)
+            near = near.groupBy(key).agg(F.sort_array(F.collect_list(best)).alias("best"))
+        near = written(near.withColumn("done", F.lit(whole) | ((F.size("best") >= k) & (F.element_at("best", -1)["d2"] <= F.lit((reach * least) ** 2)))), "nearest-found")
+        part = near.where("done").select(key, "best")
+        out = part if out is None else out.unionByName(part)
+        if whole or near.where("done").count() == left.count():
+            break
+        left = written(left.join(near.where("done").select(key), key, "left_anti"), "nearest-points")
+        reach *= 2
+    rows = out.select(key, F.posexplode("best").alias("at", "b"))
+    return rows.select(key, (F.col("at") + 1).alias("rank"), "b.sample_id", "b.d2", *[f"b.{v}" for v in value])
 
 
 def nearest(points: DataFrame, samples: DataFrame, key: str, position: Sequence[str] = ("x", "y", "z"), value: Sequence[str] = ("v",)) -> DataFrame:
-    """The value of the nearest sample, ties to the smallest sample_id; a large sample set isn't broadcast."""
-    s = samples.select("sample_id", *[F.col(p).alias(f"s_{p}") for p in position], *value)
-    small = s.limit(MAX_SAMPLES + 1).count() <= MAX_SAMPLES
-    d2 = sum(((F.col(p) - F.col(f"s_{p}")) * (F.col(p) - F.col(f"s_{p}")) for p in position), F.lit(0.0))
-    rows = points.select(key, *position).crossJoin(F.broadcast(s) if small else s).withColumn("d2", d2)
-    best = rows.groupBy(key).agg(F.min(F.struct("d2", "sample_id", *value)).alias("b"))
-    return best.select(key, "b.sample_id", "b.d2", *[f"b.{v}" for v in value])
+    """The value of the nearest sample, ties to the smallest sample_id."""
+    return nearest_samples(points, samples, key, 1, position, value).drop("rank")
+
+
+def nearest_vectors(vectors: DataFrame, every: int = 50, chunk: int = 1024) -> DataFrame:
+    """query_id, vec_id, d2 (rounded to 6 digits): the nearest other vector of each whose id is divisible by ``every``, ties to the smaller id.
+
+    Queries go out in chunks of at most ``chunk`` vectors; candidates are read where they lie, each task sends one row a query.
+    """
+    spark = vectors.sparkSession
+    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: x.cast("double")).alias("e")).where(F.col("vec_id").isNotNull() & F.col("e").isNotNull() & ~F.exists("e", lambda x: x.isNull()))
+    asks = v.where(F.col("vec_id") % every == 0)
+    parts = max(1, -(-asks.count() // chunk))
+    found = []
+    for part in range(parts):
+        table = asks.where(F.pmod(F.crc32(F.col("vec_id").cast("string")), F.lit(parts)) == part).toArrow().combine_chunks()
+        for at in range(0, table.num_rows, chunk):
+            piece = table.slice(at, chunk)
+            sent = spark.sparkContext.broadcast((piece["vec_id"].to_numpy(), np.array(piece["e"].to_pylist())))
+
+            def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+                ids, q = sent.value
+                best, of = np.full(len(ids), np.inf), np.full(len(ids), -1)
+                for b in batches:
+                    for k in range(0, len(b), 1024):
+                        x, vec = np.array(b.column("e").slice(k, 1024).to_pylist()), b.column("vec_id").slice(k, 1024).to_numpy()
+                        d = (q * q).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * (q @ x.T)
+                        d[ids[:, None] == vec[None]] = np.inf
+                        # sums by parts are off in their last digits: what may be the nearest is measured exactly
+                        i, j = np.nonzero(d <= np.minimum(d.min(1), best)[:, None] + 1e-5)
+                        exact = np.round(((q[i] - x[j]) ** 2).sum(1), 6)
+                        order = np.lexsort((vec[j], exact, i))
+                        i, j, exact = i[order], j[order], exact[order]
+                        once = np.concatenate([[True], i[1:] != i[:-1]]) if len(i) else np.zeros(0, bool)
+                        i, j, exact = i[once], j[once], exact[once]
+                        less = (exact < best[i]) | (exact == best[i]) & (vec[j] < of[i])
+                        best[i[less]], of[i[less]] = exact[less], vec[j[less]]
+                use = of >= 0
+                yield pa.RecordBatch.from_arrays([pa.array(ids[use]), pa.array(of[use]), pa.array(best[use])], ["query_id", "vec_id", "d2"])
+
+            found.append(v.mapInArrow(run, "query_id long, vec_id long, d2 double"))
+    if not found:
+        return v.limit(0).select(F.col("vec_id").alias("query_id"), "vec_id", F.lit(0.0).alias("d2"))
+    rows = reduce(lambda a, b: a.unionByName(b), found)
+    return rows.groupBy("query_id").agg(F.min(F.struct("d2", "vec_id")).alias("m")).select("query_id", "m.vec_id", "m.d2")
 
 
 def _arrays(samples: DataFrame, position: Sequence[str], value: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -141,8 +237,24 @@ class PiecewiseLinear:
         return out
 
 
-def radial_basis(points: DataFrame, samples: DataFrame, key: str, position: Sequence[str] = ("x", "y", "z"), value: Sequence[str] = ("v",), **settings) -> DataFrame:
-    return _predict(points, key, position, value, ThinPlate(*_arrays(samples, position, value), **settings))
+def radial_basis(points: DataFrame, samples: DataFrame, key: str, position: Sequence[str] = ("x", "y", "z"), value: Sequence[str] = ("v",), neighbors: int | None = None, **settings) -> DataFrame:
+    """Radial basis interpolation, over each point's ``neighbors`` nearest samples if given."""
+    if not neighbors:
+        return _predict(points, key, position, value, ThinPlate(*_arrays(samples, position, value), **settings))
+    s = samples.select("sample_id", *position, *value, *[F.col(p).alias(f"at_{p}") for p in position])
+    near = nearest_samples(points, s, key, neighbors, position, [*value, *[f"at_{p}" for p in position]])
+    lists = near.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("rank", *[f"at_{p}" for p in position], *value))).alias("near"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = np.full((len(b), len(value)), np.nan)
+            for i, (near, *p) in enumerate(zip(b.column("near").to_pylist(), *(b.column(p).to_pylist() for p in position), strict=True)):
+                x, y = np.array([[r[f"at_{c}"] for c in position] for r in near]), np.array([[r[c] for c in value] for r in near], float)
+                out[i] = ThinPlate(x, y, **settings)(np.array([p]))[0]
+            yield pa.RecordBatch.from_arrays([b.column(key), *[pa.array(out[:, k]) for k in range(len(value))]], [key, *value])
+
+    rows = points.select(F.col(key).cast("long").alias(key), *[F.col(p).cast("double").alias(p) for p in position]).join(lists, key)
+    return rows.select(key, *position, "near").mapInArrow(run, ", ".join([f"{key} long", *[f"{v} double" for v in value]]))
 
 
 def linear(points: DataFrame, samples: DataFrame, key: str, position: Sequence[str] = ("x", "y", "z"), value: Sequence[str] = ("v",)) -> DataFrame:

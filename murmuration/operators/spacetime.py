@@ -1,15 +1,19 @@
-"""Space-time correlation: lagged probe pairs by an equi-join on step + lag, never a band join."""
+"""Space-time correlation of lagged probe pairs, by blocks.
+
+Steps are cut into blocks and lags into runs of the same length. A (block, run) meets the two blocks where its partners
+lie, in one Arrow group whose size depends on the block and the number of probes alone; numpy goes through the lags of
+the run and sends sums per bin. A row is copied three times for each run of lags, not once for each lag.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import bin_index, minus, norm, vector
-
 LEVEL = float(np.exp(-1.0))
 
 
@@ -23,11 +27,20 @@ def fluctuations(series: DataFrame, value: str = "v1") -> DataFrame:
 
 
 def cadence(series: DataFrame, rtol: float = 1e-8, atol: float = 1e-10) -> DataFrame:
-    """One row per probe: steps, first difference of times and how many differences stray from it."""
-    w = Window.partitionBy("label").orderBy("step")
-    gaps = series.withColumn("gap", F.col("time_seconds") - F.lag("time_seconds").over(w)).withColumn("first", F.min_by("gap", F.when(F.col("gap").isNotNull(), F.col("step"))).over(Window.partitionBy("label")))
-    stray = F.abs(F.col("gap") - F.col("first")) > F.lit(atol) + F.lit(rtol) * F.abs("first")
-    return gaps.groupBy("label").agg(F.count(F.lit(1)).alias("steps"), F.max("first").alias("dt"), F.count_if(stray).alias("stray"))
+    """One row per probe: steps, first difference of times and how many differences of consecutive steps stray from it.
+
+    A step meets the one before it by an equi-join, so a probe's steps are never in one task.
+    """
+    before = series.select("label", (F.col("step") + 1).alias("step"), F.col("time_seconds").alias("__before"))
+    gaps = series.select("label", "step", "time_seconds").join(before, ["label", "step"], "left").withColumn("gap", F.col("time_seconds") - F.col("__before"))
+    first = gaps.groupBy("label").agg(F.count(F.lit(1)).alias("steps"), F.min_by("gap", F.when(F.col("gap").isNotNull(), F.col("step"))).alias("dt"))
+    stray = F.abs(F.col("gap") - F.col("dt")) > F.lit(atol) + F.lit(rtol) * F.abs("dt")
+    return gaps.join(F.broadcast(first), "label").groupBy("label", "steps", "dt").agg(F.count_if(stray).alias("stray"))
+
+
+def centred_edges(lags: int, dt: float) -> list[float]:
+    """Edges half a step around every lag."""
+    return [(k - 0.5) * dt for k in range(lags + 2)]
 
 
 def max_lag(steps: int, fraction: float = 0.5, explicit: int | None = None) -> int:
@@ -46,32 +59,108 @@ def linear_edges(low: float, high: float, bins: int) -> list[float]:
     return [float(e) for e in np.linspace(low, high, bins + 1)]
 
 
-def lagged_pairs(series: DataFrame, lags: int) -> DataFrame:
-    """i at t with j >= i at t + lag, for lag 0..lags: normalised product and distance of unwrapped positions."""
-    keep = ["sc", "fluct", "sigma", "ux", "uy", "uz"]
-    a = series.select(F.col("step").alias("at"), *[F.col(c).alias(f"a_{c}") for c in keep], F.explode(F.sequence(F.lit(0), F.lit(lags))).alias("lag"))
-    a = a.withColumn("step", F.col("at") + F.col("lag"))
-    b = series.select("step", *[F.col(c).alias(f"b_{c}") for c in keep])
-    p = a.join(b, "step").where(F.col("a_sc") <= F.col("b_sc"))
-    r = norm(minus(vector("b_ux", "b_uy", "b_uz"), vector("a_ux", "a_uy", "a_uz")))
-    return p.select("lag", F.col("a_sc").alias("i"), F.col("b_sc").alias("j"), r.alias("r"), (F.col("a_fluct") * F.col("b_fluct") / (F.col("a_sigma") * F.col("b_sigma"))).alias("product"))
+BLOCK = 512
 
 
-def correlation_map(samples: DataFrame, edges: Sequence[float], min_fraction: float = 0.01) -> DataFrame:
-    """Per (lag, r bin): n, correlation and validity. The last r edge is open: the largest distance is left out."""
-    inside = samples.where((F.col("r") >= edges[0]) & (F.col("r") < edges[-1]))
-    binned = inside.withColumn("r_bin", bin_index(F.col("r"), edges, False))
-    m = binned.groupBy("lag", "r_bin").agg(F.count(F.lit(1)).alias("n"), F.avg("product").alias("corr"))
-    return m.withColumn("valid", F.col("n") >= F.ceil(F.lit(min_fraction) * F.max("n").over(Window.partitionBy())))
+def _grouped(series: DataFrame, lags: int, work: Callable[..., pa.Table], schema: str, size: int) -> DataFrame:
+    """``work`` on every (block, run of lags): its lags, the first of the run, the probes, and arrays (steps, probes) of the first and the later rows."""
+    keep = ["sc", "fluct", "sigma", "ux", "uy", "uz"]
+    runs = lags // size + 1
+    run = F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run")
+    place = F.floor(F.col("step") / size)
+    rows = series.select(F.col("step").cast("long").alias("step"), F.col("sc").cast("long").alias("sc"), *[F.col(c).cast("double").alias(c) for c in keep[1:]])
+    first = rows.select("*", run, F.lit(True).alias("early")).withColumn("block", place)
+    later = rows.select("*", run, F.lit(False).alias("early"), F.explode(F.array(F.lit(0), F.lit(1))).alias("back")).withColumn("block", place - F.col("run") - F.col("back")).drop("back")
+    both = first.unionByName(later.where("block >= 0"))
+
+    def group(table: pa.Table) -> pa.Table:
+        v = {c: table[c].to_numpy() for c in ("step", "sc", "early", *keep[1:])}
+        start, lag0 = table["block"][0].as_py() * size, table["run"][0].as_py() * size
+        probes = np.unique(v["sc"])
+        sides = []
+        for early, length, begin in ((True, size, start), (False, 2 * size, start + lag0)):
+            at = np.flatnonzero(v["early"] == early)
+            t, c = v["step"][at] - begin, np.searchsorted(probes, v["sc"][at])
+            side = {n: np.full((length, len(probes)), np.nan) for n in ("f", "s", "ux", "uy", "uz")}
+            for n in ("ux", "uy", "uz"):
+                side[n][t, c] = v[n][at]
+            side["f"][t, c], side["s"][t, c] = v["fluct"][at], v["sigma"][at]
+            side["there"] = np.zeros((length, len(probes)), bool)
+            side["there"][t, c] = True
+            sides.append(side)
+        return work(np.arange(lag0, min(lag0 + size, lags + 1)), lag0, probes, *sides)
+
+    return both.groupBy("block", "run").applyInArrow(group, schema)
+
+
+def _each_lag(lag_list: np.ndarray, lag0: int, probes: np.ndarray, a: dict[str, np.ndarray], b: dict[str, np.ndarray]):
+    """(lag, i, j, there, r, product) of a group, lag by lag; i <= j are the columns of the arrays."""
+    i, j = np.triu_indices(len(probes))
+    for lag in lag_list:
+        s = slice(lag - lag0, lag - lag0 + len(a["there"]))
+        there = a["there"][:, i] & b["there"][s][:, j]
+        dx, dy, dz = (b[n][s][:, j] - a[n][:, i] for n in ("ux", "uy", "uz"))
+        r = np.sqrt(dx * dx + dy * dy + dz * dz)
+        with np.errstate(all="ignore"):
+            product = a["f"][:, i] * b["f"][s][:, j] / (a["s"][:, i] * b["s"][s][:, j])
+        yield lag, probes[i], probes[j], there, r, product
+
+
+def greatest_distance(series: DataFrame, lags: int, block: int = BLOCK) -> float:
+    """The first pass: the largest distance of any lagged pair."""
+
+    def work(*args) -> pa.Table:
+        most = [r[there & np.isfinite(r)].max(initial=-1.0) for _, _, _, there, r, _ in _each_lag(*args)]
+        return pa.table({"most": pa.array([max(most, default=-1.0)], pa.float64())})
+
+    most = _grouped(series, lags, work, "most double", block).agg(F.max("most")).first()[0]
+    return max(most or 0.0, 0.0)
+
+
+def correlation_map(series: DataFrame, lags: int, edges: Sequence[float], min_fraction: float = 0.01, least: int | None = None, block: int = BLOCK) -> DataFrame:
+    """Per (lag, r bin): n, correlation and validity. The last r edge is open: the largest distance is left out.
+
+    A cell is valid with ``least`` samples, or, without it, ``min_fraction`` of the fullest cell's.
+    """
+    limits, bins = np.asarray(edges, float), len(edges) - 1
+
+    def work(*args) -> pa.Table:
+        out = []
+        for lag, _, _, there, r, product in _each_lag(*args):
+            k = np.searchsorted(limits, r, "right") - 1
+            use = there & (k >= 0) & (k < bins) & np.isfinite(r)
+            n, good = np.bincount(k[use], minlength=bins), use & np.isfinite(product)
+            out.append((np.full(bins, lag), np.arange(bins), n, np.bincount(k[good], product[good], bins)))
+        lag, k, n, total = (np.concatenate(x) for x in zip(*out, strict=True))
+        some = n > 0
+        return pa.table({"lag": pa.array(lag[some].astype(np.int32)), "r_bin": pa.array(k[some].astype(np.int32)), "n": pa.array(n[some]), "total": pa.array(total[some].astype(float))})
+
+    m = _grouped(series, lags, work, "lag int, r_bin int, n long, total double", block).groupBy("lag", "r_bin").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    m = m.select("lag", "r_bin", "n", (F.col("total") / F.col("n")).alias("corr"))
+    enough = F.lit(least) if least is not None else F.ceil(F.lit(min_fraction) * F.max("n").over(Window.partitionBy()))  # a row per cell of the map
+    return m.withColumn("valid", (F.col("n") > 0) & (F.col("n") >= enough))
+
+
+def rigid_map(series: DataFrame, lags: int, block: int = BLOCK) -> DataFrame:
+    """For a rigid formation at constant velocity: the distance of (i, j, lag) is constant, so products average first."""
 
+    def work(*args) -> pa.Table:
+        out = []
+        for lag, i, j, there, r, product in _each_lag(*args):
+            n = there.sum(0)
+            far = np.where(there & np.isfinite(r), r, np.inf).min(0)
+            out.append((np.full(len(i), lag), i, j, n, np.where(there & np.isfinite(product), product, 0).sum(0), far))
+        lag, i, j, n, total, far = (np.concatenate(x) for x in zip(*out, strict=True))
+        some = n > 0
+        return pa.table({"lag": pa.array(lag[some].astype(np.int32)), "i": pa.array(i[some]), "j": pa.array(j[some]), "n": pa.array(n[some]), "total": pa.array(total[some].astype(float)), "r": pa.array(far[some])})
 
-def rigid_map(series: DataFrame, lags: int) -> DataFrame:
-    """For a rigid formation at constant velocity: the distance of (i, j, lag) is constant, so products average first."""
-    return lagged_pairs(series, lags).groupBy("lag", "i", "j").agg(F.count(F.lit(1)).alias("n"), F.sum("product").alias("total"), F.min("r").alias("r"))
+    rows = _grouped(series, lags, work, "lag int, i long, j long, n long, total double, r double", block)
+    return rows.groupBy("lag", "i", "j").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("r").alias("r"))
 
 
 def hub_autocorrelation(series: DataFrame, lags: int, hub: str = "H") -> DataFrame:
-    return lagged_pairs(series.where(F.col("label") == hub), lags).groupBy("lag").agg(F.count(F.lit(1)).alias("n"), F.avg("product").alias("corr"))
+    m = rigid_map(series.where(F.col("label") == hub), lags)
+    return m.groupBy("lag").agg(F.sum("n").alias("n"), (F.sum("total") / F.sum("n")).alias("corr"))
 
 
 def axis_cuts(corr: DataFrame, edges: Sequence[float], dt: float) -> DataFrame:

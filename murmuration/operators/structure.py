@@ -21,7 +21,18 @@ def log_edges(low: float, high: float, bins: int) -> list[float]:
         raise ValueError("bins and the lower edge must be positive and the range ascending")
     if low == high:
         low, high = low * 0.99, high * 1.01
-    return [float(e) for e in np.logspace(np.log10(low), np.log10(high), bins + 1)]
+    inner = np.logspace(np.log10(low), np.log10(high), bins + 1)[1:-1]
+    return [float(low), *map(float, inner), float(high)]
+
+
+def least_spacing(steps: Sequence[float]) -> float:
+    """Half the smallest grid spacing: lags below it can't be told from a grid's own."""
+    return 0.5 * min(steps)
+
+
+def short_series(steps: int, order: int) -> bool:
+    """Whether a series is too short for moments of an order."""
+    return steps < order * np.log10(order)
 
 
 def data_edges(pairs: DataFrame, bins: int, floor: float = 0.0) -> list[float]:
@@ -47,11 +58,16 @@ def same_step_pairs(series: DataFrame, id_col: str = "sc", position: Sequence[st
 
 
 def with_lag(pairs: DataFrame) -> DataFrame:
-    """Adds |r|, |B| and the length of the part of r that is perpendicular to the mid field (null without a field)."""
+    """Adds |r|, |B| and the length of the part of r that is perpendicular to the mid field (null without a field).
+
+    They are computed once: the one-element array keeps later filters and bins on ``lam`` from being written out in full,
+    over and over, in the condition of the join that made the pairs.
+    """
     r, m = vector("r1", "r2", "r3"), vector("m1", "m2", "m3")
-    pairs = pairs.withColumn("r", norm(r)).withColumn("b_local", norm(m))
     # |r - (r.b)b| for the unit vector b along m is |r x m| / |m|
-    return pairs.withColumn("lam", F.when(F.col("b_local") > 0, norm(cross(r, m)) / F.col("b_local")))
+    lam = F.when(norm(m) > 0, norm(cross(r, m)) / norm(m))
+    once = F.explode(F.array(F.struct(norm(r).alias("r"), norm(m).alias("b_local"), lam.alias("lam")))).alias("once")
+    return pairs.select("*", once).select(*pairs.columns, "once.*")
 
 
 def valid_pairs(pairs: DataFrame, edges: Sequence[float]) -> DataFrame:
@@ -94,7 +110,7 @@ def exclusions(pairs: DataFrame, edges: Sequence[float]) -> DataFrame:
     kept = lag & (lam >= edges[0]) & (lam <= edges[-1])
     n = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
     return pairs.agg(
-        F.count(F.lit(1)).alias("total"), n(kept).alias("kept"), n(~good).alias("non_finite"), n(good & (F.col("b_local") <= 0)).alias("zero_field"),
+        F.count(F.lit(1)).alias("total"), n(kept).alias("kept"), n(~finite(F.col("r"))).alias("bad_position"), n(finite(F.col("r")) & ~finite(F.col("b_local"))).alias("bad_field"), n(good & (F.col("b_local") <= 0)).alias("zero_field"),
         n(field & ((lam <= 0) | lam.isNull())).alias("zero_lag"), n(lag & ((lam < edges[0]) | (lam > edges[-1]))).alias("out_of_range"),
     )
 
@@ -129,8 +145,33 @@ def local_offset_pairs(grid: DataFrame, reach: int = 1) -> DataFrame:
     return a.join(b, ["b_ix", "b_iy", "b_iz"]).drop("o")
 
 
+def random_pairs(pairs: DataFrame, edges: Sequence[float], key: Sequence[str], budget: float, target: int, seed: int = 0) -> DataFrame:
+    """Stratified sample: candidates by a seeded hash of ``key`` (a share ``budget`` of all), of these at most ``target`` a bin.
+
+    The hash orders the candidates, so the sample is random in the pairs and the same in every run.
+    """
+    if target <= 0 or not 0 < budget <= 1:
+        raise ValueError("target must be positive and the budget a share")
+    draw = F.md5(F.concat_ws(",", F.lit(str(seed)), *[F.col(k).cast("string") for k in key]).cast("binary"))
+    some = valid_pairs(pairs, edges).withColumn("draw", draw).where(F.substring("draw", 1, 8) < f"{min(int(budget * 2**32), 2**32 - 1):08x}")
+    w = Window.partitionBy("bin").orderBy("draw", *key)
+    return some.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= target)
+
+
+def diagnostics(sampled: DataFrame, edges: Sequence[float], spacing: float, target: int) -> DataFrame:
+    """One row: filled bins and their share of all, the first filled one, how full the first three are, and how many lags are within 1, 2 and 4 spacings."""
+    bins = len(edges) - 1
+    per = all_bins(sampled, edges).select("bin").join(sampled.groupBy("bin").agg(F.count(F.lit(1)).alias("n")), "bin", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    first = per.agg(
+        F.count_if(F.col("n") > 0).alias("filled"), (F.count_if(F.col("n") > 0) / bins).alias("occupancy"), F.min(F.when(F.col("n") > 0, F.col("bin"))).alias("first_bin"),
+        F.coalesce(F.sum(F.when(F.col("bin") < 3, F.col("n"))) / (3 * target) < 0.5, F.lit(True)).alias("left_edge_thin"),
+    )
+    near = sampled.agg(F.count(F.lit(1)).alias("accepted"), *[F.count_if(F.col("lam") <= k * spacing).alias(f"within_{k}") for k in (1, 2, 4)])
+    return first.crossJoin(near)  # one row each
+
+
 def capped_pairs(pairs: DataFrame, edges: Sequence[float], target: int, order: Column) -> DataFrame:
-    """At most ``target`` pairs of each bin, by the least ``order``: stratified sampling with a fixed outcome."""
+    """At most ``target`` pairs of each bin: those of the least ``order``."""
     if target <= 0:
         raise ValueError("target must be positive")
     w = Window.partitionBy("bin").orderBy(order)

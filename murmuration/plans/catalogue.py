@@ -4,16 +4,16 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import vector
+from ..functions.tables import stage
 from ..operators import cascade, formation, grid, reconstruct, spacetime, structure
 from ..sources.views import BOX, DT, GRID, POINTS, PROBE, RHO, SAMPLES, SHAPE, field_grid, probe_series, query_points, scattered_samples
 
 EDGES = structure.log_edges(0.5, 40.0, 12)
-R_EDGES = spacetime.linear_edges(0.0, 60.0, 12)
-LAGS = 12
+R_BINS = 12
 STEPS = grid.spacing(BOX, SHAPE)
 REQUESTED = "1996-07-01 12:00:00"
 
@@ -36,12 +36,21 @@ def _fluct(spark: SparkSession, d: str) -> DataFrame:
     return spacetime.fluctuations(probe_series(spark, d))
 
 
-def _map(spark: SparkSession, d: str) -> DataFrame:
-    return spacetime.correlation_map(spacetime.lagged_pairs(_fluct(spark, d), LAGS), R_EDGES)
+def _lags(spark: SparkSession, d: str) -> int:
+    """Half the series."""
+    return spacetime.max_lag((probe_series(spark, d).agg(F.max("step")).first()[0] or 0) + 1)
+
+
+def _map(spark: SparkSession, d: str, least: int | None = None) -> DataFrame:
+    series, lags = _fluct(spark, d), _lags(spark, d)
+    edges = spacetime.linear_edges(0.0, spacetime.greatest_distance(series, lags), R_BINS)
+    return spacetime.correlation_map(series, lags, edges, least=least)
 
 
 def _cuts(spark: SparkSession, d: str) -> DataFrame:
-    return spacetime.axis_cuts(_map(spark, d), R_EDGES, DT)
+    series, lags = _fluct(spark, d), _lags(spark, d)
+    edges = spacetime.linear_edges(0.0, spacetime.greatest_distance(series, lags), R_BINS)
+    return spacetime.axis_cuts(spacetime.correlation_map(series, lags, edges), edges, DT)
 
 
 def _formation(spark: SparkSession, d: str) -> DataFrame:
@@ -72,16 +81,26 @@ def _elsasser(spark: SparkSession, d: str) -> DataFrame:
     return cascade.elsasser(probe_series(spark, d), vector("v1", "v2", "v3"), vector("v2", "v3", "v1"), 1 + F.col("v3"))
 
 
-def _points(spark: SparkSession, d: str, probes: int = 5) -> DataFrame:
-    pairs = cascade.elsasser_pairs(_elsasser(spark, d).where(F.col("sc") < probes))
+def _points(spark: SparkSession, d: str) -> DataFrame:
+    """Lag points of all nine probes, fluxes rounded so that what follows doesn't hang on the order of sums."""
+    pairs = cascade.elsasser_pairs(_elsasser(spark, d))
     lags = pairs.where("step = 0").select("i", "j", "l1", "l2", "l3")
-    return cascade.lag_points(cascade.yaglom(pairs), lags, probes)
+    return stage(cascade.lag_points(_r(cascade.yaglom(pairs), 2), lags, 9), "lag-points")
 
 
 def _tetra(spark: SparkSession, d: str) -> DataFrame:
     return cascade.off_centre(cascade.tetrahedra(_points(spark, d)))
 
 
+def _rates(spark: SparkSession, d: str) -> DataFrame:
+    return cascade.flagged(cascade.rates(_tetra(spark, d)))
+
+
+def _tenths(c: Column) -> Column:
+    """To one digit, halves up: rates fall on halves, where engines round in different ways."""
+    return F.floor(c * 10 + 0.5) / 10
+
+
 def _tetra_counts(spark: SparkSession, d: str) -> DataFrame:
     points = _points(spark, d)
     raw = cascade.combinations(points).agg(F.count(F.lit(1)).alias("raw"))
@@ -91,16 +110,13 @@ def _tetra_counts(spark: SparkSession, d: str) -> DataFrame:
     return raw.crossJoin(kept).select("raw", (F.col("raw") - F.col("distinct_tetra")).alias("redundant"), "zero_centre", (F.col("distinct_tetra") - F.col("zero_centre")).alias("retained"))
 
 
+def _tetra_valid(spark: SparkSession, d: str) -> DataFrame:
+    fine = F.col("reason").isNull()
+    return _rates(spark, d).agg(F.count(F.lit(1)).alias("retained"), F.count_if(fine).alias("valid"), F.count_if(fine & F.col("passes")).alias("valid_passing"), F.count_if(F.col("reason") == "ill-conditioned").alias("ill"))
+
+
 def _embedding_nearest(spark: SparkSession, d: str) -> DataFrame:
-    """Every fiftieth vector's nearest other vector: the queries go in blocks by hash, candidates stay where they are."""
-    e = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
-    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("e").alias("q"))
-    block = F.collect_list(F.struct("query_id", "q")).alias("block")
-    blocks = q.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(16)).alias("b")).agg(block)
-    rows = e.join(blocks, F.lit(True)).select("vec_id", "e", F.explode("block").alias("k")).where("k.query_id <> vec_id")
-    d2 = F.aggregate(F.zip_with("e", "k.q", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x)
-    best = rows.withColumn("d2", F.round(d2, 6)).groupBy(F.col("k.query_id").alias("query_id")).agg(F.min(F.struct("d2", "vec_id")).alias("m"))
-    return best.select("query_id", "m.vec_id", "m.d2")
+    return reconstruct.nearest_vectors(spark.read.parquet(f"{d}/embeddings.parquet"), 50)
 
 
 def _power_spectrum(spark: SparkSession, d: str) -> DataFrame:
@@ -118,24 +134,56 @@ def _power_spectrum(spark: SparkSession, d: str) -> DataFrame:
     return field_grid(spark, d).groupBy("iz").applyInPandas(plane, "iz long, kx long, ky long, power double")
 
 
-def _dep(spark: SparkSession, d: str) -> DataFrame:
-    """Separation of lag points from the origin, a simple ranked measure of the same points."""
-    return _points(spark, d, 9).select("pid", F.sqrt(F.col("l1") * F.col("l1") + F.col("l2") * F.col("l2") + F.col("l3") * F.col("l3")).alias("lag"))
+def _length(spark: SparkSession, d: str) -> DataFrame:
+    """Lengths of the lag points."""
+    return _points(spark, d).select("pid", F.sqrt(F.col("l1") * F.col("l1") + F.col("l2") * F.col("l2") + F.col("l3") * F.col("l3")).alias("lag"))
 
 
-def _cdf(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
+def _shown(df: DataFrame) -> DataFrame:
+    return df.select(*"abcd", *[F.round(c, 5).alias(c) for c in ("elongation", "planarity", "d_ep")], F.round(F.log10("condition"), 4).alias("log_condition"), "passes", "reason")
+
+
+def _data_bins(pairs: DataFrame, floor: float) -> DataFrame:
+    edges = structure.data_edges(pairs, 12, floor)
+    return structure.structure_functions(pairs, edges, 2).select("bin", "lambda_lo", "lambda_hi", "n", "s1", "s2")
+
+
+def _random_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return structure.random_pairs(_grid_pairs(spark, d), EDGES, [f"{s}_{a}" for s in "ab" for a in grid.AXES], 0.5, 25)
+
 
-    w = Window.orderBy("lag", "pid")  # the lag points of one formation: n * (n - 1) rows for n probes
-    rows = _dep(spark, d).withColumn("rank", F.row_number().over(w))
-    return rows.withColumn("fraction", F.col("rank") / F.count(F.lit(1)).over(Window.partitionBy()))
+def _three_series(spark: SparkSession, d: str) -> DataFrame:
+    """Velocity of the probes, field of the grid by trilinear lookup, density by nearest lookup, joined on step and craft."""
+    at, cells = _probe_points(spark, d), field_grid(spark, d)
+    field = grid.sample_trilinear(at, cells, ["step", "sc"], BOX, SHAPE).select("step", "sc", *[F.col(v).alias(f"b{v[1]}") for v in grid.VALUES])
+    density = grid.sample_nearest(at, cells, BOX, SHAPE).select("step", "sc", (F.lit(1.0) + F.col("v2") + F.col("v3")).alias("density"))
+    velocity = probe_series(spark, d).select("step", "sc", "label", *[F.col(v).alias(f"u{v[1]}") for v in grid.VALUES])
+    return velocity.join(field, ["step", "sc"]).join(density, ["step", "sc"])
 
 
-def _histogram(spark: SparkSession, d: str) -> DataFrame:
-    from ..functions.columns import bin_index
+def _elsasser_joined(spark: SparkSession, d: str) -> DataFrame:
+    rows = cascade.elsasser(_three_series(spark, d), vector("u1", "u2", "u3"), vector("b1", "b2", "b3"), F.col("density"))
+    return rows.select("step", "sc", *[f"z{n}{k}" for n in "pm" for k in (1, 2, 3)])
 
-    edges = spacetime.linear_edges(0.0, 40.0, 8)
-    return _dep(spark, d).withColumn("bin", bin_index(F.col("lag"), edges, True)).groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
+
+def _craft(spark: SparkSession, d: str) -> DataFrame:
+    """Positions with a fill value on some rows, and some craft without a name."""
+    f = _formation(spark, d)
+    gap = (F.col("step") + F.length("label")) % 11 == 0
+    return formation.valid_craft(f.withColumn("x", F.when(gap, F.lit(-1e31)).otherwise(F.col("x"))).withColumn("label", F.when(F.col("step") % 7 == 3, "N/A").otherwise(F.col("label"))))
+
+
+def _holed(spark: SparkSession, d: str) -> DataFrame:
+    """The coarse reconstruction with NaN in some rows."""
+    return _coarse(spark, d).withColumn("p2", F.when(F.col("id") % 7 == 3, F.lit(float("nan"))).otherwise(F.col("p2")))
+
+
+def _times(spark: SparkSession, d: str) -> DataFrame:
+    o = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", F.date_format(F.col("o_orderdate").cast("timestamp"), "yyyy-MM-dd").alias("day"))
+    k = F.col("o_orderkey") % 5
+    hour = F.lpad((F.col("o_orderkey") % 24).cast("string"), 2, "0")
+    text = F.when(k == 0, F.concat("day", F.lit(" "), hour)).when(k == 1, F.concat("day", F.lit("T"), hour, F.lit(":30"))).when(k == 2, F.concat("day", F.lit(" "), hour, F.lit(":30:15")))
+    return o.select("o_orderkey", text.when(k == 3, F.concat("day", F.lit("T"), hour)).otherwise(F.lit("noon")).alias("asked")).select("o_orderkey", formation.parse_time(F.col("asked")).alias("t"))
 
 
 def _sliced_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -154,17 +202,17 @@ def _curl(spark: SparkSession, d: str) -> DataFrame:
     return grid.curl(field_grid(spark, d), STEPS)
 
 
-def _divergence_rmse(spark: SparkSession, d: str) -> DataFrame:
+def _divergence_rmse(spark: SparkSession, d: str, axes: int = 3) -> DataFrame:
     rows = _coarse(spark, d)
-    t = grid.divergence(rows.select(*grid.AXES, *grid.VALUES), STEPS)
-    p = grid.divergence(rows.select(*grid.AXES, *[F.col(f"p{v[1]}").alias(v) for v in grid.VALUES]), STEPS).withColumnRenamed("div", "p")
+    t = grid.divergence(rows.select(*grid.AXES, *grid.VALUES), STEPS, axes)
+    p = grid.divergence(rows.select(*grid.AXES, *[F.col(f"p{v[1]}").alias(v) for v in grid.VALUES]), STEPS, axes).withColumnRenamed("div", "p")
     return t.join(p, list(grid.AXES)).agg(F.sqrt(F.avg((F.col("div") - F.col("p")) * (F.col("div") - F.col("p")))).alias("divergence_rmse"))
 
 
 def _arrows(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
 
-    rows = _dep(spark, d).withColumn("rank", F.row_number().over(Window.orderBy("lag", "pid")))
+    rows = _length(spark, d).withColumn("rank", F.row_number().over(Window.orderBy("lag", "pid")))
     step = F.ceil(F.count(F.lit(1)).over(Window.partitionBy()) / F.lit(24))
     return rows.withColumn("step", step).where((F.col("rank") - 1) % F.col("step") == 0).orderBy("rank").limit(24).select("pid", "lag")
 
@@ -191,8 +239,8 @@ QUERIES = {
     "st_fluctuation_stats": lambda s, d: _r(_fluct(s, d).select("step", "label", "mean", "sigma", "fluct"), 5),
     "st_cadence_check": lambda s, d: _r(spacetime.cadence(probe_series(s, d))),
     "st_corr_map": lambda s, d: _r(_map(s, d)),
-    "st_rigid_map": lambda s, d: _r(spacetime.rigid_map(_fluct(s, d), LAGS), 5),
-    "st_hub_acf": lambda s, d: _r(spacetime.hub_autocorrelation(_fluct(s, d), LAGS)),
+    "st_rigid_map": lambda s, d: _r(spacetime.rigid_map(_fluct(s, d), _lags(s, d)), 5),
+    "st_hub_acf": lambda s, d: _r(spacetime.hub_autocorrelation(_fluct(s, d), _lags(s, d))),
     "st_axis_cuts": lambda s, d: _r(_cuts(s, d)),
     "st_decorrelation_scales": lambda s, d: _r(spacetime.first_crossing(_cuts(s, d)), 5),
     "decorrelation_contour": _contour,
@@ -210,8 +258,8 @@ QUERIES = {
     "curl_field": lambda s, d: _r(_curl(s, d), 4),
     "divergence_rmse": lambda s, d: _r(_divergence_rmse(s, d), 4),
     "recon_nearest": lambda s, d: _r(reconstruct.nearest(query_points(s, d), scattered_samples(s, d), "point_id")),
-    "recon_metrics": lambda s, d: _r(reconstruct.metrics(_coarse(s, d), grid.VALUES, ("p1", "p2", "p3")), 5),
-    "recon_rbf": lambda s, d: reconstruct.radial_basis(query_points(s, d), scattered_samples(s, d), "point_id"),
+    "recon_metrics": lambda s, d: _r(reconstruct.metrics(_holed(s, d), grid.VALUES, ("p1", "p2", "p3")), 5),
+    "recon_rbf": lambda s, d: reconstruct.radial_basis(query_points(s, d), scattered_samples(s, d), "point_id", neighbors=12),
     "recon_linear": lambda s, d: reconstruct.linear(query_points(s, d), scattered_samples(s, d), "point_id"),
     "embedding_nearest": _embedding_nearest,
     "grid_local_offset_pairs": lambda s, d: _r(_grid_pairs(s, d).select(*[f"{k}_{a}" for k in "ab" for a in grid.AXES], "lam"), 4),
@@ -224,10 +272,27 @@ QUERIES = {
     "lag_points": lambda s, d: _r(_points(s, d), 2),
     "tetra_counts": _tetra_counts,
     "tetra_dedup": lambda s, d: _tetra(s, d).select(*"abcd"),
-    "tetra_epsilon": lambda s, d: _r(cascade.rates(_tetra(s, d)).select(*"abcd", "eps_plus", "eps_minus"), 1),
-    "tetra_shape": lambda s, d: cascade.shapes(_tetra(s, d)),
-    "dep_histogram": _histogram,
-    "dep_cdf": lambda s, d: _r(_cdf(s, d)),
+    "tetra_epsilon": lambda s, d: _rates(s, d).select(*"abcd", *[_tenths(F.col(c)).alias(c) for c in ("eps_plus", "eps_minus")], "reason"),
+    "tetra_shape": lambda s, d: _shown(_rates(s, d)),
+    "tetra_valid": _tetra_valid,
+    "tetra_summary": lambda s, d: _r(cascade.summaries(_rates(s, d)), 3),
+    "tetra_preview": lambda s, d: cascade.preview(_shown(_rates(s, d))),
+    "dep_histogram": lambda s, d: _r(cascade.histogram(_rates(s, d), "d_ep"), 4),
+    "dep_cdf": lambda s, d: _r(cascade.cumulative(_rates(s, d), "d_ep")),
+    "epsilon_histogram": lambda s, d: _r(cascade.histogram(_rates(s, d).where("passes AND reason IS NULL").select(_tenths(F.col("eps_plus")).alias("eps_plus")), "eps_plus", symmetric=True, digits=1), 1),
+    "sf_data_bins": lambda s, d: _r(_data_bins(_pairs(s, d), 0.0), 4),
+    "sf_grid_data_bins": lambda s, d: _r(_data_bins(_grid_pairs(s, d), structure.least_spacing(STEPS)), 3),
+    "sf_random_pairs": lambda s, d: _r(_random_pairs(s, d).select(*[f"{k}_{a}" for k in "ab" for a in grid.AXES], "bin", "rank", "lam"), 4),
+    "sf_sampling_diagnostics": lambda s, d: _r(structure.diagnostics(_random_pairs(s, d), EDGES, min(STEPS), 25)),
+    "st_corr_map_absolute": lambda s, d: _map(s, d, 2000).select("lag", "r_bin", "n", "valid"),
+    "series_completeness": lambda s, d: formation.completeness(probe_series(s, d), ("v1", "v2", "v3")),
+    "series_gaps": lambda s, d: formation.completeness(formation.selected(_craft(s, d), ["H", "N1", "N2"]), ("x", "y", "z")),
+    "position_check": lambda s, d: formation.position_check(probe_series(s, d), _formation(s, d).where("step = 0"), (2.5, 1.2, 1.5), DT),
+    "craft_valid": lambda s, d: _r(_craft(s, d)),
+    "requested_times": _times,
+    "density_normalised": lambda s, d: _r(_three_series(s, d).select("step", "sc", *[(F.col(f"u{k}") / F.col("density")).alias(f"w{k}") for k in (1, 2, 3)]), 4),
+    "elsasser_joined": lambda s, d: _r(_elsasser_joined(s, d), 3),
+    "divergence_rmse_planes": lambda s, d: _r(_divergence_rmse(s, d, 2), 4),
     "arrow_thinning": lambda s, d: _r(_arrows(s, d)),
     "power_spectrum": _power_spectrum,
 }
@@ -266,12 +331,14 @@ CTE = {
       FROM grid a JOIN grid b ON abs(a.ix - b.ix) <= 1 AND abs(a.iy - b.iy) <= 1 AND abs(a.iz - b.iz) <= 1 AND (a.ix, a.iy, a.iz) < (b.ix, b.iy, b.iz)""",
     "fluct": """SELECT p.*, m.mean, p.v1 - m.mean AS fluct, s.sigma FROM probe p JOIN (SELECT label, avg(v1) AS mean FROM probe GROUP BY label) m USING (label)
       JOIN (SELECT label, sqrt(avg((v1 - mean) * (v1 - mean))) AS sigma FROM probe JOIN (SELECT label, avg(v1) AS mean FROM probe GROUP BY label) USING (label) GROUP BY label) s USING (label)""",
-    "lagged": f"""SELECT CAST(b.step - a.step AS INTEGER) AS lag, a.sc AS i, b.sc AS j, a.label,
+    "lagmax": "SELECT greatest(1, CAST(floor(max(step) * 0.5) AS BIGINT)) AS top FROM probe",
+    "lagged": """SELECT CAST(b.step - a.step AS INTEGER) AS lag, a.sc AS i, b.sc AS j, a.label,
       sqrt((b.ux - a.ux) * (b.ux - a.ux) + (b.uy - a.uy) * (b.uy - a.uy) + (b.uz - a.uz) * (b.uz - a.uz)) AS r, a.fluct * b.fluct / (a.sigma * b.sigma) AS product
-      FROM fluct a JOIN fluct b ON b.step BETWEEN a.step AND a.step + {LAGS} AND a.sc <= b.sc""",
+      FROM (SELECT f.*, m.top FROM fluct f, lagmax m) a JOIN fluct b ON b.step BETWEEN a.step AND a.step + a.top AND a.sc <= b.sc""",
+    "far": "SELECT max(r) AS far FROM lagged",
     "corr": f"""SELECT lag, r_bin, count(*) AS n, avg(product) AS corr, count(*) >= ceil(0.01 * max(count(*)) OVER ()) AS valid
-      FROM (SELECT *, {_bin("r", R_EDGES, False)} AS r_bin FROM lagged) WHERE r_bin BETWEEN 0 AND {len(R_EDGES) - 2} GROUP BY lag, r_bin""",
-    "cuts": f"""SELECT 'r' AS axis, {_list([(a + b) / 2 for a, b in zip(R_EDGES[:-1], R_EDGES[1:], strict=True)])}[r_bin + 1] AS x, corr, valid FROM corr WHERE lag = 0
+      FROM (SELECT *, {" + ".join(f"CAST(r >= {'far' if k == R_BINS else f'{k} * (far / {R_BINS})'} AS INTEGER)" for k in range(R_BINS + 1))} - 1 AS r_bin FROM lagged, far) WHERE r_bin BETWEEN 0 AND {R_BINS - 1} GROUP BY lag, r_bin""",
+    "cuts": f"""SELECT 'r' AS axis, (r_bin * (far / {R_BINS}) + CASE WHEN r_bin = {R_BINS - 1} THEN far ELSE (r_bin + 1) * (far / {R_BINS}) END) / 2 AS x, corr, valid FROM corr, far WHERE lag = 0
       UNION ALL SELECT 'tau', lag * CAST({DT} AS DOUBLE), corr, valid FROM corr WHERE r_bin = 0""",
     "cells": f"SELECT *, ix * 30 + iy * 5 + iz AS id, ix * {_HX} AS x, iy * {_HY} AS y, iz * {_HZ} AS z FROM grid",
     "coarse": """SELECT c.*, n.p1, n.p2, n.p3 FROM cells c JOIN (
@@ -292,16 +359,48 @@ CTE = {
 
 def _lagpoints(probes: int) -> str:
     base = f"CAST(f.i * (2 * {probes} - f.i - 1) / 2 + f.j - f.i - 1 AS BIGINT) * 2"
-    cols = [f"{n}{k}" for n in ("l", "yp", "ym") for k in (1, 2, 3)]
-    one = lambda s, off: f"SELECT {base} + {off} AS pid, " + ", ".join(f"{s} * {c} AS {c}" for c in cols) + f" FROM flux f JOIN (SELECT i, j, l1, l2, l3 FROM epairs WHERE step = 0) USING (i, j) WHERE f.j < {probes}"
+    cols = [(f"{n}{k}", f"{n}{k}" if n == "l" else f"round({n}{k}, 2)") for n in ("l", "yp", "ym") for k in (1, 2, 3)]
+    one = lambda s, off: f"SELECT {base} + {off} AS pid, " + ", ".join(f"{s} * {v} AS {c}" for c, v in cols) + f" FROM flux f JOIN (SELECT i, j, l1, l2, l3 FROM epairs WHERE step = 0) USING (i, j) WHERE f.j < {probes}"
     return f"{one('1', 0)} UNION ALL {one('-1', 1)}"
 
 
-CTE["lagp"], CTE["lagp9"] = _lagpoints(5), _lagpoints(9)
+CTE["lagp"] = _lagpoints(9)
 CTE["combos"] = "SELECT a.pid AS a, b.pid AS b, c.pid AS c, d.pid AS d, (a.l1 + b.l1 + c.l1 + d.l1) / 4 AS c1, (a.l2 + b.l2 + c.l2 + d.l2) / 4 AS c2, (a.l3 + b.l3 + c.l3 + d.l3) / 4 AS c3 FROM lagp a JOIN lagp b ON a.pid < b.pid JOIN lagp c ON b.pid < c.pid JOIN lagp d ON c.pid < d.pid"
 CTE["distinct_combos"] = "SELECT * FROM combos WHERE [a, b, c, d] <= list_sort([xor(a, 1), xor(b, 1), xor(c, 1), xor(d, 1)])"
 CTE["tetra"] = "SELECT * FROM distinct_combos WHERE sqrt(c1 * c1 + c2 * c2 + c3 * c3) > 1e-12"
-CTE["dep"] = "SELECT pid, sqrt(l1 * l1 + l2 * l2 + l3 * l3) AS lag FROM lagp9"
+CTE["vertices"] = "SELECT t.*, " + ", ".join(f"{v}.{n}{k} AS {v}_{n}{k}" for v in "abcd" for n in ("l", "yp", "ym") for k in (1, 2, 3)) + " FROM tetra t " + " ".join(f"JOIN lagp {v} ON {v}.pid = t.{v}" for v in "abcd")
+
+
+def _shape_levels() -> list[list[str]]:
+    """The shape of a tetrahedron in SQL, level by level: closed-form eigenvalues, then the adjugate of the lag differences."""
+    square = lambda names: " + ".join(f"{n}{k} * {n}{k}" for n in names for k in (1, 2, 3))
+    axes = ((1, (2, 3)), (2, (3, 1)), (3, (1, 2)))
+    return [
+        [f"{v}_l{k} - c{k} AS {v}o{k}" for v in "abcd" for k in (1, 2, 3)] + [f"{v}_l{k} - a_l{k} AS {v}d{k}" for v in "bcd" for k in (1, 2, 3)],
+        ["(" + " + ".join(f"{v}o{i} * {v}o{j}" for v in "abcd") + f") / 4 AS m{i}{j}" for i, j in ((1, 1), (2, 2), (3, 3), (1, 2), (1, 3), (2, 3))]
+        + [f"{p}d{i} * {q}d{j} - {p}d{j} * {q}d{i} AS {n}{k}" for n, (p, q) in (("x", "cd"), ("y", "db"), ("z", "bc")) for k, (i, j) in axes],
+        ["(m11 + m22 + m33) / 3 AS mid", "bd1 * x1 + bd2 * x2 + bd3 * x3 AS det"],
+        ["sqrt(((m11 - mid) * (m11 - mid) + (m22 - mid) * (m22 - mid) + (m33 - mid) * (m33 - mid) + 2 * (m12 * m12 + m13 * m13 + m23 * m23)) / 6) AS spread",
+         f"CASE WHEN det <> 0 THEN sqrt({square(('bd', 'cd', 'dd'))}) * sqrt({square('xyz')}) / abs(det) END AS condition"],
+        ["CASE WHEN spread > 0 THEN ((m11 - mid) * ((m22 - mid) * (m33 - mid) - m23 * m23) - m12 * (m12 * (m33 - mid) - m23 * m13) + m13 * (m12 * m23 - (m22 - mid) * m13)) / (spread * spread * spread) / 2 ELSE 1 END AS turn"],
+        ["acos(greatest(-1.0, least(1.0, turn))) / 3 AS angle"],
+        ["mid + 2 * spread * cos(angle) AS e1", f"mid + 2 * spread * cos(angle + {2 * math.pi / 3!r}) AS e3"],
+        ["CASE WHEN 3 * mid - e1 - e3 > 1e-12 * e1 THEN 3 * mid - e1 - e3 ELSE 0 END AS f2", "CASE WHEN e3 > 1e-12 * e1 THEN e3 ELSE 0 END AS f3"],
+        ["1 - sqrt(CASE WHEN e1 > 0 THEN f2 / e1 ELSE 0 END) AS elongation", "1 - sqrt(CASE WHEN f2 > 0 THEN f3 / f2 ELSE 0 END) AS planarity"],
+        ["sqrt(elongation * elongation + planarity * planarity) AS d_ep"],
+        [f"d_ep < {cascade.MOST_D_EP} AS passes", "condition IS NULL OR NOT condition <= 1e12 AS ill"],
+    ]
+
+
+CTE["shaped"] = "vertices"
+for _level in _shape_levels():
+    CTE["shaped"] = f"(SELECT *, {', '.join(_level)} FROM {CTE['shaped']})"
+CTE["shaped"] = f"SELECT * FROM {CTE['shaped']}"
+CTE["rated"] = "SELECT a, b, c, d, elongation, planarity, d_ep, condition, passes, ill, " + ", ".join(
+    f"CASE WHEN NOT ill THEN ({' + '.join('(' + ' + '.join(f'({v}_{y}{k} - a_{y}{k}) * {row}{k}' for k in (1, 2, 3)) + ')' for v, row in zip('bcd', 'xyz', strict=True))}) / det * -0.25 END AS {name}"
+    for name, y in (("eps_plus", "yp"), ("eps_minus", "ym"))
+) + ", CASE WHEN ill THEN 'ill-conditioned' END AS reason FROM shaped"
+CTE["dep"] = "SELECT pid, sqrt(l1 * l1 + l2 * l2 + l3 * l3) AS lag FROM lagp"
 
 
 def _with_lag(source: str) -> str:
@@ -318,9 +417,10 @@ CTE |= {"pairs": _with_lag("raw_pairs"), "valid": _valid("pairs"), "gpairs": _wi
 CTE["capped"] = "SELECT * FROM gvalid QUALIFY row_number() OVER (PARTITION BY bin ORDER BY a_ix, a_iy, a_iz, b_ix, b_iy, b_iz) <= 40"
 CTE["sf"] = f"SELECT CAST(t.b AS INTEGER) AS bin, count(lam) AS n, " + ", ".join(f"avg(pow(dv, {p}.0)) AS s{p}" for p in (1, 2, 3, 4)) + f" FROM range({len(EDGES) - 1}) t(b) LEFT JOIN valid ON valid.bin = t.b GROUP BY t.b"
 NEEDS = {
-    "wrapped": ["probe"], "raw_pairs": ["wrapped"], "pairs": ["raw_pairs"], "valid": ["pairs"], "sf": ["valid"], "fluct": ["probe"], "lagged": ["fluct"], "corr": ["lagged"],
-    "cuts": ["corr"], "grid_pairs": ["grid"], "gpairs": ["grid_pairs"], "gvalid": ["gpairs"], "capped": ["gvalid"], "cells": ["grid"], "coarse": ["cells"], "els": ["probe"],
-    "epairs": ["els"], "flux": ["epairs"], "lagp": ["flux"], "lagp9": ["flux"], "combos": ["lagp"], "distinct_combos": ["combos"], "tetra": ["distinct_combos"], "dep": ["lagp9"],
+    "wrapped": ["probe"], "raw_pairs": ["wrapped"], "pairs": ["raw_pairs"], "valid": ["pairs"], "sf": ["valid"], "fluct": ["probe"], "lagged": ["fluct", "lagmax"], "corr": ["lagged", "far"],
+    "cuts": ["corr"], "lagmax": ["probe"], "far": ["lagged"], "vertices": ["tetra", "lagp"], "shaped": ["vertices"], "rated": ["shaped"],
+    "grid_pairs": ["grid"], "gpairs": ["grid_pairs"], "gvalid": ["gpairs"], "capped": ["gvalid"], "cells": ["grid"], "coarse": ["cells"], "els": ["probe"],
+    "epairs": ["els"], "flux": ["epairs"], "lagp": ["flux"], "combos": ["lagp"], "distinct_combos": ["combos"], "tetra": ["distinct_combos"], "dep": ["lagp"],
 }
 
 
@@ -336,7 +436,7 @@ def _sql(last: str | list[str], body: str) -> str:
     for name in [last] if isinstance(last, str) else last:
         need(name)
     more = body.removeprefix("WITH ")
-    return "WITH " + ",\n".join(f"{n} AS ({CTE[n]})" for n in order) + (",\n" if more != body else "\n") + more
+    return "WITH " + ",\n".join(f"{n} AS {'MATERIALIZED ' * (n == 'rated')}({CTE[n]})" for n in order) + (",\n" if more != body else "\n") + more
 
 
 def _diff(value: str, axis: str, h: float) -> str:
@@ -347,7 +447,7 @@ def _diff(value: str, axis: str, h: float) -> str:
 
 
 def _div(v: tuple[str, ...]) -> str:
-    return " + ".join(f"({_diff(x, a, h)})" for x, a, h in zip(v, grid.AXES, STEPS, strict=True))
+    return " + ".join(f"({_diff(x, a, h)})" for x, a, h in zip(v, grid.AXES, STEPS))
 
 
 def _cell(p: str, h: float, n: int) -> str:
@@ -369,19 +469,44 @@ _SC = [f"z{n}{k}" for n in "pm" for k in (1, 2, 3)]
 _CELLS = " ".join(f"{s}_{a}" for s in "ab" for a in grid.AXES).replace(" ", ", ")
 
 
-def _eps(y: str) -> str:
-    d = lambda v, n, k: f"({v}.{n}{k} - a.{n}{k})"
-    def cr(p, q, k):  # component k of (l_p - l_a) x (l_q - l_a)
-        i, j = [(2, 3), (3, 1), (1, 2)][k - 1]
-        return f"({d(p, 'l', i)} * {d(q, 'l', j)} - {d(p, 'l', j)} * {d(q, 'l', i)})"
-    dots = lambda v, n, p, q: "(" + " + ".join(f"{d(v, n, k)} * {cr(p, q, k)}" for k in (1, 2, 3)) + ")"
-    det = dots("b", "l", "c", "d")
-    trace = f"({dots('b', y, 'c', 'd')} + {dots('c', y, 'd', 'b')} + {dots('d', y, 'b', 'c')}) / {det}"
-    return f"CASE WHEN abs({det}) > 1e-6 THEN round(({trace}) * -0.25, 1) END"
+def _histogram(values: str, symmetric: bool) -> str:
+    """Bins of ``values`` (one column v)."""
+    lo, hi = ("-greatest(abs(min(v)), abs(max(v)))", "greatest(abs(min(v)), abs(max(v)))") if symmetric else ("min(v)", "max(v)")
+    return f"""WITH v AS ({values}), s AS (SELECT CAST(least(20, greatest(5, floor(sqrt(count(*))))) AS INTEGER) AS bins, {lo} AS lo, {hi} AS hi FROM v),
+      w AS (SELECT *, (hi - lo) / bins AS wide FROM s), k AS (SELECT CAST(least(floor((v - lo) / wide), bins - 1) AS INTEGER) AS bin, count(*) AS n FROM v, w GROUP BY 1)
+      SELECT CAST(b AS INTEGER) AS bin, lo + b * wide AS lo, lo + (b + 1) * wide AS hi, coalesce(n, 0) AS n FROM w, range(20) r(b) LEFT JOIN k ON k.bin = b WHERE b < bins"""
+
+
+def _rounded(text: str, digits: int) -> str:
+    return text.replace("lo + b * wide AS lo, lo + (b + 1) * wide AS hi", f"round(lo + b * wide, {digits}) + 0.0 AS lo, round(lo + (b + 1) * wide, {digits}) + 0.0 AS hi")
+
+
+def _complete(rows: str) -> str:
+    return f"""WITH r AS ({rows}), p AS (SELECT step, label, count(*) AS n, bool_or(bad) AS bad FROM r GROUP BY step, label)
+      SELECT CAST(sum(n) AS BIGINT) AS rows, count(DISTINCT step) AS steps, count(DISTINCT label) AS labels, count(DISTINCT step) * count(DISTINCT label) - count(*) AS missing,
+      CAST(sum(n) AS BIGINT) - count(*) AS repeated, count(*) FILTER (WHERE bad) AS bad_values,
+      count(DISTINCT step) * count(DISTINCT label) = count(*) AND sum(n) = count(*) AND NOT bool_or(bad) AS complete FROM p"""
+
+
+CTE["drawn"] = f"""SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY bin ORDER BY draw, {_CELLS}) AS INTEGER) AS rank FROM (
+  SELECT *, md5(concat_ws(',', '0', {_CELLS})) AS draw FROM gvalid) WHERE substr(draw, 1, 8) < '{int(0.5 * 2**32):08x}') WHERE rank <= 25"""
+_TRI = "SELECT i, j, k FROM range(2) a(i), range(2) b(j), range(2) c(k)"
+CTE["trilinear"] = f"SELECT w.step, w.sc, " + ", ".join(f"sum(g.v{q} * " + " * ".join(f"({_weight('w.' + p, h, 's.' + t)})" for (_, (p, h, _n)), t in zip(_AX, "ijk", strict=True)) + f") AS b{q}" for q in (1, 2, 3)) + f" FROM wrapped w CROSS JOIN ({_TRI}) s JOIN grid g ON " + " AND ".join(f"g.{a} = {_corner('w.' + p, h, n, 's.' + t)}" for (a, (p, h, n)), t in zip(_AX, "ijk", strict=True)) + " GROUP BY w.step, w.sc"
+CTE["three"] = "SELECT w.step, w.sc, w.v1 AS u1, w.v2 AS u2, w.v3 AS u3, b1, b2, b3, 1.0 + g.v2 + g.v3 AS density FROM wrapped w JOIN trilinear USING (step, sc) JOIN grid g ON " + " AND ".join(f"g.{a} = {_cell('w.' + p, h, n)}" for a, (p, h, n) in _AX)
+NEEDS |= {"drawn": ["gvalid"], "trilinear": ["wrapped", "grid"], "three": ["wrapped", "grid", "trilinear"]}
+
+
+def _data_sf(source: str, floor: float, digits: int) -> str:
+    """Moments over log bins between the least and the largest positive lag of ``source``."""
+    edge = "CASE WHEN b = 0 THEN lo WHEN b = 12 THEN hi ELSE pow(10, log10(lo) + b * ((log10(hi) - log10(lo)) / 12)) END"
+    return f"""WITH m AS (SELECT greatest(min(lam), CAST({floor!r} AS DOUBLE)) AS lo, max(lam) AS hi FROM {source} WHERE lam > 0),
+      e AS (SELECT b, {edge} AS e FROM m, range(13) r(b)), g AS (SELECT list(e ORDER BY b) AS g FROM e),
+      x AS (SELECT abs(d1) AS dv, CASE WHEN lam = g[13] THEN 11 ELSE len(list_filter(g, lambda e: e <= lam)) - 1 END AS bin FROM {source}, g WHERE lam > 0 AND lam >= g[1] AND lam <= g[13])
+      SELECT CAST(a.b AS INTEGER) AS bin, round(a.e, {digits}) AS lambda_lo, round(z.e, {digits}) AS lambda_hi, count(x.dv) AS n, round(avg(dv), {digits}) AS s1, round(avg(dv * dv), {digits}) AS s2
+      FROM e a JOIN e z ON z.b = a.b + 1 LEFT JOIN x ON x.bin = a.b GROUP BY a.b, a.e, z.e"""
 
 
 _FORM = "SELECT step, label, ux AS x, uy AS y, uz AS z FROM probe"
-_HIST = spacetime.linear_edges(0.0, 40.0, 8)
 _E = math.exp(-1)
 _L = spacetime.LEVEL
 
@@ -391,7 +516,7 @@ ORACLE_SQL = {
     "sf_kurtosis": _sql("sf", "SELECT bin, round(CASE WHEN s2 <> 0 THEN s4 / (s2 * s2) END, 6) AS kurtosis FROM sf"),
     "sf_bin_summary": _sql("valid", "SELECT bin, count(*) AS n, " + ", ".join(f"round({f}({c}), 5) AS {n}_{c}" for c in ("lam", "dv", "b_local", "r") for n, f in (("mean", "avg"), ("min", "min"), ("max", "max"))) + " FROM valid GROUP BY bin"),
     "sf_exclusions": _sql("pairs", f"""SELECT count(*) AS total, count(*) FILTER (WHERE lam > 0 AND lam BETWEEN {EDGES[0]!r} AND {EDGES[-1]!r}) AS kept,
-      count(*) FILTER (WHERE r IS NULL OR b_local IS NULL) AS non_finite, count(*) FILTER (WHERE b_local <= 0) AS zero_field,
+      count(*) FILTER (WHERE r IS NULL) AS bad_position, count(*) FILTER (WHERE r IS NOT NULL AND b_local IS NULL) AS bad_field, count(*) FILTER (WHERE b_local <= 0) AS zero_field,
       count(*) FILTER (WHERE b_local > 0 AND (lam <= 0 OR lam IS NULL)) AS zero_lag,
       count(*) FILTER (WHERE lam > 0 AND NOT lam BETWEEN {EDGES[0]!r} AND {EDGES[-1]!r}) AS out_of_range FROM pairs"""),
     "sf_undersampled": _sql("sf", "SELECT bin, n, max(n) OVER () = 0 OR n < 0.05 * max(n) OVER () AS undersampled FROM sf"),
@@ -430,8 +555,9 @@ ORACLE_SQL = {
     "divergence_rmse": _sql("coarse", f"SELECT round(sqrt(avg((t - p) * (t - p))), 4) AS divergence_rmse FROM (SELECT {_div(('v1', 'v2', 'v3'))} AS t, {_div(('p1', 'p2', 'p3'))} AS p FROM coarse)"),
     "recon_nearest": _sql(["samples", "points"], """SELECT p.point_id, s.sample_id, round((p.x - s.x) * (p.x - s.x) + (p.y - s.y) * (p.y - s.y) + (p.z - s.z) * (p.z - s.z), 6) AS d2, round(s.v, 6) AS v
       FROM points p, samples s QUALIFY row_number() OVER (PARTITION BY p.point_id ORDER BY (p.x - s.x) * (p.x - s.x) + (p.y - s.y) * (p.y - s.y) + (p.z - s.z) * (p.z - s.z), s.sample_id) = 1"""),
-    "recon_metrics": _sql("coarse", """SELECT round(sqrt(sum(e) / (count(*) * 3)), 5) AS rmse, round(sqrt(sum(e)) / sqrt(sum(q)), 5) AS relative_l2, CAST(1 AS DOUBLE) AS valid_fraction, count(*) AS valid_count, CAST(0 AS BIGINT) AS invalid_count
-      FROM (SELECT (v1 - p1) * (v1 - p1) + (v2 - p2) * (v2 - p2) + (v3 - p3) * (v3 - p3) AS e, v1 * v1 + v2 * v2 + v3 * v3 AS q FROM coarse)"""),
+    "recon_metrics": _sql("coarse", """SELECT round(sqrt(sum(e) FILTER (WHERE ok) / (count(*) FILTER (WHERE ok) * 3)), 5) AS rmse, round(sqrt(sum(e) FILTER (WHERE ok)) / sqrt(sum(q) FILTER (WHERE ok)), 5) AS relative_l2,
+      round(count(*) FILTER (WHERE ok) / count(*), 5) AS valid_fraction, count(*) FILTER (WHERE ok) AS valid_count, count(*) FILTER (WHERE NOT ok) AS invalid_count
+      FROM (SELECT (v1 - p1) * (v1 - p1) + (v2 - p2) * (v2 - p2) + (v3 - p3) * (v3 - p3) AS e, v1 * v1 + v2 * v2 + v3 * v3 AS q, id % 7 <> 3 AS ok FROM coarse)"""),
     "embedding_nearest": """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)
       SELECT q.vec_id AS query_id, v.vec_id, round(list_sum(list_transform(list_zip(q.e, v.e), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 6) AS d2 FROM e q JOIN e v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0
       QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY d2, v.vec_id) = 1""",
@@ -448,8 +574,28 @@ ORACLE_SQL = {
     "tetra_counts": _sql("distinct_combos", """SELECT c.raw, c.raw - d.n AS redundant, d.zero AS zero_centre, d.n - d.zero AS retained FROM (SELECT count(*) AS raw FROM combos) c,
       (SELECT count(*) AS n, count(*) FILTER (WHERE sqrt(c1 * c1 + c2 * c2 + c3 * c3) <= 1e-12) AS zero FROM distinct_combos) d"""),
     "tetra_dedup": _sql("tetra", "SELECT a, b, c, d FROM tetra"),
-    "tetra_epsilon": _sql("tetra", f"SELECT t.a, t.b, t.c, t.d, {_eps('yp')} AS eps_plus, {_eps('ym')} AS eps_minus FROM tetra t JOIN lagp a ON a.pid = t.a JOIN lagp b ON b.pid = t.b JOIN lagp c ON c.pid = t.c JOIN lagp d ON d.pid = t.d"),
-    "dep_histogram": _sql("dep", f"SELECT {_bin('lag', _HIST, True)} AS bin, count(*) AS n FROM dep GROUP BY 1"),
-    "dep_cdf": _sql("dep", "SELECT pid, round(lag, 6) AS lag, CAST(row_number() OVER (ORDER BY lag, pid) AS INTEGER) AS rank, round(row_number() OVER (ORDER BY lag, pid) / count(*) OVER (), 6) AS fraction FROM dep"),
+    "tetra_epsilon": _sql("rated", "SELECT a, b, c, d, floor(eps_plus * 10 + 0.5) / 10 AS eps_plus, floor(eps_minus * 10 + 0.5) / 10 AS eps_minus, reason FROM rated"),
+    "tetra_shape": _sql("rated", "SELECT a, b, c, d, round(elongation, 5) AS elongation, round(planarity, 5) AS planarity, round(d_ep, 5) AS d_ep, round(log10(condition), 4) AS log_condition, passes, reason FROM rated"),
+    "tetra_valid": _sql("rated", "SELECT count(*) AS retained, count(*) FILTER (WHERE reason IS NULL) AS valid, count(*) FILTER (WHERE reason IS NULL AND passes) AS valid_passing, count(*) FILTER (WHERE ill) AS ill FROM rated"),
+    "tetra_summary": _sql("rated", "WITH m AS (" + " UNION ALL ".join(f"SELECT '{n}' AS metric, {n} AS v FROM rated{w}" for n, w in (("elongation", ""), ("planarity", ""), ("d_ep", ""), ("eps_plus", " WHERE passes AND reason IS NULL"), ("eps_minus", " WHERE passes AND reason IS NULL"))) + ") SELECT metric, count(v) AS n, round(min(v), 3) + 0.0 AS least, round(max(v), 3) + 0.0 AS most, round(avg(v), 3) + 0.0 AS mean, round(stddev_pop(v), 3) AS std FROM m GROUP BY metric"),
+    "tetra_preview": _sql("rated", "SELECT a, b, c, d, round(elongation, 5) AS elongation, round(planarity, 5) AS planarity, round(d_ep, 5) AS d_ep, round(log10(condition), 4) AS log_condition, passes, reason FROM rated ORDER BY a, b, c, d LIMIT 64"),
+    "dep_histogram": _sql("shaped", _rounded(_histogram("SELECT round(d_ep, 6) AS v FROM shaped", False), 4)),
+    "dep_cdf": _sql("shaped", "SELECT round(value, 6) AS value, n, round(sum(n) OVER (ORDER BY value) / sum(n) OVER (), 6) AS fraction FROM (SELECT round(d_ep, 5) AS value, count(*) AS n FROM shaped GROUP BY 1)"),
+    "epsilon_histogram": _sql("rated", _rounded(_histogram("SELECT floor(eps_plus * 10 + 0.5) / 10 AS v FROM rated WHERE passes AND reason IS NULL", True), 1)),
+    "sf_data_bins": _sql("pairs", _data_sf("pairs", 0.0, 4)),
+    "sf_grid_data_bins": _sql("gpairs", _data_sf("gpairs", structure.least_spacing(STEPS), 3)),
+    "sf_random_pairs": _sql("drawn", f"SELECT {_CELLS}, bin, rank, round(lam, 4) AS lam FROM drawn"),
+    "sf_sampling_diagnostics": _sql("drawn", f"""SELECT (SELECT count(DISTINCT bin) FROM drawn) AS filled, round((SELECT count(DISTINCT bin) FROM drawn) / 12, 6) AS occupancy, min(bin) AS first_bin,
+      count(*) FILTER (WHERE bin < 3) / 75 < 0.5 AS left_edge_thin, count(*) AS accepted, {", ".join(f"count(*) FILTER (WHERE lam <= {k} * CAST({min(STEPS)!r} AS DOUBLE)) AS within_{k}" for k in (1, 2, 4))} FROM drawn"""),
+    "st_corr_map_absolute": _sql("corr", "SELECT lag, r_bin, n, n >= 2000 AS valid FROM corr"),
+    "series_completeness": _sql("probe", _complete("SELECT step, label, v1 IS NULL OR v2 IS NULL OR v3 IS NULL AS bad FROM probe")),
+    "series_gaps": _sql("probe", _complete("SELECT step, CASE WHEN step % 7 = 3 THEN 'N/A' ELSE label END AS label, false AS bad FROM probe WHERE step % 7 <> 3 AND (step + length(label)) % 11 <> 0 AND label IN ('H', 'N1', 'N2')")),
+    "position_check": _sql("probe", "SELECT p.label, count(*) AS steps, count(*) FILTER (WHERE abs(p.time_seconds - p.step * CAST({DT} AS DOUBLE)) > 1e-9) AS off_time, count(*) FILTER (WHERE ".replace("{DT}", str(DT)) + " OR ".join(f"abs(p.u{x} - (o.u{x} + {v} * p.time_seconds)) > 1e-9" for x, v in zip("xyz", (2.5, 1.2, 1.5), strict=True)) + ") AS off_path FROM probe p JOIN probe o ON o.label = p.label AND o.step = 0 GROUP BY p.label"),
+    "craft_valid": _sql("probe", "SELECT step, label, round(ux, 6) AS x, round(uy, 6) AS y, round(uz, 6) AS z FROM probe WHERE step % 7 <> 3 AND (step + length(label)) % 11 <> 0"),
+    "requested_times": """WITH o AS (SELECT o_orderkey, strftime(CAST(o_orderdate AS TIMESTAMP), '%Y-%m-%d') AS day, lpad(CAST(o_orderkey % 24 AS VARCHAR), 2, '0') AS h FROM orders)
+      SELECT o_orderkey, CAST(CASE o_orderkey % 5 WHEN 0 THEN day || ' ' || h || ':00:00' WHEN 1 THEN day || ' ' || h || ':30:00' WHEN 2 THEN day || ' ' || h || ':30:15' WHEN 3 THEN day || ' ' || h || ':00:00' END AS TIMESTAMP) AS t FROM o""",
+    "density_normalised": _sql("three", "SELECT step, sc, " + ", ".join(f"round(u{k} / density, 4) + 0.0 AS w{k}" for k in (1, 2, 3)) + " FROM three"),
+    "elsasser_joined": _sql("three", "SELECT step, sc, " + ", ".join(f"round(u{k} {s} b{k} / sqrt(density), 3) + 0.0 AS z{n}{k}" for n, s in (("p", "+"), ("m", "-")) for k in (1, 2, 3)) + " FROM three"),
+    "divergence_rmse_planes": _sql("coarse", f"SELECT round(sqrt(avg((t - p) * (t - p))), 4) AS divergence_rmse FROM (SELECT {_div(('v1', 'v2'))} AS t, {_div(('p1', 'p2'))} AS p FROM coarse)"),
     "arrow_thinning": _sql("dep", "SELECT pid, round(lag, 6) AS lag FROM (SELECT *, row_number() OVER (ORDER BY lag, pid) AS rank, ceil(count(*) OVER () / 24) AS step FROM dep) WHERE (rank - 1) % step = 0 ORDER BY rank LIMIT 24"),
 }

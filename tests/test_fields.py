@@ -2,6 +2,9 @@
 
 import math
 import os
+import shutil
+import subprocess
+import sys
 
 import duckdb
 import numpy as np
@@ -22,7 +25,7 @@ def _rows(frame):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="tables not here")
-@pytest.mark.parametrize("name", ["sf_lambda_bins", "st_hub_acf", "grid_trilinear", "recon_metrics", "tetra_counts", "wrapped_path_breaks", "asof_nearest_batch"])
+@pytest.mark.parametrize("name", ["sf_lambda_bins", "st_hub_acf", "grid_trilinear", "recon_metrics", "tetra_counts", "wrapped_path_breaks", "asof_nearest_batch", "st_corr_map", "sf_data_bins", "sf_random_pairs", "series_gaps", "recon_nearest", "requested_times"])
 def test_against_sql(spark, name):
     con = duckdb.connect()
     for t in ("events", "lineitem", "supplier", "part", "orders", "embeddings"):
@@ -77,7 +80,78 @@ def test_contracts(spark):
     assert spacetime.linear_edges(0, 0, 2) == [-0.5, 0.0, 0.5]
 
 
-def test_the_entry_imports_without_the_llm_folders():
-    import __spark_entry__ as e
-
-    assert "sf_lambda_bins" in e.queries() and set(e.oracle_sql()) <= set(e.queries())
+def test_the_entry_imports_without_the_llm_folders(tmp_path):
+    """In a copy without them the queries of the rest are there, and nothing of the rest imports them."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(os.path.join(root, "murmuration"), tmp_path / "murmuration", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(os.path.join(root, "__spark_entry__.py"), tmp_path)
+    code = "import sys, __spark_entry__ as e; q = e.queries(); assert 'sf_lambda_bins' in q and set(e.oracle_sql()) <= set(q); assert not any(n.startswith('op') or n == 'pipeline' for n in q); assert not any('llm' in m for m in sys.modules if m.startswith('murmuration')); print(len(q))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={**os.environ, "PYTHONPATH": os.environ.get("PYTHONPATH", "")})
+    assert done.returncode == 0, done.stderr
+    assert int(done.stdout) == len(catalogue.QUERIES)
+
+
+def test_correlation_blocks_against_pairs(spark):
+    """Blocks far smaller than the series and the lags, gaps in the series, against all lagged pairs one by one."""
+    rng = np.random.default_rng(5)
+    rows = [(t, c, float(t + c), float(c * c), float(rng.normal()), float(rng.normal()), 1.0 + c) for t in range(40) for c in range(3) if (t, c) not in ((5, 1), (17, 2), (18, 2))]
+    table = spark.createDataFrame([(t, c, "H" if c == 0 else f"N{c}", f, s, x, y, 0.0) for t, c, x, y, f, _, s in rows], "step long, sc long, label string, fluct double, sigma double, ux double, uy double, uz double")
+    want, most, rigid = {}, 0.0, {}
+    for t, c, x, y, f, _, s in rows:
+        for t2, c2, x2, y2, f2, _, s2 in rows:
+            if 0 <= t2 - t <= 20 and c <= c2:
+                r = math.hypot(x2 - x, y2 - y)
+                most = max(most, r)
+                want.setdefault(t2 - t, []).append((r, f * f2 / (s * s2)))
+                rigid.setdefault((t2 - t, c, c2), []).append(f * f2 / (s * s2))
+    assert math.isclose(spacetime.greatest_distance(table, 20, 7), most)
+    edges = spacetime.linear_edges(0.0, 40.0, 5)
+    got = {(r.lag, r.r_bin): (r.n, r.corr) for r in spacetime.correlation_map(table, 20, edges, block=7).collect()}
+    for lag, pairs in want.items():
+        for k in range(5):
+            p = [v for r, v in pairs if edges[k] <= r < edges[k + 1]]
+            assert (lag, k) not in got if not p else got[lag, k][0] == len(p) and math.isclose(got[lag, k][1], sum(p) / len(p), abs_tol=1e-12)
+    assert {(r.lag, r.i, r.j): r.n for r in spacetime.rigid_map(table, 20, 7).collect()} == {k: len(v) for k, v in rigid.items()}
+
+
+def test_nearest_samples_against_all(spark):
+    """Clustered samples, ties, points far outside and positions that aren't finite."""
+    rng = np.random.default_rng(9)
+    x = np.vstack([rng.random((200, 3)) * 0.01, rng.random((30, 3)) * 5, [[9.0, 9.0, 9.0]] * 3])
+    s = spark.createDataFrame([(i, *map(float, p), float(i)) for i, p in enumerate(x)] + [(999, float("nan"), 0.0, 0.0, 1.0)], "sample_id long, x double, y double, z double, v double")
+    q = np.vstack([rng.random((60, 3)) * 5, [[-50.0, 3.0, 60.0], [9.0, 9.0, 9.0]]])
+    points = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(q)] + [(900, None, 1.0, 1.0)], "id long, x double, y double, z double")
+    for k in (1, 4):
+        got = {}
+        for r in reconstruct.nearest_samples(points, s, "id", k).collect():
+            got.setdefault(r.id, {})[r.rank] = (round(r.d2, 9), r.sample_id)
+        assert len(got) == len(q)
+        for i, p in enumerate(q):
+            best = sorted((round(float(((y - p) ** 2).sum()), 9), j) for j, y in enumerate(x))[:k]
+            assert [got[i][n + 1] for n in range(k)] == best
+    assert reconstruct.nearest(points, s.limit(0), "id").count() == 0
+
+
+def test_join_condition_of_pairs_stays_short(spark):
+    """Filters on the lag aren't written out in the join that makes the pairs."""
+    rows = spark.createDataFrame([(0, 0, 1.0, 2.0, 3.0, 1.0, 0.0, 0.0)], "step long, sc long, x double, y double, z double, v1 double, v2 double, v3 double")
+    plan = structure.structure_functions(structure.same_step_pairs(rows), [0.5, 1.0, 2.0])._jdf.queryExecution().optimizedPlan().toString()
+    assert max(len(line) for line in plan.splitlines() if "Join" in line) < 400
+
+
+def test_subsets_and_completeness(spark):
+    rows = spark.createDataFrame([(t, c, float(t)) for t in range(4) for c in ("H", "N1", "N2") if (t, c) != (2, "N1")] + [(0, "H", float("nan"))], "step long, label string, v double")
+    got = formation.completeness(rows, ["v"]).first()
+    assert (got.rows, got.steps, got.labels, got.missing, got.repeated, got.bad_values, got.complete) == (12, 4, 3, 1, 1, 1, False)
+    assert formation.selected(rows, ["H", "N2"]).count() == 9 and formation.selected(rows, None).count() == 12
+    for bad in (["N1"], ["H", "H"], ["H", "N9"]):
+        with pytest.raises(ValueError):
+            formation.selected(rows, bad)
+
+
+def test_rates_reject_flat_tetrahedra(spark):
+    points = spark.createDataFrame([(p, *map(float, xyz), *[float(7 * p + k) for k in range(6)]) for p, xyz in ((0, (0, 0, 0)), (2, (1, 0, 0)), (4, (0, 1, 0)), (6, (1, 1, 0)), (8, (0, 0, 2)))], "pid long, " + ", ".join(f"{n}{k} double" for n in ("l", "yp", "ym") for k in (1, 2, 3)))
+    got = {(r.a, r.b, r.c, r.d): r for r in cascade.flagged(cascade.rates(cascade.tetrahedra(points))).collect()}
+    assert got[0, 2, 4, 6].reason == "ill-conditioned" and got[0, 2, 4, 6].eps_plus is None and got[0, 2, 4, 6].planarity == 1
+    fine = got[0, 2, 4, 8]
+    assert fine.reason is None and fine.det == 2 and math.isclose(fine.eps_plus, -0.25 * (14 + 29 + 58 / 2 + 0), rel_tol=1) and fine.condition > 1
