@@ -67,8 +67,8 @@ class Bands:
         self.differ = differ
         # the lower the threshold, the fewer tokens a word has and the more words of few tokens there are to leave out
         self.places = differ + 5 + differ * 5 * (den - num) // (4 * den)
-        self.thin = (self.places - differ - 1) // 2
-        self.need = self.places - differ - self.thin
+        self.need = 2 + (self.places - differ - 2) // 8
+        self.thin = self.places - differ - self.need
         self.cells = differ // 4 + 8
 
     def bound(self, sizes: int | np.ndarray):
@@ -227,8 +227,13 @@ def _groups(keys: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 def _pairs(a: np.ndarray, b: np.ndarray, opened: np.ndarray) -> list[pa.Array]:
     """Distinct rows, and for the open ones how many keys gave each."""
-    rows, n = np.unique(np.stack([a, b, opened.astype(np.int64)], 1), axis=0, return_counts=True)
-    return [pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(rows[:, 2] > 0), pa.array(n * rows[:, 2])]
+    opened = opened > 0
+    order = np.lexsort((opened, b, a))
+    a, b, opened = a[order], b[order], opened[order]
+    lead = np.ones(len(a), bool)
+    lead[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (opened[1:] != opened[:-1])
+    at = np.flatnonzero(lead)
+    return [pa.array(a[at]), pa.array(b[at]), pa.array(opened[at]), pa.array(np.diff(np.append(at, len(a))) * opened[at])]
 
 
 PAIRS = "a long, b long, open boolean, n long"
@@ -339,8 +344,8 @@ def judge(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, band: int, bands: Ban
     return out
 
 
-def _sides(pairs: DataFrame, reps: DataFrame, strip=None) -> DataFrame:
-    """The pairs (a, b) with the sketches of both; ``strip`` shortens those of a before they move.
+def _sides(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """The pairs (a, b) with the sketches of both.
 
     b may be the hub of very many: its sketch is copied, one copy for every PARTNERS of them.
     """
@@ -349,26 +354,27 @@ def _sides(pairs: DataFrame, reps: DataFrame, strip=None) -> DataFrame:
     many = stage(pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("copies")), "jaccard-hubs")
     salted = pairs.select("a", "b").join(many, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("copies")).cast("int").alias("copy"))
     left = salted.join(side("a"), "a").select("a", "b", "copy", *[f"a_{c}" for c in cols])
-    if strip:
-        left = left.mapInArrow(strip, left.schema)
     right = side("b").join(many, "b").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
     return left.join(right, ["b", "copy"])
 
 
-def _near(pairs: DataFrame, reps: DataFrame, bands: Bands) -> DataFrame:
-    """The pairs within the Hamming bound. Of one side only lower halves move."""
-
-    def low(band: int, sketch: bytes) -> np.ndarray:
-        return (np.frombuffer(sketch, U, int(bands.places[band])) & LOW).astype(np.uint32)
+def _lower_halves(reps: DataFrame, bands: Bands) -> DataFrame:
+    """(rep, n, g1, s1, g2, s2) with the lower halves of the sketches' words alone, for the Hamming bound."""
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for g, s in (("a_g1", "a_s1"), ("a_g2", "a_s2")):
+            for g, s in (("g1", "s1"), ("g2", "s2")):
                 at = [batch.schema.get_field_index(c) for c in (g, s)]
-                halves = [None if k is None else low(k, x).tobytes() for k, x in zip(*(batch.column(i).to_pylist() for i in at), strict=True)]
+                halves = [None if k is None else (np.frombuffer(x, U, int(bands.places[k])) & LOW).astype(np.uint32).tobytes() for k, x in zip(*(batch.column(i).to_pylist() for i in at), strict=True)]
                 batch = batch.set_column(at[1], s, pa.array(halves, pa.binary()))
             yield batch
 
+    return reps.select("rep", "n", "g1", "s1", "g2", "s2").mapInArrow(strip, "rep long, n long, g1 int, s1 binary, g2 int, s2 binary")
+
+
+def _near(pairs: DataFrame, lower: DataFrame, bands: Bands) -> DataFrame:
+    """The pairs within the Hamming bound, by lower halves."""
+
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             v = {c: batch.column(c).to_pylist() for c in batch.schema.names}
@@ -377,13 +383,13 @@ def _near(pairs: DataFrame, reps: DataFrame, bands: Bands) -> DataFrame:
                 common = next(((p, q) for p in (1, 2) for q in (1, 2) if v[f"a_g{p}"][i] is not None and v[f"a_g{p}"][i] == v[f"b_g{q}"][i]), None)
                 if common:
                     x = np.frombuffer(v[f"a_s{common[0]}"][i], np.uint32)
-                    y = low(v[f"b_g{common[1]}"][i], v[f"b_s{common[1]}"][i])
+                    y = np.frombuffer(v[f"b_s{common[1]}"][i], np.uint32)
                     if np.bitwise_count(x ^ y).sum(dtype=np.int64) <= bands.bound(v["a_n"][i] + v["b_n"][i]):
                         hit.append(i)
             take = pa.array(hit, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("a").take(take), batch.column("b").take(take)], ["a", "b"])
 
-    return _sides(pairs, reps, strip).mapInArrow(check, "a long, b long")
+    return _sides(pairs, lower).mapInArrow(check, "a long, b long")
 
 
 def _verified(pairs: DataFrame, reps: DataFrame, bands: Bands) -> DataFrame:
@@ -506,14 +512,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     total = classes.agg(F.sum("n")).first()[0] or 0
     # a sketch takes about four bytes for each shingle; a key of eight bytes comes from two shingles at least
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total * 4 / 16e6))
-    bits = max(3, math.ceil(math.log2(max(1, total / 2 / 1_000_000))))
+    bits = max(3, math.ceil(math.log2(max(1, total / 2 / 400_000))))
     reps, name = _by_rep(slim, classes, size, bands, buckets)
 
     pairs, last, touched = _unsettled(reps, classes.count(), bands, bits)
     # first each document with one other; then the pairs that this has left in different components
-    hubs = stage(pairs.groupBy("a").agg(F.min("b").alias("b")), "jaccard-hubs")
-    links = _settled(slim, hubs, reps, size, bands)
-    apart = stage(_near(_apart(pairs, components(links)), reps, bands), "jaccard-near")
+    lower = stage(_lower_halves(reps, bands), "jaccard-lower")
+    hubs = stage(_near(pairs.groupBy("a").agg(F.min("b").alias("b")), lower, bands), "jaccard-near")
+    links = stage(_settled(slim, hubs, reps, size, bands), "jaccard-links")
+    apart = stage(_near(_apart(pairs, components(links)), lower, bands), "jaccard-near")
     links = stage(links.unionByName(_settled(slim, apart, reps, size, bands)), "jaccard-links")
     labels = components(links)
     apart = _apart(last.where("open"), labels)
