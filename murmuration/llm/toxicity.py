@@ -247,21 +247,38 @@ def document_features(column: pa.Array, restorer: Restorer) -> tuple[np.ndarray,
     """(text, feature) pairs of the restored texts, repeats included."""
     w = Words(column, lower=True)
     kind = suspects(w)
-    drop, docs, read = np.zeros(len(w.starts), bool), [], []
-    doc, raw = w.docs(), w.data.tobytes()
+    drop, doc, raw = np.zeros(len(w.starts), bool), w.docs(), w.data.tobytes()
     signs = np.add.reduceat(_leet[w.data] & w.inside, w.starts) > 0 if len(w.starts) else drop
-    for a, b in _groups(w, kind):
-        text = raw[w.starts[a] : w.ends[b - 1]].decode("utf-8", "replace")
-        drop[a:b] = b - a > 1 or not (signs[a] or kind[a] == 3)
+    # each distinct suspect is read once; ``of`` tells whose reading it is, ``at`` and ``back`` where it stands
+    single = np.flatnonzero((kind == 1) | (kind == 3))
+    _, at, back = np.unique(w.hashes()[single], return_index=True, return_inverse=True)
+    read, of, holders = [], [], []
+    for u, i in enumerate(single[at].tolist()):
+        text = raw[w.starts[i] : w.ends[i]].decode("utf-8", "replace")
         for word in _readings(text, restorer):
-            docs.append(doc[a])
+            if kind[i] == 1 or word != text:
+                read.append(word)
+                of.append(u)
+    drop[single] = (kind[single] == 1) & ~signs[single]
+    for a, b in _groups(w, np.where(kind == 2, kind, 0)):
+        drop[a:b] = True
+        for word in _readings(raw[w.starts[a] : w.ends[b - 1]].decode("utf-8", "replace"), restorer):
             read.append(word)
+            of.append(len(at) + len(holders))
+        holders.append(doc[a])
     hashes = [h[~drop] for h in _feature_hashes(w)]
     owner = [np.tile(doc[~drop], len(hashes))]
     if read:
         again = Words(pa.array(read))
-        owner.append(np.tile(np.asarray(docs, np.int64)[again.docs()], 1 + len(PREFIXES)))
-        hashes += _feature_hashes(again)
+        whose = np.asarray(of, np.int64)[again.docs()]
+        place = np.concatenate([back, len(at) + np.arange(len(holders))])
+        order = np.argsort(place, kind="stable")
+        docs, n = np.concatenate([doc[single], np.asarray(holders, np.int64)])[order], np.bincount(place, minlength=len(at) + len(holders))
+        begin, many = (np.cumsum(n) - n)[whose], n[whose]
+        rows = np.repeat(np.arange(len(whose)), many)
+        texts = docs[np.arange(len(rows)) - np.repeat(np.cumsum(many) - many, many) + begin[rows]]
+        owner.append(np.tile(texts, 1 + len(PREFIXES)))
+        hashes += [h[rows] for h in _feature_hashes(again)]
     owner, hashes = np.concatenate(owner), np.concatenate(hashes)
     keep = hashes != 0
     return owner[keep], hashes[keep]
