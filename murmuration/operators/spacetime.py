@@ -127,7 +127,9 @@ def correlation_map(series: DataFrame, lags: int, edges: Sequence[float], min_fr
     def work(*args) -> pa.Table:
         out = []
         for lag, _, _, there, r, product in _each_lag(*args):
-            k = np.searchsorted(limits, r, "right") - 1
+            k = np.full(r.shape, -1, np.int16)  # few edges: comparing with each is faster than a search
+            for e in limits:
+                k += r >= e
             use = there & (k >= 0) & (k < bins) & np.isfinite(r)
             n, good = np.bincount(k[use], minlength=bins), use & np.isfinite(product)
             out.append((np.full(bins, lag), np.arange(bins), n, np.bincount(k[good], product[good], bins)))
