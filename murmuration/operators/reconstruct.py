@@ -1,8 +1,8 @@
 """Reconstruction from scattered samples, and its scores.
 
 Nearest samples come from equi-joins on cells, whatever the number of samples. Radial basis functions solve a small system
-for each point over its nearest samples, in Arrow groups of points; without ``neighbors`` they solve one dense system, and
-piecewise-linear interpolation triangulates: both for sample sets checked against ``MAX_SAMPLES``.
+for each point over its nearest samples, in Arrow groups of points; without ``neighbors`` they solve one dense system, for
+sample sets checked against ``MAX_SAMPLES``. Piecewise-linear interpolation finds the simplex around each point by itself.
 """
 
 from __future__ import annotations
@@ -189,54 +189,6 @@ class ThinPlate:
         return out
 
 
-def delaunay(x: np.ndarray) -> np.ndarray:
-    """Simplices of a Delaunay triangulation in two or three dimensions, by inserting points one at a time."""
-    d = x.shape[1]
-    centre, wide = x.mean(0), max(float(np.ptp(x)), 1e-9)
-    corners = np.vstack([-np.ones(d), np.eye(d) * (d + 1) - 1]) * wide * 1e4
-    pts = np.vstack([x, centre + corners])
-    n = len(x)
-
-    def ball(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        p = pts[s]
-        a = 2 * (p[:, 1:] - p[:, :1])
-        b = (p[:, 1:] ** 2).sum(2) - (p[:, :1] ** 2).sum(2)
-        c = np.linalg.solve(a, b[..., None])[..., 0]
-        return c, ((p[:, 0] - c) ** 2).sum(1)
-
-    simplices = np.array([range(n, n + d + 1)])
-    c, r = ball(simplices)
-    for i in range(n):
-        bad = ((c - pts[i]) ** 2).sum(1) < r * (1 + 1e-12)
-        faces = np.sort(np.concatenate([np.delete(simplices[bad], k, 1) for k in range(d + 1)]), 1)
-        faces, count = np.unique(faces, axis=0, return_counts=True)
-        new = np.column_stack([faces[count == 1], np.full((count == 1).sum(), i)])
-        flat = np.abs(np.linalg.det(pts[new][:, 1:] - pts[new][:, :1])) > 1e-14 * wide**d
-        new = new[flat]
-        nc, nr = ball(new)
-        simplices, c, r = np.vstack([simplices[~bad], new]), np.vstack([c[~bad], nc]), np.concatenate([r[~bad], nr])
-    return simplices[(simplices < n).all(1)]
-
-
-class PiecewiseLinear:
-    """Linear within each simplex, NaN outside the hull."""
-
-    def __init__(self, x: np.ndarray, y: np.ndarray):
-        self.y, self.s = y, delaunay(x)
-        self.origin = x[self.s[:, 0]]
-        self.inverse = np.linalg.inv((x[self.s[:, 1:]] - self.origin[:, None]).transpose(0, 2, 1)) if len(self.s) else np.zeros((0, x.shape[1], x.shape[1]))
-
-    def __call__(self, q: np.ndarray) -> np.ndarray:
-        out = np.full((len(q), self.y.shape[1]), np.nan)
-        for i, p in enumerate(q):
-            w = np.einsum("sij,sj->si", self.inverse, p - self.origin)
-            w = np.column_stack([1 - w.sum(1), w])
-            hit = np.flatnonzero((w >= -1e-9).all(1))
-            if len(hit):
-                out[i] = w[hit[0]] @ self.y[self.s[hit[0]]]
-        return out
-
-
 def radial_basis(points: DataFrame, samples: DataFrame, key: str, position: Sequence[str] = ("x", "y", "z"), value: Sequence[str] = ("v",), neighbors: int | None = None, **settings) -> DataFrame:
     """Radial basis interpolation, over each point's ``neighbors`` nearest samples if given."""
     if not neighbors:
@@ -257,8 +209,170 @@ def radial_basis(points: DataFrame, samples: DataFrame, key: str, position: Sequ
     return rows.select(key, *position, "near").mapInArrow(run, ", ".join([f"{key} long", *[f"{v} double" for v in value]]))
 
 
-def linear(points: DataFrame, samples: DataFrame, key: str, position: Sequence[str] = ("x", "y", "z"), value: Sequence[str] = ("v",)) -> DataFrame:
-    return _predict(points, key, position, value, PiecewiseLinear(*_arrays(samples, position, value)))
+class _Search:
+    """The simplex of a Delaunay triangulation that holds a point, as the basis of a linear programme.
+
+    Of all convex combinations of samples that give the point, the one of least summed height, where a sample's height is its
+    squared norm, has the Delaunay simplex around the point as its support. Heights carry a tiny term from the sample's id:
+    samples on one sphere then have one triangulation. Far corners that no sample reaches stand in at first; what still needs
+    them at the end lies outside the hull. Coordinates are scaled by one factor to the samples' range.
+    """
+
+    TIE, TOL = 1e-9, 1e-12
+    #: Pivots after which the entering sample is the first that improves (Bland's rule), and after which rounding is to blame.
+    PATIENCE, MOST = 200, 20_000
+
+    def __init__(self, axes: int):
+        self.axes = axes
+        self.corners = np.vstack([-np.ones(axes), np.eye(axes) * (2.0 * axes + 2) - 1]) * 4 + 0.5
+
+    def heights(self, ids: np.ndarray, x: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            mixed = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+            mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        return (x * x).sum(1) + self.TIE * (mixed >> np.uint64(11)) / 2.0**53
+
+    def solve(self, p: np.ndarray, ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Members of the basis (samples by place, corners by -1 - place), their weights, and both rows of prices."""
+        n, d = len(ids), self.axes
+        a = np.vstack([np.column_stack([x, np.ones(n)]), np.column_stack([self.corners, np.ones(d + 1)])])
+        cost = np.vstack([np.r_[np.zeros(n), np.ones(d + 1)], np.r_[self.heights(ids, x), np.zeros(d + 1)]])
+        basis = np.arange(n, n + d + 1)
+        goal = np.r_[p, 1.0]
+        for pivot in range(self.MOST):
+            inverse = np.linalg.inv(a[basis].T)
+            weight, price = inverse @ goal, cost[:, basis] @ inverse
+            # a corner at weight 0 costs nothing: what it would price counts in the second row alone
+            first, second = cost - price @ a.T
+            first[basis] = second[basis] = 0.0
+            first[n:] = np.inf
+            worse = first < -1e-11
+            if not worse.any():
+                if ((basis >= n) & (weight > 1e-9)).any():
+                    price[1] = np.r_[np.zeros(d), -np.inf]  # beyond the hull: no height can matter
+                    break
+                first = np.where(np.abs(first) <= 1e-11, second, 0.0)
+                worse = first < -self.TOL
+                if not worse.any():
+                    break
+            enter = int(np.argmax(worse)) if pivot > self.PATIENCE else int(np.argmin(np.where(worse, first, 0.0)))
+            step = inverse @ a[enter]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                ratio = np.where(step > 1e-11, np.maximum(weight, 0.0) / step, np.inf)
+            leave = int(np.argmin(ratio))
+            if not np.isfinite(ratio[leave]):
+                break
+            basis[leave] = enter
+        return np.where(basis < n, basis, n - 1 - basis), weight, price
+
+
+def linear(points: DataFrame, samples: DataFrame, key: str, position: Sequence[str] = ("x", "y", "z"), value: Sequence[str] = ("v",), near: int = 32, chunk: int = 1024, add: int = 8) -> DataFrame:
+    """Piecewise-linear interpolation over the Delaunay triangulation of the samples; NaN outside their hull.
+
+    A point's simplex is sought among its ``near`` nearest samples. It is the right one if its sphere lies within what these
+    surely cover. The other points, near the hull or beyond it, go out in chunks with the prices of their simplex; each task
+    answers with the sample that most violates them, and they search again with the first ``add`` of these among all that they
+    have met, until there is none that they haven't met.
+    """
+    spark, d = points.sparkSession, len(position)
+    good = reduce(lambda a, b: a & b, [finite(F.col(p)) for p in position])
+    stats = samples.where(good).agg(F.count(F.lit(1)), *[f(F.col(c).cast("double")) for c in position for f in (F.min, F.max)]).first()
+    names = [f"at_{p}" for p in position]
+    none = (points.where(~good) if stats[0] else points).select(F.col(key).cast("long").alias(key), *[F.lit(float("nan")).alias(v) for v in value])
+    if not stats[0]:
+        return none
+    low, scale = stats[1::2], max([h - lo for lo, h in zip(stats[1::2], stats[2::2], strict=True)] + [0.0]) or 1.0
+    scaled = [((F.col(p).cast("double") - F.lit(lo)) / F.lit(scale)).alias(n) for p, n, lo in zip(position, names, low, strict=True)]
+    s = written(samples.where(good).select("sample_id", *[F.coalesce(F.col(v).cast("double"), F.lit(float("nan"))).alias(v) for v in value], *scaled), "linear-samples")
+    q = points.where(good).select(F.col(key).cast("long").alias(key), *scaled)
+    own = [f"q_{n}" for n in names]
+    q = written(q.select(key, *[F.col(n).alias(o) for n, o in zip(names, own, strict=True)]), "linear-points")
+    at = s.select("*", *[F.col(n).alias(o) for n, o in zip(names, own, strict=True)])
+    rows = nearest_samples(q, at, key, near, own, [*value, *names])
+    item = F.struct("sample_id", *names, *value, "d2")
+    kept = f"array<struct<sample_id:bigint,{','.join(f'{n}:double' for n in names)},{','.join(f'{v}:double' for v in value)}>>"
+    asked = written(rows.groupBy(key).agg(F.collect_list(item).alias("found")).join(q, key), "linear-near")
+    schema = f"{key} long, {', '.join(f'{o} double' for o in own)}, found {kept}, prices array<double>, done boolean, {', '.join(f'{v} double' for v in value)}"
+    out_names = [c.split()[0] for c in schema.replace(kept, "kept").split(", ")]
+
+    def local(first: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            search = _Search(d)
+            for b in batches:
+                p = np.column_stack([b.column(o).to_numpy() for o in own]).reshape(len(b), d)
+                cols: dict[str, list] = {n: [] for n in out_names[1 + d :]}
+                for i, found in enumerate(b.column("found").to_pylist()):
+                    found = list({r["sample_id"]: r for r in found}.values())
+                    x = np.array([[r[n] for n in names] for r in found])
+                    members, weight, price = search.solve(p[i], np.array([r["sample_id"] for r in found]), x)
+                    outside = (members < 0) & (weight > 1e-9)
+                    real = [(found[m], w) for m, w in zip(members, weight, strict=True) if m >= 0]
+                    done = first and len(found) < near
+                    if first and not done and not (members < 0).any():
+                        centre = price[1, :d] / 2
+                        reach = np.sqrt(max(centre @ centre + price[1, d], 0.0)) + np.linalg.norm(centre - p[i])
+                        done = bool((reach + 1e-6) ** 2 < max(r["d2"] for r in found))
+                    cols["found"].append([{n: r[n] for n in ("sample_id", *names, *value)} for r in ([r for r, _ in real] if first else found)])
+                    cols["prices"].append(price.ravel().tolist())
+                    cols["done"].append(done)
+                    for v in value:
+                        cols[v].append(float("nan") if outside.any() else float(sum(r[v] * w for r, w in real if w > 0)))
+                kind = pa.list_(pa.struct([("sample_id", pa.int64()), *[(n, pa.float64()) for n in (*names, *value)]]))
+                arrays = [pa.array(cols["found"], kind), pa.array(cols["prices"], pa.list_(pa.float64())), pa.array(cols["done"], pa.bool_()), *[pa.array(cols[v], pa.float64()) for v in value]]
+                yield pa.RecordBatch.from_arrays([b.column(key), *[b.column(o) for o in own], *arrays], out_names)
+
+        return run
+
+    state = written(asked.select(key, *own, "found").mapInArrow(local(True), schema), "linear-state")
+    ready, left = [state.where("done")], written(state.where("NOT done"), "linear-left")
+    while count := left.count():
+        parts, answers = -(-count // chunk), []
+        for part in range(parts):
+            table = left.where(F.pmod(F.xxhash64(key), F.lit(parts)) == part).select(key, "prices").toArrow().combine_chunks()
+            for begin in range(0, table.num_rows, chunk):
+                piece = table.slice(begin, chunk)
+                sent = spark.sparkContext.broadcast((piece[key].to_numpy(), np.array(piece["prices"].to_pylist()).reshape(-1, 2, d + 1)))
+                answers.append(s.mapInArrow(_most_violating(sent, d, key, names, value), f"{key} long, excess double, sample_id long, {', '.join(f'{c} double' for c in (*names, *value))}"))
+        new = written(reduce(lambda a, b: a.unionByName(b), answers), "linear-answers")
+        more = new.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("excess", "sample_id", *names, *value))).alias("more"))
+        unmet = F.filter("more", lambda m: ~F.exists("found", lambda f: f["sample_id"] == m["sample_id"]))
+        fields = lambda m: F.struct(*[m[c].alias(c) for c in ("sample_id", *names, *value)])
+        step = left.join(more, key, "left").withColumn("more", F.transform(F.slice(unmet, 1, add), fields))
+        step = written(step, "linear-step")
+        ready.append(step.where("more IS NULL OR size(more) = 0").drop("more"))
+        again = step.where("size(more) > 0").select(key, *own, F.concat("found", "more").alias("found"))
+        left = written(again.mapInArrow(local(False), schema), "linear-left")
+    return reduce(lambda a, b: a.unionByName(b), ready).select(key, *value).unionByName(none)
+
+
+def _most_violating(sent, d: int, key: str, names: Sequence[str], value: Sequence[str]):
+    """For each point of the chunk the sample of this task that most violates the prices, if one does."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, price = sent.value
+        search, fields = _Search(d), ["sample_id", *names, *value]
+        best, row = np.zeros(len(keys)), np.zeros((len(keys), len(fields) - 1))
+        ids = np.full(len(keys), -1)
+        for whole in batches:
+            for first in range(0, len(whole), 1024):
+                b = whole.slice(first, 1024)
+                x = np.column_stack([b.column(n).to_numpy() for n in names]).reshape(len(b), d)
+                i = b.column("sample_id").to_numpy()
+                a = np.column_stack([x, np.ones(len(b))])
+                one = -price[:, 0] @ a.T
+                two = search.heights(i, x)[None] - price[:, 1] @ a.T
+                one = np.where(one < -1e-11, one, np.where(one > 1e-11, np.inf, 0.0))
+                two = np.where(one == 0, np.where(two < -search.TOL, two, 0.0), 0.0)
+                order = np.where(one < 0, one - 1e6, np.where(one == 0, two, 0.0))
+                pick = order.argmin(1)
+                found = order[np.arange(len(keys)), pick]
+                less = found < best
+                best[less], ids[less] = found[less], i[pick[less]]
+                row[less] = np.column_stack([b.column(c).to_numpy() for c in fields[1:]])[pick[less]]
+        use = ids >= 0
+        yield pa.RecordBatch.from_arrays([pa.array(keys[use]), pa.array(best[use]), pa.array(ids[use]), *[pa.array(row[use, k]) for k in range(row.shape[1])]], [key, "excess", *fields])
+
+    return run
 
 
 METHODS = {"nearest": nearest, "linear": linear, "rbf": radial_basis}

@@ -119,21 +119,6 @@ def _embedding_nearest(spark: SparkSession, d: str) -> DataFrame:
     return reconstruct.nearest_vectors(spark.read.parquet(f"{d}/embeddings.parquet"), 50)
 
 
-def _power_spectrum(spark: SparkSession, d: str) -> DataFrame:
-    """Unbinned two-dimensional power of (v1, v2) on each z plane of the grid: one transform per plane."""
-    import numpy as np
-    import pandas as pd
-
-    def plane(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["ix", "iy"])
-        shape = (rows.ix.max() + 1, rows.iy.max() + 1)
-        power = sum(np.abs(np.fft.fftn(rows[v].to_numpy().reshape(shape))) ** 2 for v in ("v1", "v2"))
-        kx, ky = np.indices(shape)
-        return pd.DataFrame({"iz": rows.iz.iloc[0], "kx": kx.ravel(), "ky": ky.ravel(), "power": power.ravel()})
-
-    return field_grid(spark, d).groupBy("iz").applyInPandas(plane, "iz long, kx long, ky long, power double")
-
-
 def _length(spark: SparkSession, d: str) -> DataFrame:
     """Lengths of the lag points."""
     return _points(spark, d).select("pid", F.sqrt(F.col("l1") * F.col("l1") + F.col("l2") * F.col("l2") + F.col("l3") * F.col("l3")).alias("lag"))
@@ -294,7 +279,6 @@ QUERIES = {
     "elsasser_joined": lambda s, d: _r(_elsasser_joined(s, d), 3),
     "divergence_rmse_planes": lambda s, d: _r(_divergence_rmse(s, d, 2), 4),
     "arrow_thinning": lambda s, d: _r(_arrows(s, d)),
-    "power_spectrum": _power_spectrum,
 }
 
 # ---- DuckDB texts -------------------------------------------------------------------------------------------------

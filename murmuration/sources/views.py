@@ -5,7 +5,10 @@ The SQL is plain enough for Spark and DuckDB alike, so that oracles start from t
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 DT, RHO = 0.03125, 100.0
 BOX = (40.0, 30.0, 50.0)
@@ -60,3 +63,13 @@ def scattered_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def query_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, POINTS, "part")
+
+
+def unpacked(rows: DataFrame, column: str, layout: Sequence[str], wanted: Sequence[str]) -> DataFrame:
+    """Named components of an array column whose places ``layout`` names, beside the other columns."""
+    if len(set(wanted)) != len(wanted) or not wanted:
+        raise ValueError("name each component once")
+    unknown = sorted(set(wanted) - set(layout))
+    if unknown:
+        raise ValueError(f"no component {', '.join(unknown)} among {', '.join(layout)}")
+    return rows.select("*", *[F.get(column, F.lit(list(layout).index(w))).alias(w) for w in wanted]).drop(column)

@@ -1,5 +1,7 @@
 """Field analysis: registered queries against DuckDB, and analytic invariants."""
 
+import itertools
+import json
 import math
 import os
 import shutil
@@ -11,8 +13,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from murmuration.operators import cascade, formation, grid, reconstruct, spacetime, structure
-from murmuration.plans import catalogue
+from murmuration.operators import cascade, formation, grid, maps, reconstruct, spacetime, spectrum, structure
+from murmuration.plans import catalogue, figures
+from murmuration.sinks import tables
+from murmuration.sources.views import unpacked
 
 SF = "/root/testdata/sf0.001"
 
@@ -25,12 +29,13 @@ def _rows(frame):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="tables not here")
-@pytest.mark.parametrize("name", ["sf_lambda_bins", "st_hub_acf", "grid_trilinear", "recon_metrics", "tetra_counts", "wrapped_path_breaks", "asof_nearest_batch", "st_corr_map", "sf_data_bins", "sf_random_pairs", "series_gaps", "recon_nearest", "requested_times"])
+@pytest.mark.parametrize("name", ["sf_lambda_bins", "st_hub_acf", "grid_trilinear", "recon_metrics", "tetra_counts", "wrapped_path_breaks", "asof_nearest_batch", "st_corr_map", "sf_data_bins", "sf_random_pairs", "series_gaps", "recon_nearest", "requested_times", *figures.ORACLE_SQL])
 def test_against_sql(spark, name):
     con = duckdb.connect()
     for t in ("events", "lineitem", "supplier", "part", "orders", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    assert _rows(catalogue.QUERIES[name](spark, SF).toPandas()) == _rows(con.execute(catalogue.ORACLE_SQL[name]).df())
+    queries, sql = catalogue.QUERIES | figures.QUERIES, catalogue.ORACLE_SQL | figures.ORACLE_SQL
+    assert _rows(queries[name](spark, SF).toPandas()) == _rows(con.execute(sql[name]).df())
 
 
 def _affine(spark, shape=(5, 4, 3), box=(4.0, 3.0, 2.0)):
@@ -88,7 +93,7 @@ def test_the_entry_imports_without_the_llm_folders(tmp_path):
     code = "import sys, __spark_entry__ as e; q = e.queries(); assert 'sf_lambda_bins' in q and set(e.oracle_sql()) <= set(q); assert not any(n.startswith('op') or n == 'pipeline' for n in q); assert not any('llm' in m for m in sys.modules if m.startswith('murmuration')); print(len(q))"
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={**os.environ, "PYTHONPATH": os.environ.get("PYTHONPATH", "")})
     assert done.returncode == 0, done.stderr
-    assert int(done.stdout) == len(catalogue.QUERIES)
+    assert int(done.stdout) == len(catalogue.QUERIES) + len(figures.QUERIES)
 
 
 def test_correlation_blocks_against_pairs(spark):
@@ -155,3 +160,74 @@ def test_rates_reject_flat_tetrahedra(spark):
     assert got[0, 2, 4, 6].reason == "ill-conditioned" and got[0, 2, 4, 6].eps_plus is None and got[0, 2, 4, 6].planarity == 1
     fine = got[0, 2, 4, 8]
     assert fine.reason is None and fine.det == 2 and math.isclose(fine.eps_plus, -0.25 * (14 + 29 + 58 / 2 + 0), rel_tol=1) and fine.condition > 1
+
+
+@pytest.mark.parametrize(("axes", "n", "near"), [(2, 14, 5), (3, 40, 8)])
+def test_linear_against_all_simplices(spark, axes, n, near):
+    """Of all simplices of samples around a point the one of least height; points outside, on lattice ties and not finite."""
+    rng = np.random.default_rng(axes)
+    x = np.round(rng.random((n, 3)), 2)
+    position = "xyz"[:axes]
+    s = spark.createDataFrame([(i, *map(float, p), float(p[0] ** 2 - p[1] * 3)) for i, p in enumerate(x)], "sample_id long, x double, y double, z double, v double")
+    q = rng.random((30, 3)) * 1.2 - 0.1
+    points = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(q)] + [(99, None, 0.5, 0.5)], "id long, x double, y double, z double")
+    got = {r.id: r.v for r in reconstruct.linear(points, s, "id", position, near=near, chunk=16).collect()}
+    assert len(got) == 31 and math.isnan(got[99])
+    groups = np.array(list(itertools.combinations(range(n), axes + 1)))
+    a = np.concatenate([x[groups][:, :, :axes], np.ones((len(groups), axes + 1, 1))], 2).transpose(0, 2, 1)
+    solid = np.abs(np.linalg.det(a)) > 1e-12
+    groups, inverse, outside = groups[solid], np.linalg.inv(a[solid]), 0
+    height, value = (x[:, :axes] ** 2).sum(1), x[:, 0] ** 2 - x[:, 1] * 3
+    for i, p in enumerate(q):
+        w = inverse @ np.r_[p[:axes], 1.0]
+        cost = np.where((w >= -1e-9).all(1), (w * height[groups]).sum(1), np.inf)
+        best = np.flatnonzero(cost <= cost.min() + 1e-9)
+        outside += np.isinf(cost.min())
+        assert math.isnan(got[i]) if np.isinf(cost.min()) else any(math.isclose(got[i], float(w[k] @ value[groups[k]]), abs_tol=1e-7) for k in best)
+    assert 0 < outside < 30
+
+
+def test_longest_level_line(spark):
+    """A ring beside a small one: the larger, closed, each vertex on an edge of the mesh; no line, no rows."""
+    nodes = [(i, j, float(min((i - 10) ** 2 + (j - 10) ** 2, 30 + 40 * ((i - 22) ** 2 + (j - 3) ** 2) - 35))) for i in range(26) for j in range(22)]
+    table = spark.createDataFrame(nodes, "i long, j long, value double")
+    line = sorted(maps.longest_line(maps.level_segments(table, 30.5)).collect())
+    assert len(line) > 30 and all(4 < math.hypot(r.i - 10, r.j - 10) < 7 for r in line)
+    assert all(r.i == int(r.i) or r.j == int(r.j) for r in line) and max(math.hypot(a.i - b.i, a.j - b.j) for a, b in zip(line, [*line[1:], line[0]], strict=True)) <= math.sqrt(2)
+    assert maps.longest_line(maps.level_segments(table, -5.0)).count() == 0
+    saddle = spark.createDataFrame([(0, 0, 1.0), (0, 1, 0.0), (1, 0, 0.0), (1, 1, 1.0)], "i long, j long, value double")
+    assert maps.level_segments(saddle, 0.4).count() == 2 and maps.level_segments(saddle.where("i + j < 2"), 0.4).count() == 0
+    with pytest.raises(ValueError):
+        maps.refined(saddle, (1, 2), (5, 5))
+
+
+def test_refined_map_leaves_holes(spark):
+    nodes = spark.createDataFrame([(i, j, 2.0 * i - j) for i in range(5) for j in range(4) if (i, j) != (2, 2)], "i long, j long, value double")
+    got = {(r.i, r.j): r.value for r in maps.refined(nodes, (5, 4), (9, 7)).collect()}
+    assert all(math.isclose(v, 2.0 * i / 2 - j / 2, abs_tol=1e-12) for (i, j), v in got.items())
+    assert set(got) == {(i, j) for i in range(9) for j in range(7) if not (min(i // 2, 3) in (1, 2) and min(j // 2, 2) in (1, 2))}
+
+
+def test_plane_power_is_that_of_the_whole_plane(spark):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(5, 4, 2, 2))
+    v[1, 2, 0] = 0  # a missing cell counts as 0
+    cells = [(i, j, k, *map(float, v[i, j, k])) for i in range(5) for j in range(4) for k in range(2) if (i, j, k) != (1, 2, 0)]
+    got = {(r.iz, r.kx, r.ky): r.power for r in spectrum.plane_power(spark.createDataFrame(cells, "ix long, iy long, iz long, v1 double, v2 double"), (5, 4)).collect()}
+    for k in range(2):
+        want = sum(np.abs(np.fft.fft2(v[:, :, k, c])) ** 2 for c in range(2))
+        assert all(math.isclose(got[k, a, b], want[a, b], rel_tol=1e-9, abs_tol=1e-9) for a in range(5) for b in range(4))
+
+
+def test_sinks_and_packed_components(spark, tmp_path):
+    rows = spark.createDataFrame([(2, float("nan")), (1, 0.5), (3, None)], "bin int, v double")
+    doc = json.loads(tables.document(rows, ["bin"], unit="km").first().json)
+    assert doc == {"about": {"unit": "km"}, "rows": [{"bin": 1, "v": 0.5}, {"bin": 2, "v": None}, {"bin": 3, "v": None}]}
+    assert json.loads(tables.document(rows.limit(0), ["bin"]).first().json) == {"rows": []}
+    with pytest.raises(ValueError):
+        tables.write_series(rows, str(tmp_path / "x"), "npz")
+    packed = spark.createDataFrame([(1, [1.0, 2.0, 3.0])], "id long, packed array<double>")
+    assert unpacked(packed, "packed", ["ex", "ey", "bx"], ["bx", "ex"]).collect() == [(1, 3.0, 1.0)]
+    for bad in ([], ["ex", "ex"], ["bz"]):
+        with pytest.raises(ValueError):
+            unpacked(packed, "packed", ["ex", "ey", "bx"], bad)
