@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, jaccard, line_dedup, mixing, packing, quality, substring_dedup, topk, toxicity
+from . import chat, exact_dedup, jaccard, line_dedup, mixing, packing, quality, spelling, substring_dedup, topk, toxicity, vector_codes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,16 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"), size=3, num=90)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = vector_codes.compress(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"), label_col="label")
+    rows = vector_codes.with_label_error(codes)
+    return rows.select(F.col("id").alias("vec_id"), F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(codes.digest()).alias("codebooks_sha256"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
 
@@ -74,9 +84,61 @@ QUERIES = {
 
     "op5_exact_topk": op5_exact_topk,
     "op8_chat_formatting": op8_chat_formatting,
-} | {"op3_line_dedup": op3_line_dedup, "op6_exact_dedup": op6_exact_dedup, "op10_mixing": op10_mixing}
+} | {"op3_line_dedup": op3_line_dedup, "op6_exact_dedup": op6_exact_dedup, "op10_mixing": op10_mixing, "op11_vector_codes": op11_vector_codes, "op12_spelling_variants": op12_spelling_variants}
+
+def _codes_sql(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    """The rounds one after another, parts as lists; nearest entries by the least (distance, index)."""
+    part = f"list_slice(q, CAST(part * len(q) / {parts} AS INTEGER) + 1, CAST((part + 1) * len(q) / {parts} AS INTEGER))"
+    text = f"""WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT r, vec_id, part, {part} AS x FROM v, range({parts}) t(part)),
+first AS (SELECT r, row_number() OVER (ORDER BY vec_id NULLS LAST, q) - 1 AS entry FROM v QUALIFY entry < {entries}),
+b0 AS MATERIALIZED (SELECT part, entry, x AS e FROM p JOIN first USING (r))"""
+    for k in range(rounds + 1):
+        text += f""",
+a{k} AS MATERIALIZED (
+  SELECT r, part, arg_min(entry, (d, entry)) AS entry, min(d) AS d FROM (
+    SELECT p.r, p.part, b.entry, list_sum(list_transform(list_zip(p.x, b.e), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM p JOIN b{k} b ON b.part = p.part) GROUP BY r, part)"""
+        if k < rounds:
+            text += f""",
+m{k} AS (
+  SELECT part, entry, list(m ORDER BY i) AS e FROM (
+    SELECT p.part, a.entry, i, (CAST(sum(x[i + 1]) AS BIGINT) - (CAST(sum(x[i + 1]) AS BIGINT) % count(*) + count(*)) % count(*)) // count(*) AS m
+    FROM (SELECT *, unnest(range(len(x))) AS i FROM p) p JOIN a{k} a ON a.r = p.r AND a.part = p.part GROUP BY p.part, a.entry, i) GROUP BY part, entry),
+b{k + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m.e, b.e) AS e FROM b{k} b LEFT JOIN m{k} m USING (part, entry))"""
+    return text + f""",
+rows AS (SELECT r, string_agg(printf('%02x', CAST(entry AS INTEGER)), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY part, entry)) FROM b{rounds}) AS codebooks_sha256 FROM rows JOIN v USING (r)"""
+
 
 ORACLE_SQL = {
+    "op11_vector_codes": _codes_sql(),
+    "op12_spelling_variants": r"""
+WITH RECURSIVE t AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, CAST(i AS BIGINT))) AS t),
+runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id,
+    translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents),
+held AS (SELECT id, w, count(*) AS m, hex(encode(id || ':' || w)) AS x FROM runs WHERE length(w) >= 7 GROUP BY id, w),
+hashed AS (
+  SELECT w, m, xor(4294967295, list_reduce(
+    list_transform(range(1, length(x), 2), lambda p: CAST(instr('0123456789ABCDEF', substr(x, p, 1)) * 16 + instr('0123456789ABCDEF', substr(x, p + 1, 1)) - 17 AS BIGINT)),
+    lambda c, b: xor(c >> 8, t[CAST(xor(c, b) & 255 AS INTEGER) + 1]), 4294967295)) AS h FROM held, t),
+cut AS (SELECT CASE WHEN h % 31 = 0 THEN substr(w, 1, CAST(h % length(w) AS INTEGER)) || substr(w, CAST(h % length(w) AS INTEGER) + 2) ELSE w END AS word, m FROM hashed),
+v AS MATERIALIZED (SELECT word, CAST(sum(m) AS BIGINT) AS n FROM cut WHERE length(word) >= 7 GROUP BY word HAVING sum(m) >= 2),
+d AS MATERIALIZED (SELECT word, n, p, substr(word, 1, CAST(p - 1 AS INTEGER)) || substr(word, CAST(p + 1 AS INTEGER)) AS less FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS p FROM v)),
+near AS (
+  SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM d a JOIN d b ON a.less = b.less AND a.p = b.p AND a.word <> b.word
+  UNION SELECT a.word, a.n, b.word, b.n FROM d a JOIN v b ON a.less = b.word
+  UNION SELECT b.word, b.n, a.word, a.n FROM d a JOIN v b ON a.less = b.word),
+best AS (
+  SELECT word, CASE WHEN max(near_n) >= 10 * max(n) THEN arg_min(near, (-near_n, near)) END AS form,
+    CASE WHEN max(near_n) >= 10 * max(n) THEN max(near_n) END AS form_n, count(*) AS n_near FROM near GROUP BY word),
+rows AS MATERIALIZED (SELECT v.word, form, v.n, coalesce(n_near, 0) AS n_near, form_n FROM v LEFT JOIN best USING (word)),
+up AS (SELECT word, word AS at FROM rows UNION ALL SELECT u.word, r.form FROM up u JOIN rows r ON r.word = u.at WHERE r.form IS NOT NULL)
+SELECT r.word, r.form, u.at AS root, r.n, r.n_near, r.form_n FROM rows r JOIN up u ON u.word = r.word JOIN rows e ON e.word = u.at AND e.form IS NULL""",
     "op5_exact_topk": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS q FROM embeddings
