@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, jaccard, line_dedup, mixing, packing, quality, spelling, substring_dedup, topk, toxicity, vector_codes
+from . import chat, exact_dedup, jaccard, line_dedup, mixing, packing, quality, spelling, substring_dedup, topk, toxicity, vector_codes, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +73,10 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group_variants(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.resolved(warc.archive(_table(spark, sf_dir, "pages").select("page_id", "url", "html")))
+
+
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
 
@@ -84,7 +88,7 @@ QUERIES = {
 
     "op5_exact_topk": op5_exact_topk,
     "op8_chat_formatting": op8_chat_formatting,
-} | {"op3_line_dedup": op3_line_dedup, "op6_exact_dedup": op6_exact_dedup, "op10_mixing": op10_mixing, "op11_vector_codes": op11_vector_codes, "op12_spelling_variants": op12_spelling_variants}
+} | {"op3_line_dedup": op3_line_dedup, "op6_exact_dedup": op6_exact_dedup, "op10_mixing": op10_mixing, "op11_vector_codes": op11_vector_codes, "op12_spelling_variants": op12_spelling_variants, "op13_warc": op13_warc}
 
 def _codes_sql(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
     """The rounds one after another, parts as lists; nearest entries by the least (distance, index)."""
@@ -139,6 +143,12 @@ best AS (
 rows AS MATERIALIZED (SELECT v.word, form, v.n, coalesce(n_near, 0) AS n_near, form_n FROM v LEFT JOIN best USING (word)),
 up AS (SELECT word, word AS at FROM rows UNION ALL SELECT u.word, r.form FROM up u JOIN rows r ON r.word = u.at WHERE r.form IS NOT NULL)
 SELECT r.word, r.form, u.at AS root, r.n, r.n_near, r.form_n FROM rows r JOIN up u ON u.word = r.word JOIN rows e ON e.word = u.at AND e.form IS NULL""",
+    "op13_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+h AS (SELECT *, sha1(html) AS x, row_number() OVER (PARTITION BY html ORDER BY page_id DESC NULLS LAST) AS nth, max(page_id) OVER (PARTITION BY html) AS last FROM p)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+  list_reduce(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(x, CAST(i // 4 * 5 + 1 AS INTEGER), 5) AS INTEGER) >> CAST(15 - i % 4 * 5 AS INTEGER)) & 31 AS INTEGER) + 1, 1)), lambda a, b: a || b) AS payload_digest,
+  CASE WHEN nth = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN nth > 1 THEN last END AS refers_to FROM h""",
     "op5_exact_topk": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS q FROM embeddings
