@@ -1,81 +1,23 @@
 """Reconstruction from scattered samples, and its scores.
 
-Nearest samples come from equi-joins on cells, whatever the number of samples. Radial basis functions solve a small system
-for each point over its nearest samples, in Arrow groups of points; without ``neighbors`` they solve one dense system, for
-sample sets checked against ``MAX_SAMPLES``. Piecewise-linear interpolation finds the simplex around each point by itself.
+Nearest samples come from a k-d tree of sampled medians (``kdtree``), radial basis functions from its patches (``radial``),
+whatever the number of samples. Piecewise-linear interpolation finds the simplex around each point by itself.
 """
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import finite
 from ..functions.tables import stage as written
-
-MAX_SAMPLES = 20_000
-PER_CELL = 2
-
-
-def _cell(position: Sequence[str], low: Sequence[float], wide: Sequence[float], count: Sequence[int]) -> list[Column]:
-    """The cell of a position on each axis; positions outside belong to the cells at the faces."""
-    return [F.greatest(F.lit(0), F.least(F.lit(m - 1), F.floor((F.col(p) - F.lit(lo)) / F.lit(h)))).cast("int") for p, lo, h, m in zip(position, low, wide, count, strict=True)]
-
-
-def nearest_samples(points: DataFrame, samples: DataFrame, key: str, k: int = 1, position: Sequence[str] = ("x", "y", "z"), value: Sequence[str] = ("v",)) -> DataFrame:
-    """The k nearest samples of each point: key, rank, sample_id, d2 and the values; ties to the smallest sample_id.
-
-    Samples lie in cells of some ``PER_CELL`` each. A point meets the cells around its own by an equi-join; it is done
-    when its k-th distance is no more than what the searched cube surely covers, and else goes on with a cube of twice the
-    reach. Points with a position that isn't finite have no nearest sample.
-    """
-    good = lambda df: df.where(reduce(lambda a, b: a & b, [finite(F.col(p)) for p in position]))
-    s = good(samples).select("sample_id", *[F.col(p).cast("double").alias(f"s_{p}") for p in position], *value)
-    names = [f"s_{p}" for p in position]
-    stats = s.agg(F.count(F.lit(1)), *[f(n) for n in names for f in (F.min, F.max)]).first()
-    n, low, high = stats[0], stats[1::2], stats[2::2]
-    if not n:
-        return good(points).limit(0).select(key, F.lit(1).alias("rank")).crossJoin(s.select("sample_id", F.lit(0.0).alias("d2"), *value).limit(0))
-    axes = max(1, sum(h > lo for lo, h in zip(low, high, strict=True)))
-    side = max(1, int((n / (PER_CELL * k)) ** (1 / axes)))
-    count = [side if h > lo else 1 for lo, h in zip(low, high, strict=True)]
-    wide = [(h - lo) / m if h > lo else 1.0 for lo, h, m in zip(low, high, count, strict=True)]
-    least = min((w for w, m in zip(wide, count, strict=True) if m > 1), default=float("inf"))
-    cells = [f"c{i}" for i in range(len(position))]
-    s = s.select("*", *[c.alias(n) for c, n in zip(_cell(names, low, wide, count), cells, strict=True)])
-    left = written(good(points).select(key, *[F.col(p).cast("double").alias(p) for p in position]), "nearest-points")
-    out, reach = None, 1
-    while True:
-        whole = reach >= max(count)
-        own = _cell(position, low, wide, count)
-        spans = [F.explode(F.sequence(F.greatest(F.lit(0), c - reach), F.least(F.lit(m - 1), c + reach))) for c, m in zip(own, count, strict=True)]
-        rows = left
-        for c, span in zip(cells, spans, strict=True):
-            rows = rows.withColumn(c, span)
-        d2 = sum(((F.col(p) - F.col(f"s_{p}")) * (F.col(p) - F.col(f"s_{p}")) for p in position), F.lit(0.0))
-        found = rows.join(s, cells).select(key, d2.alias("d2"), "sample_id", *value)
-        best = F.struct("d2", "sample_id", *value)
-        if k == 1:
-            # the least by numbers alone stays in a hash aggregate: first the distance, then the sample
-            near = found.groupBy(key).agg(F.min_by(best, F.struct("d2", "sample_id")).alias("b")).select(key, F.array("b").alias("best"))
-        else:
-            near = found.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("d2", "sample_id"))).where(F.col("rank") <= k)
-            near = near.groupBy(key).agg(F.sort_array(F.collect_list(best)).alias("best"))
-        near = written(near.withColumn("done", F.lit(whole) | ((F.size("best") >= k) & (F.element_at("best", -1)["d2"] <= F.lit((reach * least) ** 2)))), "nearest-found")
-        part = near.where("done").select(key, "best")
-        out = part if out is None else out.unionByName(part)
-        if whole or near.where("done").count() == left.count():
-            break
-        left = written(left.join(near.where("done").select(key), key, "left_anti"), "nearest-points")
-        reach *= 2
-    rows = out.select(key, F.posexplode("best").alias("at", "b"))
-    return rows.select(key, (F.col("at") + 1).alias("rank"), "b.sample_id", "b.d2", *[f"b.{v}" for v in value])
+from .kdtree import nearest_samples
+from .radial import radial_basis
 
 
 def nearest(points: DataFrame, samples: DataFrame, key: str, position: Sequence[str] = ("x", "y", "z"), value: Sequence[str] = ("v",)) -> DataFrame:
@@ -126,89 +68,6 @@ def nearest_vectors(vectors: DataFrame, every: int = 50, chunk: int = 1024) -> D
     return rows.groupBy("query_id").agg(F.min(F.struct("d2", "vec_id")).alias("m")).select("query_id", "m.vec_id", "m.d2")
 
 
-def _arrays(samples: DataFrame, position: Sequence[str], value: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-    rows = samples.select(*position, *value).limit(MAX_SAMPLES + 1).toPandas()
-    if len(rows) > MAX_SAMPLES:
-        raise ValueError(f"more than {MAX_SAMPLES} samples")
-    return rows[list(position)].to_numpy(float), rows[list(value)].to_numpy(float)
-
-
-def _predict(points: DataFrame, key: str, position: Sequence[str], value: Sequence[str], model) -> DataFrame:
-    sent = points.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = np.column_stack([b.column(p).to_numpy() for p in position]).reshape(len(b), len(position))
-            y = sent.value(x)
-            yield pa.RecordBatch.from_arrays([b.column(key), *[pa.array(y[:, k]) for k in range(len(value))]], [key, *value])
-
-    return points.select(F.col(key).cast("long").alias(key), *position).mapInArrow(run, ", ".join([f"{key} long", *[f"{v} double" for v in value]]))
-
-
-class ThinPlate:
-    """Interpolant r**2 log r (or another kernel) with a linear tail."""
-
-    KERNELS = {
-        "thin_plate_spline": lambda r: np.where(r > 0, r * r * np.log(np.maximum(r, 1e-300)), 0.0),
-        "linear": lambda r: -r,
-        "cubic": lambda r: r**3,
-        "gaussian": lambda r: np.exp(-(r**2)),
-        "multiquadric": lambda r: -np.sqrt(r**2 + 1),
-    }
-
-    def __init__(self, x: np.ndarray, y: np.ndarray, kernel: str = "thin_plate_spline", smoothing: float = 0.0, epsilon: float = 1.0, neighbors: int | None = None):
-        self.kernel, self.smoothing, self.epsilon, self.neighbors, self.x, self.y = kernel, smoothing, epsilon, neighbors, x, y
-        if kernel not in self.KERNELS:
-            raise ValueError(f"kernel must be one of {sorted(self.KERNELS)}")
-        self.solved = None if neighbors else self._solve(x, y)
-
-    def _k(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return self.KERNELS[self.kernel](self.epsilon * np.linalg.norm(a[:, None] - b[None], axis=2))
-
-    def _solve(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        shift, scale = x.mean(0), np.maximum(np.ptp(x, axis=0), 1e-300)
-        tail = np.column_stack([np.ones(len(x)), (x - shift) / scale])
-        n, m = len(x), tail.shape[1]
-        a = np.zeros((n + m, n + m))
-        a[:n, :n] = self._k(x, x) + self.smoothing * np.eye(n)
-        a[:n, n:], a[n:, :n] = tail, tail.T
-        return np.linalg.lstsq(a, np.vstack([y, np.zeros((m, y.shape[1]))]), rcond=None)[0], shift, scale
-
-    def _apply(self, q: np.ndarray, x: np.ndarray, solved) -> np.ndarray:
-        w, shift, scale = solved
-        return self._k(q, x) @ w[: len(x)] + np.column_stack([np.ones(len(q)), (q - shift) / scale]) @ w[len(x) :]
-
-    def __call__(self, q: np.ndarray) -> np.ndarray:
-        if self.solved is not None:
-            parts = [self._apply(q[i : i + 512], self.x, self.solved) for i in range(0, len(q), 512)]
-            return np.vstack(parts) if parts else np.zeros((0, self.y.shape[1]))
-        out = np.empty((len(q), self.y.shape[1]))
-        for i, p in enumerate(q):
-            at = np.argsort(((self.x - p) ** 2).sum(1), kind="stable")[: self.neighbors]
-            out[i] = self._apply(p[None], self.x[at], self._solve(self.x[at], self.y[at]))
-        return out
-
-
-def radial_basis(points: DataFrame, samples: DataFrame, key: str, position: Sequence[str] = ("x", "y", "z"), value: Sequence[str] = ("v",), neighbors: int | None = None, **settings) -> DataFrame:
-    """Radial basis interpolation, over each point's ``neighbors`` nearest samples if given."""
-    if not neighbors:
-        return _predict(points, key, position, value, ThinPlate(*_arrays(samples, position, value), **settings))
-    s = samples.select("sample_id", *position, *value, *[F.col(p).alias(f"at_{p}") for p in position])
-    near = nearest_samples(points, s, key, neighbors, position, [*value, *[f"at_{p}" for p in position]])
-    lists = near.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("rank", *[f"at_{p}" for p in position], *value))).alias("near"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = np.full((len(b), len(value)), np.nan)
-            for i, (near, *p) in enumerate(zip(b.column("near").to_pylist(), *(b.column(p).to_pylist() for p in position), strict=True)):
-                x, y = np.array([[r[f"at_{c}"] for c in position] for r in near]), np.array([[r[c] for c in value] for r in near], float)
-                out[i] = ThinPlate(x, y, **settings)(np.array([p]))[0]
-            yield pa.RecordBatch.from_arrays([b.column(key), *[pa.array(out[:, k]) for k in range(len(value))]], [key, *value])
-
-    rows = points.select(F.col(key).cast("long").alias(key), *[F.col(p).cast("double").alias(p) for p in position]).join(lists, key)
-    return rows.select(key, *position, "near").mapInArrow(run, ", ".join([f"{key} long", *[f"{v} double" for v in value]]))
-
-
 class _Search:
     """The simplex of a Delaunay triangulation that holds a point, as the basis of a linear programme.
 
@@ -263,6 +122,8 @@ class _Search:
             if not np.isfinite(ratio[leave]):
                 break
             basis[leave] = enter
+        else:
+            raise ArithmeticError(f"no simplex within {self.MOST} pivots: the samples' positions differ too little for their range")
         return np.where(basis < n, basis, n - 1 - basis), weight, price
 
 
@@ -397,9 +258,3 @@ def metrics(rows: DataFrame, truth: Sequence[str], predicted: Sequence[str]) ->
         F.when(F.col("s") > 0, F.sqrt("e") / F.sqrt("s")).alias("relative_l2"),
         (F.col("valid_count") / (F.col("valid_count") + F.col("invalid_count"))).alias("valid_fraction"), "valid_count", "invalid_count",
     )
-
-
-def experiment_matrix(methods: Sequence[str], counts: Sequence[int], geometries: Sequence[str], noises: Sequence[float], sample_seed: int = 1, noise_seed: int = 11) -> list[dict]:
-    """The runs of a benchmark, in order, with the seeds of each."""
-    runs = itertools.product(methods, counts, geometries, noises)
-    return [{"index": i, "method": m, "count": c, "geometry": g, "noise": s, "sample_seed": sample_seed + i, "noise_seed": noise_seed + i} for i, (m, c, g, s) in enumerate(runs, 1)]

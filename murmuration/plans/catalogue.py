@@ -245,6 +245,7 @@ QUERIES = {
     "recon_nearest": lambda s, d: _r(reconstruct.nearest(query_points(s, d), scattered_samples(s, d), "point_id")),
     "recon_metrics": lambda s, d: _r(reconstruct.metrics(_holed(s, d), grid.VALUES, ("p1", "p2", "p3")), 5),
     "recon_rbf": lambda s, d: reconstruct.radial_basis(query_points(s, d), scattered_samples(s, d), "point_id", neighbors=12),
+    "rbf_at_samples": lambda s, d: _r(reconstruct.radial_basis(scattered_samples(s, d), scattered_samples(s, d), "sample_id", patch=32), 4),
     "recon_linear": lambda s, d: reconstruct.linear(query_points(s, d), scattered_samples(s, d), "point_id"),
     "embedding_nearest": _embedding_nearest,
     "grid_local_offset_pairs": lambda s, d: _r(_grid_pairs(s, d).select(*[f"{k}_{a}" for k in "ab" for a in grid.AXES], "lam"), 4),
@@ -539,6 +540,7 @@ ORACLE_SQL = {
     "divergence_rmse": _sql("coarse", f"SELECT round(sqrt(avg((t - p) * (t - p))), 4) AS divergence_rmse FROM (SELECT {_div(('v1', 'v2', 'v3'))} AS t, {_div(('p1', 'p2', 'p3'))} AS p FROM coarse)"),
     "recon_nearest": _sql(["samples", "points"], """SELECT p.point_id, s.sample_id, round((p.x - s.x) * (p.x - s.x) + (p.y - s.y) * (p.y - s.y) + (p.z - s.z) * (p.z - s.z), 6) AS d2, round(s.v, 6) AS v
       FROM points p, samples s QUALIFY row_number() OVER (PARTITION BY p.point_id ORDER BY (p.x - s.x) * (p.x - s.x) + (p.y - s.y) * (p.y - s.y) + (p.z - s.z) * (p.z - s.z), s.sample_id) = 1"""),
+    "rbf_at_samples": _sql("samples", "SELECT sample_id, round(v, 4) + 0.0 AS v FROM samples"),
     "recon_metrics": _sql("coarse", """SELECT round(sqrt(sum(e) FILTER (WHERE ok) / (count(*) FILTER (WHERE ok) * 3)), 5) AS rmse, round(sqrt(sum(e) FILTER (WHERE ok)) / sqrt(sum(q) FILTER (WHERE ok)), 5) AS relative_l2,
       round(count(*) FILTER (WHERE ok) / count(*), 5) AS valid_fraction, count(*) FILTER (WHERE ok) AS valid_count, count(*) FILTER (WHERE NOT ok) AS invalid_count
       FROM (SELECT (v1 - p1) * (v1 - p1) + (v2 - p2) * (v2 - p2) + (v3 - p3) * (v3 - p3) AS e, v1 * v1 + v2 * v2 + v3 * v3 AS q, id % 7 <> 3 AS ok FROM coarse)"""),
