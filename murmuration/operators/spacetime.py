@@ -7,13 +7,19 @@ the run and sends sums per bin. A row is copied three times for each run of lags
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import bin_index, dot, finite
+from ..functions.tables import stage
+
 LEVEL = float(np.exp(-1.0))
 
 
@@ -39,11 +45,16 @@ def cadence(series: DataFrame, rtol: float = 1e-8, atol: float = 1e-10) -> DataF
 
 
 def centred_edges(lags: int, dt: float) -> list[float]:
-    """Edges half a step around every lag."""
+    """Edges half a step around every lag: with them, each lag has a tau bin of its own."""
     return [(k - 0.5) * dt for k in range(lags + 2)]
 
 
-def max_lag(steps: int, fraction: float = 0.5, explicit: int | None = None) -> int:
+def max_lag(steps: int, fraction: float = 0.5, explicit: int | None = None, seconds: float | None = None, dt: float | None = None) -> int:
+    """The greatest lag in steps: the whole steps of ``dt`` within ``seconds``, or ``explicit``, or a share of the series."""
+    if seconds is not None:
+        if not dt or dt <= 0 or seconds < 0:
+            raise ValueError("seconds need a positive cadence")
+        explicit = math.floor(seconds / dt)
     lag = max(1, int((steps - 1) * fraction)) if explicit is None else explicit
     if not 0 <= lag < steps:
         raise ValueError("the lag is out of range")
@@ -96,32 +107,86 @@ def _grouped(series: DataFrame, lags: int, work: Callable[..., pa.Table], schema
 def _each_lag(lag_list: np.ndarray, lag0: int, probes: np.ndarray, a: dict[str, np.ndarray], b: dict[str, np.ndarray]):
     """(lag, i, j, there, r, product) of a group, lag by lag; i <= j are the columns of the arrays."""
     i, j = np.triu_indices(len(probes))
-    for lag in lag_list:
-        s = slice(lag - lag0, lag - lag0 + len(a["there"]))
-        there = a["there"][:, i] & b["there"][s][:, j]
-        dx, dy, dz = (b[n][s][:, j] - a[n][:, i] for n in ("ux", "uy", "uz"))
-        r = np.sqrt(dx * dx + dy * dy + dz * dz)
-        with np.errstate(all="ignore"):
-            product = a["f"][:, i] * b["f"][s][:, j] / (a["s"][:, i] * b["s"][s][:, j])
-        yield lag, probes[i], probes[j], there, r, product
+    with np.errstate(all="ignore"):
+        left, right = ({n: side[n][:, k] for n in ("ux", "uy", "uz", "there")} | {"g": (side["f"] / side["s"])[:, k]} for side, k in ((a, i), (b, j)))
+        for lag in lag_list:  # the columns are laid out once, each lag is a slice of them
+            s = slice(lag - lag0, lag - lag0 + len(a["there"]))
+            r = np.zeros(left["ux"].shape)
+            for n in ("ux", "uy", "uz"):
+                gap = right[n][s] - left[n]
+                gap *= gap
+                r += gap
+            yield lag, probes[i], probes[j], left["there"] & right["there"][s], np.sqrt(r, out=r), left["g"] * right["g"][s]
 
 
-def greatest_distance(series: DataFrame, lags: int, block: int = BLOCK) -> float:
-    """The first pass: the largest distance of any lagged pair."""
+@dataclass
+class Distance:
+    """The largest distance, and of how many lagged pairs it was measured."""
+
+    most: float
+    measured: int
+    pairs: int
 
-    def work(*args) -> pa.Table:
-        most = [r[there & np.isfinite(r)].max(initial=-1.0) for _, _, _, there, r, _ in _each_lag(*args)]
-        return pa.table({"most": pa.array([max(most, default=-1.0)], pa.float64())})
 
-    most = _grouped(series, lags, work, "most double", block).agg(F.max("most")).first()[0]
-    return max(most or 0.0, 0.0)
+def farthest(series: DataFrame, lags: int, block: int = BLOCK) -> Distance:
+    """The largest distance of any lagged pair, by branch and bound over the boxes of each probe's blocks of steps.
+
+    Two boxes are no farther apart than their farthest corners; the places of a block's first and last step give distances
+    that are reached. Only pairs of blocks whose corners are farther than the best of these are measured step by step.
+    Boxes are a row for each probe and block, their pairs one for each ``block`` squared pairs of steps.
+    """
+    axes = ("ux", "uy", "uz")
+    good = reduce(lambda a, b: a & b, [finite(F.col(p)) for p in axes])
+    rows = series.where(good).select(F.col("step").cast("long").alias("step"), F.col("sc").cast("long").alias("sc"), *[F.col(c).cast("double").alias(c) for c in axes])
+    rows = rows.withColumn("block", F.floor(F.col("step") / block))
+    ends = [f(F.struct("step", *axes)).alias(n) for f, n in ((F.min, "first"), (F.max, "last"))]
+    boxes = stage(rows.groupBy("sc", "block").agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{m}_{c}") for c in axes for f, m in ((F.min, "lo"), (F.max, "hi"))], *ends), "boxes")
+    a, b = (boxes.select(*[F.col(c).alias(f"{s}_{c}") for c in boxes.columns]) for s in "ab")
+    a = a.withColumn("b_block", F.explode(F.sequence(F.col("a_block"), F.col("a_block") + lags // block + 1)))
+    pairs = a.join(b, "b_block").where("a_sc <= b_sc")
+    corner = [F.greatest(F.abs(F.col(f"b_hi_{c}") - F.col(f"a_lo_{c}")), F.abs(F.col(f"a_hi_{c}") - F.col(f"b_lo_{c}"))) for c in axes]
+
+    def reached(p: str, q: str) -> Column:
+        gap = [F.col(f"b_{q}.{c}") - F.col(f"a_{p}.{c}") for c in axes]
+        return F.when((F.col(f"b_{q}.step") - F.col(f"a_{p}.step")).between(0, lags), F.sqrt(dot(gap, gap)))
+
+    least = F.greatest(*[F.coalesce(reached(p, q), F.lit(-1.0)) for p in ("first", "last") for q in ("first", "last")])
+    pairs = stage(pairs.select("a_sc", "a_block", "b_sc", "b_block", F.sqrt(dot(corner, corner)).alias("upper"), least.alias("lower"), (F.col("a_n") * F.col("b_n")).alias("n")), "box-pairs")
+    best, total = pairs.agg(F.max("lower"), F.sum("n")).first()
+    if best is None:
+        return Distance(0.0, 0, 0)
+    keep = pairs.where(F.col("upper") >= F.lit(best * (1 - 1e-12)))
+    sides = F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"{s}_sc").alias("sc"), F.col(f"{s}_block").alias("block")) for s in "ab"])).alias("s")
+    held = keep.select(F.struct("a_sc", "a_block", "b_sc", "b_block").alias("pair"), sides).select("pair", "s.*").join(rows, ["sc", "block"])
+
+    def measure(table: pa.Table) -> pa.Table:
+        x, step, side = np.column_stack([table[c].to_numpy() for c in axes]), table["step"].to_numpy(), np.array(table["side"].to_pylist())
+        p, q = side == "a", side == "b"
+        lag = step[None, q] - step[p, None]
+        d2 = sum((x[None, q, k] - x[p, None, k]) ** 2 for k in range(3))
+        there = (lag >= 0) & (lag <= lags)
+        return pa.table({"most": [float(np.sqrt(d2[there].max(initial=-1.0))) if there.any() else -1.0], "n": [int(there.sum())]})
+
+    most, n = held.groupBy("pair").applyInArrow(measure, "most double, n long").agg(F.max("most"), F.sum("n")).first()
+    return Distance(max(most or 0.0, best, 0.0), n or 0, total)
+
+
+def greatest_distance(series: DataFrame, lags: int, block: int = BLOCK) -> float:
+    """The first pass: the largest distance of any lagged pair."""
+    return farthest(series, lags, block).most
 
 
-def correlation_map(series: DataFrame, lags: int, edges: Sequence[float], min_fraction: float = 0.01, least: int | None = None, block: int = BLOCK) -> DataFrame:
-    """Per (lag, r bin): n, correlation and validity. The last r edge is open: the largest distance is left out.
+def correlation_map(
+    series: DataFrame, lags: int, edges: Sequence[float], min_fraction: float = 0.01, least: int | None = None, block: int = BLOCK,
+    tau_edges: Sequence[float] | None = None, dt: float = 1.0,
+) -> DataFrame:
+    """Per (lag, r bin), or per (tau_bin, r bin) of ``tau_edges`` in units of ``dt``: n, correlation and validity.
 
-    A cell is valid with ``least`` samples, or, without it, ``min_fraction`` of the fullest cell's.
+    The last edges are open: the largest distance is left out, and so are lags at or beyond the last tau edge. A cell is valid
+    with ``least`` samples, or, without it, ``min_fraction`` of the fullest cell's.
     """
+    if tau_edges is not None and (len(tau_edges) < 2 or any(b <= a for a, b in zip(tau_edges[:-1], tau_edges[1:], strict=True))):
+        raise ValueError("tau edges must ascend")
     limits, bins = np.asarray(edges, float), len(edges) - 1
 
     def work(*args) -> pa.Table:
@@ -130,15 +195,21 @@ def correlation_map(series: DataFrame, lags: int, edges: Sequence[float], min_fr
             k = np.full(r.shape, -1, np.int16)  # few edges: comparing with each is faster than a search
             for e in limits:
                 k += r >= e
-            use = there & (k >= 0) & (k < bins) & np.isfinite(r)
-            n, good = np.bincount(k[use], minlength=bins), use & np.isfinite(product)
-            out.append((np.full(bins, lag), np.arange(bins), n, np.bincount(k[good], product[good], bins)))
+            # all that isn't there goes to a bin of its own; NaN fails every comparison
+            k = np.where(there & (k >= 0) & (k < bins), k, bins).ravel()
+            product = np.where(np.isfinite(product), product, 0.0)
+            out.append((np.full(bins, lag), np.arange(bins), np.bincount(k, minlength=bins + 1)[:bins], np.bincount(k, product.ravel(), bins + 1)[:bins]))
         lag, k, n, total = (np.concatenate(x) for x in zip(*out, strict=True))
         some = n > 0
         return pa.table({"lag": pa.array(lag[some].astype(np.int32)), "r_bin": pa.array(k[some].astype(np.int32)), "n": pa.array(n[some]), "total": pa.array(total[some].astype(float))})
 
     m = _grouped(series, lags, work, "lag int, r_bin int, n long, total double", block).groupBy("lag", "r_bin").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
-    m = m.select("lag", "r_bin", "n", (F.col("total") / F.col("n")).alias("corr"))
+    axis = "lag"
+    if tau_edges is not None:
+        axis = "tau_bin"
+        m = m.withColumn(axis, bin_index(F.col("lag") * F.lit(float(dt)), tau_edges, False)).where(F.col(axis).between(0, len(tau_edges) - 2))
+        m = m.groupBy(axis, "r_bin").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    m = m.select(axis, "r_bin", "n", (F.col("total") / F.col("n")).alias("corr"))
     enough = F.lit(least) if least is not None else F.ceil(F.lit(min_fraction) * F.max("n").over(Window.partitionBy()))  # a row per cell of the map
     return m.withColumn("valid", (F.col("n") > 0) & (F.col("n") >= enough))
 

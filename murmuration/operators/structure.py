@@ -7,12 +7,15 @@ aggregation, so a step's pairs are never gathered.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import bin_index, cross, finite, minus, norm, vector
+from ..functions.tables import stage
 
 
 def log_edges(low: float, high: float, bins: int) -> list[float]:
@@ -101,18 +104,31 @@ def bin_summary(pairs: DataFrame, edges: Sequence[float]) -> DataFrame:
     return valid_pairs(pairs, edges).withColumn("dv", F.abs("d1")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"), *stats)
 
 
-def exclusions(pairs: DataFrame, edges: Sequence[float]) -> DataFrame:
-    """One row: total, kept, and why pairs were left out (the later reasons presume the earlier ones)."""
+def _reasons(edges: Sequence[float]) -> list[Column]:
     lam = F.col("lam")
-    good = finite(F.col("r")) & finite(F.col("b_local"))
-    field = good & (F.col("b_local") > 0)
+    place, mid = finite(F.col("r")), finite(F.col("b_local"))
+    field = place & mid & (F.col("b_local") > 0)
     lag = field & finite(lam) & (lam > 0)
     kept = lag & (lam >= edges[0]) & (lam <= edges[-1])
     n = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
-    return pairs.agg(
-        F.count(F.lit(1)).alias("total"), n(kept).alias("kept"), n(~finite(F.col("r"))).alias("bad_position"), n(finite(F.col("r")) & ~finite(F.col("b_local"))).alias("bad_field"), n(good & (F.col("b_local") <= 0)).alias("zero_field"),
-        n(field & ((lam <= 0) | lam.isNull())).alias("zero_lag"), n(lag & ((lam < edges[0]) | (lam > edges[-1]))).alias("out_of_range"),
-    )
+    return [
+        F.count(F.lit(1)).alias("total"), n(kept).alias("kept"), n(~place).alias("bad_position"), n(~mid).alias("bad_field"), n(place & mid & (F.col("b_local") <= 0)).alias("zero_field"),
+        n(field & ~F.coalesce(lag, F.lit(False))).alias("zero_lag"), n(lag & ~kept).alias("out_of_range"),
+    ]
+
+
+def exclusions(pairs: DataFrame, edges: Sequence[float]) -> DataFrame:
+    """One row: total, kept, and why pairs were left out. Positions and fields that aren't finite are counted each for itself,
+    and a pair may have both; the later reasons presume the earlier ones."""
+    return pairs.agg(*_reasons(edges))
+
+
+def write_valid_pairs(pairs: DataFrame, edges: Sequence[float], path: str) -> dict[str, int]:
+    """Writes the pairs that are kept, and counts those left out while they pass: one run over the pairs for both."""
+    seen = Observation("exclusions")
+    good = finite(F.col("r")) & finite(F.col("b_local"))
+    valid_pairs(pairs.observe(seen, *_reasons(edges)).where(good), edges).write.parquet(path)
+    return seen.get
 
 
 def undersampled(table: DataFrame, fraction: float = 0.05) -> DataFrame:
@@ -145,29 +161,100 @@ def local_offset_pairs(grid: DataFrame, reach: int = 1) -> DataFrame:
     return a.join(b, ["b_ix", "b_iy", "b_iz"]).drop("o")
 
 
-def random_pairs(pairs: DataFrame, edges: Sequence[float], key: Sequence[str], budget: float, target: int, seed: int = 0) -> DataFrame:
-    """Stratified sample: candidates by a seeded hash of ``key`` (a share ``budget`` of all), of these at most ``target`` a bin.
+def cube_range(box: Sequence[float], steps: Sequence[float], low: float | None = None, high: float | None = None) -> tuple[float, float]:
+    """Perpendicular lags of a cube: from the least spacing (or ``low``, but at least half of that) to the longer side across z."""
+    low = max(min(steps) if low is None else low, least_spacing(steps))
+    high = max(box[0], box[1]) if high is None else high
+    if low <= 0 or high < low:
+        raise ValueError("the range of lags must be positive and ascending")
+    return low, high
+
+
+def cell_pairs(pairs: DataFrame, steps: Sequence[float]) -> DataFrame:
+    """Separation, difference, mid field and perpendicular lag of pairs of cells (a_ix.., a_v1.., b_ix.., b_v1..)."""
+    axes, values = ("ix", "iy", "iz"), ("v1", "v2", "v3")
+    r = [(F.lit(h) * (F.col(f"b_{a}") - F.col(f"a_{a}"))).alias(f"r{k}") for k, (h, a) in enumerate(zip(steps, axes, strict=True), 1)]
+    d = [(F.col(f"b_{v}") - F.col(f"a_{v}")).alias(f"d{v[1]}") for v in values]
+    mid = [((F.col(f"a_{v}") + F.col(f"b_{v}")) * 0.5).alias(f"m{v[1]}") for v in values]
+    more = [c for c in pairs.columns if c[:2] not in ("a_", "b_")]
+    return with_lag(pairs.select(*more, *[f"{s}_{a}" for s in "ab" for a in axes], *r, *d, *mid))
+
+
+@dataclass
+class Sample:
+    """``considered``: every distinct pair in range that was drawn, with round, bin and whether it was taken; and how many draws and distinct pairs it took."""
+
+    considered: DataFrame
+    drawn: int
+    distinct: int
+    covered: bool
+
+    @property
+    def pairs(self) -> DataFrame:
+        return self.considered.where("taken")
+
+
+def drawn_pairs(spark: SparkSession, first: int, last: int, cells: int, seed: int) -> DataFrame:
+    """(id, left, right) of the draws ``first`` to ``last``: a draw is a function of the seed and its number alone; a cell with itself is none."""
+    h = F.md5(F.concat(F.lit(f"{seed},"), F.col("id").cast("string")).cast("binary"))
+    cell = lambda at: F.conv(F.substring("h", at, 15), 16, 10).cast("long") % F.lit(cells)
+    two = spark.range(first, last).select(h.alias("h")).select(cell(1).alias("l"), cell(17).alias("r")).where("l <> r")
+    two = two.select(F.least("l", "r").alias("left"), F.greatest("l", "r").alias("right")).distinct()
+    return two.select((F.col("left") * F.lit(cells) + F.col("right")).alias("id"), "left", "right")
+
+
+def cube_random_pairs(grid: DataFrame, shape: Sequence[int], steps: Sequence[float], edges: Sequence[float], target: int = 256, budget: int = 200_000, seed: int = 0, least: int = 4096) -> Sample:
+    """Random pairs of all cells of a cube, at most ``target`` in each bin of the perpendicular lag.
 
-    The hash orders the candidates, so the sample is random in the pairs and the same in every run.
+    Pairs are drawn from the space of all pairs, which is never built, in rounds: eight draws (and ``least`` at least) for each
+    pair that the bins still lack, until all bins are full or ``budget`` draws are spent. A round's pairs are those that no
+    round before has drawn; a bin takes them in the order of their ids. Cells that the grid lacks drop out with their pairs.
     """
-    if target <= 0 or not 0 < budget <= 1:
-        raise ValueError("target must be positive and the budget a share")
-    draw = F.md5(F.concat_ws(",", F.lit(str(seed)), *[F.col(k).cast("string") for k in key]).cast("binary"))
-    some = valid_pairs(pairs, edges).withColumn("draw", draw).where(F.substring("draw", 1, 8) < f"{min(int(budget * 2**32), 2**32 - 1):08x}")
-    w = Window.partitionBy("bin").orderBy("draw", *key)
-    return some.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= target)
-
-
-def diagnostics(sampled: DataFrame, edges: Sequence[float], spacing: float, target: int) -> DataFrame:
-    """One row: filled bins and their share of all, the first filled one, how full the first three are, and how many lags are within 1, 2 and 4 spacings."""
-    bins = len(edges) - 1
-    per = all_bins(sampled, edges).select("bin").join(sampled.groupBy("bin").agg(F.count(F.lit(1)).alias("n")), "bin", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    first = per.agg(
-        F.count_if(F.col("n") > 0).alias("filled"), (F.count_if(F.col("n") > 0) / bins).alias("occupancy"), F.min(F.when(F.col("n") > 0, F.col("bin"))).alias("first_bin"),
-        F.coalesce(F.sum(F.when(F.col("bin") < 3, F.col("n"))) / (3 * target) < 0.5, F.lit(True)).alias("left_edge_thin"),
+    if target <= 0 or budget <= 0:
+        raise ValueError("target and budget must be positive")
+    spark, bins, cells = grid.sparkSession, len(edges) - 1, int(np.prod(shape))
+    if cells < 2:
+        raise ValueError("a cube needs two cells")
+    at = (F.col("ix") * shape[1] + F.col("iy")) * shape[2] + F.col("iz")
+    side = lambda s, key: grid.select(at.alias(key), *[F.col(c).alias(f"{s}_{c}") for c in ("ix", "iy", "iz", "v1", "v2", "v3")])
+    held, spent, distinct, rounds, seen = [0] * bins, 0, 0, [], None
+    while spent < budget and min(held) < target:
+        size = min(budget - spent, max(least, 8 * sum(target - n for n in held)))
+        new = drawn_pairs(spark, spent, spent + size, cells, seed)
+        new = stage(new if seen is None else new.join(seen, "id", "left_anti"), "pairs-drawn")
+        seen = new.select("id") if seen is None else seen.unionByName(new.select("id"))
+        pairs = cell_pairs(new.join(side("a", "left"), "left").join(side("b", "right"), "right").drop("left", "right"), steps)
+        room = F.element_at(F.array(*[F.lit(target - n) for n in held]), F.col("bin") + 1)
+        rank = F.row_number().over(Window.partitionBy("bin").orderBy("id"))  # of a round's draws, not of the cube's pairs
+        taken = valid_pairs(pairs, edges).withColumn("taken", rank <= room).withColumn("round", F.lit(len(rounds)))
+        rounds.append(stage(taken, "pairs-considered"))
+        for r in rounds[-1].where("taken").groupBy("bin").agg(F.count(F.lit(1)).alias("n")).collect():
+            held[r.bin] += r.n
+        spent, distinct = spent + size, distinct + new.count()
+    return Sample(reduce(lambda a, b: a.unionByName(b), rounds), spent, distinct, min(held) >= target)
+
+
+def sampling_bins(sample: Sample, edges: Sequence[float], target: int) -> DataFrame:
+    """Per bin: candidates in range, accepted, accepted of the candidates, and accepted of the target."""
+    n = sample.considered.groupBy("bin").agg(F.count(F.lit(1)).alias("candidates"), F.count_if("taken").alias("accepted"))
+    rows = all_bins(sample.considered, edges).select("bin").join(n, "bin", "left").select("bin", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("candidates", "accepted")])
+    share = F.when(F.col("candidates") > 0, F.col("accepted") / F.col("candidates")).otherwise(0.0)
+    return rows.withColumn("accepted_fraction", share).withColumn("occupancy", F.col("accepted") / F.lit(target))
+
+
+def sampling_diagnostics(sample: Sample, edges: Sequence[float], spacing: float, target: int, threshold: float = 0.5) -> DataFrame:
+    """One row: draws, distinct pairs, those in range and accepted, their ratio, full coverage, the first filled bin and its centre, whether one of the
+    first three bins is thin, and the candidates of bins whose centre is within 1, 2 and 4 spacings."""
+    centre = F.element_at(F.array(*[F.lit(float(np.sqrt(a * b))) for a, b in zip(edges[:-1], edges[1:], strict=True)]), F.col("bin") + 1)
+    rows = sampling_bins(sample, edges, target).withColumn("centre", centre)
+    filled = F.col("accepted") > 0
+    return rows.agg(
+        F.lit(sample.drawn).cast("long").alias("drawn"), F.lit(sample.distinct).cast("long").alias("distinct_pairs"), F.sum("candidates").alias("in_range"), F.sum("accepted").alias("accepted"),
+        F.when(F.sum("candidates") > 0, F.sum("accepted") / F.sum("candidates")).otherwise(0.0).alias("accepted_fraction"), F.lit(sample.covered).alias("covered"),
+        F.min(F.when(filled, F.col("bin"))).alias("first_bin"), F.min(F.when(filled, F.col("centre"))).alias("first_centre"),
+        F.coalesce(F.max(F.when(F.col("bin") < 3, F.col("occupancy") < threshold)), F.lit(True)).alias("left_edge_thin"),
+        *[F.coalesce(F.sum(F.when(F.col("centre") <= k * spacing, F.col("candidates"))), F.lit(0)).alias(f"within_{k}") for k in (1, 2, 4)],
     )
-    near = sampled.agg(F.count(F.lit(1)).alias("accepted"), *[F.count_if(F.col("lam") <= k * spacing).alias(f"within_{k}") for k in (1, 2, 4)])
-    return first.crossJoin(near)  # one row each
 
 
 def capped_pairs(pairs: DataFrame, edges: Sequence[float], target: int, order: Column) -> DataFrame:

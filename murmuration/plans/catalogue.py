@@ -8,13 +8,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import vector
-from ..functions.tables import stage
+from ..functions.tables import new_path, stage
 from ..operators import cascade, formation, grid, reconstruct, spacetime, structure
 from ..sources.views import BOX, DT, GRID, POINTS, PROBE, RHO, SAMPLES, SHAPE, field_grid, probe_series, query_points, scattered_samples
 
 EDGES = structure.log_edges(0.5, 40.0, 12)
 R_BINS = 12
 STEPS = grid.spacing(BOX, SHAPE)
+CUBE_EDGES = structure.log_edges(*structure.cube_range(BOX, STEPS), 12)
+TARGET, BUDGET = 64, 20_000
+TAU_EDGES = (0.0, 0.25, 0.5, 1.0, 2.0, 4.0, 8.0, 16.0)
 REQUESTED = "1996-07-01 12:00:00"
 
 
@@ -41,15 +44,20 @@ def _lags(spark: SparkSession, d: str) -> int:
     return spacetime.max_lag((probe_series(spark, d).agg(F.max("step")).first()[0] or 0) + 1)
 
 
-def _map(spark: SparkSession, d: str, least: int | None = None) -> DataFrame:
-    series, lags = _fluct(spark, d), _lags(spark, d)
-    edges = spacetime.linear_edges(0.0, spacetime.greatest_distance(series, lags), R_BINS)
-    return spacetime.correlation_map(series, lags, edges, least=least)
+def _moving(spark: SparkSession, d: str, labels: list[str] | None = None) -> tuple[DataFrame, int, list[float]]:
+    """Fluctuations of the craft, written once for both passes; half the series in lags; r edges up to the largest distance."""
+    series = stage(spacetime.fluctuations(formation.selected(probe_series(spark, d), labels)), "fluctuations")
+    lags = spacetime.max_lag((series.agg(F.max("step")).first()[0] or 0) + 1)
+    return series, lags, spacetime.linear_edges(0.0, spacetime.greatest_distance(series, lags), R_BINS)
+
+
+def _map(spark: SparkSession, d: str, least: int | None = None, labels: list[str] | None = None, **tau) -> DataFrame:
+    series, lags, edges = _moving(spark, d, labels)
+    return spacetime.correlation_map(series, lags, edges, least=least, **tau)
 
 
 def _cuts(spark: SparkSession, d: str) -> DataFrame:
-    series, lags = _fluct(spark, d), _lags(spark, d)
-    edges = spacetime.linear_edges(0.0, spacetime.greatest_distance(series, lags), R_BINS)
+    series, lags, edges = _moving(spark, d)
     return spacetime.axis_cuts(spacetime.correlation_map(series, lags, edges), edges, DT)
 
 
@@ -62,10 +70,7 @@ def _probe_points(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _grid_pairs(spark: SparkSession, d: str) -> DataFrame:
-    p = structure.local_offset_pairs(field_grid(spark, d), 1)
-    r = [(F.lit(h) * (F.col(f"b_{a}") - F.col(f"a_{a}"))).alias(f"r{k}") for k, (h, a) in enumerate(zip(STEPS, grid.AXES, strict=True), 1)]
-    cols = [f"{s}_{a}" for s in "ab" for a in grid.AXES]
-    return structure.with_lag(p.select(*cols, *r, *[(F.col(f"b_{v}") - F.col(f"a_{v}")).alias(f"d{v[1]}") for v in grid.VALUES], *[((F.col(f"a_{v}") + F.col(f"b_{v}")) * 0.5).alias(f"m{v[1]}") for v in grid.VALUES]))
+    return structure.cell_pairs(structure.local_offset_pairs(field_grid(spark, d), 1), STEPS)
 
 
 def _coarse(spark: SparkSession, d: str) -> DataFrame:
@@ -133,8 +138,25 @@ def _data_bins(pairs: DataFrame, floor: float) -> DataFrame:
     return structure.structure_functions(pairs, edges, 2).select("bin", "lambda_lo", "lambda_hi", "n", "s1", "s2")
 
 
-def _random_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return structure.random_pairs(_grid_pairs(spark, d), EDGES, [f"{s}_{a}" for s in "ab" for a in grid.AXES], 0.5, 25)
+def _sample(spark: SparkSession, d: str) -> structure.Sample:
+    return structure.cube_random_pairs(field_grid(spark, d), SHAPE, STEPS, CUBE_EDGES, TARGET, BUDGET)
+
+
+def _rough(spark: SparkSession, d: str) -> DataFrame:
+    """The wrapped series with values and positions that aren't finite, fields that cancel, and probes at one place."""
+    s, nan = _wrapped(spark, d), F.lit(float("nan"))
+    at = lambda sc, every, rest: (F.col("sc") == sc) & (F.col("step") % every == rest)
+    still = F.col("sc").isin(5, 6) & (F.col("step") % 13 == 4)
+    s = s.withColumn("v1", F.when(at(2, 5, 1), nan).when(still, 0.0).otherwise(F.col("v1")))
+    s = s.select("step", "sc", *[F.when(at(3, 7, 2) & F.lit(p == "x"), nan).when(F.col("sc").isin(7, 8) & (F.col("step") % 17 == 5), 1.0).otherwise(F.col(p)).alias(p) for p in "xyz"], "v1", *[F.when(still, 0.0).otherwise(F.col(v)).alias(v) for v in ("v2", "v3")])
+    return structure.same_step_pairs(s)
+
+
+def _rough_written(spark: SparkSession, d: str) -> DataFrame:
+    path = new_path(spark, "valid-pairs")
+    counts = structure.write_valid_pairs(_rough(spark, d), EDGES, path)
+    rows = spark.read.parquet(path).agg(F.count(F.lit(1)).alias("written"))
+    return rows.select("written", *[F.lit(n).cast("long").alias(c) for c, n in counts.items()])
 
 
 def _three_series(spark: SparkSession, d: str) -> DataFrame:
@@ -177,10 +199,8 @@ def _sliced_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _reference_compare(spark: SparkSession, d: str) -> DataFrame:
-    pairs = _grid_pairs(spark, d)
-    order = F.struct("a_ix", "a_iy", "a_iz", "b_ix", "b_iy", "b_iz")
-    some = structure.capped_pairs(pairs, EDGES, 40, order)
-    return structure.compare(structure.structure_functions(some.drop("bin", "rank"), EDGES, 2), structure.structure_functions(pairs, EDGES, 2), bins=len(EDGES))
+    some = _sample(spark, d).pairs.drop("bin", "round", "taken", "id")
+    return structure.compare(structure.structure_functions(some, CUBE_EDGES, 2), structure.structure_functions(_grid_pairs(spark, d), CUBE_EDGES, 2), bins=len(CUBE_EDGES))
 
 
 def _curl(spark: SparkSession, d: str) -> DataFrame:
@@ -220,10 +240,14 @@ QUERIES = {
     "sf_kurtosis": lambda s, d: _r(structure.kurtosis(structure.structure_functions(_pairs(s, d), EDGES)).select("bin", "kurtosis")),
     "sf_bin_summary": lambda s, d: _r(structure.bin_summary(_pairs(s, d), EDGES), 5),
     "sf_exclusions": lambda s, d: structure.exclusions(_pairs(s, d), EDGES),
+    "sf_exclusions_rough": lambda s, d: structure.exclusions(_rough(s, d), EDGES),
+    "sf_pairs_written": _rough_written,
     "sf_undersampled": lambda s, d: structure.undersampled(structure.structure_functions(_pairs(s, d), EDGES)).select("bin", "n", "undersampled"),
     "st_fluctuation_stats": lambda s, d: _r(_fluct(s, d).select("step", "label", "mean", "sigma", "fluct"), 5),
     "st_cadence_check": lambda s, d: _r(spacetime.cadence(probe_series(s, d))),
     "st_corr_map": lambda s, d: _r(_map(s, d)),
+    "st_tau_bins": lambda s, d: _r(_map(s, d, tau_edges=TAU_EDGES, dt=DT)),
+    "st_corr_map_hub": lambda s, d: _r(_map(s, d, labels=["H", "N1", "N2"])),
     "st_rigid_map": lambda s, d: _r(spacetime.rigid_map(_fluct(s, d), _lags(s, d)), 5),
     "st_hub_acf": lambda s, d: _r(spacetime.hub_autocorrelation(_fluct(s, d), _lags(s, d))),
     "st_axis_cuts": lambda s, d: _r(_cuts(s, d)),
@@ -268,8 +292,10 @@ QUERIES = {
     "epsilon_histogram": lambda s, d: _r(cascade.histogram(_rates(s, d).where("passes AND reason IS NULL").select(_tenths(F.col("eps_plus")).alias("eps_plus")), "eps_plus", symmetric=True, digits=1), 1),
     "sf_data_bins": lambda s, d: _r(_data_bins(_pairs(s, d), 0.0), 4),
     "sf_grid_data_bins": lambda s, d: _r(_data_bins(_grid_pairs(s, d), structure.least_spacing(STEPS)), 3),
-    "sf_random_pairs": lambda s, d: _r(_random_pairs(s, d).select(*[f"{k}_{a}" for k in "ab" for a in grid.AXES], "bin", "rank", "lam"), 4),
-    "sf_sampling_diagnostics": lambda s, d: _r(structure.diagnostics(_random_pairs(s, d), EDGES, min(STEPS), 25)),
+    "sf_random_pairs": lambda s, d: _r(_sample(s, d).pairs.select(*[f"{k}_{a}" for k in "ab" for a in grid.AXES], "round", "bin", "lam"), 4),
+    "cube_random_pairs": lambda s, d: _r(structure.structure_functions(_sample(s, d).pairs.drop("bin"), CUBE_EDGES), 2),
+    "cube_sampling_bins": lambda s, d: _r(structure.sampling_bins(_sample(s, d), CUBE_EDGES, TARGET)),
+    "sf_sampling_diagnostics": lambda s, d: _r(structure.sampling_diagnostics(_sample(s, d), CUBE_EDGES, min(STEPS), TARGET)),
     "st_corr_map_absolute": lambda s, d: _map(s, d, 2000).select("lag", "r_bin", "n", "valid"),
     "series_completeness": lambda s, d: formation.completeness(probe_series(s, d), ("v1", "v2", "v3")),
     "series_gaps": lambda s, d: formation.completeness(formation.selected(_craft(s, d), ["H", "N1", "N2"]), ("x", "y", "z")),
@@ -394,8 +420,8 @@ def _with_lag(source: str) -> str:
       SELECT *, sqrt(r1 * r1 + r2 * r2 + r3 * r3) AS r, sqrt(m1 * m1 + m2 * m2 + m3 * m3) AS b_local FROM {source})"""
 
 
-def _valid(source: str) -> str:
-    return f"SELECT *, abs(d1) AS dv, {_bin('lam', EDGES, True)} AS bin FROM {source} WHERE lam > 0 AND lam >= {EDGES[0]!r} AND lam <= {EDGES[-1]!r}"
+def _valid(source: str, edges=EDGES) -> str:
+    return f"SELECT *, abs(d1) AS dv, {_bin('lam', edges, True)} AS bin FROM {source} WHERE lam > 0 AND lam >= {edges[0]!r} AND lam <= {edges[-1]!r}"
 
 
 CTE |= {"pairs": _with_lag("raw_pairs"), "valid": _valid("pairs"), "gpairs": _with_lag("grid_pairs"), "gvalid": _valid("gpairs")}
@@ -409,6 +435,10 @@ NEEDS = {
 }
 
 
+#: Read several times by what follows, and costly.
+TWICE = {"rated", "fluct", "corr", "far"}
+
+
 def _sql(last: str | list[str], body: str) -> str:
     order: list[str] = []
 
@@ -421,7 +451,7 @@ def _sql(last: str | list[str], body: str) -> str:
     for name in [last] if isinstance(last, str) else last:
         need(name)
     more = body.removeprefix("WITH ")
-    return "WITH " + ",\n".join(f"{n} AS {'MATERIALIZED ' * (n == 'rated')}({CTE[n]})" for n in order) + (",\n" if more != body else "\n") + more
+    return "WITH " + ",\n".join(f"{n} AS {'MATERIALIZED ' * (n in TWICE or n.startswith(('draws', 'considered')))}({CTE[n]})" for n in order) + (",\n" if more != body else "\n") + more
 
 
 def _diff(value: str, axis: str, h: float) -> str:
@@ -473,12 +503,44 @@ def _complete(rows: str) -> str:
       count(DISTINCT step) * count(DISTINCT label) = count(*) AND sum(n) = count(*) AND NOT bool_or(bad) AS complete FROM p"""
 
 
-CTE["drawn"] = f"""SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY bin ORDER BY draw, {_CELLS}) AS INTEGER) AS rank FROM (
-  SELECT *, md5(concat_ws(',', '0', {_CELLS})) AS draw FROM gvalid) WHERE substr(draw, 1, 8) < '{int(0.5 * 2**32):08x}') WHERE rank <= 25"""
+CTE["gcells"] = "SELECT ix * 30 + iy * 5 + iz AS cell, * FROM grid"
+CTE["draw_state0"] = f"SELECT 0 AS drawn, {min(BUDGET, max(4096, 8 * 12 * TARGET))} AS size"
+ROUNDS = -(-BUDGET // 4096)
+
+
+def _round_sql(k: int) -> None:
+    """One round of draws: the pairs that no round before has, those in range, and the next round's size."""
+    before = " UNION ALL ".join(f"SELECT id FROM draws{i}" for i in range(k)) or "SELECT -1 AS id"
+    held = " UNION ALL ".join(f"SELECT bin FROM considered{i} WHERE taken" for i in range(k)) or "SELECT -1 AS bin"
+    CTE[f"draws{k}"] = f"""SELECT DISTINCT least(l, r) * 210 + greatest(l, r) AS id, least(l, r) AS l, greatest(l, r) AS r FROM (
+      SELECT CAST('0x' || substr(h, 1, 15) AS BIGINT) % 210 AS l, CAST('0x' || substr(h, 17, 15) AS BIGINT) % 210 AS r FROM (
+      SELECT md5('0,' || c) AS h FROM (SELECT unnest(range(drawn, drawn + size)) AS c FROM draw_state{k})))
+      WHERE l <> r AND least(l, r) * 210 + greatest(l, r) NOT IN ({before})"""
+    CTE[f"met{k}"] = f"""SELECT p.id, a.ix AS a_ix, a.iy AS a_iy, a.iz AS a_iz, b.ix AS b_ix, b.iy AS b_iy, b.iz AS b_iz,
+      {_HX} * (b.ix - a.ix) AS r1, {_HY} * (b.iy - a.iy) AS r2, {_HZ} * (b.iz - a.iz) AS r3, b.v1 - a.v1 AS d1, b.v2 - a.v2 AS d2, b.v3 - a.v3 AS d3,
+      (a.v1 + b.v1) * 0.5 AS m1, (a.v2 + b.v2) * 0.5 AS m2, (a.v3 + b.v3) * 0.5 AS m3 FROM draws{k} p JOIN gcells a ON a.cell = p.l JOIN gcells b ON b.cell = p.r"""
+    CTE[f"considered{k}"] = f"""SELECT v.*, {k} AS round, row_number() OVER (PARTITION BY v.bin ORDER BY id) <= {TARGET} - coalesce(h.n, 0) AS taken
+      FROM ({_valid("(" + _with_lag(f"met{k}") + ")", CUBE_EDGES)}) v LEFT JOIN (SELECT bin, count(*) AS n FROM ({held}) GROUP BY bin) h ON h.bin = v.bin"""
+    CTE[f"draw_state{k + 1}"] = f"""SELECT drawn + size AS drawn, CASE WHEN lack = 0 THEN 0 ELSE least({BUDGET} - drawn - size, greatest(4096, 8 * lack)) END AS size
+      FROM draw_state{k}, (SELECT CAST(sum(greatest(0, {TARGET} - coalesce(n, 0))) AS BIGINT) AS lack FROM range(12) t(b) LEFT JOIN (
+      SELECT bin, count(*) AS n FROM ({held} UNION ALL SELECT bin FROM considered{k} WHERE taken) GROUP BY bin) h ON h.bin = t.b)"""
+    NEEDS[f"draws{k}"] = [f"draw_state{k}", *[f"draws{i}" for i in range(k)]]
+    NEEDS[f"met{k}"], NEEDS[f"considered{k}"] = [f"draws{k}", "gcells"], [f"met{k}", *[f"considered{i}" for i in range(k)]]
+    NEEDS[f"draw_state{k + 1}"] = [f"draw_state{k}", f"considered{k}"]
+
+
+for _k in range(ROUNDS):
+    _round_sql(_k)
+CTE["considered"] = " UNION ALL ".join(f"SELECT * FROM considered{k}" for k in range(ROUNDS))
+CTE["drawn"] = "SELECT * FROM considered WHERE taken"
+CTE["cube_bins"] = f"""SELECT CAST(t.b AS INTEGER) AS bin, coalesce(candidates, 0) AS candidates, coalesce(accepted, 0) AS accepted,
+  CASE WHEN candidates > 0 THEN accepted / candidates ELSE 0 END AS accepted_fraction, coalesce(accepted, 0) / {TARGET} AS occupancy, sqrt(({_list(CUBE_EDGES[:-1])})[t.b + 1] * ({_list(CUBE_EDGES[1:])})[t.b + 1]) AS centre
+  FROM range(12) t(b) LEFT JOIN (SELECT bin, count(*) AS candidates, count(*) FILTER (WHERE taken) AS accepted FROM considered GROUP BY bin) n ON n.bin = t.b"""
+NEEDS |= {"gcells": ["grid"], "considered": [f"considered{k}" for k in range(ROUNDS)], "drawn": ["considered"], "cube_bins": ["considered"]}
 _TRI = "SELECT i, j, k FROM range(2) a(i), range(2) b(j), range(2) c(k)"
 CTE["trilinear"] = f"SELECT w.step, w.sc, " + ", ".join(f"sum(g.v{q} * " + " * ".join(f"({_weight('w.' + p, h, 's.' + t)})" for (_, (p, h, _n)), t in zip(_AX, "ijk", strict=True)) + f") AS b{q}" for q in (1, 2, 3)) + f" FROM wrapped w CROSS JOIN ({_TRI}) s JOIN grid g ON " + " AND ".join(f"g.{a} = {_corner('w.' + p, h, n, 's.' + t)}" for (a, (p, h, n)), t in zip(_AX, "ijk", strict=True)) + " GROUP BY w.step, w.sc"
 CTE["three"] = "SELECT w.step, w.sc, w.v1 AS u1, w.v2 AS u2, w.v3 AS u3, b1, b2, b3, 1.0 + g.v2 + g.v3 AS density FROM wrapped w JOIN trilinear USING (step, sc) JOIN grid g ON " + " AND ".join(f"g.{a} = {_cell('w.' + p, h, n)}" for a, (p, h, n) in _AX)
-NEEDS |= {"drawn": ["gvalid"], "trilinear": ["wrapped", "grid"], "three": ["wrapped", "grid", "trilinear"]}
+NEEDS |= {"trilinear": ["wrapped", "grid"], "three": ["wrapped", "grid", "trilinear"]}
 
 
 def _data_sf(source: str, floor: float, digits: int) -> str:
@@ -491,6 +553,16 @@ def _data_sf(source: str, floor: float, digits: int) -> str:
       FROM e a JOIN e z ON z.b = a.b + 1 LEFT JOIN x ON x.bin = a.b GROUP BY a.b, a.e, z.e"""
 
 
+_STILL = "sc IN (5, 6) AND step % 13 = 4"
+CTE["rough"] = "SELECT step, sc, " + ", ".join(f"CASE {chr(39).join(('WHEN sc = 3 AND step % 7 = 2 THEN CAST(', 'nan', ' AS DOUBLE)')) if p == 'x' else ''} WHEN sc IN (7, 8) AND step % 17 = 5 THEN 1.0 ELSE {p} END AS {p}" for p in "xyz") + f", CASE WHEN sc = 2 AND step % 5 = 1 THEN CAST('nan' AS DOUBLE) WHEN {_STILL} THEN 0 ELSE v1 END AS v1, CASE WHEN {_STILL} THEN 0 ELSE v2 END AS v2, CASE WHEN {_STILL} THEN 0 ELSE v3 END AS v3 FROM wrapped"
+CTE["rough_raw"] = CTE["raw_pairs"].replace("FROM wrapped a JOIN wrapped b", "FROM rough a JOIN rough b")
+CTE["rough_pairs"] = _with_lag("rough_raw")
+NEEDS |= {"rough": ["wrapped"], "rough_raw": ["rough"], "rough_pairs": ["rough_raw"]}
+_FINE_LAG = "isfinite(r) AND isfinite(b_local) AND b_local > 0"
+_REASONS = f"""count(*) AS total, count(*) FILTER (WHERE {_FINE_LAG} AND isfinite(lam) AND lam > 0 AND lam BETWEEN {EDGES[0]!r} AND {EDGES[-1]!r}) AS kept,
+  count(*) FILTER (WHERE NOT isfinite(r)) AS bad_position, count(*) FILTER (WHERE NOT isfinite(b_local)) AS bad_field,
+  count(*) FILTER (WHERE isfinite(r) AND isfinite(b_local) AND b_local <= 0) AS zero_field, count(*) FILTER (WHERE {_FINE_LAG} AND NOT (isfinite(lam) AND lam > 0)) AS zero_lag,
+  count(*) FILTER (WHERE {_FINE_LAG} AND isfinite(lam) AND lam > 0 AND NOT lam BETWEEN {EDGES[0]!r} AND {EDGES[-1]!r}) AS out_of_range"""
 _FORM = "SELECT step, label, ux AS x, uy AS y, uz AS z FROM probe"
 _E = math.exp(-1)
 _L = spacetime.LEVEL
@@ -500,16 +572,19 @@ ORACLE_SQL = {
     "sf_lambda_bins": _sql("sf", f"SELECT bin, n, {_rounds('s1 s2 s3 s4', 4)} FROM sf"),
     "sf_kurtosis": _sql("sf", "SELECT bin, round(CASE WHEN s2 <> 0 THEN s4 / (s2 * s2) END, 6) AS kurtosis FROM sf"),
     "sf_bin_summary": _sql("valid", "SELECT bin, count(*) AS n, " + ", ".join(f"round({f}({c}), 5) AS {n}_{c}" for c in ("lam", "dv", "b_local", "r") for n, f in (("mean", "avg"), ("min", "min"), ("max", "max"))) + " FROM valid GROUP BY bin"),
-    "sf_exclusions": _sql("pairs", f"""SELECT count(*) AS total, count(*) FILTER (WHERE lam > 0 AND lam BETWEEN {EDGES[0]!r} AND {EDGES[-1]!r}) AS kept,
-      count(*) FILTER (WHERE r IS NULL) AS bad_position, count(*) FILTER (WHERE r IS NOT NULL AND b_local IS NULL) AS bad_field, count(*) FILTER (WHERE b_local <= 0) AS zero_field,
-      count(*) FILTER (WHERE b_local > 0 AND (lam <= 0 OR lam IS NULL)) AS zero_lag,
-      count(*) FILTER (WHERE lam > 0 AND NOT lam BETWEEN {EDGES[0]!r} AND {EDGES[-1]!r}) AS out_of_range FROM pairs"""),
+    "sf_exclusions": _sql("pairs", f"SELECT {_REASONS} FROM pairs"),
+    "sf_exclusions_rough": _sql("rough_pairs", f"SELECT {_REASONS} FROM rough_pairs"),
+    "sf_pairs_written": _sql("rough_pairs", f"SELECT count(*) FILTER (WHERE isfinite(r) AND isfinite(b_local) AND isfinite(lam) AND lam > 0 AND lam BETWEEN {EDGES[0]!r} AND {EDGES[-1]!r}) AS written, {_REASONS} FROM rough_pairs"),
     "sf_undersampled": _sql("sf", "SELECT bin, n, max(n) OVER () = 0 OR n < 0.05 * max(n) OVER () AS undersampled FROM sf"),
     "st_fluctuation_stats": _sql("fluct", f"SELECT step, label, {_rounds('mean sigma fluct', 5)} FROM fluct"),
     "st_cadence_check": _sql("probe", f"""SELECT label, count(*) AS steps, round(max(first), 6) AS dt, count(*) FILTER (WHERE abs(gap - first) > 1e-10 + 1e-8 * abs(first)) AS stray
       FROM (SELECT *, first_value(gap IGNORE NULLS) OVER (PARTITION BY label ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS first
       FROM (SELECT *, time_seconds - lag(time_seconds) OVER (PARTITION BY label ORDER BY step) AS gap FROM probe)) GROUP BY label"""),
     "st_corr_map": _sql("corr", "SELECT lag, r_bin, n, round(corr, 6) AS corr, valid FROM corr"),
+    "st_corr_map_hub": _sql("corr", "SELECT lag, r_bin, n, round(corr, 6) AS corr, valid FROM corr").replace("FROM events WHERE", "FROM events WHERE event_id % 9 < 3 AND"),
+    "st_tau_bins": _sql("lagged", f"""SELECT tau_bin, r_bin, n, round(corr, 6) AS corr, n >= ceil(0.01 * max(n) OVER ()) AS valid FROM (SELECT tau_bin, r_bin, count(*) AS n, avg(product) AS corr FROM (
+      SELECT {_bin(f"(lag * CAST({DT} AS DOUBLE))", TAU_EDGES, False)} AS tau_bin, product, {" + ".join(f"CAST(r >= {'far' if k == R_BINS else f'{k} * (far / {R_BINS})'} AS INTEGER)" for k in range(R_BINS + 1))} - 1 AS r_bin FROM lagged, (SELECT max(r) AS far FROM lagged))
+      WHERE r_bin BETWEEN 0 AND {R_BINS - 1} AND tau_bin BETWEEN 0 AND {len(TAU_EDGES) - 2} GROUP BY tau_bin, r_bin)"""),
     "st_rigid_map": _sql("lagged", "SELECT lag, i, j, count(*) AS n, round(sum(product), 5) AS total, round(min(r), 5) AS r FROM lagged GROUP BY lag, i, j"),
     "st_hub_acf": _sql("lagged", "SELECT lag, count(*) AS n, round(avg(product), 6) AS corr FROM lagged WHERE label = 'H' AND i = j GROUP BY lag"),
     "st_axis_cuts": _sql("cuts", "SELECT axis, round(x, 6) AS x, round(corr, 6) AS corr, valid FROM cuts"),
@@ -549,9 +624,9 @@ ORACLE_SQL = {
       QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY d2, v.vec_id) = 1""",
     "grid_local_offset_pairs": _sql("gpairs", f"SELECT {_CELLS}, round(lam, 4) AS lam FROM gpairs"),
     "stratified_pairs_capped": _sql("capped", f"SELECT {_CELLS}, bin, round(lam, 4) AS lam FROM capped"),
-    "sf_reference_compare": _sql(["capped"], """SELECT bin, round(production, 3) AS production, round(reference, 3) AS reference, round(relative, 3) AS relative, coalesce(relative > 0.5, false) AS warns
+    "sf_reference_compare": _sql(["drawn", "gpairs"], f"""SELECT bin, round(production, 3) AS production, round(reference, 3) AS reference, round(relative, 3) AS relative, coalesce(relative > 0.5, false) AS warns
       FROM (SELECT CAST(t.b AS INTEGER) AS bin, production, reference, CASE WHEN reference <> 0 THEN abs(production - reference) / abs(reference) END AS relative FROM range(12) t(b)
-      LEFT JOIN (SELECT bin, avg(dv * dv) AS production FROM capped GROUP BY bin) c ON c.bin = t.b LEFT JOIN (SELECT bin, avg(dv * dv) AS reference FROM gvalid GROUP BY bin) g ON g.bin = t.b)"""),
+      LEFT JOIN (SELECT bin, avg(dv * dv) AS production FROM drawn GROUP BY bin) c ON c.bin = t.b LEFT JOIN (SELECT bin, avg(dv * dv) AS reference FROM ({_valid("gpairs", CUBE_EDGES)}) GROUP BY bin) g ON g.bin = t.b)"""),
     "background_subtract": _sql("probe", "SELECT step, sc, round(v3 - 12.5, 6) AS v3 FROM probe"),
     "elsasser_series": _sql("els", f"SELECT step, sc, {_rounds(' '.join(_SC))} FROM els"),
     "elsasser_pairs": _sql("epairs", f"SELECT step, i, j, pair, {_rounds('l1 l2 l3 dp1 dp2 dp3 dm1 dm2 dm3')} FROM epairs"),
@@ -570,9 +645,13 @@ ORACLE_SQL = {
     "epsilon_histogram": _sql("rated", _rounded(_histogram("SELECT floor(eps_plus * 10 + 0.5) / 10 AS v FROM rated WHERE passes AND reason IS NULL", True), 1)),
     "sf_data_bins": _sql("pairs", _data_sf("pairs", 0.0, 4)),
     "sf_grid_data_bins": _sql("gpairs", _data_sf("gpairs", structure.least_spacing(STEPS), 3)),
-    "sf_random_pairs": _sql("drawn", f"SELECT {_CELLS}, bin, rank, round(lam, 4) AS lam FROM drawn"),
-    "sf_sampling_diagnostics": _sql("drawn", f"""SELECT (SELECT count(DISTINCT bin) FROM drawn) AS filled, round((SELECT count(DISTINCT bin) FROM drawn) / 12, 6) AS occupancy, min(bin) AS first_bin,
-      count(*) FILTER (WHERE bin < 3) / 75 < 0.5 AS left_edge_thin, count(*) AS accepted, {", ".join(f"count(*) FILTER (WHERE lam <= {k} * CAST({min(STEPS)!r} AS DOUBLE)) AS within_{k}" for k in (1, 2, 4))} FROM drawn"""),
+    "sf_random_pairs": _sql("drawn", f"SELECT {_CELLS}, round, bin, round(lam, 4) AS lam FROM drawn"),
+    "cube_random_pairs": _sql("drawn", f"SELECT CAST(t.b AS INTEGER) AS bin, round(({_list(CUBE_EDGES[:-1])})[t.b + 1], 2) AS lambda_lo, round(({_list(CUBE_EDGES[1:])})[t.b + 1], 2) AS lambda_hi, count(lam) AS n, " + ", ".join(f"round(avg(pow(dv, {p}.0)), 2) AS s{p}" for p in (1, 2, 3, 4)) + " FROM range(12) t(b) LEFT JOIN drawn ON drawn.bin = t.b GROUP BY t.b"),
+    "cube_sampling_bins": _sql("cube_bins", f"SELECT bin, candidates, accepted, {_rounds('accepted_fraction occupancy')} FROM cube_bins"),
+    "sf_sampling_diagnostics": _sql(["cube_bins", f"draw_state{ROUNDS}"], f"""SELECT CAST((SELECT drawn FROM draw_state{ROUNDS}) AS BIGINT) AS drawn, ({" + ".join(f"(SELECT count(*) FROM draws{k})" for k in range(ROUNDS))}) AS distinct_pairs,
+      CAST(sum(candidates) AS BIGINT) AS in_range, CAST(sum(accepted) AS BIGINT) AS accepted, round(sum(accepted) / sum(candidates), 6) AS accepted_fraction, min(accepted) >= {TARGET} AS covered, min(bin) FILTER (WHERE accepted > 0) AS first_bin,
+      round(min(centre) FILTER (WHERE accepted > 0), 6) AS first_centre, bool_or(occupancy < 0.5) FILTER (WHERE bin < 3) AS left_edge_thin,
+      {", ".join(f"CAST(coalesce(sum(candidates) FILTER (WHERE centre <= {k} * CAST({min(STEPS)!r} AS DOUBLE)), 0) AS BIGINT) AS within_{k}" for k in (1, 2, 4))} FROM cube_bins"""),
     "st_corr_map_absolute": _sql("corr", "SELECT lag, r_bin, n, n >= 2000 AS valid FROM corr"),
     "series_completeness": _sql("probe", _complete("SELECT step, label, v1 IS NULL OR v2 IS NULL OR v3 IS NULL AS bad FROM probe")),
     "series_gaps": _sql("probe", _complete("SELECT step, CASE WHEN step % 7 = 3 THEN 'N/A' ELSE label END AS label, false AS bad FROM probe WHERE step % 7 <> 3 AND (step + length(label)) % 11 <> 0 AND label IN ('H', 'N1', 'N2')")),

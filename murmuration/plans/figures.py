@@ -22,26 +22,24 @@ def _size(c: Column) -> Column:
     return F.log10(F.greatest(c, F.lit(LEAST)))
 
 
-def _nodes(spark: SparkSession, d: str) -> DataFrame:
-    """The valid cells of the correlation map as mesh nodes (lag, r bin)."""
-    return base._map(spark, d).where("valid").select(F.col("lag").cast("long").alias("i"), F.col("r_bin").cast("long").alias("j"), F.col("corr").alias("value"))
-
-
-def _fine(spark: SparkSession, d: str) -> DataFrame:
-    return stage(maps.refined(_nodes(spark, d), (base._lags(spark, d) + 1, base.R_BINS), FINE), "map-fine")
+def _fine(spark: SparkSession, d: str) -> tuple[DataFrame, int, list[float]]:
+    """The valid cells of the correlation map as a mesh (lag, r bin), refined; its lags and r edges."""
+    series, lags, edges = base._moving(spark, d)
+    m = spacetime.correlation_map(series, lags, edges).where("valid")
+    nodes = m.select(F.col("lag").cast("long").alias("i"), F.col("r_bin").cast("long").alias("j"), F.col("corr").alias("value"))
+    return stage(maps.refined(nodes, (lags + 1, base.R_BINS), FINE), "map-fine"), lags, edges
 
 
 def _contour(spark: SparkSession, d: str) -> DataFrame:
     """The longest level line of the fine map, in seconds and distance."""
-    series, lags = base._fluct(spark, d), base._lags(spark, d)
-    far = spacetime.greatest_distance(series, lags)
-    first, width = far / base.R_BINS / 2, far * (base.R_BINS - 1) / base.R_BINS
-    line = maps.longest_line(maps.level_segments(_fine(spark, d), spacetime.LEVEL))
+    fine, lags, edges = _fine(spark, d)
+    first, width = edges[-1] / base.R_BINS / 2, edges[-1] * (base.R_BINS - 1) / base.R_BINS
+    line = maps.longest_line(maps.level_segments(fine, spacetime.LEVEL))
     return line.select("at", (F.col("i") * F.lit(lags * DT / (FINE[0] - 1))).alias("tau"), (F.lit(first) + F.col("j") * F.lit(width / (FINE[1] - 1))).alias("r"))
 
 
 def _segments(spark: SparkSession, d: str) -> DataFrame:
-    rows = maps.level_segments(_fine(spark, d), spacetime.LEVEL)
+    rows = maps.level_segments(_fine(spark, d)[0], spacetime.LEVEL)
     return rows.groupBy("i", "j").agg(F.count(F.lit(1)).alias("pieces"))
 
 
@@ -79,12 +77,8 @@ def _curves(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sampling(spark: SparkSession, d: str) -> DataFrame:
-    """Per bin: how many pairs there are and how many the sample holds."""
-    pairs = base._grid_pairs(spark, d)
-    every = structure.valid_pairs(pairs, base.EDGES).groupBy("bin").agg(F.count(F.lit(1)).alias("candidates"))
-    taken = base._random_pairs(spark, d).groupBy("bin").agg(F.count(F.lit(1)).alias("accepted"))
-    rows = structure.all_bins(pairs, base.EDGES).select("bin").join(every, "bin", "left").join(taken, "bin", "left")
-    return rows.select("bin", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("candidates", "accepted")])
+    """Per bin of the cube's random pairs: how many were in range and how many the sample holds."""
+    return structure.sampling_bins(base._sample(spark, d), base.CUBE_EDGES, base.TARGET).select("bin", "candidates", "accepted")
 
 
 def _shown_map(spark: SparkSession, d: str) -> DataFrame:
@@ -161,9 +155,9 @@ def _packed(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "st_map_fine": lambda s, d: _r(_fine(s, d), 5),
+    "st_map_fine": lambda s, d: _r(_fine(s, d)[0], 5),
     "st_level_squares": _segments,
-    "st_longest_contour": _contour,
+    "st_longest_contour": lambda s, d: _r(_contour(s, d), 5),
     "plot_plane": lambda s, d: _r(_plane(s, d), 4),
     "plot_reconstruction_slices": lambda s, d: _r(_slices(s, d), 4),
     "plot_point_cloud": lambda s, d: _r(scattered_samples(s, d).select("sample_id", "x", "y", "z", F.abs("v").alias("magnitude"))),
@@ -200,9 +194,28 @@ _log = lambda x: f"log10(greatest({x}, {LEAST!r}))"
 _centre = _log(f"sqrt(c1 * c1 + c2 * c2 + c3 * c3) * {RHO}")
 _vertex = " + ".join(_len([f"{v}_l{k} - c{k}" for k in (1, 2, 3)]) for v in "abcd")
 _wave = lambda f, k, x, n: f"{f}(2 * pi() * {k} * {x} / {n})"
+_AT = lambda i, j, o: f"(({i}) * 268435456 + {j}) * 2 + {o}"
+#: Pieces by the numbers of the sides they join; lines walked from their ends, then rings from each of their vertices both ways.
+_CONTOUR = f"""{_FINE},
+  sq AS (SELECT a.p AS i, a.q AS j, a.value AS v00, b.value AS v01, c.value AS v10, e.value AS v11 FROM fine a JOIN fine b ON b.p = a.p AND b.q = a.q + 1 JOIN fine c ON c.p = a.p + 1 AND c.q = a.q JOIN fine e ON e.p = a.p + 1 AND e.q = a.q + 1),
+  sides AS MATERIALIZED (SELECT *, CASE WHEN (v00 >= {_L}) <> (v01 >= {_L}) THEN {_AT("i", "j", 0)} END AS li, CASE WHEN (v10 >= {_L}) <> (v11 >= {_L}) THEN {_AT("i + 1", "j", 0)} END AS hi,
+    CASE WHEN (v00 >= {_L}) <> (v10 >= {_L}) THEN {_AT("i", "j", 1)} END AS lj, CASE WHEN (v01 >= {_L}) <> (v11 >= {_L}) THEN {_AT("i", "j + 1", 1)} END AS hj, ((v00 + v01 + v10 + v11) / 4 >= {_L}) = (v00 >= {_L}) AS same FROM sq),
+  two AS (SELECT list_filter([li, hi, lj, hj], lambda x: x IS NOT NULL) AS f FROM sides WHERE li IS NULL OR hi IS NULL OR lj IS NULL),
+  piece AS (SELECT f[1] AS a, f[2] AS b FROM two WHERE len(f) = 2 UNION ALL SELECT li, CASE WHEN same THEN hj ELSE lj END FROM sides WHERE li + hi + lj IS NOT NULL UNION ALL SELECT hi, CASE WHEN same THEN lj ELSE hj END FROM sides WHERE li + hi + lj IS NOT NULL),
+  adj AS MATERIALIZED (SELECT a AS u, b AS v FROM piece UNION SELECT b, a FROM piece),
+  place AS (SELECT vertex, min(y) AS i, min(x) AS j FROM (SELECT li AS vertex, i AS y, j + ({_L} - v00) / (v01 - v00) AS x FROM sides WHERE li IS NOT NULL UNION ALL SELECT hi, i + 1, j + ({_L} - v10) / (v11 - v10) FROM sides WHERE hi IS NOT NULL
+    UNION ALL SELECT lj, i + ({_L} - v00) / (v10 - v00), j FROM sides WHERE lj IS NOT NULL UNION ALL SELECT hj, i + ({_L} - v01) / (v11 - v01), j + 1 FROM sides WHERE hj IS NOT NULL) GROUP BY vertex),
+  walk AS (SELECT u AS start, NULL::BIGINT AS first, 0 AS nth, NULL::BIGINT AS prev, u AS cur FROM adj GROUP BY u HAVING count(*) = 1
+    UNION ALL SELECT start, coalesce(first, v), nth + 1, cur, v FROM walk JOIN adj ON u = cur WHERE v IS DISTINCT FROM prev),
+  ring AS (SELECT u AS start, v AS first, 1 AS nth, u AS prev, v AS cur FROM adj WHERE u NOT IN (SELECT cur FROM walk) UNION ALL SELECT start, first, nth + 1, cur, v FROM ring JOIN adj ON u = cur WHERE v <> prev AND v <> start),
+  ways AS (SELECT start, first, count(*) AS size, min(cur) AS least, arg_max(cur, nth) AS last, false AS closed FROM walk GROUP BY start, first UNION ALL SELECT start, first, count(*) + 1, min(cur), arg_max(cur, nth), true FROM ring GROUP BY start, first),
+  best AS (SELECT start, first, closed FROM ways WHERE CASE WHEN closed THEN start < least AND first < last ELSE start < last END ORDER BY size DESC, least(start, least) LIMIT 1),
+  line AS (SELECT nth, cur FROM walk JOIN best USING (start) WHERE NOT closed UNION ALL SELECT nth, cur FROM ring JOIN best USING (start, first) WHERE closed UNION ALL SELECT 0, start FROM best WHERE closed)
+  SELECT CAST(nth AS INTEGER) AS "at", round(i * last * CAST({DT} AS DOUBLE) / {_M}, 5) + 0.0 AS tau, round(far / {base.R_BINS} / 2 + j * (far * {base.R_BINS - 1} / {base.R_BINS}) / {_N}, 5) + 0.0 AS r FROM line JOIN place ON vertex = cur, lagmax, far, m"""
 
 ORACLE_SQL = {
     "st_map_fine": _sql(["corr", "lagmax"], f"{_FINE} SELECT p AS i, q AS j, round(value, 5) + 0.0 AS value FROM fine"),
+    "st_longest_contour": _sql(["corr", "lagmax", "far"], _CONTOUR).replace("WITH ", "WITH RECURSIVE ", 1),
     "st_level_squares": _sql(["corr", "lagmax"], f"""{_FINE} SELECT i, j, CAST(cuts / 2 AS BIGINT) AS pieces FROM (SELECT a.p AS i, a.q AS j,
       CAST((a.value >= {_L}) <> (b.value >= {_L}) AS INTEGER) + CAST((c.value >= {_L}) <> (e.value >= {_L}) AS INTEGER) + CAST((a.value >= {_L}) <> (c.value >= {_L}) AS INTEGER) + CAST((b.value >= {_L}) <> (e.value >= {_L}) AS INTEGER) AS cuts
       FROM fine a JOIN fine b ON b.p = a.p AND b.q = a.q + 1 JOIN fine c ON c.p = a.p + 1 AND c.q = a.q JOIN fine e ON e.p = a.p + 1 AND e.q = a.q + 1) WHERE cuts > 0"""),
@@ -216,9 +229,7 @@ ORACLE_SQL = {
     "plot_structure_functions": _sql("sf", f"""SELECT bin, round(sqrt(lo * hi), 4) AS centre, curve, round(value, 4) AS value FROM (
       SELECT *, {base._list(base.EDGES)}[bin + 1] AS lo, {base._list(base.EDGES)}[bin + 2] AS hi, max(n) OVER () AS most FROM (SELECT *, CASE WHEN s2 <> 0 THEN s4 / (s2 * s2) END AS k FROM sf)) b,
       LATERAL (SELECT unnest(['S1', 'S2', 'S3', 'S4', 'kurtosis']) AS curve, unnest([s1, s2, s3, s4, k]) AS value) c WHERE n > 0 AND n >= 0.05 * most AND value IS NOT NULL"""),
-    "plot_sampling": f"""SELECT CAST(t.b AS INTEGER) AS bin, coalesce(c.n, 0) AS candidates, coalesce(a.n, 0) AS accepted FROM range({len(base.EDGES) - 1}) t(b)
-      LEFT JOIN ({_sql("gvalid", "SELECT bin, count(*) AS n FROM gvalid GROUP BY bin")}) c ON c.bin = t.b
-      LEFT JOIN (SELECT bin, count(*) AS n FROM ({base.ORACLE_SQL["sf_random_pairs"]}) GROUP BY bin) a ON a.bin = t.b""",
+    "plot_sampling": _sql("cube_bins", "SELECT bin, candidates, accepted FROM cube_bins"),
     "plot_corr_map": _sql("corr", f"SELECT round(lag * CAST({DT} AS DOUBLE), 6) AS tau, r_bin, CASE WHEN valid THEN round(corr, 6) + 0.0 END AS corr FROM corr"),
     "plot_tetra_scatter": _sql("shaped", f"SELECT a, b, c, d, round(elongation, 5) + 0.0 AS elongation, round(planarity, 5) + 0.0 AS planarity, round(d_ep, 5) + 0.0 AS d_ep, round({_log(f'({_vertex}) / 4')}, 5) + 0.0 AS log_size, round({_centre}, 5) + 0.0 AS log_centre FROM shaped"),
     "plot_flux_arrows": _sql("lagp", f"""SELECT pid, {_rounds('l1 l2 l3', 4)}, {', '.join(f'round({n}{k} * CASE WHEN most_{n} > 0 THEN 0.25 * greatest(span, 1.0) / most_{n} ELSE 1 END, 4) + 0.0 AS {n}{k}' for n in ('yp', 'ym') for k in (1, 2, 3))}
