@@ -95,7 +95,7 @@ def write_archives(pages: DataFrame, path: str, least: int = 0, per_file: int =
         rows.write.mode("append").option("lineSep", BLANK).option("maxRecordsPerFile", per_file).text(path)
 
 
-CHUNK = "file string, start long, nth long, rel long, size long, total long, need long, head int, " + ", ".join(f"{f} string" for f in FIELDS) + ", bytes long, sha1 string, payload binary, body binary"
+CHUNK = "file long, name string, start long, nth long, rel long, size long, total long, need long, head int, " + ", ".join(f"{f} string" for f in FIELDS) + ", bytes long, sha1 string, payload binary, body binary"
 
 
 def _digest(payload: bytes) -> str:
@@ -120,10 +120,10 @@ def _chunks(keep: bool, bodies: bool):
         for whole in batches:
             for first in range(0, len(whole), 256):
                 b, out = whole.slice(first, 256), []
-                for file, start, total, data in zip(*(b.column(c).to_pylist() for c in ("file", "start", "total", "value")), strict=True):
+                for file, name, start, total, data in zip(*(b.column(c).to_pylist() for c in ("file", "name", "start", "total", "value")), strict=True):
                     if (file, start) != at:
                         at, nth, rel = (file, start), 0, 0
-                    row = dict.fromkeys(names) | {"file": file, "start": start, "nth": nth, "rel": rel, "size": len(data), "total": total}
+                    row = dict.fromkeys(names) | {"file": file, "name": name, "start": start, "nth": nth, "rel": rel, "size": len(data), "total": total}
                     end = data.find(b"\r\n\r\n")
                     lines = dict(x.split(b": ", 1) for x in data[: max(end, 0)].split(b"\r\n") if b": " in x)
                     length = lines.get(b"Content-Length", b"").strip()
@@ -157,10 +157,13 @@ def reached(links: DataFrame) -> DataFrame:
 
 
 def located(spark: SparkSession, path: str, payloads: bool, bodies: bool = False) -> tuple[DataFrame, DataFrame]:
-    """The candidates of the archives, and without payloads, with their offsets: (file, start, nth) names a candidate in both."""
+    """The candidates of the archives, and without payloads, with their offsets: (file, start, nth) names a candidate in both.
+
+    Files go by a hash of their path: numbers in the joins are as large in memory as their tables on disk let the planner think.
+    """
     meta = F.col("_metadata")
     text = spark.read.option("lineSep", MAGIC).text(path)
-    text = text.select(meta["file_path"].alias("file"), meta["file_block_start"].alias("start"), meta["file_size"].alias("total"), F.col("value").cast("binary").alias("value"))
+    text = text.select(F.xxhash64(meta["file_path"]).alias("file"), meta["file_path"].alias("name"), meta["file_block_start"].alias("start"), meta["file_size"].alias("total"), F.col("value").cast("binary").alias("value"))
     chunks = stage(text.mapInArrow(_chunks(payloads, bodies), CHUNK), "warc-chunks")
     # a byte range begins where those before it in the file end: a row for each range
     ranges = chunks.groupBy("file", "start").agg(F.sum(F.col("size") + len(MAGIC)).alias("held"))
@@ -179,7 +182,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
     records = stage(slim.join(known, ["file", "at"]), "warc-records")
     _verify(chunks, records)
     key, fields = ["file", "start", "nth"], [*FIELDS, "bytes", "sha1", *["payload"] * payloads]
-    rows = chunks.where("need = size").select(*key, *fields).join(records.where("need = size").select(*key, "at"), key).select("file", "at", *fields)
+    rows = chunks.where("need = size").select(*key, "name", *fields).join(records.where("need = size").select(*key, "at"), key).select(F.col("name").alias("file"), "at", *fields)
     cut = stage(records.where("need <> size").select("file", "at", "to"), "warc-cut")
     if not cut.limit(1).count():
         return rows
@@ -193,12 +196,12 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
 
 def _verify(chunks: DataFrame, records: DataFrame) -> None:
     """Every file that isn't empty is a chain from its first byte to its last."""
-    files = chunks.where("total > 0").groupBy("file").agg(F.max("total").alias("total"))
+    files = chunks.where("total > 0").groupBy("file").agg(F.max("total").alias("total"), F.first("name").alias("name"))
     ends = records.groupBy("file").agg(F.max("to").alias("end"))
     # the last record's two blank lines end the file
-    broken = files.join(ends, "file", "left").where("end IS NULL OR end <> total").select("file", "end", "total").limit(3).collect()
+    broken = files.join(ends, "file", "left").where("end IS NULL OR end <> total").select("name", "end", "total").limit(3).collect()
     if broken:
-        raise ValueError("no chain of records to the end of " + "; ".join(f"{r.file} (reached {r.end} of {r.total})" for r in broken))
+        raise ValueError("no chain of records to the end of " + "; ".join(f"{r.name} (reached {r.end} of {r.total})" for r in broken))
 
 
 def _pieces(slim: DataFrame, cut: DataFrame, wide: int = 1 << 20) -> DataFrame:
@@ -213,10 +216,10 @@ def _pieces(slim: DataFrame, cut: DataFrame, wide: int = 1 << 20) -> DataFrame:
 
 def _gathered(chunks: DataFrame, pieces: DataFrame, payloads: bool) -> DataFrame:
     """The records that the magic cuts in pieces, put together by record."""
-    held = pieces.join(chunks.select("file", "start", "nth", "need", "head", *FIELDS, "body"), ["file", "start", "nth"])
-    own = F.when(F.col("at") == F.col("record"), F.struct("need", "head", *FIELDS))
+    held = pieces.join(chunks.select("file", "name", "start", "nth", "need", "head", *FIELDS, "body"), ["file", "start", "nth"])
+    own = F.when(F.col("at") == F.col("record"), F.struct("name", "need", "head", *FIELDS))
     joined = held.groupBy("file", F.col("record")).agg(F.sort_array(F.collect_list(F.struct("at", "body"))).alias("pieces"), F.first(own, True).alias("own"))
-    joined = joined.select("file", F.col("record").alias("at"), "pieces", "own.*")
+    joined = joined.select(F.col("record").alias("at"), "pieces", "own.*").withColumnRenamed("name", "file")
     fields = [*FIELDS, "bytes", "sha1", *["payload"] * payloads]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
