@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import dot, finite, minus, vector
+from ..functions.order import running_total
 
 SIGN = {"p": 1, "m": -1}
 
@@ -36,6 +38,32 @@ def elsasser_pairs(rows: DataFrame) -> DataFrame:
     return p.select("step", F.col("a_sc").alias("i"), F.col("b_sc").alias("j"), F.concat_ws("__", "a_label", "b_label").alias("pair"), *lag, *inc)
 
 
+def write_elsasser_pairs(pairs: DataFrame, path: str, run: int = 1024) -> None:
+    """The pair product as Parquet, a folder for each pair and run of steps: who wants some pairs at some steps opens few files."""
+    rows = pairs.withColumn("run", F.floor(F.col("step") / run))
+    rows.repartition("pair", "run").sortWithinPartitions("step").write.partitionBy("pair", "run").option("compression", "zstd").parquet(path)
+
+
+def read_elsasser_pairs(spark: SparkSession, path: str, labels: Sequence[str], steps: tuple[int, int], run: int = 1024) -> DataFrame:
+    """The stored pairs of two of ``labels`` at the steps from the first to before the second, i and j being places among the labels.
+
+    Pairs and runs are told by their folders, so the scan skips all others. Labels that repeat or that no stored pair has are errors.
+    """
+    if len(set(labels)) != len(labels) or len(labels) < 2:
+        raise ValueError("name two different craft at least")
+    stored = spark.read.parquet(path)
+    names = stored.select("pair").distinct()
+    known = {x for r in names.collect() for x in r.pair.split("__")}  # a row for each pair, from the folders' names
+    if missing := sorted(set(labels) - known):
+        raise ValueError(f"no stored pair of {', '.join(missing)}")
+    first, last = steps
+    some = stored.where(F.col("pair").isin([f"{a}__{b}" for a in labels for b in labels if a != b]))
+    some = some.where(F.col("run").between(first // run, max(first, last - 1) // run) & (F.col("step") >= first) & (F.col("step") < last))
+    order = F.array(*map(F.lit, labels))
+    ends = F.split("pair", "__")
+    return some.select("step", *[(F.array_position(order, F.get(ends, F.lit(k))) - 1).cast("long").alias(n) for k, n in enumerate("ij")], "pair", *[c for c in stored.columns if c not in ("step", "i", "j", "pair", "run")])
+
+
 def yaglom(pairs: DataFrame) -> DataFrame:
     """Per pair, means over the steps where all are finite: Y+ = dz- |dz+|**2 and Y- = dz+ |dz-|**2."""
     p, m = vector("dp1", "dp2", "dp3"), vector("dm1", "dm2", "dm3")
@@ -56,15 +84,39 @@ def lag_points(flux: DataFrame, lags: DataFrame, probes: int) -> DataFrame:
     return rows.select(F.explode(F.array(side(1), side(-1))).alias("s")).select("s.*")
 
 
+def _choose(x: np.ndarray, k: int) -> np.ndarray:
+    """x over k in whole numbers: each product is divided as soon as it can be."""
+    out = x.copy()
+    for m in range(2, k + 1):
+        out = out * (x - (m - 1)) // m
+    return out
+
+
+def unranked(rank: np.ndarray, size: int = 4) -> list[np.ndarray]:
+    """The ascending combinations of these numbers: rank = (d over 4) + (c over 3) + (b over 2) + a."""
+    out = []
+    for k in range(size, 0, -1):
+        at = np.floor((rank.astype(np.float64) * math.factorial(k)) ** (1 / k)).astype(np.int64) - 1  # no more than the largest x
+        at = np.maximum(at, k - 1)
+        while (low := _choose(at + 1, k) <= rank).any():
+            at += low
+        out.append(at)
+        rank = rank - _choose(at, k)
+    return out[::-1]
+
+
 def combinations(points: DataFrame) -> DataFrame:
-    """All a < b < c < d of the lag points: the points are few (n * (n - 1) for n probes), their combinations many."""
-    ids = points.select("pid")
-    rows = ids.select(F.col("pid").alias("a"))
-    for last, name in (("a", "b"), ("b", "c"), ("c", "d")):
-        rows = rows.join(F.broadcast(ids.select(F.col("pid").alias(name))), F.col(last) < F.col(name))
-        if name == "b":  # the pairs are few rows: dealt, so that their combinations are made in many tasks
-            rows = rows.repartition("a", "b")
-    return rows
+    """All a < b < c < d of the lag points, each from its number: the numbers are dealt to tasks in even ranges, nothing is joined.
+
+    The points are few: n * (n - 1) for n probes.
+    """
+    ids = np.array(sorted(r.pid for r in points.select("pid").distinct().collect()), np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(ids[at]) for at in unranked(b.column("id").to_numpy())], list("abcd"))
+
+    return points.sparkSession.range(math.comb(len(ids), 4)).mapInArrow(run, "a long, b long, c long, d long")
 
 
 def not_redundant(rows: DataFrame) -> DataFrame:
@@ -164,10 +216,10 @@ def histogram(rows: DataFrame, column: str, bins: int | None = None, symmetric:
 
 
 def cumulative(rows: DataFrame, column: str, digits: int = 5) -> DataFrame:
-    """(value, n, fraction): for every value, rounded, the share of all that is at most that. The window runs over distinct values."""
+    """(value, n, fraction): for every value, rounded, the share of all that is at most that."""
     per = rows.select(F.round(column, digits).alias("value")).where(finite(F.col("value"))).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
-    upto = Window.orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return per.withColumn("fraction", F.sum("n").over(upto) / F.sum("n").over(Window.partitionBy()))
+    upto = running_total(per, "n", "value")
+    return upto.select("value", "n", (F.col("upto") / F.col("total")).alias("fraction"))
 
 
 def preview(rows: DataFrame, limit: int = 64) -> DataFrame:

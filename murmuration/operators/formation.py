@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -115,6 +116,27 @@ def parse_time(text: Column) -> Column:
     return F.coalesce(*[F.try_to_timestamp(plain, F.lit(f)) for f in TIME_FORMATS])
 
 
+def time_index(steps: int, dt: float, index: int | None = None, seconds: float | None = None) -> int:
+    """The step that is asked for, by its number or by the nearest time (the earlier on a tie), not both; the first by default."""
+    if index is not None and seconds is not None:
+        raise ValueError("ask for a step or for seconds, not both")
+    if seconds is not None:
+        low = min(max(math.floor(seconds / dt), 0), steps - 1)
+        index = low if abs(low * dt - seconds) <= abs(min(low + 1, steps - 1) * dt - seconds) else low + 1
+    index = index or 0
+    if not 0 <= index < steps:
+        raise ValueError(f"step {index} is not among {steps}")
+    return index
+
+
+def nine_craft(formation: DataFrame, hub: str = "H", craft: int = 9) -> DataFrame:
+    """The formation, if it has exactly ``craft`` craft, each once, and the hub among them."""
+    n, distinct, hubs = formation.agg(F.count(F.lit(1)), F.count_distinct("label"), F.count_if(F.col("label") == hub)).first()
+    if (n, distinct, hubs) != (craft, craft, 1):
+        raise ValueError(f"a run needs {craft} craft with {hub}; there are {n} rows of {distinct} labels")
+    return formation
+
+
 def nearest_time(rows: DataFrame, time: str, requested) -> DataFrame:
     """The row nearest to a time, the earlier on a tie: a top-1, no full sort."""
     return rows.withColumn("apart", F.abs(F.unix_micros(time) - F.unix_micros(F.lit(requested).cast("timestamp")))).orderBy("apart", time).limit(1)

@@ -6,15 +6,17 @@ whatever the number of samples. Piecewise-linear interpolation finds the simplex
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import finite
+from ..functions.order import running_total
 from ..functions.tables import stage as written
 from .kdtree import nearest_samples
 from .radial import radial_basis
@@ -245,16 +247,56 @@ def build_method(name: str):
     return METHODS[name]
 
 
-def metrics(rows: DataFrame, truth: Sequence[str], predicted: Sequence[str]) -> DataFrame:
-    """rmse over all components of valid rows, relative L2, and how many rows are valid."""
+def metrics(rows: DataFrame, truth: Sequence[str], predicted: Sequence[str], *by: str) -> DataFrame:
+    """rmse over all components of valid rows, relative L2, and how many rows are valid; for each group ``by`` if given."""
     good = F.lit(True)
     for p in predicted:
         good = good & finite(F.col(p))
     diff = sum(((F.col(t) - F.col(p)) * (F.col(t) - F.col(p)) for t, p in zip(truth, predicted, strict=True)), F.lit(0.0))
     size = sum((F.col(t) * F.col(t) for t in truth), F.lit(0.0))
-    m = rows.agg(F.sum(F.when(good, diff)).alias("e"), F.sum(F.when(good, size)).alias("s"), F.count_if(good).alias("valid_count"), F.count_if(~good).alias("invalid_count"))
+    m = rows.groupBy(*by).agg(F.sum(F.when(good, diff)).alias("e"), F.sum(F.when(good, size)).alias("s"), F.count_if(good).alias("valid_count"), F.count_if(~good).alias("invalid_count"))
     return m.select(
-        F.sqrt(F.col("e") / (F.col("valid_count") * len(truth))).alias("rmse"),
+        *by, F.sqrt(F.col("e") / (F.col("valid_count") * len(truth))).alias("rmse"),
         F.when(F.col("s") > 0, F.sqrt("e") / F.sqrt("s")).alias("relative_l2"),
         (F.col("valid_count") / (F.col("valid_count") + F.col("invalid_count"))).alias("valid_fraction"), "valid_count", "invalid_count",
     )
+
+
+def sampling_order(cells: DataFrame, key: str, seed: int) -> DataFrame:
+    """Adds ``rank`` (from 0): the samples of an experiment with n samples are the first n of this one order by hash."""
+    h = F.md5(F.concat(F.lit(f"{seed},"), F.col(key).cast("string")).cast("binary"))
+    return running_total(cells.withColumn("draw", h).withColumn("one", F.lit(1)), "one", "draw", key).withColumn("rank", F.col("upto") - 1).drop("draw", "one", "upto", "total")
+
+
+def noise(key: str, seed: int, part: int) -> Column:
+    """A normal deviate that is a function of key, seed and part alone."""
+    h = F.md5(F.concat(F.lit(f"{seed},{part},"), F.col(key).cast("string")).cast("binary"))
+    u = [(F.conv(F.substring(h, at, 12), 16, 10).cast("double") + 0.5) / F.lit(float(16**12)) for at in (1, 13)]
+    return F.sqrt(-2 * F.log(u[0])) * F.cos(2 * math.pi * u[1])
+
+
+def sampling_levels(cells: DataFrame, counts: Sequence[int], sigma: float, key: str = "id", value: Sequence[str] = ("v1", "v2", "v3"), seed: int = 1) -> DataFrame:
+    """(samples, id, v.., p..): the cells rebuilt by nearest neighbour from the first n noisy samples, for every n of ``counts``.
+
+    Each sample is searched once, among those that a count adds to the one before; the nearest of the first n is then the least
+    of the levels up to n.
+    """
+    counts = sorted(set(counts))
+    if not counts or counts[0] < 1:
+        raise ValueError("counts must be positive")
+    ranked = written(sampling_order(cells, key, seed).where(F.col("rank") < counts[-1]), "sampling-order")
+    noisy = [(F.col(v) + F.lit(sigma) * noise(key, seed, k)).alias(v) for k, v in enumerate(value)]
+    found = []
+    for level, (low, high) in enumerate(zip([0, *counts], counts, strict=False)):
+        some = ranked.where((F.col("rank") >= low) & (F.col("rank") < high)).select(F.col(key).alias("sample_id"), "x", "y", "z", *noisy)
+        found.append(nearest_samples(cells, some, key, 1, value=value).withColumn("level", F.lit(level)))
+    rows = written(reduce(lambda a, b: a.unionByName(b), found), "sampling-found")
+    upto = Window.partitionBy(key).orderBy("level")  # a row for each count
+    best = F.min(F.struct("d2", "sample_id", *value)).over(upto)
+    rows = rows.select(key, F.get(F.array(*map(F.lit, counts)), F.col("level")).alias("samples"), best.alias("b"))
+    return rows.select("samples", key, *[F.col(f"b.{v}").alias(f"p{v[1:]}") for v in value]).join(cells.select(key, *value), key)
+
+
+def level_scores(rows: DataFrame, value: Sequence[str] = ("v1", "v2", "v3")) -> DataFrame:
+    """rmse, relative L2 and valid rows of each number of samples."""
+    return metrics(rows, value, [f"p{v[1:]}" for v in value], "samples")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import vector
 from ..functions.tables import new_path, stage
 from ..operators import cascade, formation, grid, reconstruct, spacetime, structure
+from ..sinks import tables
 from ..sources.views import BOX, DT, GRID, POINTS, PROBE, RHO, SAMPLES, SHAPE, field_grid, probe_series, query_points, scattered_samples
 
 EDGES = structure.log_edges(0.5, 40.0, 12)
@@ -17,6 +18,7 @@ R_BINS = 12
 STEPS = grid.spacing(BOX, SHAPE)
 CUBE_EDGES = structure.log_edges(*structure.cube_range(BOX, STEPS), 12)
 TARGET, BUDGET = 64, 20_000
+LEVELS, NOISE = (8, 24, 72, 150), 2.0
 TAU_EDGES = (0.0, 0.25, 0.5, 1.0, 2.0, 4.0, 8.0, 16.0)
 REQUESTED = "1996-07-01 12:00:00"
 
@@ -75,8 +77,7 @@ def _grid_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 def _coarse(spark: SparkSession, d: str) -> DataFrame:
     """The grid rebuilt from its even cells by nearest neighbour, beside the truth."""
-    cells = field_grid(spark, d).withColumn("id", F.col("ix") * 30 + F.col("iy") * 5 + F.col("iz"))
-    cells = cells.select("id", *grid.AXES, *grid.VALUES, *[(F.col(a) * F.lit(h)).alias(p) for a, p, h in zip(grid.AXES, "xyz", STEPS, strict=True)])
+    cells = _cells(spark, d)
     even = cells.where("ix % 2 = 0 AND iy % 2 = 0 AND iz % 2 = 0").withColumnRenamed("id", "sample_id")
     found = reconstruct.nearest(cells, even, "id", value=grid.VALUES)
     return cells.join(found.select("id", "sample_id", *[F.col(v).alias(f"p{v[1]}") for v in grid.VALUES]), "id")
@@ -86,6 +87,25 @@ def _elsasser(spark: SparkSession, d: str) -> DataFrame:
     return cascade.elsasser(probe_series(spark, d), vector("v1", "v2", "v3"), vector("v2", "v3", "v1"), 1 + F.col("v3"))
 
 
+def _cells(spark: SparkSession, d: str) -> DataFrame:
+    cells = field_grid(spark, d).withColumn("id", F.col("ix") * 30 + F.col("iy") * 5 + F.col("iz"))
+    return cells.select("id", *grid.AXES, *grid.VALUES, *[(F.col(a) * F.lit(h)).alias(p) for a, p, h in zip(grid.AXES, "xyz", STEPS, strict=True)])
+
+
+def _levels(spark: SparkSession, d: str) -> DataFrame:
+    """Scores for each number of samples, written as rows and read again."""
+    scores = reconstruct.level_scores(reconstruct.sampling_levels(stage(_cells(spark, d), "cells"), LEVELS, NOISE))
+    path = new_path(spark, "experiments")
+    tables.write_rows(scores.select(F.concat(F.lit("nearest-"), "samples").alias("experiment"), F.lit("nearest").alias("method"), *scores.columns), path)
+    return spark.read.json(path).select("experiment", F.col("samples").cast("int").alias("samples"), "rmse", "relative_l2", "valid_count", "invalid_count")
+
+
+def _subset(spark: SparkSession, d: str) -> DataFrame:
+    path = new_path(spark, "elsasser-pairs")
+    cascade.write_elsasser_pairs(cascade.elsasser_pairs(_elsasser(spark, d)), path, 256)
+    return cascade.read_elsasser_pairs(spark, path, ["H", "N5", "N2"], (100, 300), 256)
+
+
 def _points(spark: SparkSession, d: str) -> DataFrame:
     """Lag points of all nine probes, fluxes rounded so that what follows doesn't hang on the order of sums."""
     pairs = cascade.elsasser_pairs(_elsasser(spark, d))
@@ -278,6 +298,8 @@ QUERIES = {
     "background_subtract": lambda s, d: _r(cascade.subtract_background(probe_series(s, d), 12.5).select("step", "sc", "v3")),
     "elsasser_series": lambda s, d: _r(_elsasser(s, d).select("step", "sc", *[f"z{n}{k}" for n in "pm" for k in (1, 2, 3)])),
     "elsasser_pairs": lambda s, d: _r(cascade.elsasser_pairs(_elsasser(s, d))),
+    "elsasser_subset": lambda s, d: _r(_subset(s, d)),
+    "sampling_levels": lambda s, d: _r(_levels(s, d), 4),
     "yaglom_flux": lambda s, d: _r(cascade.yaglom(cascade.elsasser_pairs(_elsasser(s, d))), 2),
     "lag_points": lambda s, d: _r(_points(s, d), 2),
     "tetra_counts": _tetra_counts,
@@ -563,6 +585,7 @@ _REASONS = f"""count(*) AS total, count(*) FILTER (WHERE {_FINE_LAG} AND isfinit
   count(*) FILTER (WHERE NOT isfinite(r)) AS bad_position, count(*) FILTER (WHERE NOT isfinite(b_local)) AS bad_field,
   count(*) FILTER (WHERE isfinite(r) AND isfinite(b_local) AND b_local <= 0) AS zero_field, count(*) FILTER (WHERE {_FINE_LAG} AND NOT (isfinite(lam) AND lam > 0)) AS zero_lag,
   count(*) FILTER (WHERE {_FINE_LAG} AND isfinite(lam) AND lam > 0 AND NOT lam BETWEEN {EDGES[0]!r} AND {EDGES[-1]!r}) AS out_of_range"""
+_unit = lambda k, at: f"((CAST('0x' || substr(md5('1,{k},' || id), {at}, 12) AS BIGINT) + 0.5) / {float(16**12)!r})"
 _FORM = "SELECT step, label, ux AS x, uy AS y, uz AS z FROM probe"
 _E = math.exp(-1)
 _L = spacetime.LEVEL
@@ -630,6 +653,12 @@ ORACLE_SQL = {
     "background_subtract": _sql("probe", "SELECT step, sc, round(v3 - 12.5, 6) AS v3 FROM probe"),
     "elsasser_series": _sql("els", f"SELECT step, sc, {_rounds(' '.join(_SC))} FROM els"),
     "elsasser_pairs": _sql("epairs", f"SELECT step, i, j, pair, {_rounds('l1 l2 l3 dp1 dp2 dp3 dm1 dm2 dm3')} FROM epairs"),
+    "elsasser_subset": _sql("epairs", f"SELECT step, CASE i WHEN 0 THEN 0 WHEN 2 THEN 2 ELSE 1 END::BIGINT AS i, CASE j WHEN 2 THEN 2 ELSE 1 END::BIGINT AS j, pair, {_rounds('l1 l2 l3 dp1 dp2 dp3 dm1 dm2 dm3')} FROM epairs WHERE i IN (0, 2, 5) AND j IN (2, 5) AND step >= 100 AND step < 300"),
+    "sampling_levels": _sql("cells", f"""WITH n AS (SELECT *, row_number() OVER (ORDER BY md5('1,' || id), id) AS rank, {", ".join(f"v{k + 1} + {NOISE} * sqrt(-2 * ln({_unit(k, 1)})) * cos(2 * pi() * {_unit(k, 13)}) AS n{k + 1}" for k in range(3))} FROM cells),
+      m AS (SELECT m FROM (VALUES {", ".join(f"({m})" for m in LEVELS)}) t(m)),
+      p AS (SELECT m.m, c.*, s.n1, s.n2, s.n3 FROM m, cells c, n s WHERE s.rank <= m.m QUALIFY row_number() OVER (PARTITION BY m.m, c.id ORDER BY (c.x - s.x) * (c.x - s.x) + (c.y - s.y) * (c.y - s.y) + (c.z - s.z) * (c.z - s.z), s.id) = 1)
+      SELECT 'nearest-' || m AS experiment, m AS samples, round(sqrt(sum(e) / (3 * count(*))), 4) AS rmse, round(sqrt(sum(e)) / sqrt(sum(q)), 4) AS relative_l2, count(*) AS valid_count, CAST(0 AS BIGINT) AS invalid_count
+      FROM (SELECT m, (v1 - n1) * (v1 - n1) + (v2 - n2) * (v2 - n2) + (v3 - n3) * (v3 - n3) AS e, v1 * v1 + v2 * v2 + v3 * v3 AS q FROM p) GROUP BY m"""),
     "yaglom_flux": _sql("flux", f"SELECT i, j, pair, {_rounds('yp1 yp2 yp3 ym1 ym2 ym3', 2)} FROM flux"),
     "lag_points": _sql("lagp", f"SELECT pid, {_rounds('l1 l2 l3 yp1 yp2 yp3 ym1 ym2 ym3', 2)} FROM lagp"),
     "tetra_counts": _sql("distinct_combos", """SELECT c.raw, c.raw - d.n AS redundant, d.zero AS zero_centre, d.n - d.zero AS retained FROM (SELECT count(*) AS raw FROM combos) c,
