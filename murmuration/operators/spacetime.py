@@ -101,22 +101,30 @@ def _grouped(series: DataFrame, lags: int, work: Callable[..., pa.Table], schema
             sides.append(side)
         return work(np.arange(lag0, min(lag0 + size, lags + 1)), lag0, probes, *sides)
 
-    return both.groupBy("block", "run").applyInArrow(group, schema)
+    # the work of a group is far more than its bytes say: tasks by cores, not merged by size
+    parts = 4 * series.sparkSession.sparkContext.defaultParallelism
+    return both.repartition(parts, "block", "run").groupBy("block", "run").applyInArrow(group, schema)
 
 
 def _each_lag(lag_list: np.ndarray, lag0: int, probes: np.ndarray, a: dict[str, np.ndarray], b: dict[str, np.ndarray]):
-    """(lag, i, j, there, r, product) of a group, lag by lag; i <= j are the columns of the arrays."""
+    """(lag, i, j, there, r, product) of a group, lag by lag; i <= j are the columns of the arrays.
+
+    A product that isn't finite is 0. The arrays are filled anew for each lag: fresh ones would cost more than the sums.
+    """
     i, j = np.triu_indices(len(probes))
     with np.errstate(all="ignore"):
-        left, right = ({n: side[n][:, k] for n in ("ux", "uy", "uz", "there")} | {"g": (side["f"] / side["s"])[:, k]} for side, k in ((a, i), (b, j)))
+        left, right = ({n: side[n][:, k] for n in ("ux", "uy", "uz", "there")} | {"g": np.nan_to_num((side["f"] / side["s"])[:, k], posinf=0.0, neginf=0.0)} for side, k in ((a, i), (b, j)))
+        r, gap, product, there = (np.empty(left["ux"].shape, kind) for kind in (float, float, float, bool))
         for lag in lag_list:  # the columns are laid out once, each lag is a slice of them
-            s = slice(lag - lag0, lag - lag0 + len(a["there"]))
-            r = np.zeros(left["ux"].shape)
+            s = slice(lag - lag0, lag - lag0 + len(r))
+            r.fill(0.0)
             for n in ("ux", "uy", "uz"):
-                gap = right[n][s] - left[n]
-                gap *= gap
-                r += gap
-            yield lag, probes[i], probes[j], left["there"] & right["there"][s], np.sqrt(r, out=r), left["g"] * right["g"][s]
+                np.subtract(right[n][s], left[n], out=gap)
+                np.multiply(gap, gap, out=gap)
+                np.add(r, gap, out=r)
+            np.logical_and(left["there"], right["there"][s], out=there)
+            np.multiply(left["g"], right["g"][s], out=product)
+            yield lag, probes[i], probes[j], there, np.sqrt(r, out=r), product
 
 
 @dataclass
@@ -190,15 +198,17 @@ def correlation_map(
     limits, bins = np.asarray(edges, float), len(edges) - 1
 
     def work(*args) -> pa.Table:
-        out = []
+        out, at, over, place = [], None, None, None
         for lag, _, _, there, r, product in _each_lag(*args):
-            k = np.full(r.shape, -1, np.int16)  # few edges: comparing with each is faster than a search
-            for e in limits:
-                k += r >= e
-            # all that isn't there goes to a bin of its own; NaN fails every comparison
-            k = np.where(there & (k >= 0) & (k < bins), k, bins).ravel()
-            product = np.where(np.isfinite(product), product, 0.0)
-            out.append((np.full(bins, lag), np.arange(bins), np.bincount(k, minlength=bins + 1)[:bins], np.bincount(k, product.ravel(), bins + 1)[:bins]))
+            if at is None:
+                at, over, place = (np.empty(r.shape, kind) for kind in (np.int16, bool, np.int64))
+            at.fill(0)
+            for e in limits:  # few edges: comparing with each is faster than a search; NaN fails every comparison
+                np.add(at, np.greater_equal(r, e, out=over), out=at)
+            np.multiply(at, there, out=at)  # 0: below the first edge or not there; bins + 1: beyond the last
+            place[...] = at
+            n, total = np.bincount(place.ravel(), minlength=bins + 2), np.bincount(place.ravel(), product.ravel(), bins + 2)
+            out.append((np.full(bins, lag), np.arange(bins), n[1 : bins + 1], total[1 : bins + 1]))
         lag, k, n, total = (np.concatenate(x) for x in zip(*out, strict=True))
         some = n > 0
         return pa.table({"lag": pa.array(lag[some].astype(np.int32)), "r_bin": pa.array(k[some].astype(np.int32)), "n": pa.array(n[some]), "total": pa.array(total[some].astype(float))})
