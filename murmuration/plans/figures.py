@@ -195,9 +195,12 @@ _centre = _log(f"sqrt(c1 * c1 + c2 * c2 + c3 * c3) * {RHO}")
 _vertex = " + ".join(_len([f"{v}_l{k} - c{k}" for k in (1, 2, 3)]) for v in "abcd")
 _wave = lambda f, k, x, n: f"{f}(2 * pi() * {k} * {x} / {n})"
 _AT = lambda i, j, o: f"(({i}) * 268435456 + {j}) * 2 + {o}"
+#: Squares by sending each node to those that it is a corner of: joins of the mesh with itself may be planned as products.
+_SQ = """sq AS (SELECT i, j, max(value) FILTER (WHERE c = 0) AS v00, max(value) FILTER (WHERE c = 1) AS v01, max(value) FILTER (WHERE c = 2) AS v10, max(value) FILTER (WHERE c = 3) AS v11
+    FROM (SELECT p - a AS i, q - b AS j, 2 * a + b AS c, value FROM fine, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) t(a, b)) GROUP BY i, j HAVING count(value) = 4)"""
 #: Pieces by the numbers of the sides they join; lines walked from their ends, then rings from each of their vertices both ways.
 _CONTOUR = f"""{_FINE},
-  sq AS (SELECT a.p AS i, a.q AS j, a.value AS v00, b.value AS v01, c.value AS v10, e.value AS v11 FROM fine a JOIN fine b ON b.p = a.p AND b.q = a.q + 1 JOIN fine c ON c.p = a.p + 1 AND c.q = a.q JOIN fine e ON e.p = a.p + 1 AND e.q = a.q + 1),
+  {_SQ},
   sides AS MATERIALIZED (SELECT *, CASE WHEN (v00 >= {_L}) <> (v01 >= {_L}) THEN {_AT("i", "j", 0)} END AS li, CASE WHEN (v10 >= {_L}) <> (v11 >= {_L}) THEN {_AT("i + 1", "j", 0)} END AS hi,
     CASE WHEN (v00 >= {_L}) <> (v10 >= {_L}) THEN {_AT("i", "j", 1)} END AS lj, CASE WHEN (v01 >= {_L}) <> (v11 >= {_L}) THEN {_AT("i", "j + 1", 1)} END AS hj, ((v00 + v01 + v10 + v11) / 4 >= {_L}) = (v00 >= {_L}) AS same FROM sq),
   two AS (SELECT list_filter([li, hi, lj, hj], lambda x: x IS NOT NULL) AS f FROM sides WHERE li IS NULL OR hi IS NULL OR lj IS NULL),
@@ -216,9 +219,8 @@ _CONTOUR = f"""{_FINE},
 ORACLE_SQL = {
     "st_map_fine": _sql(["corr", "lagmax"], f"{_FINE} SELECT p AS i, q AS j, round(value, 5) + 0.0 AS value FROM fine"),
     "st_longest_contour": _sql(["corr", "lagmax", "far"], _CONTOUR).replace("WITH ", "WITH RECURSIVE ", 1),
-    "st_level_squares": _sql(["corr", "lagmax"], f"""{_FINE} SELECT i, j, CAST(cuts / 2 AS BIGINT) AS pieces FROM (SELECT a.p AS i, a.q AS j,
-      CAST((a.value >= {_L}) <> (b.value >= {_L}) AS INTEGER) + CAST((c.value >= {_L}) <> (e.value >= {_L}) AS INTEGER) + CAST((a.value >= {_L}) <> (c.value >= {_L}) AS INTEGER) + CAST((b.value >= {_L}) <> (e.value >= {_L}) AS INTEGER) AS cuts
-      FROM fine a JOIN fine b ON b.p = a.p AND b.q = a.q + 1 JOIN fine c ON c.p = a.p + 1 AND c.q = a.q JOIN fine e ON e.p = a.p + 1 AND e.q = a.q + 1) WHERE cuts > 0"""),
+    "st_level_squares": _sql(["corr", "lagmax"], f"""{_FINE}, {_SQ} SELECT i, j, CAST(cuts / 2 AS BIGINT) AS pieces FROM (SELECT i, j,
+      CAST((v00 >= {_L}) <> (v01 >= {_L}) AS INTEGER) + CAST((v10 >= {_L}) <> (v11 >= {_L}) AS INTEGER) + CAST((v00 >= {_L}) <> (v10 >= {_L}) AS INTEGER) + CAST((v01 >= {_L}) <> (v11 >= {_L}) AS INTEGER) AS cuts FROM sq) WHERE cuts > 0"""),
     "plot_plane": _sql("grid", f"SELECT ix, iy, {_rounds('v1 v2', 4)}, round({_len(grid.VALUES)}, 4) AS magnitude FROM grid WHERE iz = {MID[2]}"),
     "plot_reconstruction_slices": _sql("coarse", "SELECT plane, u, w, round(truth, 4) AS truth, round(predicted, 4) AS predicted, round(error, 4) AS error FROM (" + " UNION ALL ".join(
         f"SELECT '{n}' AS plane, {u} AS u, {w} AS w, {_len(grid.VALUES)} AS truth, {_len(('p1', 'p2', 'p3'))} AS predicted, {_len([f'v{k} - p{k}' for k in (1, 2, 3)])} AS error FROM coarse WHERE {a} = {m}"
