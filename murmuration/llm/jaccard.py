@@ -162,7 +162,7 @@ def _set_rows(docs: DataFrame, size: int) -> DataFrame:
                 _, _, n, prints = _sets(batch.column("text"), size)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), *map(pa.array, prints)], [c.split()[0] for c in SETS.split(", ")])
 
-    return docs.where("doc_id IS NOT NULL").mapInArrow(rows, SETS)
+    return docs.mapInArrow(rows, SETS)
 
 
 def _sketch_rows(docs: DataFrame, size: int, bands: Bands) -> DataFrame:
@@ -504,14 +504,29 @@ def _within_families(member: DataFrame, bands: Bands) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id of each row: components of links with Jaccard >= num / den."""
-    bands = Bands(num, den)
+    """doc_id, n_shingles, component_id of each row: components of links with Jaccard >= num / den.
+
+    Rows without doc_id have their set's size, but link with nothing: their component_id is null. With num = den, the
+    classes of equal sets are the components.
+    """
+    if not 0 < num <= den:
+        raise ValueError("the threshold must be above 0 and at most 1")
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sets = stage(_set_rows(slim, size), "jaccard-sets")
-    classes = stage(sets.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep")), "jaccard-classes")
+    classes = stage(sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep")), "jaccard-classes")
+    if num < den:
+        final = components(_class_links(slim, classes, size, Bands(num, den))).select(F.col("node").alias("rep"), F.col("comp").alias("component"))
+        classes = classes.join(final, "rep", "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("component"))
+    found = stage(classes.withColumnRenamed("rep", "component"), "jaccard-found")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    return sets.join(found, ["n", "f1", "f2"], "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+
+def _class_links(slim: DataFrame, classes: DataFrame, size: int, bands: Bands) -> DataFrame:
+    """(a, b): links between classes of equal sets, enough of them to have their components."""
     total = classes.agg(F.sum("n")).first()[0] or 0
     # a sketch takes about four bytes for each shingle; a key of eight bytes comes from two shingles at least
-    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total * 4 / 16e6))
+    buckets = max(int(slim.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total * 4 / 16e6))
     bits = max(3, math.ceil(math.log2(max(1, total / 2 / 400_000))))
     reps, name = _by_rep(slim, classes, size, bands, buckets)
 
@@ -537,13 +552,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     if unsure.limit(1).count():
         links = links.unionByName(_from_texts(slim, unsure, size, bands))
     links = stage(links, "jaccard-all")
-    docs.sparkSession.sql(f"DROP TABLE {name}")  # its files go with the other intermediate tables
-    final = components(links).select(F.col("node").alias("rep"), F.col("comp").alias("component"))
-    found = stage(classes.join(final, "rep", "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("component")), "jaccard-found")
-    rows = sets.join(found, ["n", "f1", "f2"], "left")
-    out = rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
-    none = slim.where("doc_id IS NULL").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return out.unionByName(none)
+    slim.sparkSession.sql(f"DROP TABLE {name}")  # its files go with the other intermediate tables
+    return links
 
 
 def _settled(docs: DataFrame, pairs: DataFrame, reps: DataFrame, size: int, bands: Bands) -> DataFrame:

@@ -125,9 +125,15 @@ def test_substring_dedup(docs, rows, empty):
         assert (r.n_words, r.n_removed, r.kept_text) == (len(w), len(gone), " ".join(x for p, x in enumerate(w) if p not in gone))
 
 
-@pytest.mark.parametrize(("size", "num"), [(3, 90), (5, 80)])
+@pytest.mark.parametrize(("size", "num"), [(3, 90), (5, 80), (3, 100)])
 def test_jaccard(docs, rows, empty, size, num):
-    got = jaccard.near_duplicates(docs, size, num).where("doc_id IS NOT NULL").toPandas()
+    got = jaccard.near_duplicates(docs, size, num)
+    # without an id: the size of the set, and no component
+    bare = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+    count = lambda w: len({tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))}) if w else 0
+    want = sorted(count(WORD.findall(bare(r[1]))) for r in rows if r[0] is None)
+    assert sorted(r.n_shingles for r in got.where("doc_id IS NULL AND component_id IS NULL").collect()) == want and want[-1] > 0
+    got = got.where("doc_id IS NOT NULL").toPandas()
     assert jaccard.near_duplicates(empty).count() == 0
     sets = {}
     for i, t in _ids(rows).items():
@@ -243,12 +249,15 @@ def test_topk(spark):
     rows = [(i, [float(x) for x in p]) for i, p in enumerate(v)]
     rows[7], rows[8] = (7, None), (8, [1.0, None])
     rows[9], rows[10] = (9, [float("nan")] * 16), (10, rows[11][1])
-    rows += [rows[20], (None, rows[3][1])]
-    got = topk.exact_topk(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), chunk=2)
-    q = {i: [int(np.floor(1024 * float(np.float32(x)))) for x in p] for i, p in rows if i is not None and p and None not in p and not any(np.isnan(p))}
-    for i in (0, 100, 200):
-        best = sorted((-sum(a * b for a, b in zip(q[i], p, strict=True)), j) for j, p in q.items() if j != i)[:10]
-        assert [(r.vec_id, r.score) for r in got.where(F.col("query_id") == i).orderBy("rank").collect()] == [(j, -s) for s, j in best]
+    rows += [rows[20], (None, rows[3][1]), rows[200], (100, rows[21][1]), *[rows[200]] * 12]
+    got = topk.exact_topk(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), chunk=2).collect()
+    q = [(i, [int(np.floor(1024 * float(np.float32(x)))) for x in p]) for i, p in rows if i is not None and p and None not in p and not any(np.isnan(p))]
+    want = []
+    for at, (i, mine) in enumerate(q):  # every row but the query's own, rows that repeat its id or any other included
+        if i % 100 == 0:
+            best = sorted((-sum(a * b for a, b in zip(mine, p, strict=True)), j) for n, (j, p) in enumerate(q) if n != at)[:10]
+            want += [(i, rank + 1, j, -score) for rank, (score, j) in enumerate(best)]
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == sorted(want) and len(want) == 10 * 17
     assert topk.exact_topk(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     few = topk.exact_topk(spark.createDataFrame(rows[100:105], "vec_id long, embedding array<float>"))
     assert few.count() == 4  # fewer candidates than k: all of them
