@@ -48,7 +48,39 @@ def sample_trilinear(points: DataFrame, grid: DataFrame, key: Sequence[str], box
     return rows.groupBy(*key).agg(*[F.sum(F.col("w") * F.col(v)).alias(v) for v in VALUES])
 
 
-SAMPLERS = {"nearest": sample_nearest, "trilinear": sample_trilinear}
+def corner_table(grid: DataFrame, shape: Sequence[int]) -> DataFrame:
+    """Each cell with the values at its up to eight corners, side by side: lookups that may not aggregate, as in a stream, join it once."""
+    sides = F.array(*[F.struct(F.lit(i).alias("x"), F.lit(j).alias("y"), F.lit(k).alias("z")) for i in (0, 1) for j in (0, 1) for k in (0, 1)])
+    rows = grid.select(*AXES, *VALUES, F.explode(sides).alias("side"))
+    low = [F.pmod(F.col(a) - F.col(f"side.{a[1]}"), F.lit(n)).cast("long").alias(a) for a, n in zip(AXES, shape, strict=True)]
+    return rows.select(*low, F.struct("side", *VALUES).alias("corner")).groupBy(*AXES).agg(F.collect_list("corner").alias("corners"))
+
+
+def at_corners(points: DataFrame, corners: DataFrame, box: Sequence[float], shape: Sequence[int], position: Sequence[str] = ("x", "y", "z")) -> DataFrame:
+    """``points`` with the periodic trilinear value at their place, null where the grid has no corner there."""
+    part = {}
+    for axis, p, h, n in zip(AXES, position, spacing(box, shape), shape, strict=True):
+        at = F.col(p) / F.lit(h)
+        part[axis[1]] = at - F.floor(at)
+        points = points.withColumn(axis, F.pmod(F.floor(at), F.lit(n)).cast("long"))
+
+    def weight(side: Column) -> Column:
+        return reduce(lambda a, b: a * b, [F.when(side[a] == 1, f).otherwise(1 - f) for a, f in part.items()])
+
+    value = lambda v: F.aggregate("corners", F.lit(0.0), lambda total, c: total + weight(c["side"]) * c[v])
+    return points.join(corners, list(AXES), "left").select(*[F.col(c) for c in points.columns], *[value(v).alias(v) for v in VALUES])
+
+
+SAMPLERS = ("nearest", "trilinear")
+
+
+def sample(method: str, points: DataFrame, grid: DataFrame, key: Sequence[str], box: Sequence[float], shape: Sequence[int], position: Sequence[str] = ("x", "y", "z")) -> DataFrame:
+    """The grid's values at ``points`` by the method named, one row per ``key``."""
+    if method not in SAMPLERS:
+        raise ValueError(f"method must be one of {', '.join(SAMPLERS)}")
+    if method == "trilinear":
+        return sample_trilinear(points, grid, key, box, shape, position)
+    return sample_nearest(points, grid, box, shape, position).select(*key, *VALUES)
 
 
 def difference(value: str, axis: str, h: float) -> Column:

@@ -12,6 +12,7 @@ from ..functions.tables import new_path, stage
 from ..operators import cascade, formation, grid, reconstruct, spacetime, structure
 from ..sinks import tables
 from ..sources.views import BOX, DT, GRID, POINTS, PROBE, RHO, SAMPLES, SHAPE, field_grid, probe_series, query_points, scattered_samples
+from ..streaming import series
 
 EDGES = structure.log_edges(0.5, 40.0, 12)
 R_BINS = 12
@@ -100,6 +101,29 @@ def _levels(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.json(path).select("experiment", F.col("samples").cast("int").alias("samples"), "rmse", "relative_l2", "valid_count", "invalid_count")
 
 
+def _stream(spark: SparkSession, d: str) -> DataFrame:
+    """The series followed as a stream, as far as the table goes, and read back."""
+    out = new_path(spark, "series")
+    series.follow_series(series.probe_stream(series.event_stream(spark, d), BOX), field_grid(spark, d), 9, BOX, SHAPE, DT, out, new_path(spark, "series-state"))
+    return series.written(spark, out)
+
+
+def _by_method(spark: SparkSession, d: str, digits: int = 4) -> DataFrame:
+    """The grid at the probes by every method, beside the method's name."""
+    at, cells = _probe_points(spark, d), field_grid(spark, d)
+    found = [grid.sample(m, at, cells, ["step", "sc"], BOX, SHAPE).select(F.lit(m).alias("method"), "step", "sc", *grid.VALUES) for m in grid.SAMPLERS]
+    return _r(found[0].unionByName(found[1]), digits)
+
+
+def _moved(spark: SparkSession, d: str) -> DataFrame:
+    """The first step's formation, moved on through the box for as many steps as the series has."""
+    series = _formation(spark, d)
+    start = formation.nine_craft(series.where("step = 0").drop("step"))
+    steps = (series.agg(F.max("step")).first()[0] or 0) + 1
+    moved = formation.moving(start, steps, DT, [v * RHO for v in (2.5, 1.2, 1.5)], RHO, BOX)
+    return moved.select("step", "label", *[f"{k}{p}" for k in "uw" for p in "xyz"])
+
+
 def _subset(spark: SparkSession, d: str) -> DataFrame:
     path = new_path(spark, "elsasser-pairs")
     cascade.write_elsasser_pairs(cascade.elsasser_pairs(_elsasser(spark, d)), path, 256)
@@ -278,6 +302,10 @@ QUERIES = {
     "place_in_box": lambda s, d: _r(formation.place_in_box(_formation(s, d), "step", RHO, BOX)),
     "scale_to_box": lambda s, d: _r(formation.scale_to_box(_formation(s, d), "step")),
     "wrapped_path_breaks": lambda s, d: formation.path_breaks(formation.wrapped(probe_series(s, d), BOX), BOX),
+    "grid_by_method": _by_method,
+    "moving_formation": lambda s, d: _r(_moved(s, d)),
+    "series_stream": lambda s, d: _r(_stream(s, d).where("kind = 'sample'").select("step", "sc", *grid.VALUES), 4),
+    "series_stream_breaks": lambda s, d: _stream(s, d).where("kind = 'break'").select("step", "label"),
     "nearest_time": lambda s, d: formation.nearest_time(s.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderdate").cast("timestamp").alias("t")).distinct(), "t", REQUESTED).select("t"),
     "asof_nearest_batch": lambda s, d: formation.asof_nearest(s.read.parquet(f"{d}/events.parquet").select(F.col("ts").cast("timestamp").alias("ts")), s.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderdate").cast("timestamp").alias("od")), "ts", "od"),
     "grid_build": lambda s, d: _r(field_grid(s, d)),
@@ -693,3 +721,8 @@ ORACLE_SQL = {
     "divergence_rmse_planes": _sql("coarse", f"SELECT round(sqrt(avg((t - p) * (t - p))), 4) AS divergence_rmse FROM (SELECT {_div(('v1', 'v2'))} AS t, {_div(('p1', 'p2'))} AS p FROM coarse)"),
     "arrow_thinning": _sql("dep", "SELECT pid, round(lag, 6) AS lag FROM (SELECT *, row_number() OVER (ORDER BY lag, pid) AS rank, ceil(count(*) OVER () / 24) AS step FROM dep) WHERE (rank - 1) % step = 0 ORDER BY rank LIMIT 24"),
 }
+# one answer, two ways: followed as a stream, moved from the first step, chosen by name
+ORACLE_SQL["series_stream"] = ORACLE_SQL["grid_trilinear"]
+ORACLE_SQL["series_stream_breaks"] = ORACLE_SQL["wrapped_path_breaks"]
+ORACLE_SQL["moving_formation"] = ORACLE_SQL["traj_positions"]
+ORACLE_SQL["grid_by_method"] = " UNION ALL ".join(f"SELECT '{m}' AS method, step, sc, round(v1, 4) AS v1, round(v2, 4) AS v2, round(v3, 4) AS v3 FROM ({ORACLE_SQL[q]})" for m, q in (("nearest", "grid_nearest_lookup"), ("trilinear", "grid_trilinear")))

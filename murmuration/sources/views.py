@@ -14,7 +14,7 @@ DT, RHO = 0.03125, 100.0
 BOX = (40.0, 30.0, 50.0)
 SHAPE = (7, 6, 5)
 
-PROBE = """
+PROBE_ROWS = """
 SELECT CAST(FLOOR(event_id / 9) AS BIGINT) AS step, FLOOR(event_id / 9) * CAST(0.03125 AS DOUBLE) AS time_seconds,
   CAST(event_id % 9 AS BIGINT) AS sc,
   CASE WHEN event_id % 9 = 0 THEN 'H' ELSE CONCAT('N', CAST(event_id % 9 AS STRING)) END AS label,
@@ -23,7 +23,10 @@ SELECT CAST(FLOOR(event_id / 9) AS BIGINT) AS step, FLOOR(event_id / 9) * CAST(0
   30 + ((event_id % 9) * (event_id % 9) * (event_id % 9)) % 11
     + CAST(1.5 AS DOUBLE) * (FLOOR(event_id / 9) * CAST(0.03125 AS DOUBLE)) AS uz,
   value AS v1, CAST(user_id AS DOUBLE) AS v2, CAST(regexp_extract(props, '[0-9]+', 0) AS DOUBLE) AS v3
-FROM events WHERE event_id < 9 * FLOOR((SELECT COUNT(*) FROM events) / 9)"""
+FROM events"""
+
+#: Whole steps only.
+PROBE = f"{PROBE_ROWS} WHERE event_id < 9 * FLOOR((SELECT COUNT(*) FROM events) / 9)"
 
 GRID = """
 SELECT CAST(l_linenumber - 1 AS BIGINT) AS ix, CAST(FLOOR((MONTH(l_shipdate) - 1) / 2) AS BIGINT) AS iy,
