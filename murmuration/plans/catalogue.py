@@ -137,12 +137,12 @@ def _points(spark: SparkSession, d: str) -> DataFrame:
     return stage(cascade.lag_points(_r(cascade.yaglom(pairs), 2), lags, 9), "lag-points")
 
 
-def _tetra(spark: SparkSession, d: str) -> DataFrame:
-    return cascade.off_centre(cascade.tetrahedra(_points(spark, d)))
+def _tetra(spark: SparkSession, d: str, points: DataFrame | None = None) -> DataFrame:
+    return cascade.off_centre(cascade.tetrahedra(_points(spark, d) if points is None else points))
 
 
-def _rates(spark: SparkSession, d: str) -> DataFrame:
-    return cascade.flagged(cascade.rates(_tetra(spark, d)))
+def _rates(spark: SparkSession, d: str, points: DataFrame | None = None) -> DataFrame:
+    return cascade.flagged(cascade.rates(_tetra(spark, d, points)))
 
 
 def _tenths(c: Column) -> Column:
@@ -150,8 +150,8 @@ def _tenths(c: Column) -> Column:
     return F.floor(c * 10 + 0.5) / 10
 
 
-def _tetra_counts(spark: SparkSession, d: str) -> DataFrame:
-    points = _points(spark, d)
+def _tetra_counts(spark: SparkSession, d: str, points: DataFrame | None = None) -> DataFrame:
+    points = _points(spark, d) if points is None else points
     raw = cascade.combinations(points).agg(F.count(F.lit(1)).alias("raw"))
     kept = cascade.tetrahedra(points)
     c = F.sqrt(F.col("c1") * F.col("c1") + F.col("c2") * F.col("c2") + F.col("c3") * F.col("c3"))

@@ -148,6 +148,31 @@ def _document(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(F.col("d.about.bins").alias("bins"), F.explode("d.rows").alias("r")).select("bins", "r.*")
 
 
+def _correlation_result(spark: SparkSession, d: str) -> DataFrame:
+    """Scales and edges in the document, the map, its cuts and the hub's autocorrelation beside it; the scales read back."""
+    path = new_path(spark, "correlation")
+    series, lags, edges = base._moving(spark, d)
+    corr = stage(spacetime.correlation_map(series, lags, edges), "correlation-map")
+    cuts = stage(spacetime.axis_cuts(corr, edges, DT), "correlation-cuts")
+    bins = spark.range(base.R_BINS).select(F.col("id").alias("r_bin"), *[F.element_at(F.array(*map(F.lit, e)), (F.col("id") + 1).cast("int")).alias(n) for n, e in (("r_lo", edges[:-1]), ("r_hi", edges[1:]))])
+    parts = {"scales": (spacetime.first_crossing(cuts), ["axis"]), "r_bins": (bins, ["r_bin"])}
+    tables.write_result(path, parts, {"map": corr, "axis_cuts": cuts, "hub_autocorrelation": spacetime.hub_autocorrelation(series, lags)}, lags=lags, dt=DT)
+    said = spark.read.text(f"{path}/document").select(F.from_json("value", "scales array<struct<axis:string,scale:double>>").alias("d"))
+    return said.select(F.inline("d.scales"))
+
+
+def _tetra_result(spark: SparkSession, d: str) -> DataFrame:
+    """Counts, summaries and first tetrahedra in the document, all rates and lag points beside it; the summaries read back, with the tetrahedra kept."""
+    path = new_path(spark, "tetrahedra")
+    points = base._points(spark, d)
+    rates = stage(base._rates(spark, d, points), "rates")
+    parts = {"counts": (base._tetra_counts(spark, d, points), ["raw"]), "summary": (cascade.summaries(rates), ["metric"]), "preview": (cascade.preview(rates), [*"abcd"])}
+    tables.write_result(path, parts, {"rates": rates, "lag_points": points}, preview_limit=64)
+    summary = "array<struct<metric:string,n:bigint,least:double,most:double,mean:double,std:double>>"
+    said = spark.read.text(f"{path}/document").select(F.from_json("value", f"summary {summary}, counts array<struct<retained:bigint>>").alias("d"))
+    return said.select(F.col("d.counts").getItem(0)["retained"].alias("retained"), F.explode("d.summary").alias("s")).select("retained", "s.*")
+
+
 def _packed(spark: SparkSession, d: str) -> DataFrame:
     """Components of a cell packed in one array by place, and the first two of them picked by name."""
     cells = field_grid(spark, d).select(*grid.AXES, F.array(*grid.VALUES).alias("packed"))
@@ -173,6 +198,8 @@ QUERIES = {
     "power_spectrum": _power,
     "series_written": lambda s, d: _r(_written_series(s, d)),
     "rows_written": lambda s, d: _r(_written_rows(s, d), 4),
+    "st_document": lambda s, d: _r(_correlation_result(s, d), 5),
+    "tetra_document": lambda s, d: _r(_tetra_result(s, d), 3),
     "sf_document": lambda s, d: _r(_document(s, d), 4),
     "packed_components": lambda s, d: _r(_packed(s, d)),
 }
@@ -247,3 +274,5 @@ ORACLE_SQL = {
     "sf_document": _sql("sf", f"SELECT {len(base.EDGES) - 1} AS bins, bin, n, round(s1, 4) AS s1, round(s2, 4) AS s2 FROM sf"),
     "packed_components": _sql("grid", f"SELECT ix, iy, iz, {_rounds('v1 v2')} FROM grid"),
 }
+ORACLE_SQL["st_document"] = base.ORACLE_SQL["st_decorrelation_scales"]
+ORACLE_SQL["tetra_document"] = f"SELECT s.*, (SELECT retained FROM ({base.ORACLE_SQL['tetra_counts']})) AS retained FROM ({base.ORACLE_SQL['tetra_summary']}) s"

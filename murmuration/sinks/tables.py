@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,3 +39,19 @@ def document(rows: DataFrame, order: list[str], **about: str | float | int) -> D
     if about:
         body.insert(0, F.struct(*[F.lit(v).alias(k) for k, v in about.items()]).alias("about"))
     return without_nan(rows).agg(F.to_json(F.struct(*body), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def sections(parts: dict[str, tuple[DataFrame, list[str]]], **about: str | float | int) -> DataFrame:
+    """One row, one column ``json``: {"about": {...}, name: [...], ...}, the rows of each small table by its order."""
+    body = F.get_json_object("json", "$.rows")
+    each = [document(rows, order).select(F.lit(name).alias("name"), body.alias("body")) for name, (rows, order) in parts.items()]
+    whole = reduce(DataFrame.unionByName, each)
+    members = F.transform(F.sort_array(F.collect_list(F.struct("name", "body"))), lambda m: F.concat(F.lit('"'), m["name"], F.lit('":'), m["body"]))
+    return whole.agg(F.concat(F.lit(f'{{"about":{json.dumps(about)},'), F.array_join(members, ","), F.lit("}")).alias("json"))
+
+
+def write_result(path: str, parts: dict[str, tuple[DataFrame, list[str]]], arrays: dict[str, DataFrame], **about: str | float | int) -> None:
+    """A result as a folder: tables of a bounded size in one JSON document, those that grow with the series as Parquet beside it."""
+    for name, rows in arrays.items():
+        rows.write.parquet(f"{path}/{name}")
+    sections(parts, arrays=", ".join(arrays), **about).write.text(f"{path}/document")
