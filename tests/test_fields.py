@@ -38,6 +38,16 @@ def test_against_sql(spark, name):
     assert _rows(queries[name](spark, SF).toPandas()) == _rows(con.execute(sql[name]).df())
 
 
+def test_nearest_times_need_no_frame_to_the_end(spark):
+    """A frame that ends with its bucket is gone through anew for each row, so many times on one day take for ever."""
+    times = lambda name, seconds: spark.createDataFrame([(k,) for k in seconds], "k long").select(F.timestamp_seconds("k").alias(name))
+    asked, known = [90_000 + 7 * k for k in range(400)], [86_400 + 1000 * k for k in range(9)] + [900_000]
+    got = formation.asof_nearest(times("a", asked), times("b", known), "a", "b")
+    assert "unboundedfollowing" not in got._jdf.queryExecution().toString().lower()
+    at = lambda c: F.unix_seconds(c)
+    assert {r[0]: r[1] for r in got.select(at("a"), at("b")).collect()} == {a: min(known, key=lambda k: (abs(k - a), k)) for a in asked}
+
+
 def _affine(spark, shape=(5, 4, 3), box=(4.0, 3.0, 2.0)):
     cells = [(i, j, k, 2.0 * i + j - k + 1, float(j), i - 3.0 * k) for i in range(shape[0]) for j in range(shape[1]) for k in range(shape[2])]
     return spark.createDataFrame(cells, "ix long, iy long, iz long, v1 double, v2 double, v3 double"), shape, box
