@@ -160,3 +160,53 @@ def test_tau_bins_and_lags(spark):
         assert r.n == own.n.sum() and math.isclose(r.corr, (own.n * own["corr"]).sum() / own.n.sum(), abs_tol=1e-12)
     with pytest.raises(ValueError):
         spacetime.correlation_map(frame, 20, edges, tau_edges=[1.0, 1.0])
+
+
+def _leaving(steps):
+    """Places (step, probe, axis) of a rigid formation with gaps, whose last probe leaves it in the end."""
+    rng = np.random.default_rng(7)
+    at = np.array([0.11, 0.07, 0.03]) * np.arange(steps)[:, None, None] + rng.normal(size=(1, 4, 3)) * 2
+    at[steps // 2 :, 3, 1] += np.cumsum(rng.normal(size=steps - steps // 2)) * 0.1
+    at[5, 1] = at[17:29, 2] = np.nan
+    return at, rng.normal(size=(steps, 4))
+
+
+def test_sums_by_spectra_and_step_by_step(spark):
+    steps, lags = 200, 99
+    at, value = _leaving(steps)
+    rows = [(t, c, float(value[t, c]), 0.5 + c, *map(float, at[t, c])) for t in range(steps) for c in range(4) if np.isfinite(at[t, c, 0]) or t == 20]
+    frame = spark.createDataFrame(rows, "step long, sc long, fluct double, sigma double, ux double, uy double, uz double").withColumn("label", F.lit("H")).cache()
+    there = np.zeros((steps, 4), bool)
+    there[[r[0] for r in rows], [r[1] for r in rows]] = True
+    g = np.where(there, value, 0) / (0.5 + np.arange(4))
+    i, j = np.triu_indices(4)
+    r = {k: np.sqrt(((at[k:][:, j] - at[: steps - k][:, i]) ** 2).sum(-1)) for k in range(lags + 1)}
+    most = max(np.nanmax(x) for x in r.values())
+    assert math.isclose(spacetime.greatest_distance(frame, lags, 4), most, rel_tol=1e-12)
+    edges = spacetime.linear_edges(0.0, most, 6)
+    got = {(x.lag, x.r_bin): (x.n, x.corr) for x in spacetime.correlation_map(frame, lags, edges, block=4).collect()}
+    rigid = {(x.lag, x.i, x.j): x for x in spacetime.rigid_map(frame, lags, 4).collect()}
+    for k in range(lags + 1):
+        product = g[k:][:, j] * g[: steps - k][:, i]
+        for b in range(6):
+            own = product[(r[k] >= edges[b]) & (r[k] < edges[b + 1])]
+            n, mean = got.get((k, b), (0, 0.0))
+            assert n == len(own) and math.isclose(mean, own.mean() if n else 0.0, abs_tol=1e-9), (k, b, n, len(own), mean, own.mean())
+        for p in range(len(i)):
+            own, both = rigid[k, i[p], j[p]], there[k:, j[p]] & there[: steps - k, i[p]]
+            assert own.n == both.sum() and math.isclose(own.total, product[both, p].sum(), abs_tol=1e-9) and abs(own.r - np.nanmin(r[k][:, p])) < 1e-5
+
+
+def test_what_a_rigid_formation_costs_grows_with_its_steps(spark):
+    shape = np.random.default_rng(8).normal(size=(5, 3)) * 2
+    for steps in (1000, 2000):
+        rows = [(t, c, *map(float, shape[c] + 0.03125 * t * np.array([2.5, 1.2, 1.5]))) for t in range(steps) for c in range(5)]
+        frame = spark.createDataFrame(rows, "step long, sc long, ux double, uy double, uz double").withColumn("fluct", F.lit(1.0)).withColumn("sigma", F.lit(1.0))
+        lags = steps // 2
+        found = spacetime.farthest(frame, lags, 8)
+        assert found.measured <= 4 * 8 * steps
+        packed, size, n, probes, bounds = spacetime._prepared(frame, lags, 8)
+        edges = np.linspace(0, found.most, 13)
+        open_ = spacetime._unsure(spark, bounds, lags, lambda a, b: np.searchsorted(edges, a, "right") == np.searchsorted(edges, b, "right"))
+        assert open_.agg(F.sum(F.col("last") - F.col("first") + 1)).first()[0] <= 3
+        assert -(-n // size) <= spacetime.COARSE
