@@ -128,6 +128,19 @@ class Patches:
         return point[keep], leaf[keep], weight[keep]
 
 
+def leaf_tree(s: DataFrame, n: int, names: Sequence[str], patch: int) -> Tree:
+    """A filled tree of the n samples, with leaves of at most about ``patch``."""
+    depth = int(np.clip(np.ceil(np.log2(n / patch)), 0, DEEPEST))
+    wanted = SAMPLED << depth
+    some = s.where(F.pmod(F.xxhash64(*names), F.lit(max(1, n // wanted))) == 0) if depth else s.limit(0)
+    tree = Tree(_columns(some.select(*names).limit(2 * wanted).toArrow(), names), depth)
+    sent, d = s.sparkSession.sparkContext.broadcast(tree), len(names)
+    placed = _mapped(s.select(*names), lambda b: pa.RecordBatch.from_arrays([*b.columns, pa.array(sent.value.leaves(_columns(b, names)))], [*b.schema.names, "leaf"]), f"{', '.join(f'{c} double' for c in names)}, leaf long")
+    boxes = placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), *[f(c) for f in (F.min, F.max) for c in names]).collect()  # a row for each leaf
+    tree.fill(np.array([r.leaf for r in boxes]), np.array([r.n for r in boxes]), np.array([r[2 : 2 + d] for r in boxes], float), np.array([r[2 + d :] for r in boxes], float))
+    return tree
+
+
 def blended(points: DataFrame, samples: DataFrame, key: str, position: Sequence[str], value: Sequence[str], patch: int = PATCH, **settings) -> DataFrame:
     """Each point by the weighted patches that reach it; samples at one position count once, with their mean."""
     good = reduce(lambda a, b: a & b, [finite(F.col(p)) for p in position])
@@ -141,15 +154,7 @@ def blended(points: DataFrame, samples: DataFrame, key: str, position: Sequence[
     lost = p.where(~good).select(key, *[F.lit(float("nan")).alias(v) for v in value])
     if not n:
         return p.select(key, *[F.lit(float("nan")).alias(v) for v in value])
-    depth = int(np.clip(np.ceil(np.log2(n / patch)), 0, DEEPEST))
-    wanted = SAMPLED << depth
-    some = s.where(F.pmod(F.xxhash64(*names), F.lit(max(1, n // wanted))) == 0) if depth else s.limit(0)
-    tree, spark = Tree(_columns(some.select(*names).limit(2 * wanted).toArrow(), names), depth), s.sparkSession
-    sent = spark.sparkContext.broadcast(tree)
-    placed = _mapped(s, lambda b: pa.RecordBatch.from_arrays([*b.columns, pa.array(sent.value.leaves(_columns(b, names)))], [*b.schema.names, "leaf"]), f"{', '.join(f'{c} double' for c in (*names, *value))}, leaf long")
-    boxes = placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), *[f(c) for f in (F.min, F.max) for c in names]).collect()  # a row for each leaf
-    d = len(names)
-    tree.fill(np.array([r.leaf for r in boxes]), np.array([r.n for r in boxes]), np.array([r[2 : 2 + d] for r in boxes], float), np.array([r[2 + d :] for r in boxes], float))
+    tree, spark, d = leaf_tree(s, n, names, patch), s.sparkSession, len(names)
     patches = spark.sparkContext.broadcast(Patches(tree, d))
 
     def dealt(at: Sequence[str]):

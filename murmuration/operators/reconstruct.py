@@ -18,8 +18,11 @@ from pyspark.sql import functions as F
 from ..functions.columns import finite
 from ..functions.order import running_total
 from ..functions.tables import stage as written
-from .kdtree import nearest_samples
-from .radial import radial_basis
+from .kdtree import _columns, _mapped, nearest_samples
+from .radial import POINTS, Patches, leaf_tree, radial_basis
+
+#: Samples that a scan takes or skips at once, and of a patch at most.
+BLOCK, CROWDED = 256, 8192
 
 
 def nearest(points: DataFrame, samples: DataFrame, key: str, position: Sequence[str] = ("x", "y", "z"), value: Sequence[str] = ("v",)) -> DataFrame:
@@ -87,153 +90,222 @@ class _Search:
         self.axes = axes
         self.corners = np.vstack([-np.ones(axes), np.eye(axes) * (2.0 * axes + 2) - 1]) * 4 + 0.5
 
-    def heights(self, ids: np.ndarray, x: np.ndarray) -> np.ndarray:
+    @staticmethod
+    def ties(ids: np.ndarray) -> np.ndarray:
+        """In [0, 1), from the ids alone."""
         with np.errstate(over="ignore"):
             mixed = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
             mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        return (x * x).sum(1) + self.TIE * (mixed >> np.uint64(11)) / 2.0**53
+        return (mixed >> np.uint64(11)) / 2.0**53
+
+    def heights(self, ties: np.ndarray, x: np.ndarray) -> np.ndarray:
+        return (x * x).sum(-1) + self.TIE * ties
 
     def solve(self, p: np.ndarray, ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Members of the basis (samples by place, corners by -1 - place), their weights, and both rows of prices."""
-        n, d = len(ids), self.axes
-        a = np.vstack([np.column_stack([x, np.ones(n)]), np.column_stack([self.corners, np.ones(d + 1)])])
-        cost = np.vstack([np.r_[np.zeros(n), np.ones(d + 1)], np.r_[self.heights(ids, x), np.zeros(d + 1)]])
-        basis = np.arange(n, n + d + 1)
-        goal = np.r_[p, 1.0]
+        """``solve_all`` for one point."""
+        members, weight, price = self.solve_all(p[None], self.ties(ids)[None], x[None])
+        return members[0], weight[0], price[0]
+
+    def solve_all(self, p: np.ndarray, ties: np.ndarray, x: np.ndarray, held: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Members of each point's basis (samples by place, corners by -1 - place), their weights, and both rows of prices.
+
+        ``ties`` and ``x`` hold one set of samples for all points, or one for each, of which ``held`` tells the used places.
+        """
+        sets, n, d = x.shape
+        corners = np.broadcast_to(np.column_stack([self.corners, np.ones(d + 1)]), (sets, d + 1, d + 1))
+        a = np.concatenate([np.concatenate([x, np.ones((sets, n, 1))], 2), corners], 1)
+        cost = np.zeros((sets, 2, n + d + 1))
+        cost[:, 0, n:], cost[:, 1, :n] = 1.0, self.heights(ties, x)
+        if held is not None:
+            cost[:, 0, :n][~held] = np.inf
+        basis = np.tile(np.arange(n, n + d + 1), (len(p), 1))
+        weights, prices = np.zeros((len(p), d + 1)), np.zeros((len(p), 2, d + 1))
+        goal, live = np.column_stack([p, np.ones(len(p))]), np.arange(len(p))
         for pivot in range(self.MOST):
-            inverse = np.linalg.inv(a[basis].T)
-            weight, price = inverse @ goal, cost[:, basis] @ inverse
+            own, now = live if sets > 1 else np.zeros_like(live), basis[live]
+            inverse = np.linalg.inv(a[own[:, None], now].transpose(0, 2, 1))
+            weight = (inverse @ goal[live, :, None])[:, :, 0]
+            price = cost[own[:, None], :, now].transpose(0, 2, 1) @ inverse
+            if sets > 1:
+                reduced = cost[live] - price @ a[live].transpose(0, 2, 1)
+            else:
+                reduced = cost - (price.reshape(-1, d + 1) @ a[0].T).reshape(len(live), 2, -1)
             # a corner at weight 0 costs nothing: what it would price counts in the second row alone
-            first, second = cost - price @ a.T
-            first[basis] = second[basis] = 0.0
-            first[n:] = np.inf
-            worse = first < -1e-11
-            if not worse.any():
-                if ((basis >= n) & (weight > 1e-9)).any():
-                    price[1] = np.r_[np.zeros(d), -np.inf]  # beyond the hull: no height can matter
-                    break
-                first = np.where(np.abs(first) <= 1e-11, second, 0.0)
-                worse = first < -self.TOL
-                if not worse.any():
-                    break
-            enter = int(np.argmax(worse)) if pivot > self.PATIENCE else int(np.argmin(np.where(worse, first, 0.0)))
-            step = inverse @ a[enter]
+            first, second = reduced[:, 0], reduced[:, 1]
+            np.put_along_axis(first, now, 0.0, 1), np.put_along_axis(second, now, 0.0, 1)
+            first[:, n:] = np.inf
+            phase = (first < -1e-11).any(1)
+            beyond = ~phase & ((now >= n) & (weight > 1e-9)).any(1)
+            price[beyond, 1] = np.r_[np.zeros(d), -np.inf]  # beyond the hull: no height can matter
+            order = np.where(phase[:, None], first, np.where(np.abs(first) <= 1e-11, second, 0.0))
+            worse = order < np.where(phase, -1e-11, -self.TOL)[:, None]
+            enter = worse.argmax(1) if pivot > self.PATIENCE else np.where(worse, order, 0.0).argmin(1)
+            step = (inverse @ a[own, enter][:, :, None])[:, :, 0]
             with np.errstate(divide="ignore", invalid="ignore"):
                 ratio = np.where(step > 1e-11, np.maximum(weight, 0.0) / step, np.inf)
-            leave = int(np.argmin(ratio))
-            if not np.isfinite(ratio[leave]):
+            leave = ratio.argmin(1)
+            weights[live], prices[live] = weight, price
+            go = ~beyond & worse.any(1) & np.isfinite(ratio.min(1))
+            basis[live[go], leave[go]] = enter[go]
+            live = live[go]
+            if not len(live):
                 break
-            basis[leave] = enter
         else:
             raise ArithmeticError(f"no simplex within {self.MOST} pivots: the samples' positions differ too little for their range")
-        return np.where(basis < n, basis, n - 1 - basis), weight, price
+        return np.where(basis < n, basis, n - 1 - basis), weights, prices
 
 
-def linear(points: DataFrame, samples: DataFrame, key: str, position: Sequence[str] = ("x", "y", "z"), value: Sequence[str] = ("v",), near: int = 32, chunk: int = 1024, add: int = 8) -> DataFrame:
+def linear(points: DataFrame, samples: DataFrame, key: str, position: Sequence[str] = ("x", "y", "z"), value: Sequence[str] = ("v",), near: int = 256, chunk: int = 8192, add: int = 8) -> DataFrame:
     """Piecewise-linear interpolation over the Delaunay triangulation of the samples; NaN outside their hull.
 
-    A point's simplex is sought among its ``near`` nearest samples. It is the right one if its sphere lies within what these
-    surely cover. The other points, near the hull or beyond it, go out in chunks with the prices of their simplex; each task
-    answers with the sample that most violates them, and they search again with the first ``add`` of these among all that they
-    have met, until there is none that they haven't met.
+    Of points at one position one is searched, of samples at one position the one of least height. A point's simplex is sought
+    among the samples of its patch, a leaf of about ``near`` samples of a k-d tree with its margin. It is the right one if its
+    sphere lies within the patch. The other points, near the hull or beyond it, go out in chunks with the prices of their
+    simplex; each task answers with the sample that most violates them, and they search again with the first ``add`` of these
+    among all that they have met, until there is none that they haven't met.
     """
     spark, d = points.sparkSession, len(position)
     good = reduce(lambda a, b: a & b, [finite(F.col(p)) for p in position])
     stats = samples.where(good).agg(F.count(F.lit(1)), *[f(F.col(c).cast("double")) for c in position for f in (F.min, F.max)]).first()
-    names = [f"at_{p}" for p in position]
-    none = (points.where(~good) if stats[0] else points).select(F.col(key).cast("long").alias(key), *[F.lit(float("nan")).alias(v) for v in value])
+    inside = good & reduce(lambda a, b: a & b, [F.col(p).cast("double").between(lo, h) for p, lo, h in zip(position, stats[1::2], stats[2::2], strict=True)]) if stats[0] else F.lit(False)
+    none = points.where(~inside).select(F.col(key).cast("long").alias(key), *[F.lit(float("nan")).alias(v) for v in value])
     if not stats[0]:
         return none
+    names, own = [f"at_{p}" for p in position], [f"q_{p}" for p in position]
     low, scale = stats[1::2], max([h - lo for lo, h in zip(stats[1::2], stats[2::2], strict=True)] + [0.0]) or 1.0
-    scaled = [((F.col(p).cast("double") - F.lit(lo)) / F.lit(scale)).alias(n) for p, n, lo in zip(position, names, low, strict=True)]
-    s = written(samples.where(good).select("sample_id", *[F.coalesce(F.col(v).cast("double"), F.lit(float("nan"))).alias(v) for v in value], *scaled), "linear-samples")
-    q = points.where(good).select(F.col(key).cast("long").alias(key), *scaled)
-    own = [f"q_{n}" for n in names]
-    q = written(q.select(key, *[F.col(n).alias(o) for n, o in zip(names, own, strict=True)]), "linear-points")
-    at = s.select("*", *[F.col(n).alias(o) for n, o in zip(names, own, strict=True)])
-    rows = nearest_samples(q, at, key, near, own, [*value, *names])
-    item = F.struct("sample_id", *names, *value, "d2")
-    kept = f"array<struct<sample_id:bigint,{','.join(f'{n}:double' for n in names)},{','.join(f'{v}:double' for v in value)}>>"
-    asked = written(rows.groupBy(key).agg(F.collect_list(item).alias("found")).join(q, key), "linear-near")
-    schema = f"{key} long, {', '.join(f'{o} double' for o in own)}, found {kept}, prices array<double>, done boolean, {', '.join(f'{v} double' for v in value)}"
-    out_names = [c.split()[0] for c in schema.replace(kept, "kept").split(", ")]
-
-    def local(first: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            search = _Search(d)
-            for b in batches:
-                p = np.column_stack([b.column(o).to_numpy() for o in own]).reshape(len(b), d)
-                cols: dict[str, list] = {n: [] for n in out_names[1 + d :]}
-                for i, found in enumerate(b.column("found").to_pylist()):
-                    found = list({r["sample_id"]: r for r in found}.values())
-                    x = np.array([[r[n] for n in names] for r in found])
-                    members, weight, price = search.solve(p[i], np.array([r["sample_id"] for r in found]), x)
-                    outside = (members < 0) & (weight > 1e-9)
-                    real = [(found[m], w) for m, w in zip(members, weight, strict=True) if m >= 0]
-                    done = first and len(found) < near
-                    if first and not done and not (members < 0).any():
-                        centre = price[1, :d] / 2
-                        reach = np.sqrt(max(centre @ centre + price[1, d], 0.0)) + np.linalg.norm(centre - p[i])
-                        done = bool((reach + 1e-6) ** 2 < max(r["d2"] for r in found))
-                    cols["found"].append([{n: r[n] for n in ("sample_id", *names, *value)} for r in ([r for r, _ in real] if first else found)])
-                    cols["prices"].append(price.ravel().tolist())
-                    cols["done"].append(done)
-                    for v in value:
-                        cols[v].append(float("nan") if outside.any() else float(sum(r[v] * w for r, w in real if w > 0)))
-                kind = pa.list_(pa.struct([("sample_id", pa.int64()), *[(n, pa.float64()) for n in (*names, *value)]]))
-                arrays = [pa.array(cols["found"], kind), pa.array(cols["prices"], pa.list_(pa.float64())), pa.array(cols["done"], pa.bool_()), *[pa.array(cols[v], pa.float64()) for v in value]]
-                yield pa.RecordBatch.from_arrays([b.column(key), *[b.column(o) for o in own], *arrays], out_names)
-
-        return run
-
-    state = written(asked.select(key, *own, "found").mapInArrow(local(True), schema), "linear-state")
-    ready, left = [state.where("done")], written(state.where("NOT done"), "linear-left")
+    scaled = lambda new: [((F.col(p).cast("double") - F.lit(lo)) / F.lit(scale)).alias(n) for p, n, lo in zip(position, new, low, strict=True)]
+    row = [*names, "tie", *value]
+    s = samples.where(good).select("sample_id", *scaled(names), *[F.coalesce(F.col(v).cast("double"), F.lit(float("nan"))).alias(v) for v in value])
+    tied = lambda b: pa.RecordBatch.from_arrays([*b.columns, pa.array(_Search.ties(b.column("sample_id").to_numpy()))], [*b.schema.names, "tie"])
+    s = _mapped(s.withColumn("sample_id", F.col("sample_id").cast("long")), tied, f"sample_id long, {', '.join(f'{c} double' for c in (*names, *value))}, tie double")
+    s = s.groupBy(*names).agg(F.min(F.struct("tie", "sample_id", *value)).alias("m")).select(*names, "m.tie", *[f"m.{v}" for v in value])
+    s = written(s, "linear-samples")
+    n = s.count()
+    # neighbours lie in one file, so that a scan can skip blocks of them
+    cells = [F.floor(F.col(c) * math.ceil((n / BLOCK) ** (1 / d))).alias(c) for c in names]
+    s = written(s.repartitionByRange(-(-n // 8192), *cells).sortWithinPartitions(*cells, *names), "linear-samples")
+    every = points.where(inside).select(F.col(key).cast("long").alias(key), *scaled(own))
+    q = every.groupBy(*own).agg(F.min(key).alias(key))
+    schema = f"{key} long, {', '.join(f'{o} double' for o in own)}, found array<array<double>>, prices array<double>, done boolean, {', '.join(f'{v} double' for v in value)}"
+    out_names = [c.split()[0] for c in schema.split(", ")]
+
+    def state(keys: pa.Array, p: np.ndarray, found: pa.Array, prices: np.ndarray, done: np.ndarray, members: np.ndarray, weight: np.ndarray, v: np.ndarray) -> list[pa.Array]:
+        """``v``: the values of each point's members."""
+        outside = ((members < 0) & (weight > 1e-9)).any(1)
+        at = np.where(((members >= 0) & (weight > 0))[:, :, None], weight[:, :, None] * v, 0.0).sum(1)
+        at[outside] = np.nan
+        flat = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1) * 2 * (d + 1), pa.int32()), pa.array(prices.ravel()))
+        return [keys, *[pa.array(p[:, k]) for k in range(d)], found, flat, pa.array(done), *[pa.array(at[:, k]) for k in range(len(value))]]
+
+    def lists(rows: np.ndarray, counts: np.ndarray) -> pa.Array:
+        each = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * len(row), pa.int32()), pa.array(rows.ravel()))
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], pa.int32()), each)
+
+    tree = leaf_tree(s, n, names, near)
+    sent = spark.sparkContext.broadcast(tree)
+    patches = spark.sparkContext.broadcast(Patches(tree, d))
+    left = written(_mapped(q, lambda b: pa.RecordBatch.from_arrays([*b.columns, pa.array(sent.value.leaves(_columns(b, own)))], [*b.schema.names, "leaf"]), f"{', '.join(f'{o} double' for o in own)}, {key} long, leaf long"), "linear-points")
+    many = written(left.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / POINTS).alias("parts")), "linear-parts")
+    left = left.join(F.broadcast(many), "leaf").withColumn("part", F.pmod(F.xxhash64(key), F.col("parts"))).drop("parts")  # a row for each leaf
+
+    def dealt(b: pa.RecordBatch) -> pa.RecordBatch:
+        at, leaf, _ = patches.value.reached(_columns(b, names))
+        return pa.RecordBatch.from_arrays([*b.take(pa.array(at)).columns, pa.array(leaf)], [*b.schema.names, "leaf"])
+
+    right = _mapped(s, dealt, f"{', '.join(f'{c} double' for c in row)}, leaf long")
+    right = right.join(F.broadcast(many.select("leaf", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))), "leaf")
+
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        p, search, parts = _columns(a, own), _Search(d), []
+        x = _columns(b.sort_by([(c, "ascending") for c in names]), row)
+        if len(p):
+            leaf = a["leaf"][0].as_py()
+            lo, hi = patches.value.low[sent.value.inner + leaf], patches.value.high[sent.value.inner + leaf]
+            if len(x) > CROWDED:  # a dense neighbour: the leaf's own samples
+                lo, hi = lo + patches.value.margin[leaf], hi - patches.value.margin[leaf]
+                x = x[((x[:, :d] >= lo) & (x[:, :d] <= hi)).all(1)]
+        for k in range(0, len(p), size := max(1, 2**18 // (len(x) + d + 1))):
+            few = p[k : k + size]
+            members, weight, price = search.solve_all(few, x[None, :, d], x[None, :, :d])
+            with np.errstate(invalid="ignore"):
+                centre = price[:, 1, :d] / 2
+                reach = np.sqrt(np.maximum((centre * centre).sum(1) + price[:, 1, d], 0.0))[:, None] + 1e-6
+                done = (members >= 0).all(1) & ((centre - reach > lo) & (centre + reach < hi)).all(1) | np.isinf(np.r_[lo, hi]).all()
+            real = members >= 0
+            of = x[np.where(real, members, 0)] if len(x) else np.zeros((*members.shape, len(row)))
+            parts.append(pa.RecordBatch.from_arrays(state(a[key].combine_chunks().slice(k, len(few)), few, lists(of[real], real.sum(1)), price, done, members, weight, of[:, :, d + 1 :]), out_names))
+        kinds = [pa.int64(), *[pa.float64()] * d, pa.list_(pa.list_(pa.float64())), pa.list_(pa.float64()), pa.bool_(), *[pa.float64()] * len(value)]
+        return pa.Table.from_batches(parts) if parts else pa.table([pa.array([], k) for k in kinds], out_names)
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each point among the samples that it has met."""
+        search = _Search(d)
+        for whole in batches:
+            for at in range(0, len(whole), 512):
+                b = whole.slice(at, 512)
+                p, counts = _columns(b, own), b.column("found").value_lengths().to_numpy()
+                held = np.arange(counts.max()) < counts[:, None]
+                x = np.zeros((*held.shape, len(row)))
+                x[held] = b.column("found").flatten().flatten().to_numpy().reshape(-1, len(row))
+                x, held = (x, held) if len(p) > 1 else (x.repeat(2, 0), held.repeat(2, 0))  # one set would be for all points
+                members, weight, price = (o[: len(p)] for o in search.solve_all(p if len(p) > 1 else p.repeat(2, 0), x[:, :, d], x[:, :, :d], held))
+                of = np.take_along_axis(x[: len(p)], np.maximum(members, 0)[:, :, None], 1)
+                yield pa.RecordBatch.from_arrays(state(b.column(key), p, b.column("found"), price, np.zeros(len(p), bool), members, weight, of[:, :, d + 1 :]), out_names)
+
+    first = written(left.groupBy("leaf", "part").cogroup(right.groupBy("leaf", "part")).applyInArrow(meet, schema), "linear-state")
+    ready, left = [first.where("done")], written(first.where("NOT done"), "linear-left")
     while count := left.count():
         parts, answers = -(-count // chunk), []
         for part in range(parts):
             table = left.where(F.pmod(F.xxhash64(key), F.lit(parts)) == part).select(key, "prices").toArrow().combine_chunks()
             for begin in range(0, table.num_rows, chunk):
                 piece = table.slice(begin, chunk)
-                sent = spark.sparkContext.broadcast((piece[key].to_numpy(), np.array(piece["prices"].to_pylist()).reshape(-1, 2, d + 1)))
-                answers.append(s.mapInArrow(_most_violating(sent, d, key, names, value), f"{key} long, excess double, sample_id long, {', '.join(f'{c} double' for c in (*names, *value))}"))
-        new = written(reduce(lambda a, b: a.unionByName(b), answers), "linear-answers")
-        more = new.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("excess", "sample_id", *names, *value))).alias("more"))
-        unmet = F.filter("more", lambda m: ~F.exists("found", lambda f: f["sample_id"] == m["sample_id"]))
-        fields = lambda m: F.struct(*[m[c].alias(c) for c in ("sample_id", *names, *value)])
-        step = left.join(more, key, "left").withColumn("more", F.transform(F.slice(unmet, 1, add), fields))
+                prices = spark.sparkContext.broadcast((piece[key].to_numpy(), np.array(piece["prices"].to_pylist()).reshape(-1, 2, d + 1)))
+                answers.append(s.mapInArrow(_most_violating(prices, d, key, row), f"{key} long, excess double, {', '.join(f'{c} double' for c in row)}"))
+        new = reduce(lambda a, b: a.unionByName(b), answers)
+        more = new.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("excess", F.array(*row).alias("row")))).alias("more"))
+        unmet = F.filter("more", lambda m: ~F.array_contains("found", m["row"]))
+        step = left.join(more, key, "left").withColumn("more", F.transform(F.slice(unmet, 1, add), lambda m: m["row"]))
         step = written(step, "linear-step")
         ready.append(step.where("more IS NULL OR size(more) = 0").drop("more"))
-        again = step.where("size(more) > 0").select(key, *own, F.concat("found", "more").alias("found"))
-        left = written(again.mapInArrow(local(False), schema), "linear-left")
-    return reduce(lambda a, b: a.unionByName(b), ready).select(key, *value).unionByName(none)
+        grown = step.where("size(more) > 0").withColumn("found", F.concat("found", "more")).drop("more")
+        left = written(grown.mapInArrow(again, schema), "linear-left")
+    found = reduce(lambda a, b: a.unionByName(b), ready).select(*own, *value)
+    return every.join(found, own).select(key, *value).unionByName(none)
 
 
-def _most_violating(sent, d: int, key: str, names: Sequence[str], value: Sequence[str]):
-    """For each point of the chunk the sample of this task that most violates the prices, if one does."""
+def _most_violating(sent, d: int, key: str, fields: Sequence[str]):
+    """For each point of the chunk the sample of this task that most violates the prices, if one does; ``fields``: position, tie, values.
+
+    A block of samples is measured by the points whose prices a place in its box can violate.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, price = sent.value
-        search, fields = _Search(d), ["sample_id", *names, *value]
-        best, row = np.zeros(len(keys)), np.zeros((len(keys), len(fields) - 1))
-        ids = np.full(len(keys), -1)
+        search = _Search(d)
+        best, row = np.zeros(len(keys)), np.full((len(keys), len(fields)), np.nan)
+        one, two = price[:, 0], price[:, 1]
         for whole in batches:
-            for first in range(0, len(whole), 1024):
-                b = whole.slice(first, 1024)
-                x = np.column_stack([b.column(n).to_numpy() for n in names]).reshape(len(b), d)
-                i = b.column("sample_id").to_numpy()
-                a = np.column_stack([x, np.ones(len(b))])
-                one = -price[:, 0] @ a.T
-                two = search.heights(i, x)[None] - price[:, 1] @ a.T
-                one = np.where(one < -1e-11, one, np.where(one > 1e-11, np.inf, 0.0))
-                two = np.where(one == 0, np.where(two < -search.TOL, two, 0.0), 0.0)
-                order = np.where(one < 0, one - 1e6, np.where(one == 0, two, 0.0))
-                pick = order.argmin(1)
-                found = order[np.arange(len(keys)), pick]
-                less = found < best
-                best[less], ids[less] = found[less], i[pick[less]]
-                row[less] = np.column_stack([b.column(c).to_numpy() for c in fields[1:]])[pick[less]]
-        use = ids >= 0
-        yield pa.RecordBatch.from_arrays([pa.array(keys[use]), pa.array(best[use]), pa.array(ids[use]), *[pa.array(row[use, k]) for k in range(row.shape[1])]], [key, "excess", *fields])
+            all_rows = _columns(whole, fields)
+            for at in range(0, len(whole), BLOCK):
+                block = all_rows[at : at + BLOCK]
+                x, low, high = block[:, :d], block[:, :d].min(0), block[:, :d].max(0)
+                least = -np.maximum(one[:, :d] * low, one[:, :d] * high).sum(1) - one[:, d]
+                spot = np.clip(two[:, :d] / 2, low, high)
+                sphere = (spot * (spot - two[:, :d])).sum(1) - two[:, d] < 1e-9
+                may = np.flatnonzero((least < -5e-12) | (least < 2e-11) & sphere)
+                a = np.column_stack([x, np.ones(len(x))])
+                for k in range(0, len(may), 1024):
+                    use = may[k : k + 1024]
+                    first = -one[use] @ a.T
+                    second = search.heights(block[:, d], x)[None] - two[use] @ a.T
+                    order = np.where(first < -1e-11, first - 1e6, np.where((first <= 1e-11) & (second < -search.TOL), second, 0.0))
+                    pick = order.argmin(1)
+                    found = order[np.arange(len(use)), pick]
+                    less = found < best[use]
+                    best[use[less]], row[use[less]] = found[less], block[pick[less]]
+        use = best < 0
+        yield pa.RecordBatch.from_arrays([pa.array(keys[use]), pa.array(best[use]), *[pa.array(row[use, k]) for k in range(len(fields))]], [key, "excess", *fields])
 
     return run
 

@@ -111,3 +111,26 @@ def test_a_search_without_an_end_is_an_error():
     search.MOST = 1
     with pytest.raises(ArithmeticError):
         search.solve(np.array([0.4, 0.5]), np.arange(6), np.random.default_rng(0).random((6, 2)))
+
+
+def test_linear_over_patches_against_one_search_over_all(spark):
+    """Lattice positions that samples and points share: patches, and rounds for what is near the hull, give what one search finds."""
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, [13, 12, 7], (900, 3)) / 12.0
+    v = rng.normal(size=900)
+    samples = spark.createDataFrame([(i, *map(float, p), float(w)) for i, (p, w) in enumerate(zip(x, v, strict=True))], "sample_id long, x double, y double, z double, v double")
+    q = np.r_[rng.integers(0, [13, 12, 7], (150, 3)) / 12.0, rng.random((100, 3)) * 1.2 - 0.1]
+    q = np.r_[q, q[:80]]
+    points = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(q)], "id long, x double, y double, z double")
+    got = {r.id: r.v for r in reconstruct.linear(points, samples, "id", near=64, chunk=64).collect()}
+    assert len(got) == len(q)
+    search = reconstruct._Search(3)
+    low, scale = x.min(0), np.ptp(x, axis=0).max()
+    at, ties = (x - low) / scale, search.ties(np.arange(900))
+    members, weight, _ = search.solve_all((q - low) / scale, ties[None], at[None])
+    for i, (m, w) in enumerate(zip(members, weight, strict=True)):
+        outside = (q[i] < low).any() or (q[i] > x.max(0)).any() or ((m < 0) & (w > 1e-9)).any()
+        want = np.nan if outside else sum(v[k] * u for k, u in zip(m, w, strict=True) if k >= 0 and u > 0)
+        assert np.isnan(got[i]) if outside else abs(got[i] - want) < 1e-7
+    assert 10 < sum(np.isnan(list(got.values()))) < 150
+    assert all(np.array_equal(got[i], got[250 + i], equal_nan=True) for i in range(80))
