@@ -241,3 +241,21 @@ def test_sinks_and_packed_components(spark, tmp_path):
     for bad in ([], ["ex", "ex"], ["bz"]):
         with pytest.raises(ValueError):
             unpacked(packed, "packed", ["ex", "ey", "bx"], bad)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="tables not here")
+def test_lookups_side_by_side_keep_their_digits(spark, tmp_path):
+    """Means of 0.51 / 101 = 0.00504950: to 6 digits and then to 4, as the lookup's SQL gives it, it is 0.0051."""
+    cell = lambda n, over: (F.floor(F.col("id") / over) % n).cast("int")
+    rows = spark.range(210 * 101).select(
+        (cell(7, 1) + 1).alias("l_linenumber"), (cell(5, 42) * 10.0 + 1).alias("l_quantity"), F.when(F.col("id") < 210 * 51, 0.01).otherwise(0.0).alias("l_discount"),
+        F.make_timestamp(F.lit(1996), cell(6, 7) * 2 + 1, *map(F.lit, (1, 0, 0, 0))).alias("l_shipdate"), F.lit(7.25).alias("l_extendedprice"), F.lit(0.04).alias("l_tax"),
+    )
+    rows.write.parquet(str(tmp_path / "lineitem.parquet"))
+    shutil.copy(f"{SF}/events.parquet", tmp_path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    got = catalogue.QUERIES["grid_by_method"](spark, str(tmp_path)).toPandas()
+    assert _rows(got) == _rows(con.execute(catalogue.ORACLE_SQL["grid_by_method"]).df())
+    assert set(got[got.method == "nearest"].v2) == {0.0051}
