@@ -38,6 +38,9 @@ class Tree:
             if len(part) > 1:
                 axis = int(np.ptp(part, axis=0).argmax())
                 self.axis[node], self.at[node] = axis, np.median(part[:, axis])
+                above = part[part[:, axis] > part[:, axis].min(), axis]
+                if self.at[node] == part[:, axis].min() and len(above):  # most share the least: neither side may be empty
+                    self.at[node] = above.min()
             left = part[:, self.axis[node]] < self.at[node]
             parts += [part[left], part[~left]]
 

@@ -14,7 +14,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import finite
@@ -46,6 +46,8 @@ class Stack:
         a = np.zeros((len(x), n + tail.shape[2], n + tail.shape[2]))
         a[:, :n, :n] = self._kernel(x, x) + smoothing * np.eye(n)
         a[:, :n, n:], a[:, n:, :n] = tail, tail.transpose(0, 2, 1)
+        each, axis = np.nonzero(np.ptp(x, axis=1) == 0)
+        a[each, n + 1 + axis, n + 1 + axis] = 1.0  # an axis on which a set doesn't vary has weight 0
         goal = np.concatenate([y, np.zeros((len(x), tail.shape[2], y.shape[2]))], 1)
         try:
             self.weights = np.linalg.solve(a, goal)
@@ -190,7 +192,17 @@ def radial_basis(points: DataFrame, samples: DataFrame, key: str, position: Sequ
     """Radial basis interpolation: blended patches of the samples, or over each point's ``neighbors`` nearest samples.
 
     Points whose position isn't finite have NaN without ``neighbors`` and no row with them; the same holds without any sample.
+    Patches take samples at one position as one, with their mean: ``numbered`` tells them apart.
     """
     if neighbors:
         return over_neighbours(points, samples, key, position, value, neighbors, **settings)
     return blended(points, samples, key, position, value, patch, **settings)
+
+
+def numbered(samples: DataFrame, axis: str, step: float, position: Sequence[str] = ("x", "y", "z")) -> DataFrame:
+    """Adds an axis on which samples at one position lie ``step`` apart, the first of each, by sample_id, at 0.
+
+    No function of position goes through several values at one place. Over the position and this axis the interpolant does.
+    """
+    w = Window.partitionBy(*position).orderBy("sample_id")
+    return samples.withColumn(axis, (F.row_number().over(w) - 1) * F.lit(float(step)))

@@ -19,7 +19,7 @@ from ..functions.columns import finite
 from ..functions.order import running_total
 from ..functions.tables import stage as written
 from .kdtree import _columns, _mapped, nearest_samples
-from .radial import POINTS, Patches, leaf_tree, radial_basis
+from .radial import POINTS, Patches, leaf_tree, numbered, radial_basis
 
 #: Samples that a scan takes or skips at once, and of a patch at most.
 BLOCK, CROWDED = 256, 8192

@@ -134,3 +134,23 @@ def test_linear_over_patches_against_one_search_over_all(spark):
         assert np.isnan(got[i]) if outside else abs(got[i] - want) < 1e-7
     assert 10 < sum(np.isnan(list(got.values()))) < 150
     assert all(np.array_equal(got[i], got[250 + i], equal_nan=True) for i in range(80))
+
+
+@pytest.mark.parametrize("patch", [16, 512])
+def test_samples_at_one_position_keep_their_values(spark, patch):
+    rng = np.random.default_rng(6)
+    x, v = rng.integers(0, 5, (160, 3)) / 4.0, np.round(rng.normal(size=160) * 1000, 2)
+    assert len(np.unique(x, axis=0)) < 100
+    rows = [(i, *map(float, p), float(w)) for i, (p, w) in enumerate(zip(x, v, strict=True))]
+    samples = reconstruct.numbered(spark.createDataFrame(rows, "sample_id long, x double, y double, z double, v double"), "nth", 1 / 128)
+    assert samples.groupBy("x", "y", "z").agg(F.max("nth").alias("m"), F.count("nth").alias("n")).where("round(m * 128) <> n - 1").count() == 0
+    got = {r.sample_id: r.v for r in reconstruct.radial_basis(samples, samples, "sample_id", ("x", "y", "z", "nth"), patch=patch).collect()}
+    assert len(got) == 160 and max(abs(got[i] - w) for i, w in enumerate(v)) < 1e-5
+
+
+def test_splits_leave_no_side_empty():
+    """Nearly all positions share the least value of the widest axis."""
+    x = np.zeros((400, 2))
+    x[:, 1], x[-30:, 0] = np.linspace(0, 1, 400), 5.0
+    tree = kdtree.Tree(x, 3)
+    assert np.bincount(tree.leaves(x), minlength=8).max() <= 100
