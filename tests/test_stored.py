@@ -6,6 +6,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,6 +51,24 @@ def test_stored_pairs_are_read_by_their_folders(spark, tmp_path):
             cascade.read_elsasser_pairs(spark, path, bad, (0, 4), run=8)
 
 
+def test_folders_of_stored_pairs_dont_grow_with_the_series(spark, tmp_path):
+    rows = spark.range(3 * 3000).selectExpr("id div 3 AS step", "id % 3 AS p").selectExpr("step", "IF(p = 2, 1L, 0L) AS i", "IF(p = 0, 1L, 2L) AS j", "element_at(array('H__N1', 'H__N2', 'N1__N2'), int(p) + 1) AS pair", "double(step * 3 + p) AS l1")
+    for name, steps in (("found", None), ("known", (0, 2999))):
+        path = str(tmp_path / name)
+        cascade.write_elsasser_pairs(rows, path, 4, steps)
+        files = [str(f) for f in (tmp_path / name).rglob("*.parquet")]
+        assert 3 * cascade.RUNS / 2 <= len(files) <= 3 * cascade.RUNS  # 3 * 750 in runs of 4 steps
+        for f in files[:9]:
+            at = pq.ParquetFile(f).read()["step"].to_pylist()
+            assert at == sorted(at)
+        for a, b in ((0, 3000), (127, 129), (2990, 5000), (700, 700)):
+            got = sorted(tuple(r) for r in cascade.read_elsasser_pairs(spark, path, ["N1", "N2"], (a, b), 4).collect())
+            assert got == [(t, 0, 1, "N1__N2", t * 3.0 + 2) for t in range(a, min(b, 3000))]
+        some = cascade.read_elsasser_pairs(spark, path, ["N1", "N2"], (127, 129), 4).select(F.input_file_name()).distinct()
+        assert some.count() == 2
+    assert cascade.read_elsasser_pairs(spark, path, ["H", "N1", "N2"], (0, 3000), 4).count() == 9000
+
+
 def test_running_totals(spark):
     rng = random.Random(1)
     rows = [(k, rng.randrange(1, 9)) for k in rng.sample(range(5000), 700)]
