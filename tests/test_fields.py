@@ -245,7 +245,7 @@ def test_sinks_and_packed_components(spark, tmp_path):
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="tables not here")
 def test_lookups_side_by_side_keep_their_digits(spark, tmp_path):
-    """Means of 0.51 / 101 = 0.00504950: to 6 digits and then to 4, as the lookup's SQL gives it, it is 0.0051."""
+    """Means of 0.51 / 101 = 0.0050495049: to 6 digits and then to 4, as the lookup's SQL gives it, it is 0.0051."""
     cell = lambda n, over: (F.floor(F.col("id") / over) % n).cast("int")
     rows = spark.range(210 * 101).select(
         (cell(7, 1) + 1).alias("l_linenumber"), (cell(5, 42) * 10.0 + 1).alias("l_quantity"), F.when(F.col("id") < 210 * 51, 0.01).otherwise(0.0).alias("l_discount"),
