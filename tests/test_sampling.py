@@ -210,3 +210,40 @@ def test_what_a_rigid_formation_costs_grows_with_its_steps(spark):
         open_ = spacetime._unsure(spark, bounds, lags, lambda a, b: np.searchsorted(edges, a, "right") == np.searchsorted(edges, b, "right"))
         assert open_.agg(F.sum(F.col("last") - F.col("first") + 1)).first()[0] <= 3
         assert -(-n // size) <= spacetime.COARSE
+
+
+def _broadcast_rows(plan) -> list[int]:
+    """How many rows each broadcast of an executed plan held."""
+    name, inner = plan.nodeName(), []
+    if name == "AdaptiveSparkPlan":
+        inner = [plan.executedPlan()]
+    elif name.endswith("QueryStage"):
+        inner = [plan.plan()]
+    own = [plan.metrics().apply("numOutputRows").value()] if name == "BroadcastExchange" else []
+    inner += [plan.children().apply(k) for k in range(plan.children().size())]
+    return own + [n for p in inner for n in _broadcast_rows(p)]
+
+
+def test_scattered_open_lags_take_no_list_of_short_blocks(spark):
+    """Far from the origin rounding opens some lags in most runs; what is broadcast for them is bounded by the long blocks."""
+    steps, lags = 600, 299
+    shape = np.random.default_rng(3).normal(size=(3, 3)) * 2
+    at = 1e8 + shape + 0.03125 * np.arange(steps)[:, None, None] * np.array([2.5, 1.2, 1.5])
+    at[40:45, 1] = np.nan
+    rows = [(t, c, *map(float, at[t, c])) for t in range(steps) for c in range(3) if np.isfinite(at[t, c, 0])]
+    frame = spark.createDataFrame(rows, "step long, sc long, ux double, uy double, uz double").withColumn("fluct", F.lit(1.0)).withColumn("sigma", F.lit(1.0)).cache()
+    rigid = spacetime.rigid_map(frame, lags, 4)
+    got = {(x.lag, x.i, x.j): x for x in rigid.collect()}
+    assert max(_broadcast_rows(rigid._jdf.queryExecution().executedPlan())) <= 3 * 3 * spacetime.COARSE * (spacetime.COARSE // 2 + 1)
+    assert len(got) == 6 * (lags + 1)
+    for (k, i, j), x in got.items():
+        r = np.sqrt(((at[k:, j] - at[: steps - k, i]) ** 2).sum(-1))
+        assert x.n == np.isfinite(r).sum() and np.floor(x.r * 1e5 + 0.5) == np.floor(np.nanmin(r) * 1e5 + 0.5), (k, i, j, x.r, np.nanmin(r))
+
+
+def test_places_come_back_as_they_were():
+    rng = np.random.default_rng(4)
+    for x in (30 + 0.0375 * np.arange(5000.0), rng.normal(size=100) * 10.0 ** rng.integers(-300, 300, 100), np.array([np.nan, -0.0, 0.0, np.inf, -1.5, np.nan]), np.zeros(1)):
+        data = spacetime._shrunk(x)
+        assert spacetime._regrown(data).tobytes() == x.tobytes()
+    assert len(spacetime._shrunk(30 + 0.0375 * np.arange(5000.0))) < 5000
