@@ -5,11 +5,13 @@ import itertools
 import math
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from murmuration.operators import maps, spacetime, structure
+from murmuration.plans import catalogue
 
 SHAPE, STEPS = (5, 4, 3), (2.0, 3.0, 4.0)
 
@@ -247,3 +249,11 @@ def test_places_come_back_as_they_were():
         data = spacetime._shrunk(x)
         assert spacetime._regrown(data).tobytes() == x.tobytes()
     assert len(spacetime._shrunk(30 + 0.0375 * np.arange(5000.0))) < 5000
+
+
+def test_distances_near_a_half_are_rounded_as_in_sql(spark):
+    """Distances of the formation at 60 and 360 x sf0.1, where the product with 10**5 lies on the other side of a half than their text."""
+    near = [32831.049015, 90584.89055499999, 118309.06047499999, 45486.930844999995, 81510.801585, 150308.592625, 178167.15888499998, 0.0, 2.5]
+    frame = spark.createDataFrame([(k, r) for k, r in enumerate(near)], "k long, r double").withColumn("r", catalogue._scaled(F.col("r"), 5))
+    got = [x.r for x in catalogue._r(frame, 5).orderBy("k").collect()]
+    assert got == [duckdb.execute("SELECT round(?::DOUBLE, 5)", [r]).fetchone()[0] for r in near]
